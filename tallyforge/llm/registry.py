@@ -86,8 +86,8 @@ tokens AS (SELECT rep, n, unnest(g) AS t FROM nodes),
 links AS (
   SELECT a.rep AS x, b.rep AS y FROM tokens a JOIN tokens b ON a.t = b.t AND a.rep < b.rep
   GROUP BY a.rep, b.rep HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
-), both AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
-reach(x, y) AS (SELECT rep, rep FROM nodes UNION SELECT r.x, b.y FROM reach r JOIN both b ON b.x = r.y),
+), edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT rep, rep FROM nodes UNION SELECT r.x, b.y FROM reach r JOIN edges b ON b.x = r.y),
 least AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
 SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, CAST(coalesce(l.c, s.doc_id) AS BIGINT) AS component_id
 FROM sets s LEFT JOIN nodes n ON n.node = s.node AND s.n > 0 LEFT JOIN least l ON l.x = n.rep
