@@ -7,6 +7,7 @@ lower-cased, cut into words and hashed without a Python object for each word.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of intermediate rows in the folder that all executors share, compressed; dropped when used up."""
+
+    def __init__(self, spark: SparkSession):
+        sc = spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        self.spark, self.root, self.paths = spark, f"{sc.getCheckpointDir()}/scratch-{uuid.uuid4().hex}", []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.paths.append(f"{self.root}/{len(self.paths)}")
+        df.write.option("compression", "zstd").parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop(self) -> None:
+        """Delete the tables; nothing that is still to run may read them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_enough(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     """Mark df for a broadcast only where its counted rows keep the bound; else leave the join to a shuffle."""
     return F.broadcast(df) if df.count() <= most else df

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Words, blocks, checkpointed, mix, small_enough
+from tallyforge.llm.common import Scratch, Words, blocks, checkpointed, mix, small_enough
 from tallyforge.llm.components import connected_components
 
 #: Words in a shingle and least percentage of intersection to union.
@@ -34,6 +34,7 @@ MOST_FREQUENT = 1 << 18
 LEAST_COUNT, STEP = 32, 16
 #: Set sizes per subclass, by class.
 PER_SUBCLASS = {2: 64, 3: 24}
+_SIZE = (1 << 20) - 1
 _SALT = 0x2545F4914F6CDD1D
 
 
@@ -64,6 +65,11 @@ def node_of(tokens: np.ndarray) -> bytes | None:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
 
 
+def code_of(node: bytes | None, n: int) -> int | None:
+    """44 bits of a node and its set's size (cut at 2^20 - 1): what the index holds instead of the node."""
+    return None if node is None else (int.from_bytes(node[:6], "little") & (1 << 43) - 1) << 20 | min(n, _SIZE)
+
+
 def _level(n: int) -> int:
     return n.bit_length()
 
@@ -103,14 +109,20 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
 
 
 def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, node): the size of each document's set, and a digest that equal sets share (null: empty)."""
+    """(doc_id, n_shingles, node, code): each document's set size, a digest that equal sets share, and its code (null: empty)."""
 
     def run(batches):
         for batch, tokens, ptr in _sets(batches, words):
             nodes = [node_of(tokens[a:b]) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(ptr)), pa.array(nodes, pa.binary())], names=["doc_id", "n_shingles", "node"])
+            codes = [code_of(x, n) for x, n in zip(nodes, np.diff(ptr).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(ptr)), pa.array(nodes, pa.binary()), pa.array(codes, pa.int64())], names=["doc_id", "n_shingles", "node", "code"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, code long")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node binary")
+def _classes(sets: DataFrame) -> DataFrame:
+    """(node, code, rep): one row for each set, with the smallest doc_id that has it."""
+    return sets.where("node IS NOT NULL").groupBy("node").agg(F.min("code").alias("code"), F.min("doc_id").alias("rep"))
 
 
 def _frequent(docs: DataFrame, words: int, percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +145,7 @@ def _frequent(docs: DataFrame, words: int, percent: int, most: int) -> tuple[np.
 
 
 def _index(docs: DataFrame, words: int, percent: int, most: int) -> DataFrame:
-    """(sig, node, n): the signatures of every set that a different set can reach."""
+    """(sig, code): the signatures of every set that a different set can reach."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words, percent, most))
 
     def run(batches):
@@ -141,65 +153,68 @@ def _index(docs: DataFrame, words: int, percent: int, most: int) -> DataFrame:
         for _, tokens, ptr in _sets(batches, words):
             at = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
             classes = np.where(known[at] == tokens, kinds[at], 1).astype(np.int8) if len(known) else np.ones(len(tokens), np.int8)
-            sigs, nodes, sizes = [], [], []
+            sigs, codes, times = [], [], []
             for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True):
                 n = b - a
                 # a different set that reaches the threshold has one token more, or one less
                 if n and (n * 100 >= percent * (n + 1) or (n - 1) * 100 >= percent * n):
-                    s = signatures(tokens[a:b], classes[a:b], n * (100 - percent) // 100, percent)
-                    sigs.append(s)
-                    nodes += [node_of(tokens[a:b])] * len(s)
-                    sizes.append(np.full(len(s), n))
+                    sigs.append(signatures(tokens[a:b], classes[a:b], n * (100 - percent) // 100, percent))
+                    codes.append(code_of(node_of(tokens[a:b]), n))
+                    times.append(len(sigs[-1]))
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(nodes, pa.binary()), pa.array(np.concatenate(sizes).astype(np.int32))], names=["sig", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(codes, np.int64), times))], names=["sig", "code"])
 
-    return docs.select("text").mapInArrow(run, "sig long, node binary, n int")
+    return docs.select("text").mapInArrow(run, "sig long, code long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets reach the threshold, by exact intersection."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = checkpointed(classes.join(nodes, "node", "left_semi").select("rep", "node"))
-    ids = small_enough(wanted.select(F.col("rep").alias("__rep")).distinct())
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): the nodes of those pairs (x, y) of codes whose sets reach the threshold, by exact intersection."""
+    codes = pairs.select(F.col("x").alias("code")).unionByName(pairs.select(F.col("y").alias("code"))).distinct()
+    ids = small_enough(scratch.write(classes.join(codes, "code", "left_semi").select(F.col("rep").alias("__rep")).distinct()))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi").select("text")
 
     def run(batches):
         for _, tokens, ptr in _sets(batches, words):
-            spans = list(zip(ptr[:-1], ptr[1:], strict=True))
+            nodes = [node_of(tokens[a:b]) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
             sets = pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(tokens.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(tokens[a:b]) for a, b in spans], pa.binary()), sets], names=["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([code_of(x, n) for x, n in zip(nodes, np.diff(ptr).tolist(), strict=True)], pa.int64()), pa.array(nodes, pa.binary()), sets], names=["code", "node", "tokens"])
+
+    sets = scratch.write(texts.mapInArrow(run, "code long, node binary, tokens array<long>").where("code IS NOT NULL"))
+    left, right = (sets.select(F.col("code").alias(c), F.col("node").alias(n), F.col("tokens").alias(t)) for c, n, t in (("x", "a", "s"), ("y", "b", "t")))
+    both = pairs.join(left, "x").join(right, "y")
+    common = F.size(F.array_intersect("s", "t"))
+    return both.select("a", "b", common.alias("i"), (F.size("s") + F.size("t")).alias("n")).where(f"100 * i >= {int(percent)} * (n - i)").select("a", "b")
 
-    sets = texts.mapInArrow(run, "node binary, tokens array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    sets = checkpointed(sets)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", common.alias("i"), (F.size("x") + F.size("y")).alias("s")).where(f"100 * i >= {int(percent)} * (s - i)").select("a", "b")
 
+def _fit(x: str, y: str, percent: int) -> str:
+    """Whether the sizes in two codes allow a link; a size that is cut may be any larger one."""
+    least, most = (f"{f}({x} & {_SIZE}, {y} & {_SIZE})" for f in ("least", "greatest"))
+    return f"({most} = {_SIZE} OR 100 * {least} >= {int(percent)} * {most})"
 
-def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) from (node, n, node2, n2), where the sizes allow a link."""
-    fit = rows.where(f"node <> node2 AND 100 * least(n, n2) >= {int(percent)} * greatest(n, n2)")
-    return fit.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
+def jaccard_links(docs: DataFrame, classes: DataFrame, words: int = WORDS, percent: int = PERCENT, most: int = MOST_FREQUENT) -> DataFrame:
+    """(a, b): links between nodes; every two linked nodes are in one component of these links.
 
-def jaccard_links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = PERCENT, most: int = MOST_FREQUENT) -> DataFrame:
-    """(a, b): links between nodes; every two linked nodes are in one component of these links."""
-    classes = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    classes is what `document_sets` gives, by node.
+    """
+    scratch = Scratch(docs.sparkSession)
     index = _index(docs, words, percent, most)
-    ends = index.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")).where("low.node <> high.node")
-    shared = checkpointed(index.join(ends, "sig").distinct())
-    pivots = [_pairs(shared.select("node", "n", F.col(f"{p}.node").alias("node2"), F.col(f"{p}.n").alias("n2")), percent) for p in ("low", "high")]
-    first = checkpointed(_verified(checkpointed(pivots[0].unionByName(pivots[1]).distinct()), docs, classes, words, percent))
-    roots = connected_components(first)
-    inner = shared.where("node <> low.node AND node <> high.node").select("sig", "node", "n")
-    named = inner.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
+    ends = index.groupBy("sig").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low <> high")
+    shared = scratch.write(index.join(ends, "sig"))
+    pivots = [shared.where(f"code <> {p} AND {_fit('code', p, percent)}").select(F.least("code", p).alias("x"), F.greatest("code", p).alias("y")) for p in ("low", "high")]
+    first = checkpointed(_verified(scratch.write(pivots[0].unionByName(pivots[1]).distinct()), docs, classes, words, percent, scratch))
+    roots = connected_components(first).join(classes.select("node", "code"), "node").groupBy("code").agg(F.min("root").alias("root"))
+    inner = shared.where("code <> low AND code <> high").select("sig", "code")
+    named = inner.join(roots, "code", "left").select("sig", "code", F.coalesce(F.hex("root"), F.col("code").cast("string")).alias("root"))
     apart = named.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("sig")
-    left = checkpointed(named.join(apart, "sig"))
-    right = left.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    rest = left.join(right, (left.sig == right.sig) & (left.node < right.node2) & (left.root != right.root2) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent))
-    rest = checkpointed(_pairs(rest.select("node", "n", "node2", "n2"), percent))
-    return first.unionByName(_verified(rest, docs, classes, words, percent))
+    left = scratch.write(named.join(apart, "sig").distinct())
+    right = left.select("sig", F.col("code").alias("code2"), F.col("root").alias("root2"))
+    rest = left.join(right, (left.sig == right.sig) & (left.code < right.code2) & (left.root != right.root2) & F.expr(_fit("code", "code2", percent)))
+    rest = scratch.write(rest.select(F.col("code").alias("x"), F.col("code2").alias("y")).distinct())
+    links = checkpointed(first.unionByName(_verified(rest, docs, classes, words, percent, scratch)))
+    scratch.drop()
+    return links
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most: int = MOST_FREQUENT) -> DataFrame:
@@ -211,8 +226,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     own; a null doc_id stays null and counts in a component only where no other id is in it.
     """
     sets = checkpointed(document_sets(docs, words))
-    classes = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    roots = connected_components(jaccard_links(docs, sets, words, percent, most))
+    classes = _classes(sets)
+    roots = connected_components(jaccard_links(docs, classes, words, percent, most))
     least = roots.join(classes, "node").groupBy("root").agg(F.min("rep").alias("least"))
     named = roots.join(least, "root").select("node", "least")
     own = classes.join(named, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
