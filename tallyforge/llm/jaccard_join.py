@@ -9,7 +9,8 @@ fit the larger set's size, so that combinations stay in proportion to the set.
 
 Copies of one set are one node. Each combination's nodes are first verified against two pivots, which
 is linear in the index; then only pairs of nodes still in different components remain to be verified.
-No pair that reaches the threshold is lost, no group is expanded into all of its pairs.
+No pair that reaches the threshold is lost, no group is expanded into all of its pairs. Parity sketches of
+the sets bound their symmetric difference from below, so that most pairs go before sets are compared.
 """
 
 from __future__ import annotations
@@ -70,6 +71,23 @@ def code_of(node: bytes | None, n: int) -> int | None:
     return None if node is None else (int.from_bytes(node[:6], "little") & (1 << 43) - 1) << 20 | min(n, _SIZE)
 
 
+def sketch_of(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens' counts by their low bits, about a bit for each token; halves fold by exclusive or."""
+    m = min(max(256, 1 << (len(tokens) - 1).bit_length()), 1 << 16)
+    odd = np.bincount((tokens & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """No more than the size of the symmetric difference of two sets, from their sketches."""
+    x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _level(n: int) -> int:
     return n.bit_length()
 
@@ -109,20 +127,22 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
 
 
 def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, node, code): each document's set size, a digest that equal sets share, and its code (null: empty)."""
+    """(doc_id, n_shingles, node, code, sketch): each document's set size, a digest that equal sets share, its code and sketch (null: empty)."""
 
     def run(batches):
         for batch, tokens, ptr in _sets(batches, words):
             nodes = [node_of(tokens[a:b]) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
             codes = [code_of(x, n) for x, n in zip(nodes, np.diff(ptr).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(ptr)), pa.array(nodes, pa.binary()), pa.array(codes, pa.int64())], names=["doc_id", "n_shingles", "node", "code"])
+            sketches = [sketch_of(tokens[a:b]) if b > a else None for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)]
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(ptr)), pa.array(nodes, pa.binary()), pa.array(codes, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "code", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, code long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, code long, sketch binary")
 
 
 def _classes(sets: DataFrame) -> DataFrame:
-    """(node, code, rep): one row for each set, with the smallest doc_id that has it."""
-    return sets.where("node IS NOT NULL").groupBy("node").agg(F.min("code").alias("code"), F.min("doc_id").alias("rep"))
+    """(node, code, rep, sketch): one row for each set, with the smallest doc_id that has it."""
+    return sets.where("node IS NOT NULL").groupBy("node").agg(F.min("code").alias("code"), F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
 
 
 def _frequent(docs: DataFrame, words: int, percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +188,21 @@ def _index(docs: DataFrame, words: int, percent: int, most: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b): the nodes of those pairs (x, y) of codes whose sets reach the threshold, by exact intersection."""
+    """(a, b): the nodes of those pairs (x, y) of codes whose sets reach the threshold, by exact intersection.
+
+    Before sets are fetched, pairs go whose sketches alone show that the sets differ by too much.
+    """
+    left, right = (classes.select(F.col("code").alias(c), F.col("sketch").alias(k)) for c, k in (("x", "s"), ("y", "t")))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
+            size = (x & _SIZE) + (y & _SIZE)
+            differ = np.fromiter((least_difference(a, b) for a, b in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True)), np.int64, len(x))
+            keep = (differ * (100 + percent) <= size * (100 - percent)) | (x & _SIZE == _SIZE) | (y & _SIZE == _SIZE)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep])], names=["x", "y"])
+
+    pairs = scratch.write(pairs.join(left, "x").join(right, "y").mapInArrow(near, "x long, y long").distinct())
     codes = pairs.select(F.col("x").alias("code")).unionByName(pairs.select(F.col("y").alias("code"))).distinct()
     ids = small_enough(scratch.write(classes.join(codes, "code", "left_semi").select(F.col("rep").alias("__rep")).distinct()))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -226,11 +260,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     own; a null doc_id stays null and counts in a component only where no other id is in it.
     """
     sets = checkpointed(document_sets(docs, words))
-    classes = _classes(sets)
+    scratch = Scratch(docs.sparkSession)
+    classes = scratch.write(_classes(sets))
     roots = connected_components(jaccard_links(docs, classes, words, percent, most))
     least = roots.join(classes, "node").groupBy("root").agg(F.min("rep").alias("least"))
     named = roots.join(least, "root").select("node", "least")
     own = classes.join(named, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
+    own = checkpointed(own)
+    scratch.drop()
     full = sets.where("node IS NOT NULL").join(own, "node").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return full.unionByName(sets.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
