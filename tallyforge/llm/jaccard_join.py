@@ -7,8 +7,9 @@ that reach the threshold share a combination. Rare tokens are indexed alone (w =
 pairs, very frequent ones in triples; the two upper classes are cut into subclasses by hash, as many as
 fit the larger set's size, so that combinations stay in proportion to the set.
 
-Copies of one set are one node. Each combination's nodes are first verified against two pivots, which
-is linear in the index; then only pairs of nodes still in different components remain to be verified.
+Copies of one set are one node. Each combination's nodes are first verified against two of them, chosen
+anew for each combination and round, which is linear in the index; once few pairs of nodes in different
+components are left, these are verified too.
 No pair that reaches the threshold is lost, no group is expanded into all of its pairs. Parity sketches of
 the sets bound their symmetric difference from below, so that most pairs go before sets are compared.
 """
@@ -30,12 +31,15 @@ from tallyforge.llm.components import connected_components
 #: Words in a shingle and least percentage of intersection to union.
 WORDS, PERCENT = 5, 80
 #: Most tokens in the upper classes; it bounds the broadcast (9 bytes each), for any input.
-MOST_FREQUENT = 1 << 18
+MOST_FREQUENT = 1 << 20
 #: A token is never frequent below this count, and very frequent from so many times the bound.
-LEAST_COUNT, STEP = 32, 16
+LEAST_COUNT, STEP = 16, 16
+#: Rounds of pivots at most; pairs left for each member of a signature from which there is another round.
+PIVOT_ROUNDS, PAIRS_EACH = 6, 4
 #: Set sizes per subclass, by class.
 PER_SUBCLASS = {2: 64, 3: 24}
 _SIZE = (1 << 20) - 1
+_PARTS = [f"part{i}" for i in range(8)]
 _SALT = 0x2545F4914F6CDD1D
 
 
@@ -73,11 +77,19 @@ def code_of(node: bytes | None, n: int) -> int | None:
 
 def sketch_of(tokens: np.ndarray) -> bytes:
     """Parities of the tokens' counts by their low bits, about a bit for each token; halves fold by exclusive or."""
-    m = min(max(256, 1 << (len(tokens) - 1).bit_length()), 1 << 16)
+    m = min(max(512, 1 << (len(tokens) - 1).bit_length()), 1 << 16)
     odd = np.bincount((tokens & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").tobytes()
 
 
+def folded(sketch: bytes) -> np.ndarray:
+    """A sketch as eight longs."""
+    x = np.frombuffer(sketch, np.uint8)
+    while len(x) > 64:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.view(np.int64)
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """No more than the size of the symmetric difference of two sets, from their sketches."""
     x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
@@ -127,22 +139,23 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
 
 
 def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, node, code, sketch): each document's set size, a digest that equal sets share, its code and sketch (null: empty)."""
+    """(doc_id, n_shingles, node, code, sketch, part0..7): each document's set size, a digest that equal sets share, its code and sketch (null: empty)."""
 
     def run(batches):
         for batch, tokens, ptr in _sets(batches, words):
             nodes = [node_of(tokens[a:b]) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
             codes = [code_of(x, n) for x, n in zip(nodes, np.diff(ptr).tolist(), strict=True)]
             sketches = [sketch_of(tokens[a:b]) if b > a else None for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)]
-            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(ptr)), pa.array(nodes, pa.binary()), pa.array(codes, pa.int64()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "code", "sketch"])
+            parts = np.array([folded(x) if x else np.zeros(8, np.int64) for x in sketches]).reshape(-1, 8)
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(ptr)), pa.array(nodes, pa.binary()), pa.array(codes, pa.int64()), pa.array(sketches, pa.binary()), *map(pa.array, parts.T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "code", "sketch", *_PARTS])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, code long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, code long, sketch binary, " + ", ".join(f"{p} long" for p in _PARTS))
 
 
 def _classes(sets: DataFrame) -> DataFrame:
-    """(node, code, rep, sketch): one row for each set, with the smallest doc_id that has it."""
-    return sets.where("node IS NOT NULL").groupBy("node").agg(F.min("code").alias("code"), F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    """(node, code, rep, sketch, part0..7): one row for each set, with the smallest doc_id that has it."""
+    return sets.where("node IS NOT NULL").groupBy("node").agg(F.min("code").alias("code"), F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), *[F.first(p).alias(p) for p in _PARTS])
 
 
 def _frequent(docs: DataFrame, words: int, percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,23 +247,51 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, words: int = WORDS, perce
     """
     scratch = Scratch(docs.sparkSession)
     index = _index(docs, words, percent, most)
-    ends = index.groupBy("sig").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low <> high")
-    shared = scratch.write(index.join(ends, "sig"))
-    pivots = [shared.where(f"code <> {p} AND {_fit('code', p, percent)}").select(F.least("code", p).alias("x"), F.greatest("code", p).alias("y")) for p in ("low", "high")]
-    first = checkpointed(_verified(scratch.write(pivots[0].unionByName(pivots[1]).distinct()), docs, classes, words, percent, scratch))
-    roots = connected_components(first).join(classes.select("node", "code"), "node").groupBy("code").agg(F.min("root").alias("root"))
-    inner = shared.where("code <> low AND code <> high").select("sig", "code")
-    named = inner.join(roots, "code", "left").select("sig", "code", F.coalesce(F.hex("root"), F.col("code").cast("string")).alias("root"))
-    apart = named.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("sig")
-    left = scratch.write(named.join(apart, "sig").distinct())
-    right = left.select("sig", F.col("code").alias("code2"), F.col("root").alias("root2"))
-    rest = left.join(right, (left.sig == right.sig) & (left.code < right.code2) & (left.root != right.root2) & F.expr(_fit("code", "code2", percent)))
+    ends = index.groupBy("sig").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low <> high").select("sig")
+    shared = scratch.write(index.join(ends, "sig").distinct())
+    links = docs.sparkSession.createDataFrame([], "a binary, b binary")
+    rows, roots = shared.withColumn("root", F.lit(None).cast("string")), None
+    sizes = shared.groupBy("sig").agg(F.count("*").alias("s"))
+    before = sizes.agg(F.sum(F.col("s") * (F.col("s") - 1) / 2)).first()[0] or 0
+    for turn in range(PIVOT_ROUNDS):
+        rows = scratch.write(_with_pivots(rows, turn))
+        pivots = [rows.where(f"code <> {p} AND (root IS NULL OR root <> {p}_root) AND {_fit('code', p, percent)}").select(F.least("code", p).alias("x"), F.greatest("code", p).alias("y")) for p in ("low", "high")]
+        links = checkpointed(links.unionByName(_verified(scratch.write(pivots[0].unionByName(pivots[1]).distinct()), docs, classes, words, percent, scratch)))
+        roots = connected_components(links).join(classes.select("node", "code"), "node").groupBy("code").agg(F.hex(F.min("root")).alias("root"))
+        named = rows.select("sig", "code").join(roots, "code", "left").select("sig", "code", F.coalesce("root", F.col("code").cast("string")).alias("root"))
+        counted = named.groupBy("sig", "root").agg(F.count("*").alias("m")).groupBy("sig").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count("*").alias("k")).where("k > 1")
+        apart = checkpointed(counted.select("sig", "s", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")))
+        rows = named.join(apart.select("sig"), "sig")
+        left, members = apart.agg(F.sum("pairs"), F.sum("s")).first()
+        # groups that pivots don't join are not of one component; another round only where the last one joined most
+        if not left or left <= PAIRS_EACH * members or left > before / 2:
+            break
+        before = left
+    rest = scratch.write(rows.join(classes.select("code", *_PARTS), "code"))
+    right = rest.select("sig", F.col("code").alias("code2"), F.col("root").alias("root2"), *[F.col(p).alias(f"{p}_2") for p in _PARTS])
+    differ = " + ".join(f"bit_count({p} ^ {p}_2)" for p in _PARTS)
+    near = f"({differ}) * {100 + int(percent)} <= ((code & {_SIZE}) + (code2 & {_SIZE})) * {100 - int(percent)} OR greatest(code & {_SIZE}, code2 & {_SIZE}) = {_SIZE}"
+    rest = rest.join(right, (rest.sig == right.sig) & (rest.code < right.code2) & (rest.root != right.root2) & F.expr(_fit("code", "code2", percent)) & F.expr(near))
     rest = scratch.write(rest.select(F.col("code").alias("x"), F.col("code2").alias("y")).distinct())
-    links = checkpointed(first.unionByName(_verified(rest, docs, classes, words, percent, scratch)))
+    links = checkpointed(links.unionByName(_verified(rest, docs, classes, words, percent, scratch)))
     scratch.drop()
     return links
 
 
+def _with_pivots(rows: DataFrame, turn: int) -> DataFrame:
+    """rows (sig, code, root) with two members of each signature, low and high, by an order of its own."""
+    order = F.xxhash64("sig", F.lit(turn))
+    ends = rows.groupBy("sig").agg(F.min(F.col("code").bitwiseXOR(order)).alias("low"), F.max(F.col("code").bitwiseXOR(order)).alias("high"))
+    ends = ends.select("sig", F.col("low").bitwiseXOR(order).alias("low"), F.col("high").bitwiseXOR(order).alias("high"))
+    joined = rows.join(ends, "sig")
+    if turn == 0:
+        return joined.select("sig", "code", "root", "low", "high", F.lit(None).cast("string").alias("low_root"), F.lit(None).cast("string").alias("high_root"))
+    own = rows.select("sig", "code", "root")
+    for p in ("low", "high"):
+        joined = joined.join(own.select("sig", F.col("code").alias(p), F.col("root").alias(f"{p}_root")), ["sig", p])
+    return joined.select("sig", "code", "root", "low", "high", "low_root", "high_root")
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most: int = MOST_FREQUENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text; other columns are not read).
 
