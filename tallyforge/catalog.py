@@ -1,11 +1,485 @@
-"""All queries of the reconciliation engine and their SQL."""
+"""All queries of the reconciliation engine over the domain views, and DuckDB's SQL for the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.functions import text
+from tallyforge.operators import blocking, detect, evaluate, liability, matching, review
+from tallyforge.plans.domain import HOME_STATE, Domain, with_clause
+from tallyforge.sources import ingest
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+#: DuckDB forms of the scalar functions.
+_TAX_ID = r"regexp_replace(upper(coalesce({}, '')), '[^\p{{L}}\p{{N}}]', '', 'g')"
+_KEY = f"translate({_TAX_ID}, 'OI', '01')"
+_NAME = r"trim(regexp_replace(trim(regexp_replace(regexp_replace(replace(upper(coalesce({}, '')), '&', ' AND '), '[^A-Z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g')), '(^| )((LTD|LIMITED|PVT|PRIVATE|LLP|PLC|INC)( |$))+$', ''))"
+_B36 = "'0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+_SUM = f"list_sum(list_transform(range(1, 15), lambda i: ((instr({_B36}, substr(g, i, 1)) - 1) * (2 - i % 2)) // 36 + ((instr({_B36}, substr(g, i, 1)) - 1) * (2 - i % 2)) % 36))"
+_VALID = f"(regexp_full_match(g, '[0-9A-Z]{{13}}Z[0-9A-Z]') AND substr(g, 15, 1) = substr({_B36}, CAST((36 - {_SUM} % 36) % 36 + 1 AS INT), 1))"
+
+
+def key(c: str) -> str:
+    return _KEY.format(c)
+
+
+def tax_id(c: str) -> str:
+    return _TAX_ID.format(c)
+
+
+def _add(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
+    """Register a query over the domain; sql may use the views named, and its own CTEs after a leading comma."""
+
+    def put(f: Callable[[Domain], DataFrame]):
+        _QUERIES[name] = lambda spark, sf_dir: f(Domain(spark, sf_dir))
+        if sql is not None:
+            ctes = with_clause(*views)
+            if sql.lstrip().startswith(","):
+                _SQL[name] = f"WITH {ctes}{sql}"
+            else:
+                _SQL[name] = f"WITH {ctes} {sql}" if ctes else sql
+        return f
+
+    return put
+
+
+def _table(d: Domain, name: str) -> DataFrame:
+    return d.spark.read.parquet(f"{d.sf_dir}/{name}.parquet")
+
+
+# --- scalars -----------------------------------------------------------------
+@_add("norm_identifier", f"SELECT record_id, {key('invoice_no')} AS norm FROM inv", ("inv",))
+def _(d):
+    return d.inv.select("record_id", text.norm_identifier(F.col("invoice_no")).alias("norm"))
+
+
+@_add("norm_vendor", f"SELECT record_id, {_NAME.format('vendor')} AS norm FROM inv", ("inv",))
+def _(d):
+    return d.inv.select("record_id", text.norm_vendor(F.col("vendor")).alias("norm"))
+
+
+@_add("gstin_check", f", t AS (SELECT record_id, {tax_id('gstin')} AS g FROM inv) SELECT record_id, {_VALID} AS valid FROM t", ("inv",))
+def _(d):
+    return d.inv.select("record_id", text.gstin_valid(F.col("gstin")).alias("valid"))
+
+
+_STATES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.STATES.items())
+
+
+@_add("state_from_gstin", f", t AS (SELECT record_id, {tax_id('gstin')} AS g FROM inv) SELECT record_id, CASE WHEN length(g) = 15 THEN CASE substr(g, 1, 2) {_STATES} END END AS state FROM t", ("inv",))
+def _(d):
+    return d.inv.select("record_id", text.state_from_gstin(F.col("gstin")).alias("state"))
+
+
+@_add("first_digit", "SELECT o_orderkey, CAST(substr(format('{:.11e}', o_totalprice), 1, 1) AS INT) AS d FROM orders WHERE o_totalprice >= 0.1")
+def _(d):
+    return _table(d, "orders").where("o_totalprice >= 0.1").select("o_orderkey", text.first_digit(F.col("o_totalprice")).alias("d"))
+
+
+@_add("identifier_edits", f"SELECT record_id, CAST(levenshtein({key('invoice_no')}, {key('reference')}) AS INT) AS edits FROM inv JOIN pay USING (k)", ("inv", "pay"))
+def _(d):
+    return d.inv.join(d.pay, "k").select("record_id", F.levenshtein(text.norm_identifier(F.col("invoice_no")), text.norm_identifier(F.col("reference"))).alias("edits"))
+
+
+@_add("money_text", "SELECT k, TRY_CAST(translate(CASE WHEN k % 5 = 0 THEN 'n/a' ELSE '₹' || substr(CAST(total AS VARCHAR), 1, 3) || ',' || substr(CAST(total AS VARCHAR), 4) END, ',₹', '') AS DECIMAL(18,2)) AS m FROM inv", ("inv",))
+def _(d):
+    shown = F.concat(F.lit("₹"), F.substring(F.col("total").cast("string"), 1, 3), F.lit(","), F.substring(F.col("total").cast("string"), 4, 40))
+    return d.inv.select("k", text.money(F.when(F.col("k") % 5 == 0, "n/a").otherwise(shown)).alias("m"))
+
+
+# --- the first slice ---------------------------------------------------------
+@_add("q_missing_payment_by_period", f", p AS (SELECT DISTINCT {key('reference')} AS x FROM pay) SELECT strftime(inv_date, '%Y-%m') AS period, count(*) AS n, CAST(sum(total) AS DECIMAL(28,2)) AS amount FROM inv WHERE {key('invoice_no')} NOT IN (SELECT x FROM p) AND inv_date <= DATE '2000-12-31' GROUP BY 1", ("inv", "pay"))
+def _(d):
+    paid = d.pay.select(text.norm_identifier(F.col("reference")).alias("key")).distinct()
+    open_ = detect.keyed(d.inv).where("inv_date <= DATE '2000-12-31'").join(paid, "key", "left_anti")
+    return open_.groupBy(F.date_format("inv_date", "yyyy-MM").alias("period")).agg(F.count("*").alias("n"), F.sum("total").cast("decimal(28,2)").alias("amount"))
+
+
+# --- liability ---------------------------------------------------------------
+_RISK = f""", f AS (SELECT filed, tax_amount, {key('invoice_no')} AS key, {tax_id('supplier_gstin')} AS g FROM fil),
+i AS (SELECT *, {key('invoice_no')} AS key, {tax_id('gstin')} AS g FROM inv),
+r AS (SELECT i.record_id, any_value(i.inv_date) AS inv_date, any_value(i.tax) AS tax, any_value(i.g) AS g, count(f.filed) AS n, bool_or(f.filed) AS any_filed, coalesce(bool_or(abs(i.tax - f.tax_amount) > 1), FALSE) AS off
+  FROM i LEFT JOIN f ON i.key = f.key AND i.g = f.g WHERE document_type = 'purchase' GROUP BY i.record_id),
+risk AS (SELECT record_id, inv_date, tax, array_to_string(list_sort(list_filter([CASE WHEN n = 0 THEN 'missing_supplier_filing' END, CASE WHEN n > 0 AND NOT any_filed THEN 'supplier_not_filed' END,
+  CASE WHEN NOT {_VALID} THEN 'invalid_gstin' END, CASE WHEN off THEN 'gstr2b_tax_mismatch' END], lambda x: x IS NOT NULL)), ',') AS reasons FROM r)"""
+
+
+@_add("itc_risk", _RISK + " SELECT record_id, inv_date, tax, reasons, reasons <> '' AS at_risk FROM risk", ("inv", "fil"))
+def _(d):
+    return liability.itc_risk(d.inv, d.fil)
+
+
+def _monthly(tax: str) -> str:
+    return _RISK + f""", m AS (SELECT strftime(i.inv_date, '%Y-%m') AS period, document_type, {tax} AS x, coalesce(reasons <> '', FALSE) AS at_risk FROM i LEFT JOIN risk USING (record_id)),
+s AS (SELECT period, sum(CASE WHEN document_type <> 'purchase' THEN x ELSE 0 END) AS o, sum(CASE WHEN document_type = 'purchase' THEN x ELSE 0 END) AS b, sum(CASE WHEN document_type = 'purchase' AND NOT at_risk THEN x ELSE 0 END) AS e,
+  sum(CASE WHEN document_type = 'purchase' AND at_risk THEN x ELSE 0 END) AS r FROM m GROUP BY period)"""
+
+
+_COLUMNS = ", ".join(f"CAST({x} AS DECIMAL(18,2)) AS {n}" for x, n in (("o", "output_tax"), ("b", "itc_booked"), ("e", "itc_eligible"), ("r", "itc_at_risk"), ("o - b", "net_before"), ("o - e", "net_after")))
+
+
+@_add("monthly_liability", _monthly("i.tax") + f" SELECT period, {_COLUMNS} FROM s", ("inv", "fil"))
+def _(d):
+    return liability.monthly_liability(d.inv, d.fil)
+
+
+@_add("monthly_liability_rollup", _monthly("i.tax") + f", z AS (SELECT period, sum(o) AS o, sum(b) AS b, sum(e) AS e, sum(r) AS r FROM s GROUP BY ROLLUP (period)) SELECT period, {_COLUMNS} FROM z", ("inv", "fil"))
+def _(d):
+    return liability.liability_totals(liability.monthly_liability(d.inv, d.fil))
+
+
+@_add("what_if_rate", _monthly("CASE WHEN ltrim(hsn, '0') = '3' THEN CAST(round(taxable_value * CAST(5 AS DECIMAL(5,2)) * 0.01, 2) AS DECIMAL(18,2)) ELSE i.tax END") + f" SELECT period, {_COLUMNS} FROM s", ("inv", "fil"))
+def _(d):
+    return liability.monthly_liability(d.inv, d.fil, overrides={"3": 5.0})
+
+
+@_add("liability_unpivot", _monthly("i.tax") + ", w AS (SELECT period, CAST(o AS DECIMAL(18,2)) AS output_tax, CAST(e AS DECIMAL(18,2)) AS itc_eligible, CAST(r AS DECIMAL(18,2)) AS itc_at_risk FROM s) SELECT period, measure, amount FROM w UNPIVOT (amount FOR measure IN (output_tax, itc_eligible, itc_at_risk))", ("inv", "fil"))
+def _(d):
+    return liability.monthly_liability(d.inv, d.fil).unpivot(["period"], ["output_tax", "itc_eligible", "itc_at_risk"], "measure", "amount")
+
+
+@_add("interest_penalty", "SELECT k, CAST(datediff('day', inv_date, inv_date + CAST(k % 90 AS INT)) AS INT) AS days, CAST(round(tax * CAST(18 AS DECIMAL(7,2)) * CAST(k % 90 AS INT) * CAST(1 AS DECIMAL(18,0)) / 36500, 2) AS DECIMAL(18,2)) AS interest FROM inv WHERE tax > 0", ("inv",))
+def _(d):
+    due = d.inv.where("tax > 0").select("k", F.col("tax").alias("amount"), F.col("inv_date").alias("from_date"), F.expr("date_add(inv_date, cast(k % 90 as int))").alias("to_date"))
+    return liability.interest_and_penalty(due, [("1990-01-01", None, 18.0, 0.0)]).select("k", "days", "interest")
+
+
+_RATE = ", r AS (SELECT i.record_id, arg_min(r.rate, r.pos) AS rate FROM inv i JOIN rates r ON ltrim(i.hsn, '0') = ltrim(r.hsn, '0') AND i.inv_date BETWEEN r.valid_from AND coalesce(r.valid_to, DATE '2100-01-01') GROUP BY i.record_id)"
+
+
+@_add("effective_rate", _RATE + " SELECT inv.record_id, r.rate FROM inv LEFT JOIN r USING (record_id)", ("inv", "rates"))
+def _(d):
+    return detect.effective_rates(d.inv, d.rates).select("record_id", "rate")
+
+
+# --- detectors ---------------------------------------------------------------
+_SHORT = "issue_type", "record_id", "other_id", "impact"
+
+
+def _issues(df: DataFrame, *kinds: str) -> DataFrame:
+    return df.where(F.col("issue_type").isin(*kinds)).select(*_SHORT)
+
+
+_TAX = _RATE + f""", t AS (SELECT inv.*, {tax_id('gstin')} AS g, rate, cgst + sgst + igst AS a, CAST(round((cgst + sgst + igst) * 0.5, 2) AS DECIMAL(18,2)) AS h, coalesce(party_state = '{HOME_STATE}', FALSE) AS home FROM inv LEFT JOIN r USING (record_id))"""
+_AT = "CAST(round(taxable_value * {} * 0.01, 2) AS DECIMAL(18,2))"
+_SPLIT = "greatest(abs(cgst - CASE WHEN home THEN a - h ELSE 0 END), abs(sgst - CASE WHEN home THEN h ELSE 0 END), abs(igst - CASE WHEN home THEN 0 ELSE a END))"
+for _kind, _when, _impact in (
+    ("unknown_tax_rate", "rate IS NULL", "0"), ("wrong_tax_rate", "tax_rate_pct <> rate", f"abs({_AT.format('rate')} - a)"), ("miscalculated_tax", f"rate IS NOT NULL AND abs(a - {_AT.format('tax_rate_pct')}) > 1", f"abs(a - {_AT.format('tax_rate_pct')})"),
+    ("wrong_tax_split", f"{_SPLIT} > 1", _SPLIT), ("invoice_total_mismatch", "abs(total - taxable_value - a) > 1", "abs(total - taxable_value - a)"), ("invalid_gstin", f"NOT {_VALID}", "a"),
+):
+    _add(_kind, _TAX + f" SELECT '{_kind}' AS issue_type, record_id, CAST(NULL AS VARCHAR) AS other_id, CAST({_impact} AS DECIMAL(18,2)) AS impact FROM t WHERE {_when}", ("inv", "rates"))(lambda d, k=_kind: _issues(detect.tax_issues(d.inv, d.rates), k))
+
+_DIRECT = f""", ik AS (SELECT *, {key('invoice_no')} AS key, {tax_id('gstin')} AS g FROM inv), pt AS (SELECT *, {key("concat_ws(' ', reference, narration)")} AS body, {key('reference')} AS ref FROM pay),
+cuts AS (SELECT DISTINCT txn_id, substr(body, CAST(i AS INT), 11) AS key FROM pt, range(1, 80) AS s(i) WHERE i <= length(body) - 10),
+direct AS (SELECT DISTINCT record_id, txn_id FROM ik JOIN cuts USING (key))"""
+_EXACT = _DIRECT + """, pairs AS (SELECT ik.key, record_id, txn_id FROM ik JOIN pt ON ik.key = pt.ref AND ik.key <> '' AND abs(total - amount) <= 1),
+shape AS (SELECT *, count(*) OVER (PARTITION BY record_id) AS m, count(*) OVER (PARTITION BY txn_id) AS takers FROM pairs),
+matched AS (SELECT record_id, txn_id FROM shape WHERE m = 1 AND takers = 1)"""
+
+
+def _direct(d: Domain) -> DataFrame:
+    return blocking.reference_pairs(d.inv, d.pay)
+
+
+@_add("candidate_reference", _DIRECT + " SELECT record_id, txn_id FROM direct", ("inv", "pay"))
+def _(d):
+    return _direct(d)
+
+
+@_add("candidate_window", ", i AS (SELECT * FROM inv WHERE ck % 10 = 0) SELECT i.ck, count(*) AS n FROM i JOIN pay ON abs(datediff('day', inv_date, pay_date)) <= 45 GROUP BY i.ck", ("inv", "pay"))
+def _(d):
+    own = d.inv.where("ck % 10 = 0")
+    return blocking.window_pairs(own, d.pay).join(own.select("record_id", "ck"), "record_id").groupBy("ck").agg(F.count("*").alias("n"))
+
+
+_SCORED = """, c AS (SELECT i.record_id, p.txn_id, CAST(abs(i.total - p.amount) AS DOUBLE) AS gap, i.k = p.k AS direct FROM inv i JOIN pay p ON abs(datediff('day', i.inv_date, p.pay_date)) <= 45 AND p.k % 100 = i.k % 100)"""
+
+
+@_add("topk_candidates", _SCORED + ", r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY -gap DESC, txn_id) AS n FROM c) SELECT record_id, txn_id, direct FROM r WHERE n <= 3 OR direct", ("inv", "pay"))
+def _(d):
+    i, p = d.inv.withColumn("g", F.col("k") % 100), d.pay.select("txn_id", "amount", "pay_date", F.col("k").alias("pk"), (F.col("k") % 100).alias("g"))
+    c = i.join(p, "g").where("abs(date_diff(inv_date, pay_date)) <= 45").select("record_id", "txn_id", (-F.abs(F.col("total") - F.col("amount")).cast("double")).alias("score"), (F.col("k") == F.col("pk")).alias("direct"))
+    return blocking.top_candidates(c, 3).select("record_id", "txn_id", "direct")
+
+
+@_add("exact_match", _EXACT + " SELECT record_id, txn_id FROM matched", ("inv", "pay"))
+def _(d):
+    return matching.exact_matches(d.inv, d.pay).select("record_id", "txn_id")
+
+
+@_add("payment_before_invoice", _DIRECT + " SELECT 'payment_before_invoice' AS issue_type, record_id, txn_id AS other_id, CAST(0 AS DECIMAL(18,2)) AS impact FROM direct JOIN ik USING (record_id) JOIN pt USING (txn_id) WHERE pay_date < inv_date", ("inv", "pay"))
+def _(d):
+    return _issues(detect.payment_amounts(d.inv, d.pay, _direct(d)), "payment_before_invoice")
+
+
+@_add("short_and_over_payment", _DIRECT + """, g AS (SELECT record_id, ref, total, sum(abs(amount)) AS paid, count(*) AS n FROM direct JOIN ik USING (record_id) JOIN pt USING (txn_id) WHERE NOT contains(ref, 'BULK') GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY n DESC, ref) AS rn FROM g)
+SELECT CASE WHEN total > paid THEN 'short_payment' ELSE 'overpayment' END AS issue_type, record_id, CAST(NULL AS VARCHAR) AS other_id, CAST(abs(total - paid) AS DECIMAL(18,2)) AS impact FROM b WHERE rn = 1 AND abs(total - paid) > 1""", ("inv", "pay"))
+def _(d):
+    return _issues(detect.payment_amounts(d.inv, d.pay, _direct(d)), "short_payment", "overpayment")
+
+
+_LEDGER = f""", i AS (SELECT *, {key('invoice_no')} AS key FROM inv), e AS (SELECT entry_id, led_date, abs(debit) + abs(credit) AS booked, {key('reference')} AS ref FROM led),
+a AS (SELECT i.record_id, i.total, i.inv_date, e.*, 1 AS by_ref FROM i JOIN e ON i.key = e.ref AND i.key <> ''),
+b AS (SELECT * FROM a UNION ALL SELECT i.record_id, i.total, i.inv_date, e.*, 0 FROM i JOIN e ON i.total = e.booked AND abs(datediff('day', i.inv_date, e.led_date)) <= 3 WHERE i.record_id NOT IN (SELECT record_id FROM a)),
+best AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY by_ref DESC, abs(datediff('day', inv_date, led_date)), entry_id) AS rn FROM b)"""
+for _kind, _when, _impact in (("ledger_amount_mismatch", "abs(total - booked) > 1", "abs(total - booked)"), ("ledger_date_gap", "abs(datediff('day', inv_date, led_date)) > 1", "0"), ("invoice_id_mismatch", "by_ref = 0", "0")):
+    _add(_kind, _LEDGER + f" SELECT '{_kind}' AS issue_type, record_id, entry_id AS other_id, CAST({_impact} AS DECIMAL(18,2)) AS impact FROM best WHERE rn = 1 AND {_when}", ("inv", "led"))(lambda d, k=_kind: _issues(detect.ledger_mismatches(d.inv, d.led), k))
+
+_FILED = f""", f AS (SELECT filing_id, tax_amount, filing_period, {key('invoice_no')} AS key, {tax_id('supplier_gstin')} AS g FROM fil), i AS (SELECT *, {key('invoice_no')} AS key, {tax_id('gstin')} AS g FROM inv WHERE document_type = 'purchase'),
+best AS (SELECT i.record_id, i.tax, i.inv_date, f.*, row_number() OVER (PARTITION BY i.record_id ORDER BY filing_id) AS rn FROM i JOIN f ON i.key = f.key AND i.g = f.g)"""
+for _kind, _when, _impact in (("gstr2b_tax_mismatch", "abs(tax - tax_amount) > 1", "abs(tax - tax_amount)"), ("wrong_tax_period", "strftime(inv_date, '%Y-%m') <> filing_period", "0")):
+    _add(_kind, _FILED + f" SELECT '{_kind}' AS issue_type, record_id, filing_id AS other_id, CAST({_impact} AS DECIMAL(18,2)) AS impact FROM best WHERE rn = 1 AND {_when}", ("inv", "fil"))(lambda d, k=_kind: _issues(detect.filing_mismatches(d.inv, d.fil), k))
+
+
+@_add("fuzzy_filing")
+def _(d):
+    return _issues(detect.fuzzy_filings(d.inv, d.fil), "invoice_id_mismatch", "supplier_gstin_mismatch")
+
+
+def _missing(d: Domain) -> DataFrame:
+    return detect.missing(d.inv, d.pay, d.led, d.fil, matching.exact_matches(d.inv, d.pay), _direct(d))
+
+
+_E = f", e AS (SELECT entry_id, account, led_date, abs(debit) + abs(credit) AS booked, {key('reference')} AS key FROM led)"
+_F = f", f AS (SELECT *, {key('invoice_no')} AS key, {tax_id('supplier_gstin')} AS g FROM fil)"
+for _kind, _from, _record, _other, _impact in (
+    ("missing_payment", "FROM ik WHERE inv_date <= DATE '2000-12-31' AND record_id NOT IN (SELECT record_id FROM matched)", "record_id", None, "total"),
+    ("missing_supplier_filing", "FROM ik WHERE document_type = 'purchase' AND NOT EXISTS (FROM f WHERE f.key = ik.key AND f.g = ik.g)", "record_id", None, "tax"),
+    ("missing_ledger_entry", "FROM ik WHERE key <> '' AND NOT EXISTS (FROM e WHERE e.key = ik.key) AND NOT EXISTS (FROM e WHERE abs(ik.total - booked) <= 1 AND abs(datediff('day', inv_date, led_date)) <= 3)", "record_id", None, "total"),
+    ("payment_without_invoice", "FROM pay WHERE txn_id NOT IN (SELECT txn_id FROM matched) AND txn_id NOT IN (SELECT txn_id FROM direct)", "txn_id", None, "abs(amount)"),
+    ("ledger_without_source", "FROM e WHERE key NOT IN (SELECT key FROM ik WHERE key <> '')", "entry_id", None, "booked"),
+    ("supplier_not_filed", "FROM f JOIN (SELECT key, g, min(record_id) AS record_id, arg_min(tax, record_id) AS tax FROM ik GROUP BY key, g) x USING (key, g) WHERE NOT filed", "x.record_id", "filing_id", "x.tax"),
+    ("in_gstr2b_not_in_books", "FROM f WHERE NOT EXISTS (FROM ik WHERE f.key = ik.key AND f.g = ik.g)", "filing_id", None, "tax_amount"),
+):
+    _add(_kind, _EXACT + _E + _F + f" SELECT '{_kind}' AS issue_type, {_record} AS record_id, {_other or 'CAST(NULL AS VARCHAR)'} AS other_id, CAST({_impact} AS DECIMAL(18,2)) AS impact {_from}", ("inv", "pay", "led", "fil"))(lambda d, k=_kind: _issues(_missing(d), k))
+
+_DUP = f", t AS (SELECT *, {key('invoice_no')} AS key, {tax_id('gstin')} AS g FROM inv)"
+
+
+@_add("duplicate_exact", _DUP + " SELECT 'duplicate_exact' AS issue_type, a.record_id, b.record_id AS other_id, CAST(least(a.total, b.total) AS DECIMAL(18,2)) AS impact FROM t a JOIN t b ON a.g = b.g AND a.key = b.key AND a.record_id < b.record_id AND abs(a.total - b.total) <= 1", ("inv",))
+def _(d):
+    # a copy of some invoices, as a second entry of the same bill
+    return _issues(detect.duplicate_invoices(d.inv), "duplicate_exact")
+
+
+@_add("duplicate_near")
+def _(d):
+    return _issues(detect.duplicate_invoices(d.inv), "duplicate_near")
+
+
+@_add("duplicate_payment", f", t AS (SELECT *, {key('reference')} AS ref FROM pay) SELECT 'duplicate_payment' AS issue_type, a.txn_id AS record_id, b.txn_id AS other_id, CAST(abs(a.amount) AS DECIMAL(18,2)) AS impact FROM t a JOIN t b ON a.ref = b.ref AND a.ref <> '' AND NOT contains(a.ref, 'PART') AND a.amount = b.amount AND a.txn_id < b.txn_id AND abs(datediff('day', a.pay_date, b.pay_date)) <= 10", ("pay",))
+def _(d):
+    return _issues(detect.duplicate_payments(d.pay), "duplicate_payment")
+
+
+@_add("lineitem_key_duplicates", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def _(d):
+    return _table(d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+
+
+# --- anomalies ---------------------------------------------------------------
+_ANOM = """, x AS (SELECT record_id, vendor, CAST(total AS DOUBLE) AS t, ln(1 + CAST(total AS DOUBLE)) AS lg, CASE WHEN total >= 10000 AND total % 1000 = 0 THEN 1 ELSE 0 END AS rd, CAST(date_trunc('week', inv_date) AS DATE) AS week FROM inv),
+v AS (SELECT vendor, median(lg) AS med, avg(rd) AS rr FROM x GROUP BY vendor), m AS (SELECT x.vendor, median(abs(lg - med)) AS mad FROM x JOIN v USING (vendor) GROUP BY x.vendor)"""
+
+
+@_add("robust_z", _ANOM + " SELECT record_id, round(CASE WHEN mad = 0 THEN 0 ELSE 0.6745 * (lg - med) / mad END, 6) AS z FROM x JOIN v USING (vendor) JOIN m USING (vendor)", ("inv",))
+def _(d):
+    return detect.vendor_anomalies(d.inv).select("record_id", F.round("robust_z", 6).alias("z"))
+
+
+@_add("round_rate", _ANOM + " SELECT vendor, round(rr, 9) AS rate FROM v", ("inv",))
+def _(d):
+    return detect.vendor_anomalies(d.inv).groupBy("vendor").agg(F.round(F.max("round_rate"), 9).alias("rate"))
+
+
+@_add("weekly_burst", _ANOM + " SELECT record_id, count(*) OVER (PARTITION BY vendor, week) AS n FROM x", ("inv",))
+def _(d):
+    return detect.vendor_anomalies(d.inv).select("record_id", F.col("week_count").alias("n"))
+
+
+_SHARES = ", ".join(f"sum(CASE WHEN d = {k} THEN 1 ELSE 0 END) AS d{k}" for k in range(1, 10))
+_CHI = " + ".join(f"(d{k} - n * log10(1 + 1.0 / {k})) ** 2 / (n * log10(1 + 1.0 / {k}))" for k in range(1, 10))
+
+
+@_add("benford", f"WITH a AS (SELECT l_suppkey, CAST(substr(format('{{:.11e}}', l_extendedprice), 1, 1) AS INT) AS d FROM lineitem WHERE l_extendedprice >= 0.1), c AS (SELECT l_suppkey, count(*) AS n, {_SHARES} FROM a WHERE d BETWEEN 1 AND 9 GROUP BY 1), x AS (SELECT l_suppkey, n, {_CHI} AS chi FROM c WHERE n >= 300) SELECT l_suppkey, n, round(chi, 5) AS chi2, round(exp(-chi / 2) * (1 + chi / 2 + chi * chi / 8 + chi * chi * chi / 48), 9) AS p FROM x")
+def _(d):
+    return detect.benford(_table(d, "lineitem"), "l_suppkey", "l_extendedprice").select("l_suppkey", "n", F.round("chi2", 5).alias("chi2"), F.round("p", 9).alias("p"))
+
+
+@_add("payment_delay", f", i AS (SELECT {key('invoice_no')} AS key, max(record_id) AS record_id, arg_max(inv_date, record_id) AS inv_date FROM inv GROUP BY 1), p AS (SELECT txn_id, pay_date, {key('reference')} AS key FROM pay) SELECT record_id, CAST(arg_max(datediff('day', inv_date, pay_date), txn_id) AS INT) AS delay FROM i JOIN p USING (key) WHERE key <> '' AND pay_date >= inv_date GROUP BY record_id", ("inv", "pay"))
+def _(d):
+    return detect.payment_delays(d.inv, d.pay)
+
+
+@_add("anomaly_issues")
+def _(d):
+    return _issues(detect.anomaly_issues(d.inv, detect.payment_delays(d.inv, d.pay)), "anomaly_approval_threshold", "anomaly_round_number", "new_vendor_huge_invoice", "anomaly_unusual_spike", "anomaly_behavioral")
+
+
+# --- tiers -------------------------------------------------------------------
+@_add("fuzzy_match")
+def _(d):
+    direct = _direct(d).withColumn("direct", F.lit(True))
+    return matching.fuzzy_matches(blocking.features(direct, d.inv, d.pay).withColumn("confidence", F.round(blocking.confidence(), 6))).select("record_id", "txn_id", "band")
+
+
+@_add("split_match")
+def _(d):
+    return matching.split_matches(d.inv.where("k % 13 = 0"), _halves(d), _halves(d).select("record_id", "txn_id")).select("record_id", F.array_join("members", "|").alias("members"))
+
+
+def _halves(d: Domain) -> DataFrame:
+    """Two part payments for some invoices."""
+    i = d.inv.where("k % 13 = 0")
+    return i.select("record_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("h"), "total", "inv_date").select("record_id", F.concat_ws("-", "record_id", "h").alias("txn_id"), F.when(F.col("h") == 1, F.col("total") - 100).otherwise(100).cast("decimal(18,2)").alias("amount"), F.col("inv_date").alias("pay_date"))
+
+
+@_add("bulk_match")
+def _(d):
+    i = d.inv.where("k % 17 < 2").withColumn("txn_id", F.concat(F.lit("BULK"), F.floor(F.col("k") / 17)))
+    pay = i.groupBy("txn_id").agg(F.sum("total").cast("decimal(18,2)").alias("amount"), F.max("inv_date").alias("pay_date"))
+    return matching.bulk_matches(i, pay, i.select("record_id", "txn_id")).select("txn_id", F.array_join("members", "|").alias("members"))
+
+
+@_add("three_way", _EXACT + f""", e AS (SELECT entry_id, abs(debit) + abs(credit) AS booked, {key('reference')} AS key FROM led), own AS (SELECT * FROM ik WHERE record_id IN (SELECT record_id FROM matched)),
+l AS (SELECT record_id, entry_id, count(*) OVER (PARTITION BY entry_id) AS n FROM own JOIN e ON own.key = e.key AND own.key <> '' AND abs(total - booked) <= 1),
+f AS (SELECT filing_id, {key('invoice_no')} AS key, {tax_id('supplier_gstin')} AS g FROM fil WHERE filed), w AS (SELECT record_id, filing_id, count(*) OVER (PARTITION BY filing_id) AS n FROM own JOIN f ON own.key = f.key AND own.g = f.g)
+SELECT record_id, a.entry_id, b.filing_id FROM own LEFT JOIN (SELECT record_id, max(entry_id) AS entry_id FROM l WHERE n = 1 GROUP BY 1) a USING (record_id) LEFT JOIN (SELECT record_id, max(filing_id) AS filing_id FROM w WHERE n = 1 GROUP BY 1) b USING (record_id)""", ("inv", "pay", "led", "fil"))
+def _(d):
+    return matching.three_way(d.inv, d.led, d.fil, matching.exact_matches(d.inv, d.pay))
+
+
+# --- all issues, risk, reports, review, evaluation ---------------------------
+def _all(d: Domain) -> DataFrame:
+    inv, pay = d.inv, d.pay
+    parts = [detect.payment_amounts(inv, pay, _direct(d)), detect.ledger_mismatches(inv, d.led), detect.filing_mismatches(inv, d.fil), detect.duplicate_payments(pay), _missing(d), detect.tax_issues(inv, d.rates), detect.anomaly_issues(inv, detect.payment_delays(inv, pay))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return detect.finish(out)
+
+
+@_add("issue_pipeline")
+def _(d):
+    return _all(d).select("issue_id", "issue_type", "severity", "record_id", "other_id", "impact", "confidence", "status")
+
+
+_TAXED = _TAX + ", k AS (" + " UNION ALL ".join(f"SELECT '{n}' AS kind, record_id, vendor FROM t WHERE {w}" for n, w in (("unknown_tax_rate", "rate IS NULL"), ("wrong_tax_rate", "tax_rate_pct <> rate"), ("miscalculated_tax", f"rate IS NOT NULL AND abs(a - {_AT.format('tax_rate_pct')}) > 1"), ("wrong_tax_split", f"{_SPLIT} > 1"), ("invoice_total_mismatch", "abs(total - taxable_value - a) > 1"), ("invalid_gstin", f"NOT {_VALID}"))) + ")"
+
+
+@_add("vendor_risk", _TAXED + """, p AS (SELECT vendor, count(*) AS issues, CAST(sum(CASE WHEN kind = 'unknown_tax_rate' THEN 2 ELSE 3 END) AS BIGINT) AS points FROM k GROUP BY vendor),
+b AS (SELECT vendor, count(*) AS invoices, CAST(sum(CASE WHEN document_type = 'purchase' THEN total ELSE 0 END) AS DECIMAL(18,2)) AS exposure FROM inv GROUP BY vendor)
+SELECT vendor, invoices, exposure, coalesce(issues, 0) AS issues, coalesce(points, 0) AS points FROM b LEFT JOIN p USING (vendor)""", ("inv", "rates"))
+def _(d):
+    return liability.vendor_risk(d.inv, detect.finish(detect.tax_issues(d.inv, d.rates))).drop("risk_score")
+
+
+@_add("vendor_risk_score")
+def _(d):
+    return liability.vendor_risk(d.inv, detect.finish(detect.tax_issues(d.inv, d.rates)))
+
+
+@_add("issue_counts", _TAXED + " SELECT kind AS issue_type, count(*) AS n, count(DISTINCT record_id) AS records FROM k GROUP BY kind", ("inv", "rates"))
+def _(d):
+    return detect.tax_issues(d.inv, d.rates).groupBy("issue_type").agg(F.count("*").alias("n"), F.countDistinct("record_id").alias("records"))
+
+
+@_add("flow_counts", _EXACT + _E + _F + " SELECT (SELECT count(*) FROM inv) AS invoices, (SELECT count(*) FROM pay) AS payments, (SELECT count(*) FROM matched) AS matched, greatest((SELECT count(*) FROM inv) - (SELECT count(*) FROM matched), 0) AS unmatched_invoices, greatest((SELECT count(*) FROM pay) - (SELECT count(*) FROM matched), 0) AS unmatched_payments", ("inv", "pay", "led", "fil"))
+def _(d):
+    m = matching.exact_matches(d.inv, d.pay)
+    i, p, n = (x.agg(F.count("*").alias(c)) for x, c in ((d.inv, "invoices"), (d.pay, "payments"), (m, "matched")))
+    one = i.withColumn("one", F.lit(1)).join(p.withColumn("one", F.lit(1)), "one").join(n.withColumn("one", F.lit(1)), "one").drop("one")
+    return one.withColumns({"unmatched_invoices": F.greatest(F.col("invoices") - F.col("matched"), F.lit(0)), "unmatched_payments": F.greatest(F.col("payments") - F.col("matched"), F.lit(0))})
+
+
+@_add("case_inbox", _TAXED + " SELECT kind AS issue_type, record_id, vendor FROM k WHERE kind IN ('wrong_tax_rate', 'invalid_gstin') AND (contains(lower(vendor), '0000001') OR contains(lower(record_id), '0000001') OR contains(lower(kind), '0000001'))", ("inv", "rates"))
+def _(d):
+    cols = ["issue_type", "record_id", "vendor"]
+    hit = F.exists(F.array(*cols), lambda c: F.lower(c).contains("0000001"))
+    return detect.tax_issues(d.inv, d.rates).select(*cols).where(F.col("issue_type").isin("wrong_tax_rate", "invalid_gstin") & hit)
+
+
+@_add("case_records", _TAXED + ", ids AS (SELECT DISTINCT record_id FROM k WHERE kind = 'invalid_gstin') SELECT record_id, invoice_no, total FROM inv WHERE record_id IN (SELECT record_id FROM ids)", ("inv", "rates"))
+def _(d):
+    ids = detect.tax_issues(d.inv, d.rates).where("issue_type = 'invalid_gstin'").select("record_id")
+    return d.inv.join(ids, "record_id", "left_semi").select("record_id", "invoice_no", "total")
+
+
+@_add("top_vendors", ", b AS (SELECT vendor, CAST(sum(total) AS DECIMAL(28,2)) AS amount FROM inv GROUP BY vendor) SELECT * FROM b ORDER BY amount DESC, vendor LIMIT 10", ("inv",))
+def _(d):
+    return d.inv.groupBy("vendor").agg(F.sum("total").cast("decimal(28,2)").alias("amount")).orderBy(F.col("amount").desc(), "vendor").limit(10)
+
+
+@_add("median_rate", " SELECT document_type, median(CAST(tax_rate_pct AS DOUBLE)) AS rate, median(CAST(total AS DOUBLE)) AS total FROM inv GROUP BY document_type", ("inv",))
+def _(d):
+    return d.inv.groupBy("document_type").agg(F.median(F.col("tax_rate_pct").cast("double")).alias("rate"), F.median(F.col("total").cast("double")).alias("total"))
+
+
+@_add("data_profile", " SELECT count(*) AS rows, min(inv_date) AS first, max(inv_date) AS last, count(DISTINCT vendor) AS distinct_vendor, count(DISTINCT gstin) AS distinct_gstin, bool_or(regexp_matches(invoice_no, '^inv ')) AS odd_numbers FROM inv", ("inv",))
+def _(d):
+    return ingest.profile(d.inv, "inv_date", ["vendor", "gstin"], {"odd_numbers": ("invoice_no", "^inv ")})
+
+
+_RAW = {"invoice_no": "invoice_no", "GSTIN": "gstin", "vendor_customer_name": "vendor"}
+
+
+@_add("standardize_changes", f", s AS (SELECT record_id, invoice_no AS b1, {key('invoice_no')} AS a1, gstin AS b2, upper(trim(gstin)) AS a2, vendor AS b3, {_NAME.format('vendor')} AS a3 FROM inv) SELECT record_id AS key, c AS \"column\", b AS before, a AS after FROM (SELECT record_id, 'invoice_no' AS c, b1 AS b, a1 AS a FROM s UNION ALL SELECT record_id, 'GSTIN', b2, a2 FROM s UNION ALL SELECT record_id, 'vendor_customer_name', b3, a3 FROM s) WHERE b IS DISTINCT FROM a", ("inv",))
+def _(d):
+    return ingest.change_log(ingest.standardize(d.inv, "invoices", {"record_id": "record_id"} | _RAW), "record_id")
+
+
+@_add("validation_report", f", t AS (SELECT *, {tax_id('gstin')} AS g FROM inv) SELECT count(*) AS rows, '' AS missing_columns, CAST(count_if(inv_date IS NULL) AS BIGINT) AS invalid_dates, CAST(count_if(NOT {_VALID}) AS BIGINT) AS invalid_gstin, count(*) > 0 AS ready FROM t", ("inv",))
+def _(d):
+    return ingest.validation_report(d.inv, ["record_id", "total"], ["inv_date"], "gstin")
+
+
+def _log(d: Domain) -> DataFrame:
+    """A review log from the orders: every third invoice is a case, moved on by its key."""
+    steps = F.array(F.lit("Open"), F.lit("Investigating"), F.lit("Explained"), F.lit("Resolved"))
+    rows = d.inv.where("k % 3 = 0").select("k", F.posexplode(F.slice(steps, F.lit(1), (F.col("k") % 4 + 1).cast("int"))))
+    return rows.select((F.col("k") * 10 + F.col("pos")).alias("seq"), F.concat(F.lit("C"), F.col("k")).alias("issue_id"), F.lit("a").alias("actor"), F.col("col").alias("action"), F.col("col").alias("status"), F.lit(None).cast("string").alias("note"), F.lit("2024-01-01").cast("timestamp").alias("at"))
+
+
+@_add("case_status", " SELECT concat('C', CAST(k AS VARCHAR)) AS issue_id, CASE k % 4 WHEN 0 THEN 'Open' WHEN 1 THEN 'Investigating' WHEN 2 THEN 'Explained' ELSE 'Resolved' END AS status FROM inv WHERE k % 3 = 0", ("inv",))
+def _(d):
+    return review.latest(_log(d)).select("issue_id", "status")
+
+
+@_add("illegal_steps", " SELECT CAST(NULL AS VARCHAR) AS issue_id, CAST(NULL AS BIGINT) AS seq WHERE FALSE")
+def _(d):
+    return review.illegal_steps(_log(d)).select("issue_id", "seq")
+
+
+@_add("pair_metrics", _EXACT + ", t AS (SELECT record_id, txn_id FROM inv JOIN pay USING (k) WHERE starts_with(txn_id, 'TXN')), j AS (SELECT m.record_id AS a, t.record_id AS b FROM matched m FULL JOIN t ON m.record_id = t.record_id AND m.txn_id = t.txn_id), c AS (SELECT count_if(a IS NOT NULL AND b IS NOT NULL) AS tp, count_if(b IS NULL) AS fp, count_if(a IS NULL) AS fn FROM j) SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall FROM c", ("inv", "pay"))
+def _(d):
+    truth = d.inv.select("record_id", "k").join(d.pay.where("startswith(txn_id, 'TXN')").select("txn_id", "k"), "k")
+    return evaluate.pair_metrics(matching.exact_matches(d.inv, d.pay), truth).drop("f1")
+
+
+@_add("threshold_curve")
+def _(d):
+    truth = d.inv.select("record_id", "k").join(d.pay.where("startswith(txn_id, 'TXN')").select("txn_id", "k"), "k")
+    scored = truth.select("record_id", "txn_id", (F.col("k") % 40 / 100 + 0.6).alias("confidence"))
+    return evaluate.threshold_curve(scored, truth)
+
+
+@_add("windowed_events", "SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _(d):
+    return _table(d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
 
-def queries():
-    return {}
 
 
-def oracle_sql():
-    return {}
