@@ -16,7 +16,7 @@ _TAXABLE = "CAST(CASE WHEN o_orderkey % 43 = 0 THEN round(o_totalprice, -3) ELSE
 INV_BASE = f"""
 SELECT o_orderkey AS k, c_custkey AS ck, n_nationkey AS nk,
   concat('INVREC', lpad(CAST(o_orderkey AS STRING), 8, '0')) AS record_id,
-  CASE WHEN o_orderkey % 211 = 0 THEN concat('inv ', lpad(CAST(o_orderkey - 1 AS STRING), 8, '0')) ELSE concat('INV-', lpad(CAST(o_orderkey AS STRING), 8, '0')) END AS invoice_no,
+  CASE WHEN o_orderkey % 211 = 5 THEN concat('inv ', lpad(CAST(o_orderkey - 1 AS STRING), 8, '0')) ELSE concat('INV-', lpad(CAST(o_orderkey AS STRING), 8, '0')) END AS invoice_no,
   CASE WHEN o_orderstatus = 'F' THEN 'sales' ELSE 'purchase' END AS document_type,
   CAST(o_orderdate AS DATE) AS inv_date,
   CASE WHEN o_orderkey % 3 = 0 THEN concat(c_name, ' Pvt. Ltd') ELSE c_name END AS vendor, n_name AS party_state,
