@@ -91,41 +91,44 @@ def fit_unigrams(training: DataFrame) -> tuple[Unigrams, DataFrame]:
 class Automaton:
     """States 0 (root), one for each context; arcs by (state, word); one failure arc for each state."""
 
-    def __init__(self, uni: Unigrams, words: np.ndarray, word_counts: np.ndarray, bigrams: dict, trigrams: dict):
-        """words: hashes of state words 1.., ascending; bigrams and trigrams: counts by ids."""
+    def __init__(self, uni: Unigrams, words: np.ndarray, word_counts: np.ndarray, bigrams: tuple[np.ndarray, np.ndarray], trigrams: tuple[np.ndarray, np.ndarray]):
+        """words: hashes of state words 1.., ascending; bigrams and trigrams: packed ids, ascending, and counts."""
         self.uni, self.words = uni, words
-        root = uni.weight(np.concatenate([[uni.ends], word_counts]))
-        self.fail_to, self.fail_weight = [0], [0.0]
-        arcs: dict[tuple[int, int], float] = {}
-        contexts: dict[tuple, int] = {(): 0}
-        for grams, totals in ((bigrams, {(i + 1,): c for i, c in enumerate(word_counts.tolist())}), (trigrams, bigrams)):
-            by_context: dict[tuple, list] = {}
-            for gram, c in grams.items():
-                if gram[:-1] in totals:
-                    by_context.setdefault(gram[:-1], []).append((gram[-1], c))
-            for context in sorted(by_context):
-                total, seen = totals[context], by_context[context]
-                left = 1 - sum(c - DISCOUNT for _, c in seen) / total
-                contexts[context] = state = len(self.fail_to)
-                shorter = contexts.get(context[1:], 0)
-                self.fail_to.append(shorter)
-                self.fail_weight.append(float(np.log10(max(left, 1e-12))))
-                for w, c in seen:
-                    lower, at = 0.0, shorter
-                    while at and (at, w) not in arcs:
-                        lower, at = lower + self.fail_weight[at], self.fail_to[at]
-                    lower += arcs[at, w] if at else root[w]
-                    arcs[state, w] = float(np.log10((c - DISCOUNT) / total + max(left, 1e-12) * 10**lower))
-        self.fail_to, self.fail_weight = np.array(self.fail_to), np.array(self.fail_weight)
-        keys = np.array([s << _BITS | w for s, w in arcs], dtype=np.int64)
-        order = np.argsort(keys)
-        self.arc_keys, self.arc_weights = keys[order], np.array(list(arcs.values()))[order] if arcs else np.zeros(0)
-        ones = [(k[0], s) for k, s in contexts.items() if len(k) == 1]
-        twos = sorted((k[0] << _BITS | k[1], s) for k, s in contexts.items() if len(k) == 2)
+        root, mask = uni.weight(np.concatenate([[uni.ends], word_counts])), (1 << _BITS) - 1
+        keys, counts = bigrams
+        first, last = keys >> _BITS, keys & mask
+        ones, at = np.unique(first, return_inverse=True)
+        total, left = self._left(at, counts, word_counts[ones - 1] if len(ones) else np.zeros(0))
+        one_arcs = np.log10((counts - DISCOUNT) / total[at] + left[at] * 10.0 ** root[last])
         self.one = np.zeros(len(words) + 2, np.int64)
-        for w, s in ones:
-            self.one[w] = s
-        self.two_keys, self.two = (np.array(x, dtype=np.int64) for x in (zip(*twos, strict=True) if twos else ([], [])))
+        self.one[ones] = np.arange(1, len(ones) + 1)
+        one_keys = self.one[first] << _BITS | last
+        # trigrams whose first two words are an arc's bigram
+        three, n = trigrams
+        place = np.minimum(np.searchsorted(keys, three >> _BITS), max(0, len(keys) - 1))
+        held = keys[place] == three >> _BITS if len(keys) else np.zeros(len(three), bool)
+        three, n, place = three[held], n[held], place[held]
+        self.two_keys, at = np.unique(three >> _BITS, return_inverse=True)
+        self.two = np.arange(len(self.two_keys)) + 1 + len(ones)
+        shorter, last = self.one[self.two_keys & mask], three & mask
+        total2, left2 = self._left(at, n, counts[np.searchsorted(keys, self.two_keys)])
+        weights = np.concatenate([[0.0], np.log10(left)])
+        # the lower order's weight: an arc of the shorter context, or its failure and the root
+        find = shorter[at] << _BITS | last
+        place = np.minimum(np.searchsorted(one_keys, find), max(0, len(one_keys) - 1))
+        hit = one_keys[place] == find if len(one_keys) else np.zeros(len(find), bool)
+        lower = np.where(hit, one_arcs[place] if len(one_arcs) else 0.0, weights[shorter[at]] + root[last])
+        two_arcs = np.log10((n - DISCOUNT) / total2[at] + left2[at] * 10.0**lower)
+        self.fail_to = np.concatenate([np.zeros(len(ones) + 1, np.int64), shorter])
+        self.fail_weight = np.concatenate([weights, np.log10(left2)])
+        self.arc_keys = np.concatenate([one_keys, self.two[at] << _BITS | last])
+        self.arc_weights = np.concatenate([one_arcs, two_arcs])
+
+    @staticmethod
+    def _left(at: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each context's total, and the share of it that its seen n-grams leave."""
+        totals = totals.astype(float)
+        return totals, np.maximum(1 - np.bincount(at, counts - DISCOUNT, len(totals)) / totals, 1e-12)
 
     def states(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
         """The state after each token, from its id and the one before (-1: not a state word, or a text's begin)."""
@@ -207,12 +210,12 @@ def fit(training: DataFrame) -> tuple[Automaton, DataFrame]:
     chosen = np.sort(order)
     words = uni.keys[chosen]
     grams = checkpointed(_ngram_counts(training, words).where(F.col("c") >= LEAST_COUNT))
-    mask, tables = (1 << _BITS) - 1, []
+    tables = []
     for n in (2, 3):
         top = _top(grams.where(F.col("ngram") == n), MOST_NGRAMS, LEAST_COUNT).toArrow()
         keys, c = top["key"].to_numpy(), top["c"].to_numpy()
-        parts = [(keys >> (_BITS * k) & mask).tolist() for k in range(n - 1, -1, -1)]
-        tables.append(dict(sorted(zip(zip(*parts, strict=True), c.tolist(), strict=True))))
+        by_key = np.argsort(keys)
+        tables.append((keys[by_key], c[by_key]))
     return Automaton(uni, words, uni.counts[chosen], *tables), counts
 
 
