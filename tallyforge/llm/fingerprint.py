@@ -31,7 +31,7 @@ SHORT, SHORT_WINDOW = 256, 8
 PER_FILTER, BITS, HASHES = 160, 2048, 5
 #: Of what can be in common beyond chance, the share that still counts as chance.
 CHANCE = 0.3
-_BLOCK = 1 << 17
+_BLOCK, _ROWS = 1 << 17, 256
 _F = np.concatenate([[0.0], np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1))])
 _STEP = np.diff(_F)  # by the count before: what one more adds
 
@@ -174,7 +174,7 @@ def fingerprints(docs: DataFrame, ranks: np.ndarray | None = None) -> DataFrame:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def edited_likeness(docs: DataFrame, rows_per_range: int = 4000) -> DataFrame:
+def edited_likeness(docs: DataFrame, rows_per_range: int = 1000) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness; and the likeness to the next document.
 
     The edited text's last third (of code points, rounded down) is as much of the begin of the next document,
@@ -207,20 +207,22 @@ def edited_likeness(docs: DataFrame, rows_per_range: int = 4000) -> DataFrame:
     # of rows of one doc_id only the first in order is the head
     lent = lent.groupBy("to").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("to").alias("part"), F.lit(1).alias("lent"))
     both = dealt.withColumn("lent", F.lit(0)).unionByName(lent)
-    sorted_ = both.repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "lent", F.col("doc_id").desc_nulls_last(), "text")
+    # a few ranges for each partition, so that those that hash to the same one weigh little
+    sorted_ = both.repartition(-(-len(heads) // 4), "part").sortWithinPartitions("part", "lent", F.col("doc_id").desc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held = ranks.value, None
         for batch in batches:
-            rows: list[tuple] = []
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "lent")]
-            for doc, text, part, is_lent in zip(*columns, strict=True):
-                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                now = (doc, text, part, fingerprint(data, known))
-                if held is not None and held[2] == part:
-                    rows.append(_compared(held, now, known))
-                held = None if is_lent else now
-            yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r, strict=True)) for r in rows], schema=_ARROW)
+            for low in range(0, batch.num_rows, _ROWS):
+                rows: list[tuple] = []
+                columns = [batch.column(c).slice(low, _ROWS).to_pylist() for c in ("doc_id", "text", "part", "lent")]
+                for doc, text, part, is_lent in zip(*columns, strict=True):
+                    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                    now = (doc, text, part, fingerprint(data, known))
+                    if held is not None and held[2] == part:
+                        rows.append(_compared(held, now, known))
+                    held = None if is_lent else now
+                yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r, strict=True)) for r in rows], schema=_ARROW)
 
     return sorted_.mapInArrow(run, SCHEMA)
 
