@@ -42,7 +42,7 @@ def unigram_counts(training: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offs, _ in blocks(batch.column("text"), 32 << 20):
+            for _, _, data, offs, _ in blocks(batch.column("text"), 16 << 20):
                 h, n = np.unique(Words(data, offs).hashes(), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "c"])
 
@@ -193,7 +193,7 @@ def _ngram_counts(training: DataFrame, words: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offs, _ in blocks(batch.column("text"), 32 << 20):
+            for _, _, data, offs, _ in blocks(batch.column("text"), 16 << 20):
                 s = _Stream(data, offs, shared.value)
                 a, b, c = s.back(2), s.back(1), s.ids
                 for order, ok, key in ((2, (b > 0) & (c >= 0), b << _BITS | c), (3, (a > 0) & (b > 0) & (c >= 0), (a << _BITS | b) << _BITS | c)):

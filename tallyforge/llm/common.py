@@ -6,6 +6,7 @@ lower-cased, cut into words and hashed without a Python object for each word.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,10 +19,16 @@ from pyspark.sql import functions as F
 #: Ids that a broadcast may hold (16 MB of longs); beyond it joins shuffle.
 BROADCAST_IDS = 2_000_000
 #: Bytes of text that are worked on at once within a batch.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of a stretch whose prefix hashes are held at once.
 STRETCH = 1 << 20
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -153,6 +160,13 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return out
 
 
+def release() -> None:
+    """Give memory that is free back to the system: workers live on between tasks and share an executor's limit."""
+    if _libc is not None:
+        _libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Cut a batch's texts into blocks of about `most` bytes: first row, end row, bytes, offsets, not null."""
     data, offs, valid = string_buffers(column)
@@ -161,8 +175,5 @@ def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, side="right")) - 1)
         j = min(j, n)
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], valid[i:j]
+        release()
         i = j
-
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import blocks, mix, string_buffers
+from tallyforge.llm.common import blocks, mix, release, string_buffers
 
 WINDOW, RUN, POINTS, GRADES = 64, 64, 16, 1000
 #: Of texts of fewer bytes, all windows of SHORT_WINDOW bytes are features.
@@ -222,6 +222,7 @@ def edited_likeness(docs: DataFrame, rows_per_range: int = 1000) -> DataFrame:
                     if held is not None and held[2] == part:
                         rows.append(_compared(held, now, known))
                     held = None if is_lent else now
+                release()
                 yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r, strict=True)) for r in rows], schema=_ARROW)
 
     return sorted_.mapInArrow(run, SCHEMA)

@@ -199,14 +199,15 @@ class _Scorer:
         return np.stack(sums, axis=1) + np.log(self.model.shares)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and lang_score (0 to 1, the language's posterior); only `text` is read for it.
+def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """docs with two more columns, the predicted language and its posterior (0 to 1); only `text` is read for them.
 
     A null text, one without a letter, and any text where no language was learned, is `und` with score 0.
+    Columns of docs that have the new names give way.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    schema = docs.select(*names).schema.add("lang_pred", "string").add("lang_score", "double")
+    names = [c for c in docs.columns if c not in (lang, score)]
+    schema = docs.select(*names).schema.add(lang, "string").add(score, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -216,15 +217,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(i, j - i)
                 texts = part.column("text").to_pylist()
                 plain = np.array([bool(v and known.languages and _LETTER.search(t)) for v, t in zip(valid, texts, strict=True)])
-                lang, score = np.full(j - i, UNDETERMINED, dtype=object), np.zeros(j - i)
+                found, sure = np.full(j - i, UNDETERMINED, dtype=object), np.zeros(j - i)
                 if plain.any():
                     s = scorer.texts(data, offs)
                     best = s.argmax(axis=1)
                     top = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
-                    lang[plain] = np.array(known.languages, dtype=object)[best[plain]]
-                    score[plain] = top[plain]
-                columns = [part.column(c) for c in names] + [pa.array(lang, pa.string()), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "lang_pred", "lang_score"])
+                    found[plain] = np.array(known.languages, dtype=object)[best[plain]]
+                    sure[plain] = top[plain]
+                columns = [part.column(c) for c in names] + [pa.array(found, pa.string()), pa.array(sure)]
+                del texts
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, lang, score])
 
     return docs.select(*names).mapInArrow(run, schema)
 
@@ -253,6 +255,6 @@ def identify(docs: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS)
 
 def keep_identified(docs: DataFrame, pieces: list[str], least: float = 0.5) -> DataFrame:
     """docs without the rows whose language is undetermined or whose score is below `least`; all columns stay."""
-    names = docs.columns
-    inner = docs.select(F.col("doc_id"), F.col("text"), F.col("lang"), F.struct(*names).alias("__row"))
-    return identify(inner, pieces).where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least)).select("__row.*")
+    model = train(docs.where(~held_out()), pieces)
+    found = predict(docs, model, "__lang", "__score")
+    return found.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least)).select(*docs.columns)

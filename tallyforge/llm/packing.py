@@ -29,6 +29,8 @@ from tallyforge.llm.common import Words, blocks
 TOKENS, SEGMENTS, LOSS = 4096, 512, 4096
 #: Items among which the heuristic chooses, and words whose ids a worker keeps.
 POOL, KEPT_WORDS = 1024, 2_000_000
+#: New words that are encoded at once.
+_AT_ONCE = 10_000
 #: The id after each document.
 END_ID = 2
 
@@ -52,10 +54,14 @@ class Tokens:
         self.flat = np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        ids = [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        lengths, flats = [], [self.flat]
+        for k in range(0, len(texts), _AT_ONCE):
+            ids = [x.ids for x in self.model.encode_batch_fast(texts[k : k + _AT_ONCE], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flats.append(np.fromiter((i for x in ids for i in x), np.uint32, int(lengths[-1].sum())))
+        length = np.concatenate(lengths)
         at = np.cumsum(length) - length + len(self.flat)
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))])
+        self.flat = np.concatenate(flats)
         keys, at, length = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.length, length])
         order = np.argsort(keys, kind="stable")
         self.keys, self.at, self.length = keys[order], at[order], length[order]
