@@ -3,7 +3,8 @@ data, sources mixed to their weights, packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the
 next stage's docs. All but the last return the columns of docs. A stage works on all rows that its
-predecessor kept.
+predecessor kept. As an application the pipeline sets the session's Arrow batches to ARROW_ROWS rows, so that
+stages that follow each other in the same executors leave little memory behind.
 """
 
 from __future__ import annotations
@@ -15,8 +16,12 @@ from tallyforge.llm.common import checkpointed
 from tallyforge.llm.registry import PIECES_FILE, TOKENIZER_FILE, tokenizer_path
 
 
+ARROW_ROWS = 2000
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents whose language is undetermined or unsure."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return langid.keep_identified(docs, langid.read_pieces(tokenizer_path(PIECES_FILE)))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Ids that a broadcast may hold (16 MB of longs); beyond it joins shuffle.
 BROADCAST_IDS = 2_000_000
 #: Bytes of text that are worked on at once within a batch.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Bytes of a stretch whose prefix hashes are held at once.
 STRETCH = 1 << 20
 
@@ -160,6 +160,17 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return out
 
 
+_kept: dict = {}
+
+
+def kept_in_worker(key: tuple, make):
+    """What a worker process keeps between tasks: one object, of the operator that ran last."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def release() -> None:
     """Give memory that is free back to the system: workers live on between tasks and share an executor's limit."""
     if _libc is not None:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Words, blocks, crc_residue, mix
+from tallyforge.llm.common import Words, blocks, crc_residue, kept_in_worker, mix
 
 #: Bound of the training sample: documents of each language, chosen by a hash of doc_id.
 SAMPLE_DOCS = 1000
@@ -211,7 +211,7 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        scorer = _scorer(known) if known.languages else None
+        scorer = kept_in_worker(("languages", known.p.tobytes()[:4096], known.shares.tobytes()), lambda: _Scorer(known)) if known.languages else None
         for batch in batches:
             for i, j, data, offs, valid in blocks(batch.column("text")):
                 part = batch.slice(i, j - i)
@@ -231,17 +231,6 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
     return docs.select(*names).mapInArrow(run, schema)
 
 
-_scorers: dict = {}
-
-
-def _scorer(model: Model) -> _Scorer:
-    key = (tuple(model.languages), model.shares.tobytes(), model.p.sum(axis=0).tobytes())
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = _Scorer(model)
-    return _scorers[key]
-
-
 def held_out(modulus: int = 5):
     """Whether a row is kept from training: crc32 of doc_id as text, modulo `modulus`, is 0 (null doc_id: not)."""
     return F.coalesce(crc_residue("doc_id", modulus) == 0, F.lit(False))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Words, blocks
+from tallyforge.llm.common import Words, blocks, kept_in_worker
 
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
 TOKENS, SEGMENTS, LOSS = 4096, 512, 4096
@@ -189,7 +189,7 @@ def pack(docs: DataFrame, tokenizer_json: str, tokens: int = TOKENS, segments: i
     model = spark.sparkContext.broadcast(tokenizer_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model.value, end_id)
+        encoder = kept_in_worker(("tokens", hash(model.value), end_id), lambda: Tokens(model.value, end_id))
         packer = Packer(TaskContext.get().partitionId() << 36, tokens, segments, loss, pool)
         for batch in batches:
             for i, j, data, offs, _ in blocks(batch.column("text")):
@@ -207,18 +207,6 @@ def pack(docs: DataFrame, tokenizer_json: str, tokens: int = TOKENS, segments: i
     return plain.mapInArrow(run, SCHEMA)
 
 
-_encoders: dict = {}
-
-
-def _encoder(tokenizer_json: str, end_id: int | None) -> Tokens:
-    """One for each worker process, which keeps the words it knows."""
-    key = (hash(tokenizer_json), end_id)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Tokens(tokenizer_json, end_id)
-    return _encoders[key]
-
-
 def _batch(packer: Packer) -> pa.RecordBatch:
     rows, packer.rows = packer.rows, []
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in _NAMES]
