@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text
-from tallyforge.operators import blocking, detect, evaluate, liability, matching, review
+from tallyforge.operators import blocking, detect, evaluate, isolation, liability, matching, review
 from tallyforge.plans.domain import HOME_STATE, Domain, with_clause
 from tallyforge.sources import ingest
 
@@ -191,22 +191,36 @@ def _(d):
     return _direct(d)
 
 
-@_add("candidate_window", ", i AS (SELECT * FROM inv WHERE ck % 10 = 0) SELECT i.ck, count(*) AS n FROM i JOIN pay ON abs(datediff('day', inv_date, pay_date)) <= 45 GROUP BY i.ck", ("inv", "pay"))
+@_add("candidate_window", " SELECT record_id, count(*) AS n FROM inv JOIN pay ON pay_date BETWEEN inv_date - 45 AND inv_date + 45 GROUP BY record_id", ("inv", "pay"))
 def _(d):
-    own = d.inv.where("ck % 10 = 0")
-    return blocking.window_pairs(own, d.pay).join(own.select("record_id", "ck"), "record_id").groupBy("ck").agg(F.count("*").alias("n"))
+    return blocking.window_counts(d.inv, d.pay)
 
 
-_SCORED = """, c AS (SELECT i.record_id, p.txn_id, CAST(abs(i.total - p.amount) AS DOUBLE) AS gap, i.k = p.k AS direct FROM inv i JOIN pay p ON abs(datediff('day', i.inv_date, p.pay_date)) <= 45 AND p.k % 100 = i.k % 100)"""
+_PARTY = "CAST(regexp_extract({}, 'Customer#([0-9]+)', 1) AS BIGINT)"
+_SCORED = f""", i AS (SELECT record_id, k, inv_date, total, {_PARTY.format('vendor')} AS party FROM inv), p AS (SELECT txn_id, k AS pk, pay_date, amount, {_PARTY.format('narration')} AS party FROM pay WHERE contains(narration, 'Customer#')),
+c AS (SELECT record_id, txn_id, CAST(abs(total - amount) AS DOUBLE) AS gap, k = pk AS direct FROM i JOIN p USING (party) WHERE abs(datediff('day', inv_date, pay_date)) <= 45)"""
 
 
 @_add("topk_candidates", _SCORED + ", r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY -gap DESC, txn_id) AS n FROM c) SELECT record_id, txn_id, direct FROM r WHERE n <= 3 OR direct", ("inv", "pay"))
 def _(d):
-    i, p = d.inv.withColumn("g", F.col("k") % 100), d.pay.select("txn_id", "amount", "pay_date", F.col("k").alias("pk"), (F.col("k") % 100).alias("g"))
-    c = i.join(p, "g").where("abs(date_diff(inv_date, pay_date)) <= 45").select("record_id", "txn_id", (-F.abs(F.col("total") - F.col("amount")).cast("double")).alias("score"), (F.col("k") == F.col("pk")).alias("direct"))
+    party = lambda c: F.regexp_extract(c, "Customer#([0-9]+)", 1)
+    i, p = d.inv.withColumn("party", party("vendor")), d.pay.where("contains(narration, 'Customer#')").select("txn_id", "amount", "pay_date", F.col("k").alias("pk"), party("narration").alias("party"))
+    c = i.join(p, "party").where("abs(date_diff(inv_date, pay_date)) <= 45").select("record_id", "txn_id", (-F.abs(F.col("total") - F.col("amount")).cast("double")).alias("score"), (F.col("k") == F.col("pk")).alias("direct"))
     return blocking.top_candidates(c, 3).select("record_id", "txn_id", "direct")
 
 
+@_add("candidate_pairs")
+def _(d):
+    m = matching.cut(matching.exact_matches(d.inv, d.pay).select("record_id", "txn_id"))
+    return blocking.candidates(d.inv.join(m, "record_id", "left_anti"), d.pay.join(m, "txn_id", "left_anti")).select("record_id", "txn_id", F.round("score", 6).alias("score"), "direct")
+
+
+@_add("pair_features")
+def _(d):
+    direct = blocking.reference_pairs(d.inv, d.pay)
+    return blocking.features(direct, d.inv, d.pay).drop("body")
+
+
 @_add("exact_match", _EXACT + " SELECT record_id, txn_id FROM matched", ("inv", "pay"))
 def _(d):
     return matching.exact_matches(d.inv, d.pay).select("record_id", "txn_id")
@@ -239,7 +253,7 @@ for _kind, _when, _impact in (("gstr2b_tax_mismatch", "abs(tax - tax_amount) > 1
 
 @_add("fuzzy_filing")
 def _(d):
-    return _issues(detect.fuzzy_filings(d.inv, d.fil), "invoice_id_mismatch", "supplier_gstin_mismatch")
+    return _issues(detect.fuzzy_filings(d.inv, d.fil), "gstr2b_tax_mismatch", "wrong_tax_period", "invoice_id_mismatch", "vendor_name_mismatch", "supplier_gstin_mismatch")
 
 
 def _missing(d: Domain) -> DataFrame:
@@ -259,18 +273,17 @@ for _kind, _from, _record, _other, _impact in (
 ):
     _add(_kind, _EXACT + _E + _F + f" SELECT '{_kind}' AS issue_type, {_record} AS record_id, {_other or 'CAST(NULL AS VARCHAR)'} AS other_id, CAST({_impact} AS DECIMAL(18,2)) AS impact {_from}", ("inv", "pay", "led", "fil"))(lambda d, k=_kind: _issues(_missing(d), k))
 
-_DUP = f", t AS (SELECT *, {key('invoice_no')} AS key, {tax_id('gstin')} AS g FROM inv)"
+_DUP = f", t AS (SELECT *, {key('invoice_no')} AS key, {tax_id('gstin')} AS g FROM twice)"
 
 
-@_add("duplicate_exact", _DUP + " SELECT 'duplicate_exact' AS issue_type, a.record_id, b.record_id AS other_id, CAST(least(a.total, b.total) AS DECIMAL(18,2)) AS impact FROM t a JOIN t b ON a.g = b.g AND a.key = b.key AND a.record_id < b.record_id AND abs(a.total - b.total) <= 1", ("inv",))
+@_add("duplicate_exact", _DUP + " SELECT 'duplicate_exact' AS issue_type, a.record_id, b.record_id AS other_id, CAST(least(a.total, b.total) AS DECIMAL(18,2)) AS impact FROM t a JOIN t b ON a.g = b.g AND a.key = b.key AND a.record_id < b.record_id AND abs(a.total - b.total) <= 1", ("twice",))
 def _(d):
-    # a copy of some invoices, as a second entry of the same bill
-    return _issues(detect.duplicate_invoices(d.inv), "duplicate_exact")
+    return _issues(detect.duplicate_invoices(d.twice), "duplicate_exact")
 
 
 @_add("duplicate_near")
 def _(d):
-    return _issues(detect.duplicate_invoices(d.inv), "duplicate_near")
+    return _issues(detect.duplicate_invoices(d.twice), "duplicate_near")
 
 
 @_add("duplicate_payment", f", t AS (SELECT *, {key('reference')} AS ref FROM pay) SELECT 'duplicate_payment' AS issue_type, a.txn_id AS record_id, b.txn_id AS other_id, CAST(abs(a.amount) AS DECIMAL(18,2)) AS impact FROM t a JOIN t b ON a.ref = b.ref AND a.ref <> '' AND NOT contains(a.ref, 'PART') AND a.amount = b.amount AND a.txn_id < b.txn_id AND abs(datediff('day', a.pay_date, b.pay_date)) <= 10", ("pay",))
@@ -284,7 +297,7 @@ def _(d):
 
 
 # --- anomalies ---------------------------------------------------------------
-_ANOM = """, x AS (SELECT record_id, vendor, CAST(total AS DOUBLE) AS t, ln(1 + CAST(total AS DOUBLE)) AS lg, CASE WHEN total >= 10000 AND total % 1000 = 0 THEN 1 ELSE 0 END AS rd, CAST(date_trunc('week', inv_date) AS DATE) AS week FROM inv),
+_ANOM = f""", x AS (SELECT record_id, {_NAME.format('vendor')} AS vendor, CAST(total AS DOUBLE) AS t, ln(1 + CAST(total AS DOUBLE)) AS lg, CASE WHEN total >= 10000 AND total % 1000 = 0 THEN 1 ELSE 0 END AS rd, CAST(date_trunc('week', inv_date) AS DATE) AS week FROM inv),
 v AS (SELECT vendor, median(lg) AS med, avg(rd) AS rr FROM x GROUP BY vendor), m AS (SELECT x.vendor, median(abs(lg - med)) AS mad FROM x JOIN v USING (vendor) GROUP BY x.vendor)"""
 
 
@@ -323,28 +336,41 @@ def _(d):
 
 
 # --- tiers -------------------------------------------------------------------
+@_add("isolation_outliers")
+def _(d):
+    return isolation.outliers(d.inv, "record_id", "total")
+
+
 @_add("fuzzy_match")
 def _(d):
-    direct = _direct(d).withColumn("direct", F.lit(True))
-    return matching.fuzzy_matches(blocking.features(direct, d.inv, d.pay).withColumn("confidence", F.round(blocking.confidence(), 6))).select("record_id", "txn_id", "band")
+    return matching.fuzzy_matches(blocking.features(_direct(d), d.inv, d.pay).withColumn("confidence", F.round(blocking.confidence(), 6))).select("record_id", "txn_id", "band")
+
 
+def _parts(d: Domain) -> DataFrame:
+    """Every invoice's payment in two parts."""
+    both = d.inv.select("invoice_no", "vendor", "record_id", "total", "inv_date", F.explode(F.array(F.lit(1), F.lit(2))).alias("h"))
+    return both.select(F.concat_ws("-", "record_id", "h").alias("txn_id"), F.when(F.col("h") == 1, F.col("total") - 100).otherwise(100).cast("decimal(18,2)").alias("amount"), F.col("inv_date").alias("pay_date"), F.concat_ws(" ", F.lit("PART"), "vendor").alias("narration"), F.col("invoice_no").alias("reference"), "record_id")
 
-@_add("split_match")
+
+@_add("split_match", " SELECT record_id, record_id || '-1|' || record_id || '-2' AS members FROM inv WHERE total > 100", ("inv",))
 def _(d):
-    return matching.split_matches(d.inv.where("k % 13 = 0"), _halves(d), _halves(d).select("record_id", "txn_id")).select("record_id", F.array_join("members", "|").alias("members"))
+    pay = _parts(d)
+    scored = blocking.features(pay.select("record_id", "txn_id"), d.inv, pay.drop("record_id"))
+    return matching.split_matches(scored, d.inv, pay.drop("record_id")).select("record_id", F.array_join("members", "|").alias("members"))
 
 
-def _halves(d: Domain) -> DataFrame:
-    """Two part payments for some invoices."""
-    i = d.inv.where("k % 13 = 0")
-    return i.select("record_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("h"), "total", "inv_date").select("record_id", F.concat_ws("-", "record_id", "h").alias("txn_id"), F.when(F.col("h") == 1, F.col("total") - 100).otherwise(100).cast("decimal(18,2)").alias("amount"), F.col("inv_date").alias("pay_date"))
+@_add("bulk_match", ", g AS (SELECT 'BULK' || CAST(CAST(floor(k / 3) AS BIGINT) AS VARCHAR) AS txn_id, record_id FROM inv) SELECT txn_id, string_agg(record_id, '|' ORDER BY record_id) AS members FROM g GROUP BY txn_id HAVING count(*) > 1", ("inv",))
+def _(d):
+    i = d.inv.withColumn("txn_id", F.concat(F.lit("BULK"), F.floor(F.col("k") / 3)))
+    pay = i.groupBy("txn_id").agg(F.sum("total").cast("decimal(18,2)").alias("amount"), F.max("inv_date").alias("pay_date"), F.concat_ws(" ", F.lit("BULK"), F.array_join(F.array_sort(F.collect_list("invoice_no")), " ")).alias("narration"), F.max("txn_id").alias("reference"))
+    scored = blocking.features(i.select("record_id", "txn_id"), d.inv, pay)
+    return matching.bulk_matches(scored, d.inv, pay).select("txn_id", F.array_join("members", "|").alias("members"))
 
 
-@_add("bulk_match")
+@_add("reconcile")
 def _(d):
-    i = d.inv.where("k % 17 < 2").withColumn("txn_id", F.concat(F.lit("BULK"), F.floor(F.col("k") / 17)))
-    pay = i.groupBy("txn_id").agg(F.sum("total").cast("decimal(18,2)").alias("amount"), F.max("inv_date").alias("pay_date"))
-    return matching.bulk_matches(i, pay, i.select("record_id", "txn_id")).select("txn_id", F.array_join("members", "|").alias("members"))
+    m = matching.reconcile(d.inv, d.pay)
+    return m.select("tier", F.array_join(F.array_sort("record_ids"), "|").alias("record_ids"), F.array_join(F.array_sort("txn_ids"), "|").alias("txn_ids"), F.round("confidence", 6).alias("confidence"), "band")
 
 
 @_add("three_way", _EXACT + f""", e AS (SELECT entry_id, abs(debit) + abs(credit) AS booked, {key('reference')} AS key FROM led), own AS (SELECT * FROM ik WHERE record_id IN (SELECT record_id FROM matched)),
@@ -358,7 +384,7 @@ def _(d):
 # --- all issues, risk, reports, review, evaluation ---------------------------
 def _all(d: Domain) -> DataFrame:
     inv, pay = d.inv, d.pay
-    parts = [detect.payment_amounts(inv, pay, _direct(d)), detect.ledger_mismatches(inv, d.led), detect.filing_mismatches(inv, d.fil), detect.duplicate_payments(pay), _missing(d), detect.tax_issues(inv, d.rates), detect.anomaly_issues(inv, detect.payment_delays(inv, pay))]
+    parts = [detect.payment_amounts(inv, pay, _direct(d)), detect.ledger_mismatches(inv, d.led), detect.filing_mismatches(inv, d.fil), detect.fuzzy_filings(inv, d.fil), detect.duplicate_invoices(inv), detect.duplicate_payments(pay), _missing(d), detect.tax_issues(inv, d.rates), detect.anomaly_issues(inv, detect.payment_delays(inv, pay))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -440,18 +466,18 @@ def _(d):
 
 
 def _log(d: Domain) -> DataFrame:
-    """A review log from the orders: every third invoice is a case, moved on by its key."""
+    """A review log: each invoice is a case, moved on by its key; some skip the step of investigating."""
     steps = F.array(F.lit("Open"), F.lit("Investigating"), F.lit("Explained"), F.lit("Resolved"))
-    rows = d.inv.where("k % 3 = 0").select("k", F.posexplode(F.slice(steps, F.lit(1), (F.col("k") % 4 + 1).cast("int"))))
+    rows = d.inv.select("k", F.posexplode(F.slice(steps, F.lit(1), (F.col("k") % 4 + 1).cast("int")))).where("k % 11 <> 0 OR pos <> 1")
     return rows.select((F.col("k") * 10 + F.col("pos")).alias("seq"), F.concat(F.lit("C"), F.col("k")).alias("issue_id"), F.lit("a").alias("actor"), F.col("col").alias("action"), F.col("col").alias("status"), F.lit(None).cast("string").alias("note"), F.lit("2024-01-01").cast("timestamp").alias("at"))
 
 
-@_add("case_status", " SELECT concat('C', CAST(k AS VARCHAR)) AS issue_id, CASE k % 4 WHEN 0 THEN 'Open' WHEN 1 THEN 'Investigating' WHEN 2 THEN 'Explained' ELSE 'Resolved' END AS status FROM inv WHERE k % 3 = 0", ("inv",))
+@_add("case_status", " SELECT concat('C', CAST(k AS VARCHAR)) AS issue_id, CASE WHEN k % 4 = 0 OR k % 4 = 1 AND k % 11 = 0 THEN 'Open' WHEN k % 4 = 1 THEN 'Investigating' WHEN k % 4 = 2 THEN 'Explained' ELSE 'Resolved' END AS status FROM inv", ("inv",))
 def _(d):
     return review.latest(_log(d)).select("issue_id", "status")
 
 
-@_add("illegal_steps", " SELECT CAST(NULL AS VARCHAR) AS issue_id, CAST(NULL AS BIGINT) AS seq WHERE FALSE")
+@_add("illegal_steps", " SELECT concat('C', CAST(k AS VARCHAR)) AS issue_id, k * 10 + 2 AS seq FROM inv WHERE k % 11 = 0 AND k % 4 >= 2", ("inv",))
 def _(d):
     return review.illegal_steps(_log(d)).select("issue_id", "seq")
 
@@ -480,6 +506,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
-
-
-

@@ -22,14 +22,14 @@ def window_pairs(inv: DataFrame, pay: DataFrame, days: int = WINDOW_DAYS) -> Dat
     return left.join(right, "b").where(F.abs(F.date_diff("inv_date", "pay_date")) <= days).select("record_id", "txn_id")
 
 
-def reference_pairs(inv: DataFrame, pay: DataFrame) -> DataFrame:
-    """(record_id, txn_id) where the payment's text holds the invoice's key, at any date.
+def reference_pairs(inv: DataFrame, pay: DataFrame, between: str = "") -> DataFrame:
+    """(record_id, txn_id) where the payment's text holds the invoice's key, at any date; between: what parts reference and narration.
 
     Payments are cut into all substrings of the keys' few lengths, which meet the keys in an equi-join.
     """
     keys = inv.select("record_id", text.norm_identifier(F.col("invoice_no")).alias("key")).where("key <> ''")
-    lengths = [r[0] for r in keys.select(F.length("key")).distinct().limit(64).collect()]
-    body = text.norm_identifier(F.concat_ws(" ", "reference", "narration"))
+    lengths = sorted(r[0] for r in keys.select(F.length("key")).distinct().collect())
+    body = F.concat_ws(between, text.norm_identifier(F.col("reference")), text.norm_identifier(F.col("narration")))
     cuts = F.concat(*[F.when(F.length("body") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length("body") - (n - 1), F.lit(1))), _cut(n))).otherwise(F.array().cast("array<string>")) for n in lengths]) if lengths else F.array().cast("array<string>")
     parts = pay.select("txn_id", body.alias("body")).select("txn_id", F.explode(F.array_distinct(cuts)).alias("key"))
     return keys.join(parts, "key").select("record_id", "txn_id").distinct()
@@ -39,25 +39,88 @@ def _cut(n: int):
     return lambda i: F.substring(F.col("body"), i, F.lit(n))
 
 
-def features(pairs: DataFrame, inv: DataFrame, pay: DataFrame) -> DataFrame:
-    """The feature columns of candidate pairs (record_id, txn_id, direct)."""
-    i = inv.select("record_id", "inv_date", "total", text.norm_identifier(F.col("invoice_no")).alias("key"), text.norm_vendor(F.col("vendor")).alias("name"))
-    p = pay.select("txn_id", "pay_date", "amount", text.norm_identifier(F.col("reference")).alias("ref"), text.norm_vendor(F.col("narration")).alias("said"))
-    both = pairs.join(i, "record_id").join(p, "txn_id")
-    held = F.size(F.array_except(F.split("name", " "), F.split("said", " "))) == 0
-    return both.withColumns({
-        "id_ratio": ratio_udf("key", "ref") / 100, "id_partial": partial_ratio_udf("key", "ref") / 100, "id_edits": F.when((F.col("key") == "") | (F.col("ref") == ""), 999).otherwise(F.levenshtein("key", "ref")),
-        "vendor_score": F.when(held & (F.col("name") != ""), 1.0).otherwise(token_set_ratio_udf("name", "said") / 100), "amount_gap": F.abs(F.col("total") - F.col("amount")),
-        "amount_share": F.coalesce(F.try_divide(F.abs(F.col("total") - F.col("amount")), F.greatest(F.abs("total"), F.lit(1))), F.lit(1)).cast("double"), "day_gap": text.day_gap(F.col("inv_date"), F.col("pay_date")),
-        "part": F.col("said").contains("PART"), "bulk": F.col("said").contains("BULK"), "exact_id": F.col("key") == F.col("ref"),
+def window_counts(inv: DataFrame, pay: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
+    """(record_id, n): how many payments lie within so many days of each dated invoice, where any does.
+
+    Counted without pairs: payments are summed by day, and a window over the calendar's days (whose number the
+    data's size doesn't raise) sums around each date on which an invoice lies.
+    """
+    number = lambda c: F.date_diff(c, F.lit("1970-01-01").cast("date"))
+    paid = pay.where("pay_date IS NOT NULL").groupBy(number("pay_date").alias("day")).agg(F.count("*").alias("m"))
+    asked = inv.where("inv_date IS NOT NULL").select(number("inv_date").alias("day")).distinct().withColumn("m", F.lit(0).cast("long"))
+    daily = paid.unionByName(asked).groupBy("day").agg(F.sum("m").alias("m"))
+    sums = daily.select("day", F.sum("m").over(Window.orderBy("day").rangeBetween(-days, days)).alias("n")).where("n > 0")
+    return inv.where("inv_date IS NOT NULL").select("record_id", number("inv_date").alias("day")).join(sums, "day").select("record_id", "n")
+
+
+def pair_texts(pairs: DataFrame, inv: DataFrame, pay: DataFrame) -> DataFrame:
+    """Pairs (record_id, txn_id) with the normalised texts, dates and amounts that scores are made of."""
+    held = F.lit(0).cast("decimal(18,2)")
+    tds = F.coalesce(F.abs("tds_withheld"), held) if "tds_withheld" in pay.columns else held
+    i = inv.select("record_id", "inv_date", F.abs(F.coalesce("total", held)).alias("total"), F.lower(F.coalesce("document_type", F.lit("purchase"))).alias("document_type"), text.norm_identifier(F.col("invoice_no")).alias("key"), text.norm_vendor(F.col("vendor")).alias("name"))
+    ref, said = text.norm_identifier(F.col("reference")), text.norm_identifier(F.col("narration"))
+    p = pay.select("txn_id", "pay_date", F.col("amount").alias("signed"), F.abs(F.coalesce("amount", held)).alias("amount"), tds.alias("tds"), ref.alias("ref"), F.concat_ws(" ", ref, said).alias("body"), text.norm_vendor(F.col("narration")).alias("said"))
+    return pairs.join(i, "record_id").join(p, "txn_id").withColumns({
+        "direct": (F.col("key") != "") & ((F.col("key") == F.col("ref")) | F.contains("body", "key")), "day_gap": text.day_gap(F.col("inv_date"), F.col("pay_date")),
+        "amount_gap": F.abs(F.col("total") - F.col("amount") - F.col("tds")), "amount_share": F.abs(F.col("total") - F.col("amount") - F.col("tds")).cast("double") / F.greatest(F.col("total").cast("double"), F.lit(1.0)),
     })
 
 
+def _likeness(a: str, b: str, likeness, sure):
+    """A similarity of 0 to 1; the function is called only where `sure` doesn't already give 1 and both have text."""
+    return F.when((F.col(a) == "") | (F.col(b) == ""), 0.0).when(sure, 1.0).otherwise(likeness(F.when(~sure, F.col(a)), F.when(~sure, F.col(b))) / 100)
+
+
+def _name_likeness():
+    held = F.size(F.array_except(F.split("name", " "), F.split("said", " "))) == 0
+    return _likeness("name", "said", token_set_ratio_udf, held)
+
+
+def _id_likeness():
+    held = F.contains(F.col("body"), F.col("key"))
+    return F.greatest(_likeness("key", "ref", ratio_udf, F.col("key") == F.col("ref")), _likeness("key", "body", partial_ratio_udf, held))
+
+
+def candidates(inv: DataFrame, pay: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
+    """(record_id, txn_id, score, direct): dated invoices' payments in the window or of their reference, by likeness.
+
+    A pair stays if the vendor is named or the number is much alike; of these each invoice keeps its best and all
+    direct ones. Made for what exact matching leaves over.
+    """
+    own = inv.where("inv_date IS NOT NULL")
+    met = window_pairs(own, pay).unionByName(reference_pairs(own, pay, " ")).distinct()
+    t = pair_texts(met, own, pay)
+    scored = t.withColumns({"id_score": F.when(F.col("direct"), 1.0).otherwise(_id_likeness()), "vendor_score": F.when(F.col("direct"), 0.0).otherwise(_name_likeness())}).where(f"vendor_score * 100 >= {LEAST_VENDOR} OR id_score >= {ID_BYPASS}")
+    soon = F.greatest(F.lit(0.0), 1 - F.col("day_gap") / WINDOW_DAYS)
+    score = 0.45 * F.col("id_score") + 0.35 * F.col("vendor_score") + 0.15 / (1 + F.col("amount_share")) + 0.05 * soon
+    return top_candidates(scored.select("record_id", "txn_id", score.alias("score"), "direct"), most)
+
+
+#: The features of a pair, in the order in which models take them.
+FEATURES = ("invoice_id_similarity", "reference_similarity", "invoice_id_edit_distance", "normalized_id_equal", "vendor_name_similarity", "amount_abs_diff", "amount_relative_diff", "date_gap_days", "reference_contains_invoice", "direction_matches", "tds_amount", "same_gstin", "gstin_comparable")
+
+
+def features(pairs: DataFrame, inv: DataFrame, pay: DataFrame) -> DataFrame:
+    """Pairs (record_id, txn_id) with FEATURES as doubles, and day_gap, ref and said for the tiers."""
+    t = pair_texts(pairs.select("record_id", "txn_id"), inv, pay)
+    outward = F.col("document_type") == "purchase"
+    own = inv.select("record_id", F.upper(F.coalesce("gstin", F.lit(""))).alias("g1")) if "gstin" in inv.columns else inv.select("record_id", F.lit("").alias("g1"))
+    theirs = pay.select("txn_id", F.upper(F.coalesce("gstin", F.lit(""))).alias("g2")) if "gstin" in pay.columns else None
+    t = t.join(own, "record_id")
+    t = t.withColumn("g2", F.lit("")) if theirs is None else t.join(theirs, "txn_id")
+    both = (F.col("g1") != "") & (F.col("g2") != "")
+    values = {
+        "invoice_id_similarity": _id_likeness(), "reference_similarity": _likeness("key", "ref", ratio_udf, F.col("key") == F.col("ref")), "invoice_id_edit_distance": F.when((F.col("key") == "") | (F.col("ref") == ""), 999).otherwise(F.levenshtein("key", "ref")),
+        "normalized_id_equal": (F.col("key") != "") & (F.col("key") == F.col("ref")), "vendor_name_similarity": _name_likeness(), "amount_abs_diff": F.col("amount_gap"), "amount_relative_diff": F.col("amount_share"), "date_gap_days": F.col("day_gap"),
+        "reference_contains_invoice": (F.col("key") != "") & F.contains("body", "key"), "direction_matches": (outward & (F.coalesce("signed", F.lit(0)) >= 0)) | (~outward & (F.coalesce("signed", F.lit(0)) <= 0)), "tds_amount": F.col("tds"), "same_gstin": both & (F.col("g1") == F.col("g2")), "gstin_comparable": both,
+    }
+    return t.select("record_id", "txn_id", *[F.coalesce(values[f].cast("double"), F.lit(0.0)).alias(f) for f in FEATURES], "body")
+
+
 def confidence():
-    """The rule-based confidence where there is no model."""
-    near = F.greatest(F.lit(0.0), 1 - F.col("amount_share"))
-    soon = F.greatest(F.lit(0.0), 1 - F.col("day_gap") / 45)
-    return F.when(F.col("direct"), 0.30).otherwise(0.30 * F.col("id_ratio")) + 0.22 * F.col("vendor_score") + 0.18 * near + 0.18 * F.when(F.col("amount_gap") <= 1, 1.0).otherwise(0.0) + 0.12 * soon
+    """The rule-based confidence of a pair's features where there is no model."""
+    near, soon = (F.col("amount_relative_diff") <= 0.01).cast("double"), (F.col("date_gap_days") <= 45).cast("double")
+    return 0.30 * F.col("invoice_id_similarity") + 0.22 * F.col("vendor_name_similarity") + 0.18 * F.col("reference_similarity") + 0.18 * near + 0.12 * soon
 
 
 def top_candidates(scored: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:

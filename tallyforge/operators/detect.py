@@ -1,4 +1,4 @@
-"""Typed discrepancies. Each detector gives rows (issue_type, record_id, other_id, expected, actual, impact, vendor)."""
+"""Typed discrepancies. Each detector gives rows of COLUMNS; finish() adds ids, and severity and confidence where they are null."""
 
 from __future__ import annotations
 
@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text
-from tallyforge.functions.similarity import ratio_udf
+from tallyforge.functions.similarity import ratio_udf, token_set_ratio_udf
+from tallyforge.operators import isolation
 from tallyforge.plans.domain import HOME_STATE
 
 TOLERANCE = 1
 OPEN_AFTER = "2000-12-31"
-COLUMNS = ["issue_type", "record_id", "other_id", "expected", "actual", "impact", "vendor"]
+COLUMNS = ["issue_type", "record_id", "other_id", "expected", "actual", "impact", "vendor", "severity", "confidence"]
 HIGH = ("short_payment", "overpayment", "ledger_amount_mismatch", "gstr2b_tax_mismatch", "supplier_gstin_mismatch", "duplicate_exact", "duplicate_near", "duplicate_payment", "missing_payment", "missing_supplier_filing", "missing_ledger_entry", "supplier_not_filed", "in_gstr2b_not_in_books", "wrong_tax_rate", "miscalculated_tax", "wrong_tax_split", "invoice_total_mismatch", "invalid_gstin")
 
 
-def _issue(df: DataFrame, kind, record: str, other: str | None = None, expected=None, actual=None, impact=None, vendor: str = "vendor") -> DataFrame:
+def _issue(df: DataFrame, kind, record: str, other: str | None = None, expected=None, actual=None, impact=None, vendor: str = "vendor", severity: Column | None = None, confidence: Column | None = None) -> DataFrame:
     text_of = lambda c: (F.lit(None) if c is None else c if isinstance(c, Column) else F.col(c)).cast("string")
     cents = F.lit(0) if impact is None else impact if isinstance(impact, Column) else F.col(impact)
-    return df.select((kind if isinstance(kind, Column) else F.lit(kind)).alias("issue_type"), F.col(record).alias("record_id"), (F.col(other) if other else F.lit(None).cast("string")).alias("other_id"), text_of(expected).alias("expected"), text_of(actual).alias("actual"), cents.cast("decimal(18,2)").alias("impact"), F.col(vendor).alias("vendor"))
+    return df.select((kind if isinstance(kind, Column) else F.lit(kind)).alias("issue_type"), F.col(record).alias("record_id"), (F.col(other) if other else F.lit(None).cast("string")).alias("other_id"), text_of(expected).alias("expected"), text_of(actual).alias("actual"), cents.cast("decimal(18,2)").alias("impact"), F.col(vendor).alias("vendor"), (F.lit(None) if severity is None else severity).cast("string").alias("severity"), (F.lit(None) if confidence is None else confidence).cast("double").alias("confidence"))
 
 
 def keyed(inv: DataFrame) -> DataFrame:
@@ -68,15 +69,41 @@ def filing_mismatches(inv: DataFrame, fil: DataFrame) -> DataFrame:
     return _issue(best.where(off > TOLERANCE), "gstr2b_tax_mismatch", "record_id", "filing_id", "tax", "tax_amount", off).unionByName(_issue(best.where(period != F.col("filing_period")), "wrong_tax_period", "record_id", "filing_id", period, "filing_period"))
 
 
+def best_filings(inv: DataFrame, fil: DataFrame, days: int = 5) -> DataFrame:
+    """Each dated purchase with the filing most like it within so many days: of its tax id, a like vendor or a like number.
+
+    A filing of the same day that agrees in number, tax id, vendor and taxable value has the highest score there
+    is, so an equi-join settles such purchases; only the others are compared with all filings of their days.
+    """
+    i = keyed(inv).where("lower(coalesce(document_type, 'purchase')) = 'purchase' AND inv_date IS NOT NULL").select("record_id", "invoice_no", "key", "tax_id", "inv_date", "tax", "taxable_value", "vendor", text.norm_vendor(F.col("vendor")).alias("name"))
+    f = fil.where("invoice_date IS NOT NULL").select("filing_id", F.col("invoice_no").alias("filed_no"), "invoice_date", "tax_amount", "filing_period", "supplier_name", text.norm_identifier(F.col("invoice_no")).alias("f_key"), text.norm_tax_id(F.col("supplier_gstin")).alias("f_tax_id"), F.col("taxable_value").alias("f_taxable"), text.norm_vendor(F.col("supplier_name")).alias("f_name"))
+    same = (F.col("key") == F.col("f_key")) & (F.col("tax_id") == F.col("f_tax_id")) & (F.col("name") == F.col("f_name")) & (F.col("taxable_value") == F.col("f_taxable")) & (F.col("inv_date") == F.col("invoice_date"))
+    settled = i.where("key <> '' AND name <> ''").join(f, same).withColumns({"id_score": F.lit(100.0), "name_score": F.lit(100.0), "score": F.lit(450.0)})
+    rest = i.join(settled.select("record_id").distinct(), "record_id", "left_anti").withColumn("invoice_date", F.explode(F.expr(f"transform(sequence(-{days}, {days}), d -> date_add(inv_date, d))")))
+    alike = lambda a, b, f, sure: F.when((F.col(a) == "") | (F.col(b) == ""), 0.0).when(sure, 100.0).otherwise(f(F.when(~sure, F.col(a)), F.when(~sure, F.col(b))))
+    words = lambda a, b: F.size(F.array_except(F.split(a, " "), F.split(b, " "))) == 0
+    near = rest.join(f, "invoice_date").withColumns({"id_score": alike("key", "f_key", ratio_udf, F.col("key") == F.col("f_key")), "name_score": alike("name", "f_name", token_set_ratio_udf, words("name", "f_name") | words("f_name", "name"))})
+    near = near.where("tax_id = f_tax_id OR name_score >= 65 OR id_score >= 70")
+    money = F.coalesce(F.col("taxable_value").cast("double"), F.lit(0.0))
+    amount = F.greatest(F.lit(0.0), 100 - 100 * F.abs(money - F.coalesce(F.col("f_taxable").cast("double"), F.lit(0.0))) / F.greatest(F.abs(money), F.lit(1.0)))
+    near = near.withColumn("score", 1.5 * F.col("id_score") + F.col("name_score") + amount + F.when(F.col("tax_id") == F.col("f_tax_id"), 100).otherwise(0) - 5 * F.abs(F.date_diff("invoice_date", "inv_date")))
+    best = settled.unionByName(near.select(*settled.columns))
+    return best.withColumn("rn", F.row_number().over(Window.partitionBy("record_id").orderBy(F.col("score").desc(), "filing_id"))).where("rn = 1").drop("rn")
+
+
 def fuzzy_filings(inv: DataFrame, fil: DataFrame, days: int = 5) -> DataFrame:
-    """Number and tax-id differences to the nearest filing within so many days, of the same tax id or a like number."""
-    i = keyed(inv).where("document_type = 'purchase' AND inv_date IS NOT NULL").select("record_id", "invoice_no", "key", "tax_id", "inv_date", "tax", "vendor", F.explode(F.expr(f"transform(sequence(-{days}, {days}), d -> date_add(inv_date, d))")).alias("day"))
-    f = fil.select("filing_id", F.col("invoice_no").alias("filed_no"), F.col("invoice_date").alias("day"), "tax_amount", text.norm_identifier(F.col("invoice_no")).alias("f_key"), text.norm_tax_id(F.col("supplier_gstin")).alias("f_tax_id"))
-    near = i.join(f, "day").withColumn("same", F.col("tax_id") == F.col("f_tax_id")).where(F.col("same") | (F.substring("key", -6, 6) == F.substring("f_key", -6, 6)))
-    near = near.withColumn("id_score", F.when(F.col("key") == F.col("f_key"), 100.0).otherwise(ratio_udf("key", "f_key")))
-    score = 1.5 * F.col("id_score") + F.when(F.col("same"), 100).otherwise(0) - 5 * F.abs(F.date_diff("day", "inv_date"))
-    best = near.withColumn("rn", F.row_number().over(Window.partitionBy("record_id").orderBy(score.desc(), "filing_id"))).where("rn = 1")
-    return _issue(best.where("key <> f_key"), "invoice_id_mismatch", "record_id", "filing_id", "invoice_no", "filed_no").unionByName(_issue(best.where("NOT same"), "supplier_gstin_mismatch", "record_id", "filing_id", "tax_id", "f_tax_id", "tax"))
+    """Differences of tax, period, number, vendor and tax id between a purchase and the filing most like it."""
+    best = best_filings(inv, fil, days)
+    period, off = F.date_format("inv_date", "yyyy-MM"), F.abs(F.coalesce("tax", F.lit(0)) - F.coalesce("tax_amount", F.lit(0)))
+    parts = [
+        _issue(best.where(off > TOLERANCE), "gstr2b_tax_mismatch", "record_id", "filing_id", "tax", "tax_amount", off), _issue(best.where(~period.eqNullSafe(F.col("filing_period"))), "wrong_tax_period", "record_id", "filing_id", period, "filing_period"),
+        _issue(best.where(text.norm_tax_id(F.col("invoice_no")) != text.norm_tax_id(F.col("filed_no"))), "invoice_id_mismatch", "record_id", "filing_id", "invoice_no", "filed_no"), _issue(best.where("name_score < 75"), "vendor_name_mismatch", "record_id", "filing_id", "vendor", "supplier_name"),
+        _issue(best.where("tax_id <> f_tax_id"), "supplier_gstin_mismatch", "record_id", "filing_id", "tax_id", "f_tax_id", "tax"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def duplicate_invoices(inv: DataFrame, days: int = 3, least: float = 75.0) -> DataFrame:
@@ -147,27 +174,40 @@ def tax_issues(inv: DataFrame, rates: DataFrame, home_state: str = HOME_STATE) -
         row(F.abs(F.col("total") - F.col("taxable_value") - actual) > TOLERANCE, "invoice_total_mismatch", F.col("taxable_value") + actual, F.col("total"), F.abs(F.col("total") - F.col("taxable_value") - actual)), row(~text.gstin_valid(F.col("gstin")), "invalid_gstin", F.lit("valid"), F.col("gstin"), actual),
     ))
     each = r.select("record_id", "vendor", F.explode(found).alias("x"))
-    return each.select(F.col("x.kind").alias("issue_type"), "record_id", F.lit(None).cast("string").alias("other_id"), F.col("x.expected").alias("expected"), F.col("x.actual").alias("actual"), F.col("x.impact").alias("impact"), "vendor")
+    return each.select(F.col("x.kind").alias("issue_type"), "record_id", F.lit(None).cast("string").alias("other_id"), F.col("x.expected").alias("expected"), F.col("x.actual").alias("actual"), F.col("x.impact").alias("impact"), "vendor", F.lit(None).cast("string").alias("severity"), F.lit(None).cast("double").alias("confidence"))
 
 
 def vendor_anomalies(inv: DataFrame) -> DataFrame:
-    """Per invoice: the vendor's median and robust z of log1p(total), round rate, count in the vendor's week."""
-    by = Window.partitionBy("vendor")
-    x = inv.select("record_id", "vendor", "inv_date", "is_new_vendor", F.col("total").cast("double").alias("t")).withColumns({"lg": F.log1p("t"), "round": ((F.col("t") >= 10000) & (F.col("t") % 1000 == 0)).cast("int"), "week": F.date_trunc("WEEK", "inv_date").cast("date")})
-    x = x.withColumns({"med": F.median("lg").over(by), "vendor_median": F.median("t").over(by), "round_rate": F.avg("round").over(by), "week_count": F.count("*").over(Window.partitionBy("vendor", "week"))})
-    x = x.withColumn("mad", F.median(F.abs(F.col("lg") - F.col("med"))).over(by))
+    """Per invoice: the median of its vendor (by normalised name), robust z of log1p(total), round rate, count in the vendor's week.
+
+    Statistics are aggregated by vendor and joined back, so that no vendor's invoices have to fit into one task.
+    """
+    x = inv.select("record_id", text.norm_vendor(F.col("vendor")).alias("vendor"), "inv_date", "is_new_vendor", F.abs(F.coalesce(F.col("total").cast("double"), F.lit(0.0))).alias("t")).withColumns({"lg": F.log1p("t"), "round": ((F.col("t") >= 10000) & (F.col("t") % 1000 == 0)).cast("int"), "week": F.date_trunc("WEEK", "inv_date").cast("date")})
+    stats = x.groupBy("vendor").agg(F.median("lg").alias("med"), F.median("t").alias("vendor_median"), F.avg("round").alias("round_rate"))
+    weeks = x.where("week IS NOT NULL").groupBy("vendor", "week").agg(F.count("*").alias("week_count"))
+    x = x.join(stats, "vendor").join(weeks, ["vendor", "week"], "left").withColumn("away", F.abs(F.col("lg") - F.col("med")))
+    x = x.join(x.groupBy("vendor").agg(F.median("away").alias("mad")), "vendor")
     return x.withColumn("robust_z", F.when(F.col("mad") == 0, 0.0).otherwise(0.6745 * (F.col("lg") - F.col("med")) / F.col("mad")))
 
 
 def anomaly_issues(inv: DataFrame, delays: DataFrame | None = None) -> DataFrame:
-    """One issue for each unusual invoice, of the first kind that holds; delays: (record_id, delay)."""
+    """One issue for each unusual invoice, of the first kind that holds; delays: (record_id, delay).
+
+    A spike is an outlier of the isolation forest, a robust z of 4 or more, or a vendor whose first digits break
+    Benford's law; severity and confidence rise with a z of 6 and with Benford's law.
+    """
     a = vendor_anomalies(inv)
     a = a.join(delays, "record_id", "left") if delays is not None else a.withColumn("delay", F.lit(None).cast("int"))
+    odd = benford(a, "vendor", "t").where("p < 0.01 AND effect >= 0.10").select("vendor", F.lit(True).alias("odd_digits"))
+    rare = isolation.outliers(inv, "record_id", "total").withColumn("rare", F.lit(True))
+    a = a.join(odd, "vendor", "left").join(rare, "record_id", "left").na.fill(False, ["odd_digits", "rare"])
+    z = F.abs("robust_z")
     kind = (
         F.when((F.col("t") >= 95_000) & (F.col("t") < 100_000), "anomaly_approval_threshold").when((F.col("round") == 1) & (F.col("round_rate") < 0.10), "anomaly_round_number").when(F.col("is_new_vendor") & (F.col("t") >= 500_000), "new_vendor_huge_invoice")
-        .when(F.abs("robust_z") >= 4, "anomaly_unusual_spike").when((F.col("week_count") >= 4) | (F.coalesce("delay", F.lit(0)) > 43), "anomaly_behavioral")
+        .when((z >= 4) | F.col("rare") | F.col("odd_digits"), "anomaly_unusual_spike").when((F.col("week_count") >= 4) | (F.coalesce("delay", F.lit(0)) > 43), "anomaly_behavioral")
     )
-    return _issue(a.withColumn("kind", kind).where("kind IS NOT NULL"), F.col("kind"), "record_id", None, F.round("vendor_median", 2), F.round("t", 2), F.abs(F.col("t") - F.col("vendor_median")))
+    severity = F.when((z >= 6) | F.col("odd_digits"), "High").otherwise("Medium")
+    return _issue(a.withColumn("kind", kind).where("kind IS NOT NULL"), F.col("kind"), "record_id", None, F.round("vendor_median", 2), F.round("t", 2), F.abs(F.col("t") - F.col("vendor_median")), "vendor", severity, F.when(F.col("odd_digits"), 0.85).otherwise(0.75))
 
 
 def benford(amounts: DataFrame, group: str, amount: str, least: int = 300) -> DataFrame:
@@ -193,8 +233,8 @@ def finish(issues: DataFrame) -> DataFrame:
     kinds = F.col("issue_type")
     out = issues.withColumns({
         "issue_id": text.issue_id(kinds, F.array_compact(F.array("record_id", "other_id")), F.coalesce("expected", F.lit("")), F.coalesce("actual", F.lit(""))),
-        "severity": F.when(kinds.isin(*HIGH), "High").when(kinds == "vendor_name_mismatch", "Low").otherwise("Medium"),
-        "confidence": F.when(kinds == "duplicate_exact", 0.98).when(kinds == "duplicate_near", 0.88).when(kinds == "duplicate_payment", 0.92).when(kinds == "missing_payment", 0.85).when(kinds.startswith("anomaly") | (kinds == "new_vendor_huge_invoice"), 0.75).otherwise(0.95),
+        "severity": F.coalesce("severity", F.when(kinds.isin(*HIGH), "High").when(kinds == "vendor_name_mismatch", "Low").otherwise("Medium")),
+        "confidence": F.coalesce("confidence", F.when(kinds == "duplicate_exact", 0.98).when(kinds == "duplicate_near", 0.88).when(kinds == "duplicate_payment", 0.92).when(kinds == "missing_payment", 0.85).when(kinds == "vendor_name_mismatch", 0.80).otherwise(0.95)),
         "status": F.lit("Open"),
     })
     return out.dropDuplicates(["issue_id"]).orderBy(F.when(F.col("severity") == "High", 1).when(F.col("severity") == "Medium", 2).otherwise(3), "issue_type", "issue_id")

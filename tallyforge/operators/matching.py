@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+import tempfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text
+from tallyforge.operators import blocking
 
 TOLERANCE = 1
 
@@ -39,27 +40,28 @@ def exact_matches(inv: DataFrame, pay: DataFrame) -> DataFrame:
     return plain.unionByName(several).select("record_id", "txn_id", F.lit("exact").alias("tier"), F.lit(0.99).alias("confidence"))
 
 
-def mutual_best(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the folder that the session names; one of its own only where none is named."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="match-"))
+    return df.checkpoint()
+
+
+def mutual_best(edges: DataFrame) -> DataFrame:
     """The greedy one-to-one matching of edges (record_id, txn_id, confidence) in order of confidence.
 
     Under a total order (confidence, then ids) the greedy matching is that of repeatedly taking the edges that
-    are the best of both ends.
+    are the best of both ends. Rounds go on until no edge is open; each takes the best open edge at least.
     """
-    sc = edges.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"match-{uuid.uuid4().hex[:6]}-"))
-    open_, taken = edges.select("record_id", "txn_id", "confidence").checkpoint(), None
+    open_, taken = cut(edges.select("record_id", "txn_id", "confidence")), None
     order = [F.col("confidence").desc(), F.col("record_id"), F.col("txn_id")]
-    for _ in range(most_rounds):
+    while not open_.isEmpty():
         ranked = open_.withColumns({"a": F.row_number().over(Window.partitionBy("record_id").orderBy(*order)), "b": F.row_number().over(Window.partitionBy("txn_id").orderBy(*order))})
-        best = ranked.where("a = 1 AND b = 1").select("record_id", "txn_id", "confidence").checkpoint()
-        if best.isEmpty():
-            break
+        best = cut(ranked.where("a = 1 AND b = 1").select("record_id", "txn_id", "confidence"))
         taken = best if taken is None else taken.unionByName(best)
-        open_ = open_.join(best.select("record_id"), "record_id", "left_anti").join(best.select("txn_id"), "txn_id", "left_anti").checkpoint()
-    return open_.limit(0) if taken is None else taken
+        open_ = cut(open_.join(best.select("record_id"), "record_id", "left_anti").join(best.select("txn_id"), "txn_id", "left_anti"))
+    return open_ if taken is None else taken
 
 
 def subset_sum(values: list[int], target: int, least: int, most: int, tolerance: int = 0, nodes: int = 10_000) -> list[int] | None:
@@ -101,31 +103,43 @@ def group_matches(edges: DataFrame, one: str, many: str, least: int, most: int,
     return edges.groupBy("part").applyInPandas(run, f"{one} string, members array<string>")
 
 
-def split_matches(inv: DataFrame, pay: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Invoices settled by 2 or 3 payments that mention them (or partial payments near them)."""
-    e = pairs.join(inv.select("record_id", F.col("total").alias("one_amount"), "inv_date"), "record_id").join(pay.select("txn_id", F.col("amount").alias("many_amount"), "pay_date"), "txn_id")
-    e = e.select("record_id", "one_amount", "txn_id", "many_amount", F.lit(True).alias("mentioned"), text.day_gap(F.col("inv_date"), F.col("pay_date")).alias("gap"))
-    return group_matches(_with_part(e, "record_id", "txn_id"), "record_id", "txn_id", 2, 3, 18, 10_000)
+def _eligible(word: str):
+    """Of a candidate's features: the payment mentions the invoice, or is marked by `word`, of a like vendor and near in time."""
+    return (F.col("reference_contains_invoice") == 1) | (F.col("body").contains(word) & (F.col("vendor_name_similarity") >= 0.70) & (F.col("date_gap_days") <= 45))
+
+
+def _group_edges(scored: DataFrame, inv: DataFrame, pay: DataFrame, word: str, one: str, many: str) -> DataFrame:
+    amounts = {"record_id": inv.select("record_id", F.abs("total").alias("of_record_id")), "txn_id": pay.select("txn_id", F.abs("amount").alias("of_txn_id"))}
+    e = scored.where(_eligible(word)).join(amounts["record_id"], "record_id").join(amounts["txn_id"], "txn_id")
+    e = e.select("record_id", "txn_id", F.col(f"of_{one}").alias("one_amount"), F.col(f"of_{many}").alias("many_amount"), (F.col("reference_contains_invoice") == 1).alias("mentioned"), F.col("date_gap_days").alias("gap"))
+    return _with_part(e, one, many)
+
 
+def split_matches(scored: DataFrame, inv: DataFrame, pay: DataFrame) -> DataFrame:
+    """(record_id, members): invoices settled by 2 or 3 payments; scored: candidates with their features."""
+    return group_matches(_group_edges(scored, inv, pay, "PART", "record_id", "txn_id"), "record_id", "txn_id", 2, 3, 18, 10_000)
 
-def bulk_matches(inv: DataFrame, pay: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Payments that settle 2 to 6 invoices that they mention."""
-    e = pairs.join(inv.select("record_id", F.col("total").alias("many_amount"), "inv_date"), "record_id").join(pay.select("txn_id", F.col("amount").alias("one_amount"), "pay_date"), "txn_id")
-    e = e.select("record_id", "one_amount", "txn_id", "many_amount", F.lit(True).alias("mentioned"), text.day_gap(F.col("inv_date"), F.col("pay_date")).alias("gap"))
-    return group_matches(_with_part(e, "txn_id", "record_id"), "txn_id", "record_id", 2, 6, 20, 30_000)
+
+def bulk_matches(scored: DataFrame, inv: DataFrame, pay: DataFrame) -> DataFrame:
+    """(txn_id, members): payments that settle 2 to 6 invoices; scored: candidates with their features."""
+    return group_matches(_group_edges(scored, inv, pay, "BULK", "txn_id", "record_id"), "txn_id", "record_id", 2, 6, 20, 30_000)
 
 
 def _with_part(edges: DataFrame, one: str, many: str) -> DataFrame:
-    """edges with a name of their connected component, by smallest ids that travel until they settle."""
-    pairs = edges.select(one, many).checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else edges.select(one, many)
-    labels = pairs.groupBy(many).agg(F.min(one).alias("label"))
-    for _ in range(20):
+    """edges with a name of their connected component, by smallest ids that travel until they settle.
+
+    Ones with a single edge can't form a group and are left out first, so that components stay small.
+    """
+    several = edges.groupBy(one).agg(F.count("*").alias("n")).where("n > 1").select(one)
+    edges = cut(edges.join(several, one, "left_semi"))
+    pairs = edges.select(one, many)
+    labels = cut(pairs.groupBy(many).agg(F.min(one).alias("label")))
+    while True:
         ones = pairs.join(labels, many).groupBy(one).agg(F.min("label").alias("label"))
-        now = pairs.join(ones, one).groupBy(many).agg(F.min("label").alias("label"))
+        now = cut(pairs.join(ones, one).groupBy(many).agg(F.min("label").alias("label")))
         if now.join(labels.withColumnRenamed("label", "old"), many).where("label <> old").isEmpty():
-            break
+            return edges.join(now.withColumnRenamed("label", "part"), many)
         labels = now
-    return edges.join(labels.withColumnRenamed("label", "part"), many)
 
 
 def fuzzy_matches(scored: DataFrame, least: float = 0.60) -> DataFrame:
@@ -142,3 +156,33 @@ def three_way(inv: DataFrame, led: DataFrame, fil: DataFrame, matched: DataFrame
     filed = fil.where(F.coalesce("filed", F.lit(True))).select("filing_id", text.norm_identifier(F.col("invoice_no")).alias("key"), text.norm_tax_id(F.col("supplier_gstin")).alias("tax_id"))
     two = own.where("key <> ''").join(filed, ["key", "tax_id"]).withColumn("n", F.count("*").over(Window.partitionBy("filing_id"))).where("n = 1").groupBy("record_id").agg(F.max("filing_id").alias("filing_id"))
     return own.select("record_id").join(one, "record_id", "left").join(two, "record_id", "left")
+
+
+def reconcile(inv: DataFrame, pay: DataFrame, model=None) -> DataFrame:
+    """(tier, record_ids, txn_ids, confidence, band): exact, then split, then bulk, then fuzzy matches.
+
+    Candidates are made once, of what exact matching leaves. model: a function from candidates with features to
+    the same with `confidence`; without one the rules give it. Only matches of band auto use up their ids.
+    """
+    exact = cut(exact_matches(inv, pay).select("record_id", "txn_id"))
+    left, paid = inv.join(exact, "record_id", "left_anti"), pay.join(exact, "txn_id", "left_anti")
+    scored = cut(blocking.features(blocking.candidates(left, paid), left, paid))
+    split = cut(split_matches(scored, left, paid))
+    used = split.select(F.explode("members").alias("txn_id"))
+    rest = scored.join(split.select("record_id"), "record_id", "left_anti").join(used, "txn_id", "left_anti")
+    bulk = cut(bulk_matches(rest, left, paid))
+    rest = rest.join(bulk.select("txn_id"), "txn_id", "left_anti").join(bulk.select(F.explode("members").alias("record_id")), "record_id", "left_anti")
+    fuzzy = fuzzy_matches(model(rest) if model else rest.withColumn("confidence", blocking.confidence()))
+    row = lambda df, tier, records, txns, sure, band: df.select(F.lit(tier).alias("tier"), records.alias("record_ids"), txns.alias("txn_ids"), sure.alias("confidence"), band.alias("band"))
+    auto, sure = F.lit("auto"), F.lit(0.97)
+    parts = [row(split, "split", F.array("record_id"), F.col("members"), sure, auto), row(bulk, "bulk", F.col("members"), F.array("txn_id"), sure, auto), row(fuzzy, "fuzzy", F.array("record_id"), F.array("txn_id"), F.col("confidence"), F.col("band"))]
+    out = row(exact, "exact", F.array("record_id"), F.array("txn_id"), F.lit(0.99), auto)
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
+def unmatched(ids: DataFrame, matches: DataFrame, column: str) -> DataFrame:
+    """Of ids (one column) those that no match of band auto holds in its array `column`."""
+    name = ids.columns[0]
+    return ids.join(matches.where("band = 'auto'").select(F.explode(column).alias(name)), name, "left_anti")

@@ -69,6 +69,15 @@ UNION ALL
 SELECT concat('FIX', lpad(CAST(k AS STRING), 8, '0')), k, gstin, vendor, concat('EXT-', CAST(k AS STRING)), inv_date, taxable_value, tax, TRUE, substr(CAST(inv_date AS STRING), 1, 7) FROM inv WHERE k % 139 = 0
 """
 
+#: The books with some bills entered twice: with the same number, or with another letter two days later.
+TWICE = """
+SELECT * FROM inv
+UNION ALL
+SELECT k, ck, concat('INVTWO', lpad(CAST(k AS STRING), 8, '0')), CASE WHEN k % 2 = 0 THEN invoice_no ELSE concat(invoice_no, 'A') END, document_type, inv_date + CAST(CASE WHEN k % 2 = 0 THEN 0 ELSE 2 END AS INT),
+  vendor, party_state, hsn, taxable_value, tax_rate_pct, tax, gstin, cgst, sgst, igst, total, is_new_vendor
+FROM inv WHERE k % 87 = 0
+"""
+
 RATES = """
 SELECT CAST(h AS STRING) AS hsn, CAST(r AS DECIMAL(5,2)) AS rate, CAST(f AS DATE) AS valid_from, CAST(t AS DATE) AS valid_to, p AS pos
 FROM (VALUES ('0', 18, '1990-01-01', NULL, 1), ('1', 18, '1990-01-01', NULL, 2), ('2', 18, '1990-01-01', NULL, 3), ('3', 12, '1990-01-01', '1995-12-31', 4),
@@ -76,13 +85,13 @@ FROM (VALUES ('0', 18, '1990-01-01', NULL, 1), ('1', 18, '1990-01-01', NULL, 2),
 """
 
 #: The views in the order in which they build on each other.
-VIEWS = {"inv_base": INV_BASE, "inv": INV, "pay": PAY, "led": LED, "fil": FIL, "rates": RATES}
+VIEWS = {"inv_base": INV_BASE, "inv": INV, "pay": PAY, "led": LED, "fil": FIL, "twice": TWICE, "rates": RATES}
 
 
 def with_clause(*names: str) -> str:
     """A WITH clause (without the word) of the named views and those that they need."""
     need, out = set(names), []
-    if need & {"pay", "led", "fil"}:
+    if need & {"pay", "led", "fil", "twice"}:
         need.add("inv")
     if "inv" in need:
         need.add("inv_base")
@@ -106,4 +115,5 @@ class Domain:
     pay = property(lambda self: self.view("pay"))
     led = property(lambda self: self.view("led"))
     fil = property(lambda self: self.view("fil"))
+    twice = property(lambda self: self.view("twice"))
     rates = property(lambda self: self.view("rates"))
