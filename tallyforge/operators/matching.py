@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -86,21 +88,37 @@ def group_matches(edges: DataFrame, one: str, many: str, least: int, most: int,
     """(one, many[]) where amounts of 2 or more of `many` sum up to the amount of `one`, within 1.00.
 
     edges: (one, one_amount, many, many_amount, mentioned, gap, part), part naming a component of the edges;
-    within it, ones take in order and what is taken is gone.
+    within it, ones take in order and what is taken is gone. The shortlist and the bound of the search are part of
+    the operator: they keep a group of many candidates from being searched exhaustively.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def settle(rows: list[tuple]) -> list[tuple]:
+        """One component: rows (one, one_amount, many, many_amount, mentioned, gap)."""
         used, out = set(), []
-        for key, own in rows.sort_values([one, many]).groupby(one, sort=True):
-            own = own[~own[many].isin(used)].sort_values(["mentioned", "gap", many], ascending=[False, True, True]).head(shortlist)
-            cents = [round(float(v) * 100) for v in own["many_amount"]]
-            if len(own) >= least and (found := subset_sum(cents, round(float(own["one_amount"].iloc[0]) * 100), least, most, 100, nodes)):
-                ids = sorted(own[many].iloc[k] for k in found)
+        for key, own in groupby(sorted(rows, key=lambda r: (r[0], r[2])), key=lambda r: r[0]):
+            free = sorted((r for r in own if r[2] not in used), key=lambda r: (not r[4], r[5], r[2]))[:shortlist]
+            if len(free) >= least and (found := subset_sum([round(r[3] * 100) for r in free], round(free[0][1] * 100), least, most, 100, nodes)):
+                ids = sorted(free[k][2] for k in found)
                 used |= set(ids)
                 out.append((key, ids))
-        return pd.DataFrame(out, columns=[one, "members"])
-
-    return edges.groupBy("part").applyInPandas(run, f"{one} string, members array<string>")
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Components lie one after another; one at a time is held, across batches."""
+        part, own = None, []
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                if row[0] != part and own:
+                    out += settle(own)
+                    own = []
+                part = row[0]
+                own.append(row[1:])
+            yield pd.DataFrame(out, columns=[one, "members"])
+        yield pd.DataFrame(settle(own), columns=[one, "members"])
+
+    rows = edges.select("part", one, "one_amount", many, "many_amount", "mentioned", "gap")
+    return rows.repartition("part").sortWithinPartitions("part").mapInPandas(run, f"{one} string, members array<string>")
 
 
 def _eligible(word: str):
