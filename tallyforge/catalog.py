@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text
-from tallyforge.operators import blocking, detect, evaluate, isolation, liability, matching, review
+from tallyforge.operators import blocking, detect, evaluate, isolation, liability, matching, pair_model, review
 from tallyforge.plans.domain import HOME_STATE, Domain, with_clause
 from tallyforge.sources import ingest
 
@@ -373,6 +373,25 @@ def _(d):
     return m.select("tier", F.array_join(F.array_sort("record_ids"), "|").alias("record_ids"), F.array_join(F.array_sort("txn_ids"), "|").alias("txn_ids"), F.round("confidence", 6).alias("confidence"), "band")
 
 
+def _labelled(d: Domain) -> DataFrame:
+    """Candidate pairs of what exact matching leaves, with features, labelled by the keys that belong together."""
+    m = matching.cut(matching.exact_matches(d.inv, d.pay).select("record_id", "txn_id"))
+    i, p = d.inv.join(m, "record_id", "left_anti"), d.pay.join(m, "txn_id", "left_anti")
+    truth = d.inv.select("record_id", "k").join(d.pay.where("NOT startswith(txn_id, 'TXO')").select("txn_id", "k"), "k")
+    return pair_model.label_pairs(matching.cut(blocking.features(blocking.candidates(i, p), i, p)), truth, d.inv, folds=3)
+
+
+@_add("pair_model_baseline")
+def _(d):
+    return pair_model.baseline(_labelled(d)).select("record_id", "txn_id", "label", F.round("confidence", 4).alias("confidence"))
+
+
+@_add("pair_model_scores")
+def _(d):
+    rows = matching.cut(_labelled(d))
+    return pair_model.apply(pair_model.train(rows, rounds=10))(rows).select("record_id", "txn_id", "label", F.round("confidence", 4).alias("confidence"))
+
+
 @_add("three_way", _EXACT + f""", e AS (SELECT entry_id, abs(debit) + abs(credit) AS booked, {key('reference')} AS key FROM led), own AS (SELECT * FROM ik WHERE record_id IN (SELECT record_id FROM matched)),
 l AS (SELECT record_id, entry_id, count(*) OVER (PARTITION BY entry_id) AS n FROM own JOIN e ON own.key = e.key AND own.key <> '' AND abs(total - booked) <= 1),
 f AS (SELECT filing_id, {key('invoice_no')} AS key, {tax_id('supplier_gstin')} AS g FROM fil WHERE filed), w AS (SELECT record_id, filing_id, count(*) OVER (PARTITION BY filing_id) AS n FROM own JOIN f ON own.key = f.key AND own.g = f.g)
@@ -495,6 +514,35 @@ def _(d):
     return evaluate.threshold_curve(scored, truth)
 
 
+#: Errors that the views inject, by the key's residues: label and where it holds.
+_INJECTED = {"miscalculated_tax": "k % 79 = 0", "rounding_diff": "k % 71 = 0", "wrong_tax_split": "k % 73 = 0", "invalid_gstin": "k % 97 = 0", "wrong_tax_rate": "k % 83 = 0"}
+
+
+@_add("issue_scores")
+def _(d):
+    issues = detect.finish(detect.tax_issues(d.inv, d.rates)).where("issue_type <> 'unknown_tax_rate'").withColumn("record_ids", F.array("record_id"))
+    labels = F.array_compact(F.array(*[F.when(F.expr(w), n) for n, w in _INJECTED.items()]))
+    truth = d.inv.select(F.explode(labels).alias("label"), F.array("record_id").alias("record_ids"))
+    return evaluate.score_issues(issues, truth, evaluate.families())
+
+
+@_add("group_accuracy")
+def _(d):
+    pay = _parts(d)
+    scored = blocking.features(pay.select("record_id", "txn_id"), d.inv, pay.drop("record_id"))
+    found = matching.split_matches(scored, d.inv, pay.drop("record_id")).select(F.lit("split").alias("tier"), F.array("record_id").alias("record_ids"), F.col("members").alias("txn_ids"), F.lit(0.97).alias("confidence"))
+    return evaluate.group_accuracy(found, pay.groupBy("record_id").agg(F.collect_list("txn_id").alias("txn_ids")).select(F.array("record_id").alias("record_ids"), "txn_ids"))
+
+
+_NET = _monthly("i.tax") + ", n AS (SELECT CAST(sum(o - e) AS DECIMAL(28,2)) AS found, CAST(sum(o - b) AS DECIMAL(28,2)) AS clean FROM s)"
+
+
+@_add("liability_error", _NET + " SELECT found, clean, CAST(abs(found - clean) AS DECIMAL(28,2)) AS error, round(CAST(abs(found - clean) AS DOUBLE) / abs(CAST(clean AS DOUBLE)), 6) AS share FROM n", ("inv", "fil"))
+def _(d):
+    m = liability.monthly_liability(d.inv, d.fil)
+    return evaluate.liability_error(m, m.select("period", F.col("net_before").alias("net_after"))).withColumn("error", F.col("error").cast("decimal(28,2)"))
+
+
 @_add("windowed_events", "SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def _(d):
     return _table(d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

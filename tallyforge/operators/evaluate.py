@@ -7,6 +7,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# The kinds of injected errors, by the family in which issues answer them, and the issue types of each family.
+LABELS = {
+    "payment_amount": ("amount_mismatch_large", "amount_mismatch_small", "bank_amount_mismatch", "rounding_diff", "short_payment_tds"),
+    "anomaly": ("anomaly_approval_threshold", "anomaly_round_number", "anomaly_unusual_spike", "new_vendor_huge_invoice"),
+    "date_and_period": ("date_shift", "ledger_date_gap", "wrong_tax_period", "payment_before_invoice"),
+    "invoice_duplicates": ("duplicate_exact", "duplicate_near"),
+    "invoice_identifier": ("invoice_id_variant",),
+    "vendor_name": ("vendor_name_variant",),
+}
+TYPES = {
+    "payment_amount": ("short_payment", "overpayment", "ledger_amount_mismatch", "invoice_total_mismatch"),
+    "anomaly": ("anomaly_approval_threshold", "anomaly_round_number", "anomaly_unusual_spike", "new_vendor_huge_invoice", "anomaly_behavioral"),
+    "date_and_period": ("ledger_date_gap", "wrong_tax_period", "payment_before_invoice"),
+    "invoice_duplicates": ("duplicate_exact", "duplicate_near"),
+    "invoice_identifier": ("invoice_id_mismatch",),
+    "supplier_not_filed": ("supplier_not_filed", "missing_supplier_filing"),
+    "vendor_name": ("vendor_name_mismatch",),
+}
+#: Families of one label and the issue type of the same name.
+ALONE = ("duplicate_payment", "gstr2b_tax_mismatch", "in_gstr2b_not_in_books", "invalid_gstin", "ledger_without_source", "miscalculated_tax", "missing_ledger_entry", "missing_payment", "payment_without_invoice", "supplier_not_filed", "wrong_tax_rate", "wrong_tax_split")
+
+
+def families() -> dict[str, list[str]]:
+    """Label to the issue types that answer it, for score_issues."""
+    labels = {family: (family,) for family in ALONE} | LABELS
+    return {label: list(TYPES.get(family, (family,))) for family, own in labels.items() for label in own}
+
+
+def weakest(scores: DataFrame, most: int = 5) -> DataFrame:
+    """The families of the lowest f1, then recall, then name."""
+    return scores.orderBy("f1", "recall", "family").limit(most)
+
+
+def group_accuracy(matches: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row over groups (record_ids, txn_ids): tp, fp, fn and the share of true groups that matches have exactly."""
+    group = lambda df: df.select(F.array_join(F.array_sort("record_ids"), "|").alias("record_id"), F.array_join(F.array_sort("txn_ids"), "|").alias("txn_id"))
+    m = pair_metrics(group(matches.where("tier IN ('split', 'bulk') AND confidence >= 0.60")), group(truth))
+    return m.withColumn("exact_group_accuracy", F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")), F.lit(0.0)))
+
+
+def liability_error(found: DataFrame, clean: DataFrame, column: str = "net_after") -> DataFrame:
+    """One row: the amounts of two monthly liabilities, their absolute difference, and its share (null where the clean one is 0)."""
+    one = lambda df, name: df.agg(F.coalesce(F.sum(column), F.lit(0)).cast("decimal(28,2)").alias(name)).withColumn("one", F.lit(1))
+    both = one(found, "found").join(one(clean, "clean"), "one").drop("one").withColumn("error", F.abs(F.col("found") - F.col("clean")))
+    return both.withColumn("share", F.round(F.try_divide(F.col("error").cast("double"), F.abs("clean").cast("double")), 6))
+
+
 def _prf(tp, fp, fn) -> list:
     p, r = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)), F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0))
     return [p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1")]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import json
 import re
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,6 +66,69 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, encodi
     return df
 
 
+def lint(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """What of each CSV of a folder belongs to an answer key; reads headers only."""
+    names = sorted(r[0] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path").collect())
+    found = {n.rsplit("/", 1)[-1]: leaks(n, spark.read.option("header", True).csv(n).columns) for n in names}
+    return {n: x for n, x in found.items() if x}
+
+
+def safe_member(name: str) -> bool:
+    """Whether an archive's member stays inside the folder that it is unpacked to."""
+    return not (name.startswith("/") or "\\" in name or ":" in name or ".." in name.split("/"))
+
+
+def zip_members(spark: SparkSession, path: str, wanted: list[str]) -> dict[str, bytes]:
+    """The wanted members of an archive by base name, nested archives included; unsafe, doubled and missing ones are errors."""
+    found: dict[str, bytes] = {}
+
+    def walk(data: bytes) -> None:
+        with zipfile.ZipFile(io.BytesIO(data)) as archive:
+            for info in archive.infolist():
+                if not safe_member(info.filename):
+                    raise ValueError(f"unsafe member {info.filename}")
+                base = info.filename.rsplit("/", 1)[-1]
+                if base.lower().endswith(".zip"):
+                    walk(archive.read(info))
+                elif base in wanted:
+                    if base in found:
+                        raise ValueError(f"{base} is there twice")
+                    found[base] = archive.read(info)
+
+    walk(spark.read.format("binaryFile").load(path).select("content").first()[0])
+    if gone := sorted(set(wanted) - set(found)):
+        raise ValueError(f"missing: {gone}")
+    return found
+
+
+def decode(data: bytes) -> str:
+    """CSV bytes as text: UTF-8 with or without a mark, else Windows-1252."""
+    try:
+        return data.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return data.decode("cp1252")
+
+
+def member_table(spark: SparkSession, data: bytes) -> DataFrame:
+    """A CSV member with a header as a table of strings, by Spark's CSV reader."""
+    return spark.read.option("header", True).option("multiLine", True).csv(spark.sparkContext.parallelize([decode(data)]))
+
+
+def later(df: DataFrame, date: str = "date", days: int = 5) -> DataFrame:
+    """A held-out table: its dates moved on by so many days."""
+    return df.withColumn(date, F.date_add(date, days))
+
+
+def link_table(tables: dict[str, DataFrame]) -> DataFrame | None:
+    """(source_id, invoice_record_id, source_table) of the tables that know which invoice they belong to."""
+    out = None
+    for name, key in (("bank_transactions", "txn_id"), ("ledger", "entry_id"), ("supplier_filings", "filing_id")):
+        if name in tables and "linked_invoice_record_id" in tables[name].columns:
+            part = tables[name].select(F.col(key).alias("source_id"), F.col("linked_invoice_record_id").alias("invoice_record_id"), F.lit(name).alias("source_table"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def read_config(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         return json.load(f)
@@ -130,9 +195,15 @@ def profile(df: DataFrame, date: str, keys: list[str], patterns: dict[str, tuple
     return df.agg(F.count("*").alias("rows"), F.min(date).alias("first"), F.max(date).alias("last"), *[F.countDistinct(k).alias(f"distinct_{k}") for k in keys], *[F.bool_or(F.col(c).rlike(p)).alias(n) for n, (c, p) in patterns.items()])
 
 
-def write_split(tables: dict[str, DataFrame], truth: dict[str, DataFrame], path: str) -> None:
-    """Tables without answer columns under raw/, answers under truth/, as CSV with headers."""
-    for name, df in tables.items():
-        strip_answers(df).write.mode("overwrite").option("header", True).csv(f"{path}/raw/{name}")
-    for name, df in truth.items():
-        df.write.mode("overwrite").option("header", True).csv(f"{path}/truth/{name}")
+def write_split(tables: dict[str, DataFrame], truth: dict[str, DataFrame], path: str, reference: dict[str, DataFrame] | None = None, train: bool = False, **more) -> None:
+    """Tables without answer columns under raw/, answers and links under truth/, clean tables under reference/ (never for
+    a training split), as CSV with headers; and a manifest of what is there."""
+    links = link_table(tables)
+    truth = truth | ({"links": links} if links is not None else {})
+    reference = {} if train or not reference else reference
+    for part, own in (("raw", {n: strip_answers(df) for n, df in tables.items()}), ("truth", truth), ("reference", reference)):
+        for name, df in own.items():
+            df.write.mode("overwrite").option("header", True).csv(f"{path}/{part}/{name}")
+    said = {"raw_tables": sorted(tables), "truth_tables": sorted(truth), "reference_tables": sorted(reference), "detector_inputs_exclude_truth": True, **more}
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(json.dumps(said, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
