@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators.matching import components, cut
+
 
 # The kinds of injected errors, by the family in which issues answer them, and the issue types of each family.
 LABELS = {
@@ -95,12 +97,21 @@ def score_issues(issues: DataFrame, truth: DataFrame, families: dict[str, list[s
     a = issues.join(F.broadcast(lookup), "issue_type", "left").select(F.coalesce("family", F.concat(F.lit("other:"), "issue_type")).alias("family"), F.col("issue_type").alias("name"), "record_ids", F.lit(0).alias("truth"))
     b = truth.join(F.broadcast(labels), "label", "left").select(F.coalesce("family", F.concat(F.lit("other:"), "label")).alias("family"), F.col("label").alias("name"), "record_ids", F.lit(1).alias("truth"))
 
+    # what labels take depends only on issues that share records with them, so components are settled on their own;
+    # those of one kind, or of one label and one issue, are counted without Python
+    rows = cut(a.unionByName(b).withColumn("uid", F.monotonically_increasing_id()))
+    ends = rows.select("uid", F.explode("record_ids").alias("id"), "family").select("uid", F.concat_ws("|", "family", "id").alias("node"))
+    rows = rows.join(components(ends, "node", "uid"), "uid", "left").withColumn("part", F.coalesce("part", F.concat(F.lit("alone|"), "uid")))
+    groups = rows.groupBy("family", "part").agg(F.sum("truth").alias("labels"), F.sum(1 - F.col("truth")).alias("issues"))
+    plain = F.expr("labels = 0 OR issues = 0 OR labels = 1 AND issues = 1")
+    one = F.least(F.col("labels"), F.col("issues"))
+    easy = groups.where(plain).select("family", one.alias("tp"), (F.col("issues") - one).alias("fp"), (F.col("labels") - one).alias("fn"))
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        open_ = [(n, set(r)) for n, r, t in zip(rows["name"], rows["record_ids"], rows["truth"], strict=True) if not t]
-        open_.sort(key=lambda x: (x[0], sorted(x[1])))
+        open_ = sorted((n, sorted(r)) for n, r, t in zip(rows["name"], rows["record_ids"], rows["truth"], strict=True) if not t)
         tp = fn = 0
-        for name, ids in sorted(((n, set(r)) for n, r, t in zip(rows["name"], rows["record_ids"], rows["truth"], strict=True) if t), key=lambda x: (x[0], sorted(x[1]))):
-            fits = [k for k, (_, own) in enumerate(open_) if own & ids]
+        for name, ids in sorted((n, sorted(r)) for n, r, t in zip(rows["name"], rows["record_ids"], rows["truth"], strict=True) if t):
+            fits = [k for k, (_, own) in enumerate(open_) if set(own) & set(ids)]
             fits.sort(key=lambda k: open_[k][0] != name)
             if fits:
                 open_.pop(fits[0])
@@ -109,7 +120,9 @@ def score_issues(issues: DataFrame, truth: DataFrame, families: dict[str, list[s
                 fn += 1
         return pd.DataFrame([(rows["family"].iloc[0], tp, len(open_), fn)], columns=["family", "tp", "fp", "fn"])
 
-    counts = a.unionByName(b).groupBy("family").applyInPandas(run, "family string, tp long, fp long, fn long")
+    hard = rows.join(groups.where(~plain).select("family", "part"), ["family", "part"], "left_semi")
+    settled = hard.groupBy("family", "part").applyInPandas(run, "family string, tp long, fp long, fn long")
+    counts = easy.unionByName(settled).groupBy("family").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     return counts.select("family", "tp", "fp", "fn", *_prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 

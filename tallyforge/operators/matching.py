@@ -150,13 +150,18 @@ def _with_part(edges: DataFrame, one: str, many: str) -> DataFrame:
     """
     several = edges.groupBy(one).agg(F.count("*").alias("n")).where("n > 1").select(one)
     edges = cut(edges.join(several, one, "left_semi"))
-    pairs = edges.select(one, many)
+    return edges.join(components(edges, one, many), many)
+
+
+def components(pairs: DataFrame, one: str, many: str) -> DataFrame:
+    """(many, part): the smallest `one` that each `many` reaches over pairs; rounds go on until nothing changes."""
+    pairs = cut(pairs.select(one, many).distinct())
     labels = cut(pairs.groupBy(many).agg(F.min(one).alias("label")))
     while True:
         ones = pairs.join(labels, many).groupBy(one).agg(F.min("label").alias("label"))
         now = cut(pairs.join(ones, one).groupBy(many).agg(F.min("label").alias("label")))
         if now.join(labels.withColumnRenamed("label", "old"), many).where("label <> old").isEmpty():
-            return edges.join(now.withColumnRenamed("label", "part"), many)
+            return now.withColumnRenamed("label", "part")
         labels = now
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import re
@@ -9,6 +10,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyforge.functions import text
 from tallyforge.functions.similarity import ratio
@@ -110,8 +112,13 @@ def decode(data: bytes) -> str:
 
 
 def member_table(spark: SparkSession, data: bytes) -> DataFrame:
-    """A CSV member with a header as a table of strings, by Spark's CSV reader."""
-    return spark.read.option("header", True).option("multiLine", True).csv(spark.sparkContext.parallelize([decode(data)]))
+    """A CSV member with a header as a table of strings; empty values are null, rows are cut or filled to the header."""
+    rows = list(csv.reader(io.StringIO(decode(data), newline="")))
+    if not rows:
+        raise ValueError("the member has no header")
+    n = len(rows[0])
+    body = [tuple((x or None) for x in (r + [""] * n)[:n]) for r in rows[1:] if r]
+    return spark.createDataFrame(body, StructType([StructField(c, StringType()) for c in rows[0]]))
 
 
 def later(df: DataFrame, date: str = "date", days: int = 5) -> DataFrame:

@@ -13,9 +13,12 @@ def read_folder(spark, path: str, schema, files_a_trigger: int = 16) -> DataFram
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
 
 
-def windowed_sums(events: DataFrame, late: str = "2 days", length: str = "1 day") -> DataFrame:
-    """(start, event_type, n, total) per window; a window is final, and its state goes, once the watermark has passed it."""
-    kept = events.withWatermark("ts", late)
+def windowed_sums(events: DataFrame, late: str | None = "2 days", length: str = "1 day") -> DataFrame:
+    """(start, event_type, n, total) per window; a window is final, and its state goes, once the watermark has passed it.
+
+    late: None for a stream that has its watermark already, such as that of first_seen().
+    """
+    kept = events.withWatermark("ts", late) if late else events
     sums = kept.groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return sums.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
