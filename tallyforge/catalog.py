@@ -548,6 +548,19 @@ def _(d):
     return _table(d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+#: Questions by keyword, the first that is named, and the query that answers it.
+QUESTIONS = (("liability", "monthly_liability"), ("itc", "itc_risk"), ("vendor", "vendor_risk_score"), ("issue", "issue_pipeline"))
+
+
+def answer(spark: SparkSession, sf_dir: str, question: str) -> DataFrame:
+    """The query that a question's keyword names; other questions are refused."""
+    words = question.lower()
+    for keyword, name in QUESTIONS:
+        if keyword in words:
+            return _QUERIES[name](spark, sf_dir)
+    raise ValueError("ask about liability, ITC, vendors or issues")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

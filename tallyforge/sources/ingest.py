@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyforge.functions import text
 from tallyforge.functions.similarity import ratio
+from tallyforge.sources.reports import read_workbook
 
 FORBIDDEN_FILES = ("injected_errors", "match_challenges", "links")
 FORBIDDEN_COLUMNS = ("error_type", "challenge_type")
@@ -58,12 +59,12 @@ def strip_answers(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """CSV, JSON or Parquet by suffix, refused if it holds answers; another suffix is an error."""
+    """CSV, JSON, Parquet or a workbook's first sheet by suffix, refused if it holds answers; another suffix is an error."""
     kind = path.rsplit(".", 1)[-1].lower()
-    if kind not in ("csv", "json", "parquet"):
+    if kind not in ("csv", "json", "parquet", "xlsx"):
         raise ValueError(f"can't read {path}")
     reader = spark.read.schema(schema) if schema else spark.read
-    df = reader.option("header", True).option("encoding", encoding).csv(path) if kind == "csv" else getattr(reader, kind)(path)
+    df = read_workbook(spark, path) if kind == "xlsx" else reader.option("header", True).option("encoding", encoding).csv(path) if kind == "csv" else getattr(reader, kind)(path)
     assert_safe({path: df})
     return df
 
