@@ -33,12 +33,23 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "sec
 #: Least score (sensitivity times likelihood of the value) and least characters of a literal.
 LEAST_SCORE, LEAST_LENGTH = 0.45, 8
 
-_LEX = re.compile(
-    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,127})(?P<quote>["']?)[ \t]*(?P<op>:=|=(?![=>~])|:(?![:/]))[ \t]*"""
-    r"""(?P<value>(?:"[^"\n]{0,4096}"|'[^'\n]{0,4096}'|[A-Za-z_$][A-Za-z0-9_.${}-]{0,255}|[A-Za-z0-9+/_=.$!@%^&*-]{1,4096})"""
-    r"""(?:[ \t]*\+[ \t]*(?:"[^"\n]{0,4096}"|'[^'\n]{0,4096}'|[A-Za-z_][A-Za-z0-9_.]{0,127})){0,16})"""
+_NAMED = r"""[A-Za-z_][A-Za-z0-9_.-]*+"""
+#: A name, at the begin of its run of characters, and what assigns: `a: kind = b` has its type's name too.
+_HEAD = re.compile(
+    rf"""(?<![A-Za-z0-9_.-])[0-9.-]*+(?P<name>{_NAMED})["']?[ \t]*+(?::=|=>|=(?![=~])|:(?![:/])(?:[ \t]*+[&*]*+(?P<type>[A-Za-z_][A-Za-z0-9_.]*+)"""
+    rf"""(?:[\[<\]>][^\n=:\[\]<>]*+)*+\??(?:[ \t]*+\|[ \t]*+[A-Za-z_][A-Za-z0-9_.]*+)*+[ \t]*+=(?![=~>]))?)[ \t]*+"""
 )
-_OPERAND = re.compile(r""""[^"\n]*"|'[^'\n]*'|[^\s+"']+""")
+_STRING = r""""[^"\n]*+"|'[^'\n]*+'"""
+
+
+def _operand(stops: str) -> re.Pattern[str]:
+    """A string, or a whole run of literal characters; a run ends before a string that is joined to it, and where `stops` begin a further pair."""
+    return re.compile(rf"""{_STRING}|(?:\$?\{{[A-Za-z0-9_.]*+\}}|(?!\+[ \t]*+["']|&&|[{stops}]{_NAMED}[=:])[^\s"'`,;()\[\]{{}}<>])++""")
+
+
+#: Of names that are sensitive (a query string's next parameter ends a value), and of others (so does a pair within an address or path).
+_OPERAND, _PLAIN_OPERAND = _operand("&"), _operand("&?#|:/@")
+_JOINT = re.compile(r"[ \t]*+\+[ \t]*+")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _NAME = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.]*)\}?\Z")
 _HINT = re.compile(r"[=:]")
@@ -72,22 +83,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def pairs(text: str) -> list[tuple[str, list[tuple[str, int, int]], list[str]]]:
     """(name, its literals with their places, the names it refers to) of each assignment."""
-    out = []
-    for m in _LEX.finditer(text):
-        literals, refers = [], []
-        for o in _OPERAND.finditer(m["value"]):
-            start, end, word = m.start("value") + o.start(), m.start("value") + o.end(), o[0]
+    out, at = [], 0
+    while m := _HEAD.search(text, at):
+        at, literals, refers = m.end(), [], []
+        names = [m["name"], *([m["type"]] if m["type"] else [])]
+        operand = _OPERAND if any(map(sensitivity, names)) else _PLAIN_OPERAND
+        o = operand.match(text, at)
+        while o:
+            (start, at), word = o.span(), o[0]
             if word[0] in "\"'":
-                literals.append((word[1:-1], start + 1, end - 1))
-            elif (name := _NAME.match(word)) and not any(c.isdigit() for c in word):
-                refers.append(name[1])
-                literals.append((word, start, end))  # a bare word is a value too, in configurations
+                literals.append((word[1:-1], start + 1, at - 1))
             else:
-                word = word.rstrip(",;")
-                literals.append((word, start, start + len(word)))
-                if name:
-                    refers.append(name[1])
-        out.append((m["name"], literals, refers))
+                literals.append((word, start, at))  # a bare word is a value too, in configurations
+                refers += [name[1] for part in word.split("+") if (name := _NAME.match(part))]
+            joint = _JOINT.match(text, at)
+            o = operand.match(text, joint.end()) if joint else None
+        if literals:
+            out += [(name, literals, refers) for name in names]
     return out
 
 
@@ -113,7 +125,7 @@ def literal_spans(text: str) -> list[tuple[int, int, int]]:
     for w, (_, literals, refers) in zip(weight, found, strict=True):
         if w > 0:
             joined = likelihood("".join(x for x, _, _ in literals if x not in known)) if len(literals) > 1 else 0.0
-            spans |= {(start, 3, end) for value, start, end in literals if value and not (value in refers and value in known) and w * max(likelihood(value), joined) >= LEAST_SCORE}
+            spans |= {(start, 3, end) for value, start, end in literals if value and not all(x in refers and x in known for x in value.split("+")) and w * max(likelihood(value), joined) >= LEAST_SCORE}
     return sorted(spans)
 
 
