@@ -1,35 +1,56 @@
 """N-gram scoring by a weighted backoff automaton.
 
 Unigrams are smoothed by absolute discounting, the discounted mass being that of one unknown type, so
-they sum to one over the vocabulary and it. Bigrams and trigrams over the STATE_WORDS most frequent
-tokens are discounted and interpolated with the lower order. As an automaton: a state is a context, an
-arc carries a seen n-gram's log probability, and a failure arc leads to the next shorter context and
-carries the log of the mass left for it. One left-to-right traversal carries the state (the longest
-suffix that is one) and adds arcs' weights, following failure arcs where no arc has the token.
-
-The automaton and the counts of the FREQUENT words are bounded and broadcast. All words' counts stay in
-a table: a word beyond the frequent ones always falls through to the root, so its unigram weight is
-added afterwards by a join on its hash. Every count covers all training texts.
+they sum to one over the vocabulary and it. Bigrams and trigrams over all training words are discounted
+and interpolated with the lower order. As an automaton: a state is a context, an arc carries a seen
+n-gram's log probability, and a failure arc leads to the next shorter context and carries the log of the
+mass left for it. An arc's weight is written relative to the path of failure arcs that it replaces, and a
+context's failure arc is added to the arc that leads to it; a traversal's weight is then a sum over the
+n-grams of a text, and those without an arc add nothing.
+
+The arcs are a table keyed by hashes, which grows with the training texts. Those of the highest counts are
+broadcast, and so is a bit table of a fixed size that tells most n-grams without an arc; both only save
+rows. All other n-grams of a text, summed up by text, meet the table in a join. Every count covers all
+training texts.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Words, blocks, checkpointed, crc_residue
+from tallyforge.llm.common import Scratch, Words, blocks, checkpointed, crc_residue
 
-#: Bounds of what is broadcast: words with counts, words that make contexts, n-grams of each order.
-FREQUENT, STATE_WORDS, MOST_NGRAMS = 1 << 18, 512, 1 << 20
+#: Bounds of what is broadcast: words, n-grams of each order, bigrams while the model is made, and the power of two of 64-bit words of the bit table.
+FREQUENT, HOT_NGRAMS, HOT_CONTEXTS, FILTER_BITS = 1 << 18, 1 << 20, 1 << 18, 21
 #: Discount of higher orders, least count of an n-gram's arc, and the base score's added count.
 DISCOUNT, LEAST_COUNT, ADDED = 0.75, 2, 0.1
-_BITS = 20
-_END = 0  # the end's id among state words
+#: The hash that stands for a text's end, and the least share that a context leaves.
+_END, _LEAST_LEFT = 0x5851F42D4C957F2D, 1e-12
+_P1, _P2, _P3, _P4, _P5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, n: int) -> np.ndarray:
+    return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+
+def pair_hash(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of two columns of longs, over arrays of unsigned ones."""
+    h = np.uint64(42)
+    with np.errstate(over="ignore"):
+        for part in (x, y):
+            h = h + _P5 + np.uint64(8) ^ _turned(part * _P2, 31) * _P1
+            h = _turned(h, 27) * _P1 + _P4
+            h = (h ^ h >> np.uint64(33)) * _P2
+            h = (h ^ h >> np.uint64(29)) * _P3
+            h = h ^ h >> np.uint64(32)
+    return h
 
 
 def held_out(modulus: int = 10):
@@ -49,23 +70,23 @@ def unigram_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _top(counts: DataFrame, most: int, least: int = 1) -> DataFrame:
-    """The rows of the highest counts, as many whole classes of counts (eighths of a power of two) as `most` allows."""
-    classes = counts.where(F.col("c") >= least).groupBy(F.floor(F.log2("c") * 8).alias("k")).agg(F.count("*").alias("n")).collect()
-    bound, total = None, 0
-    for k, n in sorted(((r["k"], r["n"]) for r in classes), reverse=True):
+def _bound(counts: DataFrame, most: int) -> int:
+    """The least count of the rows that a broadcast takes: as many whole classes of counts (eighths of a power of two) as `most` allows."""
+    classes = counts.groupBy(F.floor(F.log2("c") * 8).alias("k")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
+    bound, total = 1 << 62, 0
+    for _, n, c in sorted(((r["k"], r["n"], r["c"]) for r in classes), reverse=True):
         total += n
         if total > most:
             break
-        bound = k
-    return counts.where(F.lit(False)) if bound is None else counts.where((F.col("c") >= least) & (F.floor(F.log2("c") * 8) >= bound))
+        bound = c
+    return bound
 
 
 class Unigrams:
-    """N, V, the number of training texts, the discount, and the frequent words (ascending hashes, counts)."""
+    """N, V, the number of training texts, the discount, and the least count of a frequent word."""
 
-    def __init__(self, n: int, v: int, ends: int, discount: float, keys: np.ndarray, counts: np.ndarray):
-        self.n, self.v, self.ends, self.discount, self.keys, self.counts = n, v, ends, discount, keys, counts
+    def __init__(self, n: int, v: int, ends: int, discount: float, bound: int):
+        self.n, self.v, self.ends, self.discount, self.bound = n, v, ends, discount, bound
 
     def base(self, c):
         return np.log10((c + ADDED) / (self.n + ADDED * (self.v + 1)))
@@ -81,145 +102,163 @@ def fit_unigrams(training: DataFrame) -> tuple[Unigrams, DataFrame]:
     counts = checkpointed(unigram_counts(training))
     total, v, n1, n2 = counts.agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first()
     ends = training.count()
-    top = _top(counts, FREQUENT).toArrow()
-    keys, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
-    order = np.argsort(keys)
     discount = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
-    return Unigrams((total or 0) + ends, v + (ends > 0), ends, discount, keys[order], c[order]), counts
-
-
-class Automaton:
-    """States 0 (root), one for each context; arcs by (state, word); one failure arc for each state."""
-
-    def __init__(self, uni: Unigrams, words: np.ndarray, word_counts: np.ndarray, bigrams: tuple[np.ndarray, np.ndarray], trigrams: tuple[np.ndarray, np.ndarray]):
-        """words: hashes of state words 1.., ascending; bigrams and trigrams: packed ids, ascending, and counts."""
-        self.uni, self.words = uni, words
-        root, mask = uni.weight(np.concatenate([[uni.ends], word_counts])), (1 << _BITS) - 1
-        keys, counts = bigrams
-        first, last = keys >> _BITS, keys & mask
-        ones, at = np.unique(first, return_inverse=True)
-        total, left = self._left(at, counts, word_counts[ones - 1] if len(ones) else np.zeros(0))
-        one_arcs = np.log10((counts - DISCOUNT) / total[at] + left[at] * 10.0 ** root[last])
-        self.one = np.zeros(len(words) + 2, np.int64)
-        self.one[ones] = np.arange(1, len(ones) + 1)
-        one_keys = self.one[first] << _BITS | last
-        # trigrams whose first two words are an arc's bigram
-        three, n = trigrams
-        place = np.minimum(np.searchsorted(keys, three >> _BITS), max(0, len(keys) - 1))
-        held = keys[place] == three >> _BITS if len(keys) else np.zeros(len(three), bool)
-        three, n, place = three[held], n[held], place[held]
-        self.two_keys, at = np.unique(three >> _BITS, return_inverse=True)
-        self.two = np.arange(len(self.two_keys)) + 1 + len(ones)
-        shorter, last = self.one[self.two_keys & mask], three & mask
-        total2, left2 = self._left(at, n, counts[np.searchsorted(keys, self.two_keys)])
-        weights = np.concatenate([[0.0], np.log10(left)])
-        # the lower order's weight: an arc of the shorter context, or its failure and the root
-        find = shorter[at] << _BITS | last
-        place = np.minimum(np.searchsorted(one_keys, find), max(0, len(one_keys) - 1))
-        hit = one_keys[place] == find if len(one_keys) else np.zeros(len(find), bool)
-        lower = np.where(hit, one_arcs[place] if len(one_arcs) else 0.0, weights[shorter[at]] + root[last])
-        two_arcs = np.log10((n - DISCOUNT) / total2[at] + left2[at] * 10.0**lower)
-        self.fail_to = np.concatenate([np.zeros(len(ones) + 1, np.int64), shorter])
-        self.fail_weight = np.concatenate([weights, np.log10(left2)])
-        self.arc_keys = np.concatenate([one_keys, self.two[at] << _BITS | last])
-        self.arc_weights = np.concatenate([one_arcs, two_arcs])
-
-    @staticmethod
-    def _left(at: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each context's total, and the share of it that its seen n-grams leave."""
-        totals = totals.astype(float)
-        return totals, np.maximum(1 - np.bincount(at, counts - DISCOUNT, len(totals)) / totals, 1e-12)
-
-    def states(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """The state after each token, from its id and the one before (-1: not a state word, or a text's begin)."""
-        state = self.one[last]  # index -1 is the entry kept at 0
-        if len(self.two_keys):
-            key = np.where((before > 0) & (last > 0), before << _BITS | last, -1)
-            at = np.minimum(np.searchsorted(self.two_keys, key), len(self.two_keys) - 1)
-            state = np.where(self.two_keys[at] == key, self.two[at], state)
-        return state
-
-    def weights(self, state: np.ndarray, word: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """Weight of reading each word (id, -1: no state word) in its state; root: its weight at the root."""
-        total, state, open_ = np.zeros(len(word)), state.copy(), np.ones(len(word), bool)
-        while (inner := np.flatnonzero(open_ & (state > 0))).size:
-            key = np.where(word[inner] >= 0, state[inner] << _BITS | word[inner], -1)
-            at = np.minimum(np.searchsorted(self.arc_keys, key), max(0, len(self.arc_keys) - 1))
-            hit = self.arc_keys[at] == key
-            total[inner[hit]] += self.arc_weights[at[hit]]
-            open_[inner[hit]] = False
-            miss = inner[~hit]
-            total[miss] += self.fail_weight[state[miss]]
-            state[miss] = self.fail_to[state[miss]]
-        return np.where(open_, total + root, total)
+    return Unigrams((total or 0) + ends, v + (ends > 0), ends, discount, _bound(counts, FREQUENT)), counts
 
 
 class _Stream:
-    """Tokens of a block's texts, each text's end among them: state word ids, counts (-1: beyond the frequent words), hashes."""
+    """Tokens of a block's texts, each text's end among them: hashes, texts, and the n-grams that end at a token."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, words: np.ndarray, uni: Unigrams | None = None):
+    def __init__(self, data: np.ndarray, offs: np.ndarray):
         w = Words(data, offs)
         n, h = len(offs) - 1, w.hashes()
-        size = len(h) + n
-        self.n_docs, self.ends = n, w.ptr[1:] + np.arange(n)
-        self.begins = w.ptr[:-1] + np.arange(n)
-        inner = np.ones(size, bool)
-        inner[self.ends] = False
-        self.inner, self.h = inner, h
+        self.ends = w.ptr[1:] + np.arange(n)
+        self.inner = np.ones(len(h) + n, bool)
+        self.inner[self.ends] = False
+        self.h = np.full(len(h) + n, _END, np.uint64)
+        self.h[self.inner] = h
         self.doc = np.repeat(np.arange(n), np.diff(w.ptr) + 1)
-        self.ids = np.full(size, -1, np.int64)
-        at = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
-        self.ids[inner] = np.where(words[at] == h, at + 1, -1) if len(words) else -1
-        self.ids[self.ends] = _END
-        if uni is not None:
-            at = np.minimum(np.searchsorted(uni.keys, h), max(0, len(uni.keys) - 1))
-            self.counts = np.full(size, uni.ends, np.int64)
-            self.counts[inner] = np.where(uni.keys[at] == h, uni.counts[at], -1) if len(uni.keys) else -1
-
-    def back(self, steps: int) -> np.ndarray:
-        """The id so many tokens before each token, -1 beyond the text's begin."""
-        out = np.full(len(self.ids), -1, np.int64)
-        out[steps:] = self.ids[:-steps] if steps < len(self.ids) else []
-        for k in range(steps):
-            at = self.begins + k
-            at = at[at <= self.ends]
-            out[at] = -1
-        return out
-
-
-def _ngram_counts(training: DataFrame, words: np.ndarray) -> DataFrame:
-    """(order, key, c) for bigrams and trigrams of state words; a key packs the ids, the last one lowest."""
-    shared = training.sparkSession.sparkContext.broadcast(words)
+        before = np.arange(len(self.h)) - (w.ptr[:-1] + np.arange(n))[self.doc]
+        self.two, self.three = np.flatnonzero(before > 0), np.flatnonzero(before > 1)
+        #: At each token from the second on, the hash of it and the one before (of one text or not).
+        self.pairs = pair_hash(self.h[:-1], self.h[1:])
+
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, x, y): words of bigrams, or the two bigrams' hashes of trigrams, by the last token."""
+        at, of, by = (self.two, self.h, 0) if order == 2 else (self.three, self.pairs, 1)
+        return at, of[at - 1 - by], of[at - by]
+
+
+class Filter:
+    """A bit table of hashes; one that is not in it was not added, one that is may have been."""
+
+    def __init__(self, hashes: DataFrame):
+        bits = " | ".join(f"shiftleft(1L, cast(shiftright(h, {s}) & 63 as int))" for s in (0, 6, 12, 18))
+        rows = hashes.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("at"), F.expr(bits).alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+        self.shift, self.table = np.uint64(64 - FILTER_BITS), np.zeros(1 << FILTER_BITS, np.uint64)
+        self.table[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+
+    def may_have(self, h: np.ndarray) -> np.ndarray:
+        bits = np.zeros(len(h), np.uint64)
+        for s in (0, 6, 12, 18):
+            bits |= np.uint64(1) << (h >> np.uint64(s) & np.uint64(63))
+        return self.table[h >> self.shift] & bits == bits
+
+
+def ngram_counts(training: DataFrame, order: int, shorter: Filter | None = None) -> DataFrame:
+    """(x, y, h, c): parts, hash and count of the bigrams or trigrams that occur LEAST_COUNT times.
+
+    A trigram occurs no oftener than its bigrams, so one with a bigram that is not in `shorter` is not counted.
+    """
+    shared = training.sparkSession.sparkContext.broadcast(shorter)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offs, _ in blocks(batch.column("text"), 16 << 20):
-                s = _Stream(data, offs, shared.value)
-                a, b, c = s.back(2), s.back(1), s.ids
-                for order, ok, key in ((2, (b > 0) & (c >= 0), b << _BITS | c), (3, (a > 0) & (b > 0) & (c >= 0), (a << _BITS | b) << _BITS | c)):
-                    k, n = np.unique(key[ok], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), order, np.int32)), pa.array(k), pa.array(n)], names=["ngram", "key", "c"])
-
-    return training.select("text").mapInArrow(run, "ngram int, key long, c long").groupBy("ngram", "key").agg(F.sum("c").alias("c"))
-
-
-def fit(training: DataFrame) -> tuple[Automaton, DataFrame]:
-    """The automaton learned from training (text), and the table of all words' counts."""
-    uni, counts = fit_unigrams(training)
-    order = np.lexsort((uni.keys, -uni.counts))[:STATE_WORDS]
-    chosen = np.sort(order)
-    words = uni.keys[chosen]
-    grams = checkpointed(_ngram_counts(training, words).where(F.col("c") >= LEAST_COUNT))
-    tables = []
-    for n in (2, 3):
-        top = _top(grams.where(F.col("ngram") == n), MOST_NGRAMS, LEAST_COUNT).toArrow()
-        keys, c = top["key"].to_numpy(), top["c"].to_numpy()
-        by_key = np.argsort(keys)
-        tables.append((keys[by_key], c[by_key]))
-    return Automaton(uni, words, uni.counts[chosen], *tables), counts
-
-
-def score(docs: DataFrame, model: Automaton, counts: DataFrame) -> DataFrame:
+                _, x, y = _Stream(data, offs).grams(order)
+                if shared.value is not None:
+                    ok = shared.value.may_have(x)
+                    ok[ok] = shared.value.may_have(y[ok])
+                    x, y = x[ok], y[ok]
+                _, at, n = np.unique(pair_hash(x, y), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x[at].view(np.int64)), pa.array(y[at].view(np.int64)), pa.array(n)], names=["x", "y", "c"])
+
+    counted = training.select("text").mapInArrow(run, "x long, y long, c long").groupBy("x", "y").agg(F.sum("c").alias("c"))
+    return counted.where(F.col("c") >= LEAST_COUNT).select("x", "y", F.xxhash64("x", "y").alias("h"), "c")
+
+
+def _looked_up(rows: DataFrame, key: str, table: DataFrame, bound: int, **columns: str) -> DataFrame:
+    """rows with the columns of the table's row whose h is their key; common keys by a broadcast, so that none gathers in a task."""
+    taken = [F.col("h").alias("_at"), *[F.col(c).alias(name) for name, c in columns.items()]]
+    hot, rest = F.broadcast(table.where(F.col("c") >= bound).select(taken)), table.where(F.col("c") < bound).select(taken)
+    near = rows.join(hot, F.col(key) == F.col("_at"))
+    far = rows.join(hot, F.col(key) == F.col("_at"), "left_anti").join(rest, F.col(key) == F.col("_at"))
+    return near.drop("_at").union(far.drop("_at"))
+
+
+def _clean(spark: SparkSession) -> None:
+    """Have the driver find the plans that are done, so that their shuffles leave the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _with_failure(contexts: DataFrame, longer: DataFrame) -> DataFrame:
+    """contexts (h, c, ...) with `fail`, their failure arc's log weight: of what the n-grams that go on from them leave."""
+    seen = longer.groupBy(F.col("x").alias("h")).agg(F.sum(F.col("c") - DISCOUNT).alias("seen"))
+    left = F.greatest(1 - F.col("seen") / F.col("c"), F.lit(_LEAST_LEFT))
+    return contexts.join(seen, "h", "left").withColumn("fail", F.when(F.col("seen").isNull(), 0.0).otherwise(F.log10(left))).drop("seen")
+
+
+def _arc(c: str, total: str, fail: str, lower: str):
+    """log10 probability of an n-gram seen c times, from its context's count and failure arc, and the lower order's."""
+    ten = F.lit(10.0)
+    return F.log10((F.col(c) - DISCOUNT) / F.col(total) + F.pow(ten, F.col(fail)) * F.pow(ten, F.col(lower)))
+
+
+class Automaton:
+    """The arcs (h, c, weight) of words, bigrams and trigrams as a table, and what of it is broadcast.
+
+    words, counts, weights: the frequent words; hot, hot_weights: the n-grams of the highest counts; seen: a
+    filter of the others. A word's weight holds its failure arc, as a token always follows it.
+    """
+
+    def __init__(self, training: DataFrame):
+        raw, kept = Scratch(training.sparkSession), Scratch(training.sparkSession)
+        self.uni, counts = fit_unigrams(training)
+        uni = self.uni
+        two = raw.write(ngram_counts(training, 2))
+        seen = Filter(two.select("h"))
+        _clean(training.sparkSession)
+        three = raw.write(ngram_counts(training, 3, seen))
+        _clean(training.sparkSession)
+        root = F.log10((F.col("c") - uni.discount) / uni.n) if uni.n else F.lit(0.0)
+        words = kept.write(_with_failure(counts, two).withColumn("root", root))
+        bound, contexts = [uni.bound, _bound(two, HOT_NGRAMS), _bound(three, HOT_NGRAMS)], _bound(two, HOT_CONTEXTS)
+        end = training.sparkSession.createDataFrame([(np.uint64(_END).astype(np.int64).item(), uni.ends, 0.0, float(uni.weight(uni.ends)))], words.schema)
+        two = _looked_up(two, "x", words, bound[0], total="c", before="fail")
+        two = _looked_up(two, "y", words.unionByName(end), bound[0], lower="root")
+        two = two.withColumn("arc", _arc("c", "total", "before", "lower"))
+        two = kept.write(_with_failure(two.select("h", "c", "arc", (F.col("arc") - F.col("before") - F.col("lower")).alias("over")), three))
+        _clean(training.sparkSession)
+        three = _looked_up(three, "x", two, contexts, total="c", before="fail")
+        three = _looked_up(three, "y", two, contexts, lower="arc").withColumn("arc", _arc("c", "total", "before", "lower"))
+        three = kept.write(three.select("h", "c", (F.col("arc") - F.col("before") - F.col("lower")).alias("weight")))
+        raw.drop()
+        arcs = [words.select("h", "c", (F.col("root") + F.col("fail")).alias("weight")), two.select("h", "c", (F.col("over") + F.col("fail")).alias("weight")), three]
+        hot = [self._sorted(a.where(F.col("c") >= b)) for a, b in zip(arcs, bound, strict=True)]
+        rest = [a.where(F.col("c") < b) for a, b in zip(arcs, bound, strict=True)]
+        self.words, self.counts, self.weights = hot[0]
+        self.hot, self.hot_weights = np.concatenate([hot[1][0], hot[2][0]]), np.concatenate([hot[1][2], hot[2][2]])
+        order = np.argsort(self.hot)
+        self.hot, self.hot_weights = self.hot[order], self.hot_weights[order]
+        self.seen = Filter(rest[1].select("h").union(rest[2].select("h")))
+        self.table = rest[0].union(rest[1]).union(rest[2])
+        _clean(training.sparkSession)
+
+    @staticmethod
+    def _sorted(arcs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = arcs.toArrow()
+        h = rows["h"].to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        return h[order], rows["c"].to_numpy()[order], rows["weight"].to_numpy()[order]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
+
+def _found(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of h would stand in keys (ascending), and whether it does."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return at, keys[at] == h
+
+
+def _taken(values: np.ndarray, at: np.ndarray, hit: np.ndarray, other: float) -> np.ndarray:
+    return np.where(hit, values[at], other) if len(values) else np.full(len(at), other)
+
+
+def score(docs: DataFrame, model: Automaton) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text).
 
     A null text is empty: it has the end alone. Rows that repeat a doc_id are scored each; extra columns
@@ -227,47 +266,56 @@ def score(docs: DataFrame, model: Automaton, counts: DataFrame) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     uni = model.uni
-    names = ["row", "doc_id", "whole", "h", "m", "n_tokens", "n_known", "base", "score"]
+    names = ["row", "doc_id", "part", "h", "m", "n_tokens", "n_known", "base", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, row = shared.value, TaskContext.get().partitionId() << 36
         for batch in batches:
             for i, j, data, offs, _ in blocks(batch.column("text")):
                 n = j - i
-                s = _Stream(data, offs, known.words, known.uni)
-                first, second = s.back(1), s.back(2)
-                state = np.where(first < 0, 0, known.states(second, first))
-                frequent = s.counts >= 0
-                w = known.weights(state, s.ids, np.where(frequent, known.uni.weight(np.maximum(s.counts, 0)), 0.0))
-                base = np.where(frequent, known.uni.base(np.maximum(s.counts, 0)), 0.0)
-                sums = [np.bincount(s.doc, weights=x, minlength=n) for x in (np.ones(len(s.doc)), frequent & (s.counts > 0), base, w)]
+                s = _Stream(data, offs)
                 rows = row + np.arange(n)
                 row += n
-                rare = ~frequent[s.inner]
-                key = np.stack([rows[s.doc[s.inner][rare]], s.h[rare].view(np.int64)], axis=1)
-                order = np.lexsort((key[:, 1], key[:, 0]))
-                key = key[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]).any(axis=1)
-                at = np.flatnonzero(new)
-                m, k = np.diff(np.append(at, len(key))), len(at)
+                # words and bigrams and trigrams, each hash once: (its number, the texts that it stands in)
+                grams = [s.grams(k) for k in (2, 3)]
+                at = [np.flatnonzero(s.inner), grams[0][0], grams[1][0]]
+                words, word = np.unique(s.h[at[0]], return_inverse=True)
+                longer, gram = np.unique(np.concatenate([s.pairs[at[1] - 1], pair_hash(*grams[1][1:])]), return_inverse=True)
+                in_words, in_longer = s.doc[at[0]], s.doc[np.concatenate(at[1:])]
+                place, hit = _found(known.words, words)
+                counts, w = _taken(known.counts, place, hit, 0), _taken(known.weights, place, hit, 0.0)
+                base = np.where(hit, known.uni.base(counts), 0.0)
+                place, common = _found(known.hot, longer)
+                extra = _taken(known.hot_weights, place, common, 0.0)
+                sums = [np.bincount(s.doc, minlength=n), np.bincount(in_words, hit[word], n) + (known.uni.ends > 0)]
+                sums += [np.bincount(in_words, base[word], n) + known.uni.base(known.uni.ends)]
+                sums += [np.bincount(in_words, w[word], n) + np.bincount(in_longer, extra[gram], n) + known.uni.weight(known.uni.ends)]
                 doc_ids = batch.column("doc_id").slice(i, n)
-                yield pa.RecordBatch.from_arrays([pa.array(rows), doc_ids, pa.array(np.ones(n, bool)), pa.array(rows * 0x9E3779B1), pa.array(np.ones(n, np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3])], names=names)
-                none = [pa.nulls(k, kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(key[at, 0]), pa.nulls(k, pa.int64()), pa.array(np.zeros(k, bool)), pa.array(key[at, 1]), pa.array(m), *none], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), doc_ids, pa.array(np.zeros(n, np.int32)), pa.array(rows * 0x9E3779B1), pa.array(np.ones(n, np.int64)), *[pa.array(x.astype(kind)) for x, kind in zip(sums, (np.int64, np.int64, float, float), strict=True)]], names=names)
+                open_ = ~common
+                open_[open_] = known.seen.may_have(longer[open_])
+                for part, keys, number, doc, ask in ((1, words, word, in_words, ~hit), (2, longer, gram, in_longer, open_)):
+                    chosen = ask[number]
+                    each, m = np.unique(doc[chosen] * max(1, len(keys)) + number[chosen], return_counts=True)
+                    k = len(each)
+                    none = [pa.nulls(k, kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[each // max(1, len(keys))]), pa.nulls(k, pa.int64()), pa.array(np.full(k, part, np.int32)), pa.array(keys[each % max(1, len(keys))].view(np.int64)), pa.array(m), *none], names=names)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = plain.mapInArrow(run, "row long, doc_id long, whole boolean, h long, m long, n_tokens long, n_known long, base double, score double")
-    c = F.when(~F.col("whole"), F.coalesce("c", F.lit(0)))
+    parts = plain.mapInArrow(run, "row long, doc_id long, part int, h long, m long, n_tokens long, n_known long, base double, score double")
+    whole, word = F.col("part") == 0, F.col("part") == 1
+    c = F.coalesce("c", F.lit(0))
     divisor = uni.n + ADDED * (uni.v + 1)
-    root = F.log10(F.when(c > 0, c - uni.discount).otherwise(uni.discount * uni.v) / uni.n) if uni.n else F.lit(0.0)
-    rare = {"n_known": F.when(c > 0, F.col("m")).otherwise(0), "base": F.col("m") * F.log10((c + ADDED) / divisor), "score": F.col("m") * root}
-    joined = parts.join(counts, "h", "left").select("row", "doc_id", "n_tokens", *[F.when(F.col("whole"), F.col(k)).otherwise(x).alias(k) for k, x in rare.items()])
+    rare = {
+        "n_known": F.when(word & (c > 0), F.col("m")).otherwise(0),
+        "base": F.when(word, F.col("m") * F.log10((c + ADDED) / divisor)).otherwise(0.0),
+        "score": F.col("m") * F.coalesce("weight", F.when(word, float(uni.weight(0))).otherwise(0.0)),
+    }
+    joined = parts.join(model.table, "h", "left").select("row", "doc_id", "n_tokens", *[F.when(whole, F.col(k)).otherwise(x).alias(k) for k, x in rare.items()])
     summed = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *[F.sum(k).alias(k) for k in rare])
     return summed.select("doc_id", "n_tokens", "n_known", F.lit(int(uni.n)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def train_and_score(docs: DataFrame) -> DataFrame:
     """score() of every row by a model of the rows that are not held out, with held_out."""
-    model, counts = fit(docs.where(~held_out()))
-    return score(docs, model, counts).withColumn("held_out", held_out())
+    return score(docs, Automaton(docs.where(~held_out()))).withColumn("held_out", held_out())

@@ -1,0 +1,55 @@
+"""N-grams of rare words are in the model, whatever part of it is broadcast."""
+
+from __future__ import annotations
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyforge.llm import backoff_lm as lm
+
+
+def test_pair_hash_is_sparks(spark):
+    x = np.random.default_rng(0).integers(-(2**63), 2**63, (50, 2))
+    got = spark.createDataFrame(x.tolist(), "x long, y long").select("x", "y", F.xxhash64("x", "y").alias("h")).collect()
+    want = {(int(a), int(b)): h for (a, b), h in zip(x, lm.pair_hash(*x.T.astype(np.uint64)).view(np.int64).tolist(), strict=True)}
+    assert all(want[r["x"], r["y"]] == r["h"] for r in got)
+
+
+@pytest.mark.parametrize("bounds", [(lm.FREQUENT, lm.HOT_NGRAMS, lm.HOT_CONTEXTS, lm.FILTER_BITS), (300, 50, 20, 2), (0, 0, 0, 6)], ids=["default", "some", "none"])
+def test_ngrams_of_rare_words(spark, monkeypatch, bounds):
+    for name, value in zip(("FREQUENT", "HOT_NGRAMS", "HOT_CONTEXTS", "FILTER_BITS"), bounds, strict=True):
+        monkeypatch.setattr(lm, name, value)
+    rng = np.random.default_rng(5)
+    common, passage = [f"c{i}" for i in range(600)], [f"rare{i}" for i in range(9)]
+    texts = [" ".join([*rng.choice(common, 60), *(passage if i % 9 == 1 else []), f"once{i}"]) for i in range(80)]
+    got = {r["doc_id"]: r for r in lm.train_and_score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    tokens = {d: [*t.split(), None] for d, t in enumerate(texts)}
+    train = [t for d, t in tokens.items() if zlib.crc32(str(d).encode()) % 10]
+    one, two, three = (Counter(g for t in train for g in zip(*[t[i:] for i in range(k)], strict=False)) for k in (1, 2, 3))
+    n, v = sum(one.values()), len(one)
+    n1, n2 = (sum(c == k for w, c in one.items() if w != (None,)) for k in (1, 2))
+    disc = min(0.95, max(0.1, n1 / (n1 + 2 * n2)))
+    seen = Counter()
+    for grams in (two, three):
+        for g in [g for g, c in grams.items() if c < lm.LEAST_COUNT]:
+            del grams[g]
+        for g, c in grams.items():
+            seen[g[:-1]] += c - lm.DISCOUNT
+
+    def p(g):
+        if len(g) == 1:
+            return (one[g] - disc if one[g] else disc * v) / n
+        if g[:-1] not in seen:
+            return p(g[1:])
+        total, counts = (one if len(g) == 2 else two)[g[:-1]], two if len(g) == 2 else three
+        return (counts[g] - lm.DISCOUNT if g in counts else 0) / total + (1 - seen[g[:-1]] / total) * p(g[1:])
+
+    assert any("rare4" in g for g in three)
+    for d, t in tokens.items():
+        assert got[d]["score"] == pytest.approx(sum(math.log10(p(tuple(t[max(0, i - 2) : i + 1]))) for i in range(len(t))))
+        assert got[d]["n_known"] == sum((w,) in one for w in t)
