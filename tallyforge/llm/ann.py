@@ -12,6 +12,8 @@ group, whose k best are merged per query. Nothing is broadcast but the rotation.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -59,8 +61,8 @@ def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1)
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, turn: np.ndarray, bound: float = BOUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of each query's k nearest of a block, its own id left out; ties to the smaller id."""
+def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, turn: np.ndarray, bound: float = BOUND) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, score, query's place) of each query's k nearest of a block, its own id left out; ties to the smaller id."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     codes, found = Codes(x, turn), []
@@ -76,9 +78,9 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
             at = np.flatnonzero(wanted[i])
             scores = _exact(x[at], query)
             best = np.lexsort((ids[at], -scores))[:k]
-            found.append((np.full(len(best), part_ids[i]), ids[at][best], scores[best]))
+            found.append((np.full(len(best), part_ids[i]), ids[at][best], scores[best], np.full(len(best), low + i)))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
@@ -94,29 +96,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, bound: float =
     """(query_id, rank, vec_id, score): for each query the k vectors of largest inner product, the nearest first.
 
     vectors and queries hold (vec_id, embedding). Rows that are not `usable`, or whose vec_id is null, take no
-    part, nor do vectors that are shorter than the longest one; a query never finds its own vec_id. Ties go to the smaller vec_id; of rows that repeat a vec_id each is a candidate. Fewer than k
+    part; a query meets the vectors of its own length. A repeated query row counts once, and rows of one id
+    with different vectors have ranks each; a query never finds its own vec_id. Ties go to the smaller vec_id; of rows that repeat a vec_id each is a candidate. Fewer than k
     candidates are all returned; empty tables give no rows.
     """
     spark = vectors.sparkSession
-    x, q = usable(vectors), usable(queries)
-    n, d = x.agg(F.count("*"), F.max(F.size("v"))).first()
-    schema = "query_id long, vec_id long, score double"
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    x, q = usable(vectors), usable(queries).distinct().withColumn("query", F.xxhash64("v"))
+    sizes = [{r["d"]: r["n"] for r in df.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()} for df in (x, q)]
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [_nearest_of_length(x, q, d, sizes[0][d], sizes[1][d], k, bound, seed, vectors_per_block, queries_per_block) for d in sorted(sizes[0].keys() & sizes[1].keys())]
+    return reduce(DataFrame.union, found) if found else none
+
+
+def _nearest_of_length(x: DataFrame, q: DataFrame, d: int, n: int, n_queries: int, k: int, bound: float, seed: int, vectors_per_block: int, queries_per_block: int) -> DataFrame:
+    """nearest() among the n vectors of length d, for the n_queries queries of that length."""
+    schema = "query_id long, query long, vec_id long, score double"
     x, q = x.where(F.size("v") == d), q.where(F.size("v") == d)
-    blocks, parts = max(8, -(-n // vectors_per_block)), max(1, -(-q.count() // queries_per_block))
+    blocks, parts = max(8, -(-n // vectors_per_block)), max(1, -(-n_queries // queries_per_block))
     turn = rotation(d, seed)
 
     def dealt(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
         block = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(own_n)).cast("int")
-        return df.select("vec_id", "v", block.alias(own), F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other))
+        return df.select("vec_id", "v", *[c for c in df.columns if c == "query"], block.alias(own), F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other))
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        query_ids, ids, scores = search_block(a["vec_id"].to_numpy(), np.stack(a["v"].to_numpy()), b["vec_id"].to_numpy(), np.stack(b["v"].to_numpy()), k, turn, bound)
-        return pd.DataFrame({"query_id": query_ids, "vec_id": ids, "score": scores})
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "query": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        query_ids, ids, scores, numbers = search_block(a["vec_id"].to_numpy(), np.stack(a["v"].to_numpy()), b["vec_id"].to_numpy(), np.stack(b["v"].to_numpy()), k, turn, bound)
+        return pd.DataFrame({"query_id": query_ids, "query": b["query"].to_numpy()[numbers], "vec_id": ids, "score": scores})
 
     found = dealt(x, "block", blocks, "part", parts).groupBy("block", "part").cogroup(dealt(q, "part", parts, "block", blocks).groupBy("block", "part")).applyInPandas(search, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
