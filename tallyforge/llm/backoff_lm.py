@@ -1,56 +1,46 @@
-"""N-gram scoring by a weighted backoff automaton.
-
-Unigrams are smoothed by absolute discounting, the discounted mass being that of one unknown type, so
-they sum to one over the vocabulary and it. Bigrams and trigrams over all training words are discounted
-and interpolated with the lower order. As an automaton: a state is a context, an arc carries a seen
-n-gram's log probability, and a failure arc leads to the next shorter context and carries the log of the
-mass left for it. An arc's weight is written relative to the path of failure arcs that it replaces, and a
-context's failure arc is added to the arc that leads to it; a traversal's weight is then a sum over the
-n-grams of a text, and those without an arc add nothing.
-
-The arcs are a table keyed by hashes, which grows with the training texts. Those of the highest counts are
-broadcast, and so is a bit table of a fixed size that tells most n-grams without an arc; both only save
-rows. All other n-grams of a text, summed up by text, meet the table in a join. Every count covers all
-training texts.
+"""N-gram scoring by a weighted backoff automaton that no machine holds whole.
+
+A state is a context of two words, of one or of none. An arc carries a seen n-gram's probability; a failure
+arc leads to the next shorter context and carries the weight left for it. Bigrams and trigrams are
+interpolated: an arc has (1 - left) * count / context's count + left * (the shorter context's probability),
+where `left`, the failure arc's weight, depends on the context's count. It is learned for classes of counts
+as the share of n-grams that are seen once, of contexts that are seen once more than the class says, which is
+how often an n-gram would be new if its occurrence were left out. Words are smoothed by absolute discounting,
+the discounted mass being that of one unknown type. Probabilities so sum to one over the vocabulary and it.
+
+The arcs' counts, of every n-gram of the training texts, are dealt out by hash into shards, as many as the
+texts' size asks for. Texts are dealt into units of bounded size. A unit sends each shard its different
+n-grams once, with their counts in its training texts, packed into one row; the shard sums the counts of all
+units and answers each with the totals in the order asked. With the answers a unit's texts are traversed from
+left to right, all tokens of a unit at once: at each token the arc of the longest context, or failure arcs
+and then an arc. No n-gram is left out and no row stands for a common n-gram more than once a unit, so none
+gathers in a task.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Scratch, Words, blocks, checkpointed, crc_residue
+from tallyforge.llm.common import Scratch, Words, clean, crc_residue, mix, release, string_buffers
 
-#: Bounds of what is broadcast: words, n-grams of each order, bigrams while the model is made, and the power of two of 64-bit words of the bit table.
-FREQUENT, HOT_NGRAMS, HOT_CONTEXTS, FILTER_BITS = 1 << 18, 1 << 20, 1 << 18, 21
-#: Discount of higher orders, least count of an n-gram's arc, and the base score's added count.
-DISCOUNT, LEAST_COUNT, ADDED = 0.75, 2, 0.1
-#: The hash that stands for a text's end, and the least share that a context leaves.
-_END, _LEAST_LEFT = 0x5851F42D4C957F2D, 1e-12
-_P1, _P2, _P3, _P4, _P5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-
-
-def _turned(x: np.ndarray, n: int) -> np.ndarray:
-    return x << np.uint64(n) | x >> np.uint64(64 - n)
+#: Bytes of text in a unit, in a shard's share and in a partition of units; a longer text is a unit of its own.
+UNIT_BYTES, SHARD_BYTES, PART_BYTES = 3 << 20, 6 << 20, 24 << 20
+#: The base score's added count; classes of counts for each power of two, and how many there are.
+ADDED, FINE, CLASSES = 0.1, 3, 200
+#: The hash that stands for a text's end.
+_END = 0x5851F42D4C957F2D
 
 
 def pair_hash(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of two columns of longs, over arrays of unsigned ones."""
-    h = np.uint64(42)
+    """A hash of ordered pairs of hashes; the lowest bit, which marks words, is 0."""
     with np.errstate(over="ignore"):
-        for part in (x, y):
-            h = h + _P5 + np.uint64(8) ^ _turned(part * _P2, 31) * _P1
-            h = _turned(h, 27) * _P1 + _P4
-            h = (h ^ h >> np.uint64(33)) * _P2
-            h = (h ^ h >> np.uint64(29)) * _P3
-            h = h ^ h >> np.uint64(32)
-    return h
+        return mix(mix(x ^ np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0x9E3779B97F4A7C15) + y) & ~np.uint64(1)
 
 
 def held_out(modulus: int = 10):
@@ -58,264 +48,296 @@ def held_out(modulus: int = 10):
     return F.coalesce(crc_residue("doc_id", modulus) == 0, F.lit(False))
 
 
-def unigram_counts(training: DataFrame) -> DataFrame:
-    """(h, c): hash and count of each word of the training texts; ends are not among them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offs, _ in blocks(batch.column("text"), 16 << 20):
-                h, n = np.unique(Words(data, offs).hashes(), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "c"])
-
-    return training.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+def count_class(c: np.ndarray) -> np.ndarray:
+    """The class of a context's count (at least 1): FINE for each power of two."""
+    return np.minimum(np.floor(np.log2(np.maximum(c, 1)) * FINE + 1e-9).astype(np.int64), CLASSES - 1)
 
 
-def _bound(counts: DataFrame, most: int) -> int:
-    """The least count of the rows that a broadcast takes: as many whole classes of counts (eighths of a power of two) as `most` allows."""
-    classes = counts.groupBy(F.floor(F.log2("c") * 8).alias("k")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
-    bound, total = 1 << 62, 0
-    for _, n, c in sorted(((r["k"], r["n"], r["c"]) for r in classes), reverse=True):
-        total += n
-        if total > most:
-            break
-        bound = c
-    return bound
+def left_shares(new: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The weight of the failure arc by class of the context's count, from n n-grams of which `new` are new."""
+    return (new + 0.5) / (n + 1.0)
 
 
 class Unigrams:
-    """N, V, the number of training texts, the discount, and the least count of a frequent word."""
+    """N, V and the discount, from the numbers of words that occur once and twice."""
 
-    def __init__(self, n: int, v: int, ends: int, discount: float, bound: int):
-        self.n, self.v, self.ends, self.discount, self.bound = n, v, ends, discount, bound
+    def __init__(self, n: int, v: int, n1: int, n2: int):
+        self.n, self.v = n, v
+        self.discount = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
 
-    def base(self, c):
+    def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + ADDED) / (self.n + ADDED * (self.v + 1)))
 
-    def weight(self, c):
-        """log10 probability at the root, for counts c."""
+    def probability(self, c: np.ndarray) -> np.ndarray:
+        """At the root, for counts c; one where nothing was learned."""
         if self.n == 0:
-            return np.zeros(np.shape(c))
-        return np.log10(np.where(np.asarray(c) > 0, c - self.discount, self.discount * self.v) / self.n)
-
+            return np.ones(np.shape(c))
+        return np.where(np.asarray(c) > 0, c - self.discount, self.discount * self.v) / self.n
 
-def fit_unigrams(training: DataFrame) -> tuple[Unigrams, DataFrame]:
-    counts = checkpointed(unigram_counts(training))
-    total, v, n1, n2 = counts.agg(F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first()
-    ends = training.count()
-    discount = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
-    return Unigrams((total or 0) + ends, v + (ends > 0), ends, discount, _bound(counts, FREQUENT)), counts
 
+class Stream:
+    """Tokens of a unit's texts, each text's end among them, and the n-grams that end at each token.
 
-class _Stream:
-    """Tokens of a block's texts, each text's end among them: hashes, texts, and the n-grams that end at a token."""
+    keys: the different n-grams of all orders, ascending; `order(k)` gives the tokens that have a k-gram
+    and the places of their k-grams in keys.
+    """
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
         w = Words(data, offs)
-        n, h = len(offs) - 1, w.hashes()
-        self.ends = w.ptr[1:] + np.arange(n)
-        self.inner = np.ones(len(h) + n, bool)
-        self.inner[self.ends] = False
-        self.h = np.full(len(h) + n, _END, np.uint64)
-        self.h[self.inner] = h
-        self.doc = np.repeat(np.arange(n), np.diff(w.ptr) + 1)
-        before = np.arange(len(self.h)) - (w.ptr[:-1] + np.arange(n))[self.doc]
-        self.two, self.three = np.flatnonzero(before > 0), np.flatnonzero(before > 1)
-        #: At each token from the second on, the hash of it and the one before (of one text or not).
-        self.pairs = pair_hash(self.h[:-1], self.h[1:])
-
-    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(tokens, x, y): words of bigrams, or the two bigrams' hashes of trigrams, by the last token."""
-        at, of, by = (self.two, self.h, 0) if order == 2 else (self.three, self.pairs, 1)
-        return at, of[at - 1 - by], of[at - by]
-
-
-class Filter:
-    """A bit table of hashes; one that is not in it was not added, one that is may have been."""
-
-    def __init__(self, hashes: DataFrame):
-        bits = " | ".join(f"shiftleft(1L, cast(shiftright(h, {s}) & 63 as int))" for s in (0, 6, 12, 18))
-        rows = hashes.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("at"), F.expr(bits).alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-        self.shift, self.table = np.uint64(64 - FILTER_BITS), np.zeros(1 << FILTER_BITS, np.uint64)
-        self.table[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-
-    def may_have(self, h: np.ndarray) -> np.ndarray:
-        bits = np.zeros(len(h), np.uint64)
-        for s in (0, 6, 12, 18):
-            bits |= np.uint64(1) << (h >> np.uint64(s) & np.uint64(63))
-        return self.table[h >> self.shift] & bits == bits
-
-
-def ngram_counts(training: DataFrame, order: int, shorter: Filter | None = None) -> DataFrame:
-    """(x, y, h, c): parts, hash and count of the bigrams or trigrams that occur LEAST_COUNT times.
-
-    A trigram occurs no oftener than its bigrams, so one with a bigram that is not in `shorter` is not counted.
+        self.n = len(offs) - 1
+        length = np.diff(w.ptr) + 1
+        self.ends = np.cumsum(length) - 1
+        self.h = np.empty(len(w.starts) + self.n, np.uint64)
+        inner = np.ones(len(self.h), bool)
+        inner[self.ends] = False
+        self.h[inner] = w.hashes()
+        self.h[self.ends] = _END
+        self.h |= np.uint64(1)
+        self.doc = np.repeat(np.arange(self.n), length)
+        before = np.arange(len(self.h)) - np.repeat(self.ends - length + 1, length)
+        pairs = pair_hash(self.h[:-1], self.h[1:])
+        self.at = [np.arange(len(self.h)), np.flatnonzero(before > 0), np.flatnonzero(before > 1)]
+        grams = [self.h, pairs[self.at[1] - 1], pair_hash(pairs[self.at[2] - 2], pairs[self.at[2] - 1])]
+        self.keys, self.places = np.unique(np.concatenate(grams), return_inverse=True)
+        self.cuts = np.cumsum([0, *map(len, grams)])
+
+    def order(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.at[k - 1], self.places[self.cuts[k - 1] : self.cuts[k]]
+
+    def counts(self, counted: np.ndarray) -> np.ndarray:
+        """How often each key stands in the texts that are marked."""
+        out = np.zeros(len(self.keys), np.int64)
+        for k in (1, 2, 3):
+            at, places = self.order(k)
+            out += np.bincount(places[counted[self.doc[at]]], minlength=len(out))
+        return out
+
+    def spread(self, totals: np.ndarray) -> tuple[np.ndarray, ...]:
+        """At each token: its count, its bigram's and its trigram's, and those of the two contexts; 0 where there is none."""
+        one, two, three, last, last_two = (np.zeros(len(self.h), np.int64) for _ in range(5))
+        for out, k in ((one, 1), (two, 2), (three, 3)):
+            at, places = self.order(k)
+            out[at] = totals[places]
+        last[self.at[1]] = one[self.at[1] - 1]
+        last_two[self.at[2]] = two[self.at[2] - 1]
+        return one, two, three, last, last_two
+
+
+def traverse(counts: tuple[np.ndarray, ...], uni: Unigrams, left: np.ndarray) -> np.ndarray:
+    """log10 probability of each token, from `Stream.spread` and the failure arcs' weights of both orders (2 x CLASSES).
+
+    A context without a count is no state: the automaton is in that of the next shorter one.
     """
-    shared = training.sparkSession.sparkContext.broadcast(shorter)
+    one, two, three, last, last_two = counts
+    p = uni.probability(one)
+    for shares, c, context in ((left[0], two, last), (left[1], three, last_two)):
+        fail = shares[count_class(context)]
+        p = np.where(context > 0, (1 - fail) * c / np.maximum(context, 1) + fail * p, p)
+    return np.log10(p)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers as their bytes, the lowest of all first: small ones leave runs of zeros, which compress."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _from_planes(b: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(b, np.uint8).reshape(width, -1).T.copy().view(kind)[:, 0]
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Rows that follow each other and are of one unit, together."""
+    unit, held = None, []
+    for batch in batches:
+        units = batch.column("unit").to_numpy()
+        cuts = [0, *(np.flatnonzero(units[1:] != units[:-1]) + 1).tolist(), len(units)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b == a:
+                continue
+            if held and unit != units[a]:
+                yield unit, held
+                release()
+                held = []
+            unit = units[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield unit, held
+        release()
+
+
+def _stream(parts: list[pa.RecordBatch]) -> tuple[Stream, pa.Table]:
+    table = pa.Table.from_batches(parts)
+    data, offs, _ = string_buffers(table["text"])
+    return Stream(data, offs), table
+
+
+def _dealt(rows: DataFrame, unit_bytes: int) -> DataFrame:
+    """rows with the number of a unit: rows of a partition in order, as many as unit_bytes holds."""
+    names = ["unit", "doc_id", "counted", "asked", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, room = TaskContext.get().partitionId() << 36, unit_bytes
         for batch in batches:
-            for _, _, data, offs, _ in blocks(batch.column("text"), 16 << 20):
-                _, x, y = _Stream(data, offs).grams(order)
-                if shared.value is not None:
-                    ok = shared.value.may_have(x)
-                    ok[ok] = shared.value.may_have(y[ok])
-                    x, y = x[ok], y[ok]
-                _, at, n = np.unique(pair_hash(x, y), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x[at].view(np.int64)), pa.array(y[at].view(np.int64)), pa.array(n)], names=["x", "y", "c"])
+            units = np.empty(batch.num_rows, np.int64)
+            _, offs, _ = string_buffers(batch.column("text"))
+            for i, size in enumerate(np.diff(offs).tolist()):
+                if size > room and room < unit_bytes:
+                    unit, room = unit + 1, unit_bytes
+                units[i] = unit
+                room -= size
+            yield pa.RecordBatch.from_arrays([pa.array(units), *[batch.column(c) for c in names[1:]]], names=names)
+
+    return rows.mapInArrow(run, "unit long, doc_id long, counted boolean, asked boolean, text string")
+
 
-    counted = training.select("text").mapInArrow(run, "x long, y long, c long").groupBy("x", "y").agg(F.sum("c").alias("c"))
-    return counted.where(F.col("c") >= LEAST_COUNT).select("x", "y", F.xxhash64("x", "y").alias("h"), "c")
+def _asked_for(texts: DataFrame, shards: int) -> DataFrame:
+    """(shard, unit, keys, counts): for each unit and shard, the unit's n-grams there and their training counts."""
+    names = ["shard", "unit", "keys", "counts"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
+        for unit, parts in _units(batches):
+            stream, table = _stream(parts)
+            counts = stream.counts(table["counted"].to_numpy(zero_copy_only=False))
+            cuts = [0, *np.searchsorted(stream.keys, edges).tolist(), len(stream.keys)]
+            full = [s for s in range(shards) if cuts[s + 1] > cuts[s]]
+            keys = [_planes(np.diff(stream.keys[cuts[s] : cuts[s + 1]], prepend=np.uint64(0))) for s in full]
+            own = [_planes(counts[cuts[s] : cuts[s + 1]].astype(np.uint32)) for s in full]
+            del stream
+            for low in range(0, len(full), 500):
+                part = slice(low, low + 500)
+                yield pa.RecordBatch.from_arrays([pa.array(full[part], pa.int32()), pa.array([unit] * len(full[part]), pa.int64()), pa.array(keys[part], pa.binary()), pa.array(own[part], pa.binary())], names=names)
 
-def _looked_up(rows: DataFrame, key: str, table: DataFrame, bound: int, **columns: str) -> DataFrame:
-    """rows with the columns of the table's row whose h is their key; common keys by a broadcast, so that none gathers in a task."""
-    taken = [F.col("h").alias("_at"), *[F.col(c).alias(name) for name, c in columns.items()]]
-    hot, rest = F.broadcast(table.where(F.col("c") >= bound).select(taken)), table.where(F.col("c") < bound).select(taken)
-    near = rows.join(hot, F.col(key) == F.col("_at"))
-    far = rows.join(hot, F.col(key) == F.col("_at"), "left_anti").join(rest, F.col(key) == F.col("_at"))
-    return near.drop("_at").union(far.drop("_at"))
+    return texts.mapInArrow(run, "shard int, unit long, keys binary, counts binary")
 
 
-def _clean(spark: SparkSession) -> None:
-    """Have the driver find the plans that are done, so that their shuffles leave the executors' disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+_ANSWER = "unit long, shard int, counts binary, n long, v long, n1 long, n2 long"
 
 
-def _with_failure(contexts: DataFrame, longer: DataFrame) -> DataFrame:
-    """contexts (h, c, ...) with `fail`, their failure arc's log weight: of what the n-grams that go on from them leave."""
-    seen = longer.groupBy(F.col("x").alias("h")).agg(F.sum(F.col("c") - DISCOUNT).alias("seen"))
-    left = F.greatest(1 - F.col("seen") / F.col("c"), F.lit(_LEAST_LEFT))
-    return contexts.join(seen, "h", "left").withColumn("fail", F.when(F.col("seen").isNull(), 0.0).otherwise(F.log10(left))).drop("seen")
+def _answers(asked: DataFrame, shards: int, partitions: int) -> DataFrame:
+    """(unit, shard, counts): the totals, in the order asked. A shard's first row also has its words' sums: n, v, n1 and n2."""
+    names = [x.split()[0] for x in _ANSWER.split(", ")]
+    end = np.uint64(_END | 1)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, parts in _units(b.rename_columns(["unit", "of", "keys", "counts"]) for b in batches):
+            table = pa.Table.from_batches(parts)
+            units = table["of"].to_numpy()
+            each = [np.cumsum(_from_planes(b, np.uint64)) for b in table["keys"].to_pylist()]
+            cuts = np.cumsum([0, *map(len, each)])
+            keys, place = np.unique(np.concatenate(each), return_inverse=True)
+            del each
+            totals = np.zeros(len(keys), np.int64)
+            for a, b in zip(cuts[:-1].tolist(), table["counts"].to_pylist(), strict=True):
+                own = _from_planes(b, np.uint32)
+                totals[place[a : a + len(own)]] += own  # a unit has a key once
+            word = (keys & np.uint64(1)).astype(bool) & (totals > 0)
+            plain = totals[word & (keys != end)]
+            sums = [totals[word].sum(), word.sum(), (plain == 1).sum(), (plain == 2).sum()]
+            for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                own = [pa.array([int(x) if i == 0 else 0], pa.int64()) for x in sums]
+                yield pa.RecordBatch.from_arrays([pa.array([units[i]], pa.int64()), pa.array([shard], pa.int32()), pa.array([_planes(totals[place[a:b]])], pa.binary()), *own], names=names)
+
+    return asked.repartition(partitions, "shard").sortWithinPartitions("shard", "unit").mapInArrow(run, _ANSWER)
+
+
+_ROW = "unit long, shard int, doc_id long, asked boolean, counted boolean, text string, counts binary"
+
+
+def _answered(texts: DataFrame, answers: DataFrame, partitions: int) -> DataFrame:
+    """Each unit's texts and then its answers by shard, in one partition."""
+    own = texts.selectExpr("unit", "-1 AS shard", "doc_id", "asked", "counted", "text", "CAST(NULL AS BINARY) AS counts")
+    got = answers.selectExpr("unit", "shard", "CAST(NULL AS LONG) AS doc_id", "false AS asked", "false AS counted", "CAST(NULL AS STRING) AS text", "counts")
+    return own.unionByName(got).repartition(partitions, "unit").sortWithinPartitions("unit", "shard")
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Stream, pa.Table, tuple[np.ndarray, ...]]]:
+    """For each unit: its tokens, its texts' rows, and the counts at each token."""
+    for _, parts in _units(batches):
+        table = pa.Table.from_batches(parts)
+        answers = table["shard"].to_numpy() >= 0
+        totals = np.concatenate([_from_planes(b, np.int64) for b in table["counts"].filter(pa.array(answers)).to_pylist()] or [np.zeros(0, np.int64)])
+        table = table.filter(pa.array(~answers)).drop_columns(["counts"])
+        stream, table = _stream(table.to_batches())
+        if len(totals) != len(stream.keys):
+            raise ValueError(f"a unit of {len(stream.keys)} n-grams got {len(totals)} answers")
+        yield stream, table, stream.spread(totals)
+        del stream, table, totals
+
+
+def _learn_left(answered: DataFrame) -> np.ndarray:
+    """The failure arcs' weights of bigrams and trigrams, from all tokens of all training texts."""
 
-def _arc(c: str, total: str, fail: str, lower: str):
-    """log10 probability of an n-gram seen c times, from its context's count and failure arc, and the lower order's."""
-    ten = F.lit(10.0)
-    return F.log10((F.col(c) - DISCOUNT) / F.col(total) + F.pow(ten, F.col(fail)) * F.pow(ten, F.col(lower)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, new = np.zeros((2, CLASSES), np.int64), np.zeros((2, CLASSES), np.int64)
+        for stream, table, (_, two, three, last, last_two) in _spread(batches):
+            counted = table["counted"].to_numpy(zero_copy_only=False)[stream.doc]
+            for k, c, context in ((0, two, last), (1, three, last_two)):
+                at = counted & (context > 1)
+                kind = count_class(context[at] - 1)
+                n[k] += np.bincount(kind, minlength=CLASSES)
+                new[k] += np.bincount(kind[c[at] == 1], minlength=CLASSES)
+        order, kind = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(kind), pa.array(n[order, kind]), pa.array(new[order, kind])], names=["k", "class", "n", "new"])
 
+    rows = answered.mapInArrow(run, "k long, class long, n long, new long").groupBy("k", "class").agg(F.sum("n").alias("n"), F.sum("new").alias("new")).collect()
+    n, new = np.zeros((2, CLASSES)), np.zeros((2, CLASSES))
+    for r in rows:
+        n[r["k"], r["class"]], new[r["k"], r["class"]] = r["n"], r["new"]
+    return left_shares(new, n)
 
-class Automaton:
-    """The arcs (h, c, weight) of words, bigrams and trigrams as a table, and what of it is broadcast.
 
-    words, counts, weights: the frequent words; hot, hot_weights: the n-grams of the highest counts; seen: a
-    filter of the others. A word's weight holds its failure arc, as a token always follows it.
-    """
+_SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def __init__(self, training: DataFrame):
-        raw, kept = Scratch(training.sparkSession), Scratch(training.sparkSession)
-        self.uni, counts = fit_unigrams(training)
-        uni = self.uni
-        two = raw.write(ngram_counts(training, 2))
-        seen = Filter(two.select("h"))
-        _clean(training.sparkSession)
-        three = raw.write(ngram_counts(training, 3, seen))
-        _clean(training.sparkSession)
-        root = F.log10((F.col("c") - uni.discount) / uni.n) if uni.n else F.lit(0.0)
-        words = kept.write(_with_failure(counts, two).withColumn("root", root))
-        bound, contexts = [uni.bound, _bound(two, HOT_NGRAMS), _bound(three, HOT_NGRAMS)], _bound(two, HOT_CONTEXTS)
-        end = training.sparkSession.createDataFrame([(np.uint64(_END).astype(np.int64).item(), uni.ends, 0.0, float(uni.weight(uni.ends)))], words.schema)
-        two = _looked_up(two, "x", words, bound[0], total="c", before="fail")
-        two = _looked_up(two, "y", words.unionByName(end), bound[0], lower="root")
-        two = two.withColumn("arc", _arc("c", "total", "before", "lower"))
-        two = kept.write(_with_failure(two.select("h", "c", "arc", (F.col("arc") - F.col("before") - F.col("lower")).alias("over")), three))
-        _clean(training.sparkSession)
-        three = _looked_up(three, "x", two, contexts, total="c", before="fail")
-        three = _looked_up(three, "y", two, contexts, lower="arc").withColumn("arc", _arc("c", "total", "before", "lower"))
-        three = kept.write(three.select("h", "c", (F.col("arc") - F.col("before") - F.col("lower")).alias("weight")))
-        raw.drop()
-        arcs = [words.select("h", "c", (F.col("root") + F.col("fail")).alias("weight")), two.select("h", "c", (F.col("over") + F.col("fail")).alias("weight")), three]
-        hot = [self._sorted(a.where(F.col("c") >= b)) for a, b in zip(arcs, bound, strict=True)]
-        rest = [a.where(F.col("c") < b) for a, b in zip(arcs, bound, strict=True)]
-        self.words, self.counts, self.weights = hot[0]
-        self.hot, self.hot_weights = np.concatenate([hot[1][0], hot[2][0]]), np.concatenate([hot[1][2], hot[2][2]])
-        order = np.argsort(self.hot)
-        self.hot, self.hot_weights = self.hot[order], self.hot_weights[order]
-        self.seen = Filter(rest[1].select("h").union(rest[2].select("h")))
-        self.table = rest[0].union(rest[1]).union(rest[2])
-        _clean(training.sparkSession)
-
-    @staticmethod
-    def _sorted(arcs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows = arcs.toArrow()
-        h = rows["h"].to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        return h[order], rows["c"].to_numpy()[order], rows["weight"].to_numpy()[order]
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "table"}
-
-
-def _found(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each of h would stand in keys (ascending), and whether it does."""
-    if not len(keys):
-        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return at, keys[at] == h
-
-
-def _taken(values: np.ndarray, at: np.ndarray, hit: np.ndarray, other: float) -> np.ndarray:
-    return np.where(hit, values[at], other) if len(values) else np.full(len(at), other)
-
-
-def score(docs: DataFrame, model: Automaton) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text).
-
-    A null text is empty: it has the end alone. Rows that repeat a doc_id are scored each; extra columns
-    are not read.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    uni = model.uni
-    names = ["row", "doc_id", "part", "h", "m", "n_tokens", "n_known", "base", "score"]
+
+def _scored(answered: DataFrame, uni: Unigrams, left: np.ndarray) -> DataFrame:
+    names = [x.split()[0] for x in _SCORED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, row = shared.value, TaskContext.get().partitionId() << 36
-        for batch in batches:
-            for i, j, data, offs, _ in blocks(batch.column("text")):
-                n = j - i
-                s = _Stream(data, offs)
-                rows = row + np.arange(n)
-                row += n
-                # words and bigrams and trigrams, each hash once: (its number, the texts that it stands in)
-                grams = [s.grams(k) for k in (2, 3)]
-                at = [np.flatnonzero(s.inner), grams[0][0], grams[1][0]]
-                words, word = np.unique(s.h[at[0]], return_inverse=True)
-                longer, gram = np.unique(np.concatenate([s.pairs[at[1] - 1], pair_hash(*grams[1][1:])]), return_inverse=True)
-                in_words, in_longer = s.doc[at[0]], s.doc[np.concatenate(at[1:])]
-                place, hit = _found(known.words, words)
-                counts, w = _taken(known.counts, place, hit, 0), _taken(known.weights, place, hit, 0.0)
-                base = np.where(hit, known.uni.base(counts), 0.0)
-                place, common = _found(known.hot, longer)
-                extra = _taken(known.hot_weights, place, common, 0.0)
-                sums = [np.bincount(s.doc, minlength=n), np.bincount(in_words, hit[word], n) + (known.uni.ends > 0)]
-                sums += [np.bincount(in_words, base[word], n) + known.uni.base(known.uni.ends)]
-                sums += [np.bincount(in_words, w[word], n) + np.bincount(in_longer, extra[gram], n) + known.uni.weight(known.uni.ends)]
-                doc_ids = batch.column("doc_id").slice(i, n)
-                yield pa.RecordBatch.from_arrays([pa.array(rows), doc_ids, pa.array(np.zeros(n, np.int32)), pa.array(rows * 0x9E3779B1), pa.array(np.ones(n, np.int64)), *[pa.array(x.astype(kind)) for x, kind in zip(sums, (np.int64, np.int64, float, float), strict=True)]], names=names)
-                open_ = ~common
-                open_[open_] = known.seen.may_have(longer[open_])
-                for part, keys, number, doc, ask in ((1, words, word, in_words, ~hit), (2, longer, gram, in_longer, open_)):
-                    chosen = ask[number]
-                    each, m = np.unique(doc[chosen] * max(1, len(keys)) + number[chosen], return_counts=True)
-                    k = len(each)
-                    none = [pa.nulls(k, kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[each // max(1, len(keys))]), pa.nulls(k, pa.int64()), pa.array(np.full(k, part, np.int32)), pa.array(keys[each % max(1, len(keys))].view(np.int64)), pa.array(m), *none], names=names)
-
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = plain.mapInArrow(run, "row long, doc_id long, part int, h long, m long, n_tokens long, n_known long, base double, score double")
-    whole, word = F.col("part") == 0, F.col("part") == 1
-    c = F.coalesce("c", F.lit(0))
-    divisor = uni.n + ADDED * (uni.v + 1)
-    rare = {
-        "n_known": F.when(word & (c > 0), F.col("m")).otherwise(0),
-        "base": F.when(word, F.col("m") * F.log10((c + ADDED) / divisor)).otherwise(0.0),
-        "score": F.col("m") * F.coalesce("weight", F.when(word, float(uni.weight(0))).otherwise(0.0)),
-    }
-    joined = parts.join(model.table, "h", "left").select("row", "doc_id", "n_tokens", *[F.when(whole, F.col(k)).otherwise(x).alias(k) for k, x in rare.items()])
-    summed = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *[F.sum(k).alias(k) for k in rare])
-    return summed.select("doc_id", "n_tokens", "n_known", F.lit(int(uni.n)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
-
-
-def train_and_score(docs: DataFrame) -> DataFrame:
-    """score() of every row by a model of the rows that are not held out, with held_out."""
-    return score(docs, Automaton(docs.where(~held_out()))).withColumn("held_out", held_out())
+        for stream, table, counts in _spread(batches):
+            n = stream.n
+            sums = [np.bincount(stream.doc, minlength=n), np.bincount(stream.doc, counts[0] > 0, n).astype(np.int64), np.full(n, uni.n, np.int64)]
+            sums += [np.bincount(stream.doc, uni.base(counts[0]), n), np.bincount(stream.doc, traverse(counts, uni, left), n)]
+            out = pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), *map(pa.array, sums)], names=names)
+            yield out.filter(table["asked"].combine_chunks())
+
+    return answered.mapInArrow(run, _SCORED)
+
+
+def _score(rows: DataFrame, unit_bytes: int, shard_bytes: int) -> DataFrame:
+    """The scores of the rows that are asked for, by a model of those that are counted."""
+    spark = rows.sparkSession
+    scratch = Scratch(spark)
+    texts = scratch.write(_dealt(rows, unit_bytes))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards, partitions = -(-size // shard_bytes) or 1, -(-size // PART_BYTES) or 1
+    answers = scratch.write(_answers(_asked_for(texts, shards), shards, max(1, -(-shards // 3))))
+    clean(spark)
+    n, v, n1, n2 = (int(x or 0) for x in answers.agg(*[F.sum(c) for c in ("n", "v", "n1", "n2")]).first())
+    uni = Unigrams(n, v, n1, n2)
+    left = _learn_left(_answered(texts, answers, partitions))
+    clean(spark)
+    return _scored(_answered(texts, answers, partitions), uni, left)
+
+
+def _rows(docs: DataFrame, counted, asked) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), counted.alias("counted"), asked.alias("asked"), "text")
+
+
+def score(docs: DataFrame, training: DataFrame, unit_bytes: int = UNIT_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs by a model of training's texts.
+
+    Both hold (doc_id, text); other columns are not read. A null text is empty: it has the end alone. Rows
+    that repeat a doc_id are scored each, a null doc_id stays null. Equal texts have equal scores. A text of
+    any length is scored whole, in a worker's memory at about 150 bytes a token. Without training texts every
+    token has probability one; an empty docs gives no rows.
+    """
+    rows = _rows(docs, F.lit(False), F.lit(True)).unionByName(_rows(training, F.lit(True), F.lit(False)))
+    return _score(rows, unit_bytes, shard_bytes)
+
+
+def train_and_score(docs: DataFrame, unit_bytes: int = UNIT_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """`score` of every row by a model of the rows that are not held out, with held_out."""
+    rows = _rows(docs, ~held_out(), F.lit(True))
+    return _score(rows, unit_bytes, shard_bytes).withColumn("held_out", held_out())

@@ -7,6 +7,9 @@ lower-cased, cut into words and hashed without a Python object for each word.
 from __future__ import annotations
 
 import ctypes
+import gc
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 2_000_000
 #: Bytes of text that are worked on at once within a batch.
 BLOCK_BYTES = 2 << 20
-#: Bytes of a stretch whose prefix hashes are held at once.
-STRETCH = 1 << 20
+#: Bytes of a range from which it is hashed by a digest of its own.
+LONG_RANGE = 512
 
 try:
     _libc = ctypes.CDLL("libc.so.6")
@@ -29,42 +32,62 @@ try:
 except (OSError, AttributeError):  # another C library
     _libc = None
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
+_STEP, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_powers: dict[str, np.ndarray] = {}
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that all executors share."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints that all executors share: the session's spark.checkpoint.dir.
+
+    Only a local master may be without one, and gets a temporary folder.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if root is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder that all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Have the driver find the plans that are done, so that their shuffles leave the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
-    """Tables of intermediate rows in the folder that all executors share, compressed; dropped when used up."""
+    """Tables of intermediate rows in the folder that all executors share, compressed.
+
+    They go when they are dropped, or else, as those that a result still reads, when the driver's JVM ends.
+    """
 
     def __init__(self, spark: SparkSession):
-        sc = spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-        self.spark, self.root, self.paths = spark, f"{sc.getCheckpointDir()}/scratch-{uuid.uuid4().hex}", []
+        self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", []
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.paths.append(f"{self.root}/{len(self.paths)}")
         df.write.option("compression", "zstd").parquet(self.paths[-1])
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
-    def drop(self) -> None:
-        """Delete the tables; nothing that is still to run may read them."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *numbers: int) -> None:
+        """Delete the tables, or those of the numbers; nothing that is still to run may read them."""
+        for root in [self.paths[i] for i in numbers] or [self.root]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_enough(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
@@ -128,35 +151,30 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, STRETCH + (1 << 16))
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                table = np.full(size, base, dtype=np.uint64)
-                table[0] = 1
-                _powers[name] = np.multiply.accumulate(table)
-    return _powers["up"], _powers["down"]
-
-
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash each byte range, by differences of prefix hashes within stretches; ranges are in order and apart."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    i = 0
+    """A 64-bit hash of each byte range: its words of eight bytes, the last one filled up by zeros, mixed one after another.
+
+    Each step is a bijection of the state and of the word, so ranges of one length that differ in one word
+    never meet, and no structure of the text cancels out, as it may in a polynomial modulo 2^64.
+    """
     with np.errstate(over="ignore"):
-        while i < len(starts):
-            low = starts[i]
-            j = max(i + 1, int(np.searchsorted(ends, low + STRETCH, side="right")))
-            high = ends[j - 1]
-            up, down = _power_table(high - low + 1)
-            prefix = np.zeros(high - low + 1, dtype=np.uint64)
-            np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=prefix[1:])
-            a, b = starts[i:j] - low, ends[i:j] - low
-            h = (prefix[b] - prefix[a]) * down[a]
-            out[i:j] = mix(h + (b - a).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-            i = j
-    if len(_powers.get("up", ())) > STRETCH + (1 << 16):
-        _powers.clear()
+        length = (ends - starts).astype(np.uint64)
+        out = mix(length * _STEP + _SEED)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+        left = np.minimum(ends - starts, LONG_RANGE)
+        at = np.flatnonzero((left > 0) & (ends - starts <= LONG_RANGE))
+        done = 0
+        while len(at):
+            word = eight[starts[at] + done]
+            rest = left[at] - done
+            short = rest < 8
+            word[short] &= (np.uint64(1) << (rest[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+            out[at] = mix((out[at] ^ word) * _STEP)
+            done += 8
+            at = at[rest > 8]
+        for i in np.flatnonzero(ends - starts > LONG_RANGE).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
