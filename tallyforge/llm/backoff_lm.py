@@ -33,14 +33,22 @@ from tallyforge.llm.common import Scratch, Words, clean, crc_residue, mix, relea
 UNIT_BYTES, SHARD_BYTES, PART_BYTES = 3 << 20, 6 << 20, 24 << 20
 #: The base score's added count; classes of counts for each power of two, and how many there are.
 ADDED, FINE, CLASSES = 0.1, 3, 200
+#: Bits of an n-gram's code. Of n different n-grams a share of about n / 2^53 has another's code by chance, and its counts.
+CODE_BITS = 52
 #: The hash that stands for a text's end.
 _END = 0x5851F42D4C957F2D
 
 
 def pair_hash(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A hash of ordered pairs of hashes; the lowest bit, which marks words, is 0."""
+    """A hash of ordered pairs of hashes."""
     with np.errstate(over="ignore"):
-        return mix(mix(x ^ np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0x9E3779B97F4A7C15) + y) & ~np.uint64(1)
+        return mix(mix(x ^ np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0x9E3779B97F4A7C15) + y)
+
+
+def code(h: np.ndarray, word: bool) -> np.ndarray:
+    """What stands for an n-gram between units and shards: CODE_BITS of its hash, the lowest one marking words."""
+    h = h >> np.uint64(64 - CODE_BITS)
+    return h | np.uint64(1) if word else h & ~np.uint64(1)
 
 
 def held_out(modulus: int = 10):
@@ -76,53 +84,78 @@ class Unigrams:
 
 
 class Stream:
-    """Tokens of a unit's texts, each text's end among them, and the n-grams that end at each token.
+    """Tokens of a unit's texts, each text's end among them, and the codes of the n-grams that end at each token.
 
-    keys: the different n-grams of all orders, ascending; `order(k)` gives the tokens that have a k-gram
-    and the places of their k-grams in keys.
+    at[k - 1]: the tokens that have a k-gram; grams[k - 1]: its code.
     """
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
         w = Words(data, offs)
         self.n = len(offs) - 1
-        length = np.diff(w.ptr) + 1
-        self.ends = np.cumsum(length) - 1
-        self.h = np.empty(len(w.starts) + self.n, np.uint64)
-        inner = np.ones(len(self.h), bool)
-        inner[self.ends] = False
-        self.h[inner] = w.hashes()
-        self.h[self.ends] = _END
-        self.h |= np.uint64(1)
-        self.doc = np.repeat(np.arange(self.n), length)
-        before = np.arange(len(self.h)) - np.repeat(self.ends - length + 1, length)
-        pairs = pair_hash(self.h[:-1], self.h[1:])
-        self.at = [np.arange(len(self.h)), np.flatnonzero(before > 0), np.flatnonzero(before > 1)]
-        grams = [self.h, pairs[self.at[1] - 1], pair_hash(pairs[self.at[2] - 2], pairs[self.at[2] - 1])]
-        self.keys, self.places = np.unique(np.concatenate(grams), return_inverse=True)
-        self.cuts = np.cumsum([0, *map(len, grams)])
-
-    def order(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.at[k - 1], self.places[self.cuts[k - 1] : self.cuts[k]]
-
-    def counts(self, counted: np.ndarray) -> np.ndarray:
-        """How often each key stands in the texts that are marked."""
-        out = np.zeros(len(self.keys), np.int64)
-        for k in (1, 2, 3):
-            at, places = self.order(k)
-            out += np.bincount(places[counted[self.doc[at]]], minlength=len(out))
-        return out
-
-    def spread(self, totals: np.ndarray) -> tuple[np.ndarray, ...]:
+        self.length = np.diff(w.ptr) + 1
+        first = np.cumsum(self.length) - self.length
+        last = first + self.length - 1
+        h = np.empty(len(w.starts) + self.n, np.uint64)
+        inner = np.ones(len(h), bool)
+        inner[last] = False
+        h[inner] = w.hashes()
+        h[last] = _END
+        pairs = pair_hash(h[:-1], h[1:])
+        inner[:], inner[first] = True, False
+        two = np.flatnonzero(inner)
+        inner[first[self.length > 1] + 1] = False
+        three = np.flatnonzero(inner)
+        self.at = [slice(None), two, three]
+        self.grams = [code(h, True), code(pairs[two - 1], False), code(pair_hash(pairs[three - 2], pairs[three - 1]), False)]
+
+    def per_token(self, per_text: np.ndarray) -> np.ndarray:
+        return np.repeat(per_text, self.length)
+
+    def sums(self, per_token: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(per_token, np.cumsum(self.length) - self.length) if self.n else np.zeros(0)
+
+    def keys(self) -> np.ndarray:
+        """The different codes, ascending."""
+        found = np.sort(np.concatenate(self.grams))
+        return found[_changes(found)]
+
+    def counts(self, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different codes, ascending, and how often each stands in the texts that are marked."""
+        marks = self.per_token(counted).astype(np.uint64)
+        found = np.sort(np.concatenate([g << np.uint64(1) | marks[at] for at, g in zip(self.at, self.grams, strict=True)]))
+        marks = (found & np.uint64(1)).astype(np.int64)
+        found >>= np.uint64(1)
+        new = _changes(found)
+        return found[new], np.add.reduceat(marks, new) if len(new) else marks
+
+    def spread(self, keys: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, ...]:
         """At each token: its count, its bigram's and its trigram's, and those of the two contexts; 0 where there is none."""
-        one, two, three, last, last_two = (np.zeros(len(self.h), np.int64) for _ in range(5))
-        for out, k in ((one, 1), (two, 2), (three, 3)):
-            at, places = self.order(k)
-            out[at] = totals[places]
+        one, two, three, last, last_two = (np.zeros(len(self.grams[0]), np.int64) for _ in range(5))
+        for out, at, grams in zip((one, two, three), self.at, self.grams, strict=True):
+            out[at] = totals[_places(keys, grams)]
         last[self.at[1]] = one[self.at[1] - 1]
         last_two[self.at[2]] = two[self.at[2] - 1]
         return one, two, three, last, last_two
 
 
+def _changes(ascending: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before."""
+    return np.flatnonzero(np.concatenate([[True], ascending[1:] != ascending[:-1]])) if len(ascending) else np.zeros(0, np.int64)
+
+
+def _places(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Where codes stand in keys, which are ascending, evenly spread and have each of them: by the begin of a code's bucket, and on from there."""
+    bits = min(CODE_BITS, max(1, int(len(keys)).bit_length()))
+    shift = np.uint64(CODE_BITS - bits)
+    begin = np.concatenate([[0], np.cumsum(np.bincount((keys >> shift).astype(np.int64), minlength=1 << bits))])
+    at = begin[(codes >> shift).astype(np.int64)]
+    off = np.flatnonzero(keys[at] != codes)
+    while len(off):
+        at[off] += 1
+        off = off[keys[at[off]] != codes[off]]
+    return at
+
+
 def traverse(counts: tuple[np.ndarray, ...], uni: Unigrams, left: np.ndarray) -> np.ndarray:
     """log10 probability of each token, from `Stream.spread` and the failure arcs' weights of both orders (2 x CLASSES).
 
@@ -196,15 +229,15 @@ def _asked_for(texts: DataFrame, shards: int) -> DataFrame:
     names = ["shard", "unit", "keys", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
+        edges = np.array([(s << CODE_BITS) // shards for s in range(1, shards)], np.uint64)
         for unit, parts in _units(batches):
             stream, table = _stream(parts)
-            counts = stream.counts(table["counted"].to_numpy(zero_copy_only=False))
-            cuts = [0, *np.searchsorted(stream.keys, edges).tolist(), len(stream.keys)]
+            codes, counts = stream.counts(table["counted"].to_numpy(zero_copy_only=False))
+            del stream, table, parts
+            cuts = [0, *np.searchsorted(codes, edges).tolist(), len(codes)]
             full = [s for s in range(shards) if cuts[s + 1] > cuts[s]]
-            keys = [_planes(np.diff(stream.keys[cuts[s] : cuts[s + 1]], prepend=np.uint64(0))) for s in full]
+            keys = [_planes(np.diff(codes[cuts[s] : cuts[s + 1]], prepend=np.uint64(0))) for s in full]
             own = [_planes(counts[cuts[s] : cuts[s + 1]].astype(np.uint32)) for s in full]
-            del stream
             for low in range(0, len(full), 500):
                 part = slice(low, low + 500)
                 yield pa.RecordBatch.from_arrays([pa.array(full[part], pa.int32()), pa.array([unit] * len(full[part]), pa.int64()), pa.array(keys[part], pa.binary()), pa.array(own[part], pa.binary())], names=names)
@@ -218,7 +251,7 @@ _ANSWER = "unit long, shard int, counts binary, n long, v long, n1 long, n2 long
 def _answers(asked: DataFrame, shards: int, partitions: int) -> DataFrame:
     """(unit, shard, counts): the totals, in the order asked. A shard's first row also has its words' sums: n, v, n1 and n2."""
     names = [x.split()[0] for x in _ANSWER.split(", ")]
-    end = np.uint64(_END | 1)
+    end = code(np.array([_END], np.uint64), True)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, parts in _units(b.rename_columns(["unit", "of", "keys", "counts"]) for b in batches):
@@ -260,10 +293,13 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Stream, pa.Tabl
         totals = np.concatenate([_from_planes(b, np.int64) for b in table["counts"].filter(pa.array(answers)).to_pylist()] or [np.zeros(0, np.int64)])
         table = table.filter(pa.array(~answers)).drop_columns(["counts"])
         stream, table = _stream(table.to_batches())
-        if len(totals) != len(stream.keys):
-            raise ValueError(f"a unit of {len(stream.keys)} n-grams got {len(totals)} answers")
-        yield stream, table, stream.spread(totals)
-        del stream, table, totals
+        keys = stream.keys()
+        if len(totals) != len(keys):
+            raise ValueError(f"a unit of {len(keys)} n-grams got {len(totals)} answers")
+        counts = stream.spread(keys, totals)
+        del keys, totals, parts
+        yield stream, table, counts
+        del stream, table, counts
 
 
 def _learn_left(answered: DataFrame) -> np.ndarray:
@@ -272,7 +308,7 @@ def _learn_left(answered: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, new = np.zeros((2, CLASSES), np.int64), np.zeros((2, CLASSES), np.int64)
         for stream, table, (_, two, three, last, last_two) in _spread(batches):
-            counted = table["counted"].to_numpy(zero_copy_only=False)[stream.doc]
+            counted = stream.per_token(table["counted"].to_numpy(zero_copy_only=False))
             for k, c, context in ((0, two, last), (1, three, last_two)):
                 at = counted & (context > 1)
                 kind = count_class(context[at] - 1)
@@ -296,9 +332,8 @@ def _scored(answered: DataFrame, uni: Unigrams, left: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for stream, table, counts in _spread(batches):
-            n = stream.n
-            sums = [np.bincount(stream.doc, minlength=n), np.bincount(stream.doc, counts[0] > 0, n).astype(np.int64), np.full(n, uni.n, np.int64)]
-            sums += [np.bincount(stream.doc, uni.base(counts[0]), n), np.bincount(stream.doc, traverse(counts, uni, left), n)]
+            sums = [stream.length, stream.sums((counts[0] > 0).astype(np.int64)), np.full(stream.n, uni.n, np.int64)]
+            sums += [stream.sums(uni.base(counts[0])), stream.sums(traverse(counts, uni, left))]
             out = pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), *map(pa.array, sums)], names=names)
             yield out.filter(table["asked"].combine_chunks())
 

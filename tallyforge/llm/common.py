@@ -11,6 +11,7 @@ import gc
 import hashlib
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -61,8 +62,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def clean(spark: SparkSession) -> None:
     """Have the driver find the plans that are done, so that their shuffles leave the executors' disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python holds goes in the first round, what that held in the JVM in the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 class Scratch:

@@ -1,13 +1,16 @@
 """Similarity digests of improbable features.
 
 Every window of WINDOW bytes has an entropy, in GRADES grades. A grade's rank is its share of all windows
-of the corpus: the rarer, the lower. In every run of RUN windows the one of lowest rank (the leftmost) gets
-a point, and windows of at least POINTS points are the text's features. In text order, features are put
-into a chain of Bloom filters, PER_FILTER into each. Two digests are compared filter by filter: the bits
-in common beyond chance, in units of the most that could be in common beyond chance.
+of the corpus: the rarer, the lower; windows of one rank are in the order of their hashes. In every run of
+windows the one of lowest rank gets a point, and windows of at least a quarter of the run are the text's
+features. A run has an eighth of the text's windows, RUN at most, so that short texts have features enough;
+a text of fewer bytes than a window is filled up by zeros. In text order, features are put into a chain of
+Bloom filters, PER_FILTER into each. Two digests are compared filter by filter: the bits in common beyond
+chance, in units of the most that could be in common beyond chance.
 
 Entropies slide: a window's sum of c*log(c) over its byte counts changes by the counts of the byte that
-leaves and the byte that enters, which are found for a whole block of texts by shifted comparisons.
+leaves and the byte that enters, which are found for a whole block of texts by shifted comparisons. Sums are
+whole numbers, so a window's grade doesn't depend on what stands before it.
 """
 
 from __future__ import annotations
@@ -24,15 +27,18 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import blocks, mix, release, string_buffers
 
-WINDOW, RUN, POINTS, GRADES = 64, 64, 16, 1000
-#: Of texts of fewer bytes, all windows of SHORT_WINDOW bytes are features.
-SHORT, SHORT_WINDOW = 256, 8
+WINDOW, RUN, GRADES = 16, 64, 1000
+#: Windows of a text for each window of a run, and windows of a run for each point that a feature needs.
+RUNS, POINTS = 8, 4
 #: Features in a filter, bits of a filter, bits that a feature sets.
 PER_FILTER, BITS, HASHES = 160, 2048, 5
 #: Of what can be in common beyond chance, the share that still counts as chance.
 CHANCE = 0.3
+#: Ranges of doc_id at most, and those of a partition. Rows of a range stream, so its size bounds a task's time only.
+MOST_RANGES, RANGES_EACH = 200_000, 4
 _BLOCK, _ROWS = 1 << 17, 256
-_F = np.concatenate([[0.0], np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1))])
+_UNIT = 1 << 24  # of the whole numbers that entropies are summed in
+_F = np.rint(np.concatenate([[0.0], np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1))]) * _UNIT).astype(np.int64)
 _STEP = np.diff(_F)  # by the count before: what one more adds
 
 
@@ -54,38 +60,57 @@ def _grades(t: np.ndarray) -> np.ndarray:
         same = (t[:-d] == t[d:]).view(np.uint8)
         after[:-d] += same
         before[d:] += same
-    counts = np.bincount(t[:WINDOW], minlength=256)
-    s = np.empty(n)
-    s[0] = _F[counts].sum()
+    s = np.empty(n, np.int64)
+    s[0] = _F[np.bincount(t[:WINDOW], minlength=256)].sum()
     # from window i to i + 1: t[i] leaves (its count falls to `after`), t[i + WINDOW] enters (it rises from `before`)
-    s[1:] = s[0] + np.cumsum(_STEP[before[WINDOW:]] - _STEP[after[: n - 1]])
-    return np.clip(((np.log2(WINDOW) - s / WINDOW) * (GRADES / np.log2(WINDOW)) + 1e-6).astype(np.int32), 0, GRADES)
+    np.subtract(_STEP[before[WINDOW:]], _STEP[after[: n - 1]], out=s[1:])
+    np.cumsum(s, out=s)
+    return ((_F[WINDOW] - s) * GRADES // _F[WINDOW]).astype(np.int32)
 
 
-def features(data: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes' features in text order, each once; fewer bytes than a short window are one feature, none are none."""
-    if len(data) < SHORT:
-        if len(data) < SHORT_WINDOW:
-            return np.frombuffer(hashlib.blake2b(data.tobytes(), digest_size=8).digest(), np.uint64) if len(data) else np.zeros(0, np.uint64)
-        h = mix(np.lib.stride_tricks.sliding_window_view(data, SHORT_WINDOW).copy().view(np.uint64)[:, 0])
-        return h[np.sort(np.unique(h, return_index=True)[1])]
+def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts one after another, short ones filled up by zeros: their bytes, where each begins, and its windows (an empty text: none)."""
+    length = np.array([len(t) for t in texts], np.int64)
+    room = np.where(length > 0, np.maximum(length, WINDOW), 0)
+    starts = np.cumsum(room) - room
+    data = np.zeros(int(room.sum()), np.uint8)
+    for t, a in zip(texts, starts.tolist(), strict=True):
+        data[a : a + len(t)] = t
+    return data, starts, np.maximum(room - WINDOW + 1, 0) * (length > 0)
+
+
+def window_keys(data: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """For each window of the bytes its rank, then 54 bits of a hash of its bytes: what windows are ordered by."""
     n = len(data) - WINDOW + 1
-    run = min(RUN, n)
-    key = (ranks[entropy_grades(data)].astype(np.int64) << 32) | np.arange(n)
-    least, width = key, 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.empty(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for low in range(0, n, _BLOCK):
+            part = np.ascontiguousarray(data[low : low + _BLOCK + WINDOW - 1])
+            m = len(part) - WINDOW + 1
+            h = np.full(m, 0x51ED270B, np.uint64)
+            for at in range(0, WINDOW, 16):
+                a, b = (np.ndarray((m,), "<u8", part, at + k, (1,)) for k in (0, 8))
+                h = mix((h ^ a) * np.uint64(0x9E3779B97F4A7C15) + b)
+            out[low : low + m] = ranks[_grades(part)].astype(np.uint64) << np.uint64(54) | h >> np.uint64(10)
+    return out
+
+
+def features(keys: np.ndarray) -> np.ndarray:
+    """Hashes of the features of a text with these windows, in text order, each once."""
+    n = len(keys)
+    if n == 0:
+        return np.zeros(0, np.uint64)
+    run = min(RUN, max(1, n // RUNS))
+    least, width = keys, 1
     while width < run:
         step = min(width, run - width)
         least = np.minimum(least[:-step], least[step:])
         width += step
-    at = least & 0xFFFFFFFF
-    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    points = np.diff(np.append(new, len(at)))  # a window's points lie together
-    chosen = at[new][points >= min(POINTS, points.max())]
-    words = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[chosen].copy().view(np.uint64)
-    h = np.full(len(chosen), 0x51ED270B, np.uint64)
-    with np.errstate(over="ignore"):
-        for column in words.T:
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + column)
+    new = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    points = np.diff(np.append(new, len(least)))  # a window's points lie together
+    h = mix(least[new][points >= min(max(1, run // POINTS), points.max())])
     _, first = np.unique(h, return_index=True)
     return h[np.sort(first)]
 
@@ -101,7 +126,8 @@ def filters(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(data: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    return filters(features(data, ranks))
+    """The digest of a text's bytes; of an empty one, no filter."""
+    return filters(features(window_keys(joined([data])[0], ranks)))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -137,14 +163,21 @@ def learn_ranks(docs: DataFrame) -> np.ndarray:
         total = np.zeros(GRADES + 1, np.int64)
         for batch in batches:
             for _, _, data, offs, _ in blocks(batch.column("text")):
-                if len(data) >= WINDOW:
-                    total += np.bincount(_whole(entropy_grades(data), offs), minlength=GRADES + 1)
+                if np.diff(offs).min() < WINDOW:
+                    data, starts, _ = joined([data[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])
+                    offs = np.append(starts, len(data))
+                total += np.bincount(_whole(entropy_grades(data), offs), minlength=GRADES + 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["grade", "n"])
 
     counts = np.zeros(GRADES + 1, np.int64)
     for row in docs.select("text").mapInArrow(run, "grade int, n long").groupBy("grade").agg(F.sum("n").alias("n")).collect():
         counts[row["grade"]] = row["n"]
+    return ranks_of(counts)
+
+
+def ranks_of(counts: np.ndarray) -> np.ndarray:
+    """Ranks from the windows of each grade; grades without any come last."""
     order = np.lexsort((np.arange(GRADES + 1), np.where(counts > 0, counts, np.iinfo(np.int64).max)))
     ranks = np.empty(GRADES + 1, np.int32)
     ranks[order] = np.arange(GRADES + 1)
@@ -158,7 +191,11 @@ def _whole(grades: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, ranks: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, fingerprint) for each row of docs (doc_id, text); a null text is empty. Ranks are learned if not given."""
+    """(doc_id, fingerprint) for each row of docs (doc_id, text); ranks are learned from docs if not given.
+
+    A null or empty text has a digest without filters. Equal texts have equal digests, of any length; rows
+    that repeat a doc_id have one each. Other columns are not read. An empty table gives no rows.
+    """
     ranks = learn_ranks(docs) if ranks is None else ranks
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
@@ -174,12 +211,21 @@ def fingerprints(docs: DataFrame, ranks: np.ndarray | None = None) -> DataFrame:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _even_keys(spark, n: int) -> np.ndarray:
+    """For each of n partitions a number that Spark's hash partitioning deals into it."""
+    rows = spark.range(30 * n).select(F.col("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("at")).groupBy("at").agg(F.min("id").alias("id")).collect()
+    keys = np.arange(n)
+    keys[[r["at"] for r in rows]] = [r["id"] for r in rows]
+    return keys
+
+
 def edited_likeness(docs: DataFrame, rows_per_range: int = 1000) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness; and the likeness to the next document.
 
     The edited text's last third (of code points, rounded down) is as much of the begin of the next document,
     in descending order of doc_id; the last one's next is the first. Equal doc_ids are ordered by their text,
-    a null doc_id comes last, a null text is empty; a document alone is its own next one.
+    a null doc_id comes last, a null text is empty; a document alone is its own next one. Two empty texts are
+    alike (1), an empty one and another are not (0). Other columns are not read. An empty table gives no rows.
 
     Documents are dealt by ranges of doc_id between quantiles, one shuffle; each range also gets the document
     that follows its last one, found from the ranges' largest ids alone.
@@ -187,8 +233,8 @@ def edited_likeness(docs: DataFrame, rows_per_range: int = 1000) -> DataFrame:
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ranks = spark.sparkContext.broadcast(learn_ranks(docs))
-    ranges = max(1, min(100_000, -(-plain.count() // rows_per_range)))
-    marks = plain.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10_000).alias("q")).first()["q"] if ranges > 1 else None
+    ranges = max(1, min(MOST_RANGES, -(-plain.count() // rows_per_range)))
+    marks = plain.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20 * ranges).alias("q")).first()["q"] if ranges > 1 else None
     marks = sorted(set(marks or []))
     # ranges are numbered in descending order of ids; the nulls are in the last
     known = spark.sparkContext.broadcast(np.array(marks, dtype=np.int64))
@@ -207,23 +253,24 @@ def edited_likeness(docs: DataFrame, rows_per_range: int = 1000) -> DataFrame:
     # of rows of one doc_id only the first in order is the head
     lent = lent.groupBy("to").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("to").alias("part"), F.lit(1).alias("lent"))
     both = dealt.withColumn("lent", F.lit(0)).unionByName(lent)
-    # a few ranges for each partition, so that those that hash to the same one weigh little
-    sorted_ = both.repartition(-(-len(heads) // 4), "part").sortWithinPartitions("part", "lent", F.col("doc_id").desc_nulls_last(), "text")
+    # neighbouring ranges share a partition, of which each has as many
+    parts = -(-len(heads) // RANGES_EACH)
+    even = spark.sparkContext.broadcast(_even_keys(spark, parts))
+
+    @F.pandas_udf("int")
+    def key(part: pd.Series) -> pd.Series:
+        return pd.Series(even.value[np.minimum(part.to_numpy() // RANGES_EACH, parts - 1)], dtype="int32")
+
+    sorted_ = both.withColumn("deal", key("part")).repartition(parts, "deal").sortWithinPartitions("part", "lent", F.col("doc_id").desc_nulls_last(), "text").drop("deal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = ranks.value, None
+        held = None
         for batch in batches:
             for low in range(0, batch.num_rows, _ROWS):
-                rows: list[tuple] = []
-                columns = [batch.column(c).slice(low, _ROWS).to_pylist() for c in ("doc_id", "text", "part", "lent")]
-                for doc, text, part, is_lent in zip(*columns, strict=True):
-                    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                    now = (doc, text, part, fingerprint(data, known))
-                    if held is not None and held[2] == part:
-                        rows.append(_compared(held, now, known))
-                    held = None if is_lent else now
+                rows = list(zip(*[batch.column(c).slice(low, _ROWS).to_pylist() for c in ("doc_id", "text", "part", "lent")], strict=True))
+                out, held = _compared(held, rows, ranks.value)
                 release()
-                yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r, strict=True)) for r in rows], schema=_ARROW)
+                yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r, strict=True)) for r in out], schema=_ARROW)
 
     return sorted_.mapInArrow(run, SCHEMA)
 
@@ -232,9 +279,39 @@ _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 _ARROW = pa.schema([(x.split()[0], {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]]) for x in SCHEMA.split(", ")])
 
 
-def _compared(own: tuple, following: tuple, ranks: np.ndarray) -> tuple:
-    doc, text, _, chain = own
-    cut = len(text) // 3
-    edited = (text[: len(text) - cut] + following[1][:cut]).encode("utf-8", "surrogatepass")
-    other = fingerprint(np.frombuffer(edited, np.uint8), ranks)
-    return (doc, len(text), hashlib.sha256(edited).hexdigest(), text_of(chain), text_of(other), likeness(chain, other), likeness(chain, following[3]))
+class _Text:
+    """A row with its bytes, the keys of its windows and its digest."""
+
+    def __init__(self, row: tuple, data: np.ndarray):
+        (self.doc, self.text, self.part, self.lent), self.data = row, data
+        self.keys: np.ndarray = np.zeros(0, np.uint64)
+        self.chain: np.ndarray = np.zeros((0, BITS // 8), np.uint8)
+
+
+def _all_keys(texts: list[np.ndarray], ranks: np.ndarray) -> list[np.ndarray]:
+    data, starts, windows = joined(texts)
+    keys = window_keys(data, ranks)
+    return [keys[a : a + n].copy() for a, n in zip(starts.tolist(), windows.tolist(), strict=True)]
+
+
+def _compared(held: _Text | None, rows: list[tuple], ranks: np.ndarray) -> tuple[list[tuple], _Text | None]:
+    """Results of the rows whose next one is among `rows` too, `held` being the one before; and the row that waits for its next."""
+    texts = [_Text(r, np.frombuffer(r[1].encode("utf-8", "surrogatepass"), np.uint8)) for r in rows]
+    for t, keys in zip(texts, _all_keys([t.data for t in texts], ranks), strict=True):
+        t.keys, t.chain = keys, filters(features(keys))
+    pairs = [(a, b) for a, b in zip([held, *texts[:-1]], texts, strict=True) if a is not None and not a.lent and a.part == b.part]
+    edits, pieces = [], []
+    for own, following in pairs:
+        cut = len(own.text) // 3
+        kept, taken = own.text[: len(own.text) - cut].encode("utf-8", "surrogatepass"), following.text[:cut].encode("utf-8", "surrogatepass")
+        a, b = len(kept), len(taken)
+        apart = min(a, b) >= WINDOW
+        edits.append((kept + taken, a, b, apart))
+        # only windows over the cut are new
+        pieces.append(np.frombuffer(kept[a - WINDOW + 1 :] + taken[: WINDOW - 1] if apart else kept + taken, np.uint8))
+    out = []
+    for (own, following), (edited, a, b, apart), new in zip(pairs, edits, _all_keys(pieces, ranks), strict=True):
+        keys = np.concatenate([own.keys[: a - WINDOW + 1], new, following.keys[: b - WINDOW + 1]]) if apart else new
+        chain = filters(features(keys))
+        out.append((own.doc, len(own.text), hashlib.sha256(edited).hexdigest(), text_of(own.chain), text_of(chain), likeness(own.chain, chain), likeness(own.chain, following.chain)))
+    return out, texts[-1] if texts else held
