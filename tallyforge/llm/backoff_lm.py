@@ -170,13 +170,26 @@ def traverse(counts: tuple[np.ndarray, ...], uni: Unigrams, left: np.ndarray) ->
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Whole numbers as their bytes, the lowest of all first: small ones leave runs of zeros, which compress."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    """Whole numbers as their bytes, the lowest of all first, compressed: small ones leave runs of zeros."""
+    return len(x).to_bytes(8, "little") + pa.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), "zstd", asbytes=True)
 
 
 def _from_planes(b: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.frombuffer(b, np.uint8).reshape(width, -1).T.copy().view(kind)[:, 0]
+    width, n = np.dtype(kind).itemsize, int.from_bytes(b[:8], "little")
+    return np.frombuffer(pa.decompress(b[8:], n * width, "zstd"), np.uint8).reshape(width, n).T.copy().view(kind)[:, 0]
+
+
+def _packed(parts: list[pa.RecordBatch]) -> bytes:
+    """Rows as one compressed value."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        for part in parts:
+            writer.write_batch(part)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(b: bytes) -> pa.Table:
+    return pa.ipc.open_stream(b).read_all()
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -199,29 +212,41 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Rec
         release()
 
 
-def _stream(parts: list[pa.RecordBatch]) -> tuple[Stream, pa.Table]:
-    table = pa.Table.from_batches(parts)
+def _stream(unit: bytes) -> tuple[Stream, pa.Table]:
+    table = _unpacked(unit)
     data, offs, _ = string_buffers(table["text"])
-    return Stream(data, offs), table
+    return Stream(data, offs), table.drop_columns(["text"])
 
 
 def _dealt(rows: DataFrame, unit_bytes: int) -> DataFrame:
-    """rows with the number of a unit: rows of a partition in order, as many as unit_bytes holds."""
-    names = ["unit", "doc_id", "counted", "asked", "text"]
+    """(unit, size, data): rows of a partition in order, as many as unit_bytes holds, packed, with their texts' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, room = TaskContext.get().partitionId() << 36, unit_bytes
+        unit, room, held = TaskContext.get().partitionId() << 36, unit_bytes, []
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([unit_bytes - room], pa.int64()), pa.array([_packed(held)], pa.binary())], names=["unit", "size", "data"])
+
         for batch in batches:
-            units = np.empty(batch.num_rows, np.int64)
             _, offs, _ = string_buffers(batch.column("text"))
-            for i, size in enumerate(np.diff(offs).tolist()):
-                if size > room and room < unit_bytes:
-                    unit, room = unit + 1, unit_bytes
-                units[i] = unit
-                room -= size
-            yield pa.RecordBatch.from_arrays([pa.array(units), *[batch.column(c) for c in names[1:]]], names=names)
-
-    return rows.mapInArrow(run, "unit long, doc_id long, counted boolean, asked boolean, text string")
+            low = 0
+            while low < batch.num_rows:
+                high = int(np.searchsorted(offs, offs[low] + room, side="right")) - 1
+                if high == low and not held:
+                    high = low + 1
+                if high > low:
+                    held.append(batch.slice(low, high - low))
+                    room -= int(offs[high] - offs[low])
+                if high < batch.num_rows:
+                    yield closed()
+                    unit, room, held = unit + 1, unit_bytes, []
+                low = high
+            # a view would keep its batch in memory
+            held = [pa.RecordBatch.from_arrays([c.take(pa.array(np.arange(len(x)))) for c in x.columns], schema=x.schema) for x in held]
+        if held:
+            yield closed()
+
+    return rows.mapInArrow(run, "unit long, size long, data binary")
 
 
 def _asked_for(texts: DataFrame, shards: int) -> DataFrame:
@@ -230,10 +255,10 @@ def _asked_for(texts: DataFrame, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([(s << CODE_BITS) // shards for s in range(1, shards)], np.uint64)
-        for unit, parts in _units(batches):
-            stream, table = _stream(parts)
-            codes, counts = stream.counts(table["counted"].to_numpy(zero_copy_only=False))
-            del stream, table, parts
+        for unit, data in ((u.as_py(), d.as_py()) for batch in batches for u, d in zip(batch.column("unit"), batch.column("data"), strict=True)):
+            stream, table = _stream(data)
+            codes, counts = stream.counts(table["counted"].to_numpy())
+            del stream, table, data
             cuts = [0, *np.searchsorted(codes, edges).tolist(), len(codes)]
             full = [s for s in range(shards) if cuts[s + 1] > cuts[s]]
             keys = [_planes(np.diff(codes[cuts[s] : cuts[s + 1]], prepend=np.uint64(0))) for s in full]
@@ -241,8 +266,9 @@ def _asked_for(texts: DataFrame, shards: int) -> DataFrame:
             for low in range(0, len(full), 500):
                 part = slice(low, low + 500)
                 yield pa.RecordBatch.from_arrays([pa.array(full[part], pa.int32()), pa.array([unit] * len(full[part]), pa.int64()), pa.array(keys[part], pa.binary()), pa.array(own[part], pa.binary())], names=names)
+            release()
 
-    return texts.mapInArrow(run, "shard int, unit long, keys binary, counts binary")
+    return texts.select("unit", "data").mapInArrow(run, "shard int, unit long, keys binary, counts binary")
 
 
 _ANSWER = "unit long, shard int, counts binary, n long, v long, n1 long, n2 long"
@@ -275,29 +301,23 @@ def _answers(asked: DataFrame, shards: int, partitions: int) -> DataFrame:
     return asked.repartition(partitions, "shard").sortWithinPartitions("shard", "unit").mapInArrow(run, _ANSWER)
 
 
-_ROW = "unit long, shard int, doc_id long, asked boolean, counted boolean, text string, counts binary"
-
-
 def _answered(texts: DataFrame, answers: DataFrame, partitions: int) -> DataFrame:
     """Each unit's texts and then its answers by shard, in one partition."""
-    own = texts.selectExpr("unit", "-1 AS shard", "doc_id", "asked", "counted", "text", "CAST(NULL AS BINARY) AS counts")
-    got = answers.selectExpr("unit", "shard", "CAST(NULL AS LONG) AS doc_id", "false AS asked", "false AS counted", "CAST(NULL AS STRING) AS text", "counts")
-    return own.unionByName(got).repartition(partitions, "unit").sortWithinPartitions("unit", "shard")
+    rows = texts.selectExpr("unit", "-1 AS shard", "data").unionByName(answers.selectExpr("unit", "shard", "counts AS data"))
+    return rows.repartition(partitions, "unit").sortWithinPartitions("unit", "shard")
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Stream, pa.Table, tuple[np.ndarray, ...]]]:
     """For each unit: its tokens, its texts' rows, and the counts at each token."""
     for _, parts in _units(batches):
-        table = pa.Table.from_batches(parts)
-        answers = table["shard"].to_numpy() >= 0
-        totals = np.concatenate([_from_planes(b, np.int64) for b in table["counts"].filter(pa.array(answers)).to_pylist()] or [np.zeros(0, np.int64)])
-        table = table.filter(pa.array(~answers)).drop_columns(["counts"])
-        stream, table = _stream(table.to_batches())
+        texts, *totals = [x.as_py() for part in parts for x in part.column("data")]
+        stream, table = _stream(texts)
+        totals = np.concatenate([_from_planes(b, np.int64) for b in totals] or [np.zeros(0, np.int64)])
         keys = stream.keys()
         if len(totals) != len(keys):
             raise ValueError(f"a unit of {len(keys)} n-grams got {len(totals)} answers")
         counts = stream.spread(keys, totals)
-        del keys, totals, parts
+        del keys, totals, parts, texts
         yield stream, table, counts
         del stream, table, counts
 
@@ -308,7 +328,7 @@ def _learn_left(answered: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, new = np.zeros((2, CLASSES), np.int64), np.zeros((2, CLASSES), np.int64)
         for stream, table, (_, two, three, last, last_two) in _spread(batches):
-            counted = stream.per_token(table["counted"].to_numpy(zero_copy_only=False))
+            counted = stream.per_token(table["counted"].to_numpy())
             for k, c, context in ((0, two, last), (1, three, last_two)):
                 at = counted & (context > 1)
                 kind = count_class(context[at] - 1)
@@ -345,7 +365,7 @@ def _score(rows: DataFrame, unit_bytes: int, shard_bytes: int) -> DataFrame:
     spark = rows.sparkSession
     scratch = Scratch(spark)
     texts = scratch.write(_dealt(rows, unit_bytes))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = texts.agg(F.sum("size")).first()[0] or 0
     shards, partitions = -(-size // shard_bytes) or 1, -(-size // PART_BYTES) or 1
     answers = scratch.write(_answers(_asked_for(texts, shards), shards, max(1, -(-shards // 3))))
     clean(spark)

@@ -98,6 +98,14 @@ def small_enough(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes for df to have no such column (in any case)."""
+    taken, marks = {c.lower() for c in df.columns}, "__"
+    while any(f"{marks}{n}".lower() in taken for n in names):
+        marks += "_"
+    return [f"{marks}{n}" for n in names]
+
+
 def crc_residue(column: str, modulus: int):
     """crc32 of a column's text, modulo modulus; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -6,31 +6,34 @@ the segmentations of a bounded sample of labelled texts; the forward algorithm t
 probability over all of its segmentations. A text's score is the product over its words and the
 language's share. Words are scored once for each worker and looked up by their hash afterwards.
 
-A character that no piece spells is an unknown piece of a fixed probability. Words of more than
-LONGEST characters are scored in stretches of that length.
+A character that no piece spells is an unknown piece of a fixed probability. Sums are kept as logarithms, so
+that words of any length have all of their segmentations summed; from LONG characters on a word is spelled
+by itself, with as much of the sums as the longest piece reaches back. Words are lower-cased, so pieces with
+capitals never stand in one.
 """
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Words, blocks, crc_residue, kept_in_worker, mix
+from tallyforge.llm.common import Words, blocks, crc_residue, fresh, kept_in_worker, mix
 
 #: Bound of the training sample: documents of each language, chosen by a hash of doc_id.
 SAMPLE_DOCS = 1000
 #: Passes of expectation maximisation, added count of each piece, probability of an unknown character.
 PASSES, ADDED, UNKNOWN = 3, 0.05, 1e-7
-#: Characters of a word that are scored at once, and words whose scores a worker keeps.
-LONGEST, KEPT_WORDS = 40, 2_000_000
+#: Characters from which a word is spelled by itself, cells (characters x words) of one table, and words whose scores a worker keeps.
+LONG, CELLS, KEPT_WORDS = 400, 1 << 18, 2_000_000
 MARK = "▁"
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,7 +50,7 @@ class Vocabulary:
     """Piece ids by length and hash of the spelling."""
 
     def __init__(self, pieces: list[str]):
-        pieces = [p for p in dict.fromkeys(pieces) if p == p.lower() and len(p) <= LONGEST]
+        pieces = [p for p in dict.fromkeys(pieces) if p == p.lower()]
         self.size = len(pieces)  # the unknown piece's id
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in sorted({len(p) for p in pieces}):
@@ -59,6 +62,22 @@ class Vocabulary:
                     h = mix(h * _B + column)
             order = np.argsort(h)
             self.by_length[n] = (h[order], ids[order])
+        self.longest = max(self.by_length, default=1)
+
+    def at_ends(self, codes: np.ndarray) -> np.ndarray:
+        """For one word's codes: (its length, longest piece) ids of the pieces by end and length, -1 where there is none."""
+        out = np.full((len(codes), self.longest), -1)
+        h = np.zeros(len(codes), np.uint64)
+        with np.errstate(over="ignore"):
+            for n in range(1, min(len(codes), self.longest) + 1):
+                h = mix(h[: len(codes) - n + 1] * _B + codes[n - 1 :])
+                keys, ids = self.by_length.get(n, (np.zeros(0, np.uint64), np.zeros(0, int)))
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    hit = keys[at] == h
+                    out[np.flatnonzero(hit) + n - 1, n - 1] = ids[at[hit]]
+        out[:, 0] = np.where(out[:, 0] < 0, self.size, out[:, 0])
+        return out
 
     def edges(self, codes: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
         """For words of one length (rows of codes) and each end: (start, rows, piece ids) of the pieces that end there."""
@@ -66,7 +85,7 @@ class Vocabulary:
         found: list[list] = [[] for _ in range(length + 1)]
         h = np.zeros((rows, length), np.uint64)
         with np.errstate(over="ignore"):
-            for n in range(1, min(length, max(self.by_length, default=1)) + 1):
+            for n in range(1, min(length, self.longest) + 1):
                 h = mix(h[:, : length - n + 1] * _B + codes[:, n - 1 :])
                 keys, ids = self.by_length.get(n, (np.zeros(0, np.uint64), np.zeros(0, int)))
                 at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
@@ -80,41 +99,63 @@ class Vocabulary:
         return found
 
 
+def _codes(word: str) -> np.ndarray:
+    return np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
 def _groups(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(indexes of words, their codes) for words of one length; long words come in stretches."""
-    by_length: dict[int, tuple[list[int], list[str]]] = {}
+    """(indexes of words, their codes) for words of one length, as many as CELLS allow."""
+    by_length: dict[int, list[int]] = {}
     for i, word in enumerate(words):
-        word = MARK + word
-        for k in range(0, len(word), LONGEST):
-            part = word[k : k + LONGEST]
-            at = by_length.setdefault(len(part), ([], []))
-            at[0].append(i)
-            at[1].append(part)
-    for n, (index, parts) in by_length.items():
-        for k in range(0, len(parts), 1 << 15):
-            codes = np.frombuffer("".join(parts[k : k + (1 << 15)]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64).reshape(-1, n)
-            yield np.array(index[k : k + (1 << 15)]), codes
-
-
-def _forward(edges: list, rows: int, p: np.ndarray) -> np.ndarray:
-    """Sums over segmentations of each word's prefixes: (length + 1, rows, languages)."""
-    a = np.zeros((len(edges), rows, p.shape[1]))
-    a[0] = 1
+        by_length.setdefault(len(word) + 1, []).append(i)
+    for n, index in by_length.items():
+        step = max(1, CELLS // n)
+        for k in range(0, len(index), step):
+            part = index[k : k + step]
+            yield np.array(part), _codes("".join(MARK + words[i] for i in part)).reshape(-1, n)
+
+
+def _forward(edges: list, rows: int, logs: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over segmentations of each word's prefixes: (length + 1, rows, languages)."""
+    a = np.full((len(edges), rows, logs.shape[1]), -np.inf)
+    a[0] = 0
     for end, into in enumerate(edges):
         for start, r, piece in into:
-            if len(r) == rows:
-                a[end] += a[start] * p[piece]
-            else:
-                a[end, r] += a[start, r] * p[piece]
+            if start == end - 1:  # a character, of every row
+                a[end] = a[start] + logs[piece]
+        for start, r, piece in into:
+            if start < end - 1:
+                a[end, r] = np.logaddexp(a[end, r], a[start, r] + logs[piece])
     return a
 
 
+def _long_forward(codes: np.ndarray, vocabulary: Vocabulary, logs: np.ndarray) -> np.ndarray:
+    """The last row of `_forward` for one word of any length, a stretch of characters at a time."""
+    m, step = vocabulary.longest, 1 << 14
+    p = np.vstack([np.exp(logs), np.zeros(logs.shape[1])])  # the last one stands for no piece
+    # sums of the last m prefixes, the latest first, in units of exp(scale)
+    last, scale = np.zeros((m, logs.shape[1])), np.zeros(logs.shape[1])
+    last[0] = 1
+    for low in range(0, len(codes), step):
+        before = min(low, m - 1)
+        for pieces in vocabulary.at_ends(codes[low - before : low + step])[before:]:
+            new = (last * p[pieces]).sum(axis=0)
+            last[1:] = last[:-1]
+            last[0] = new
+            if new.min() < 1e-150:
+                scale += np.log(new)
+                last /= new
+    return scale + np.log(last[0])
+
+
 def word_scores(words: list[str], vocabulary: Vocabulary, p: np.ndarray) -> np.ndarray:
     """Each word's log probability by language."""
-    out = np.zeros((len(words), p.shape[1]))
-    for index, codes in _groups(words):
-        a = _forward(vocabulary.edges(codes), len(codes), p)
-        np.add.at(out, index, np.log(np.maximum(a[-1], 1e-300)))
+    out, logs = np.zeros((len(words), p.shape[1])), np.log(p)
+    short = [i for i, w in enumerate(words) if len(w) < LONG]
+    for index, codes in _groups([words[i] for i in short]):
+        out[np.array(short)[index]] = _forward(vocabulary.edges(codes), len(codes), logs)[-1]
+    for i in (i for i, w in enumerate(words) if len(w) >= LONG):
+        out[i] = _long_forward(_codes(MARK + words[i]), vocabulary, logs)
     return out
 
 
@@ -122,18 +163,20 @@ def fit_pieces(words: list[str], counts: np.ndarray, vocabulary: Vocabulary, pas
     """Piece probabilities (the unknown piece last) from a language's word counts, by forward-backward passes."""
     p = np.full(vocabulary.size + 1, 1.0 / max(1, vocabulary.size))
     p[-1] = UNKNOWN
-    groups = [(index, len(codes), vocabulary.edges(codes)) for index, codes in _groups(words)]
+    short = [i for i, w in enumerate(words) if len(w) < LONG]  # longer ones teach no pieces
+    counts = counts[short]
+    groups = [(index, len(codes), vocabulary.edges(codes)) for index, codes in _groups([words[i] for i in short])]
     for _ in range(passes):
-        soft = np.zeros(vocabulary.size + 1)
+        soft, logs = np.zeros(vocabulary.size + 1), np.log(p)[:, None]
         for index, rows, edges in groups:
-            a = _forward(edges, rows, p[:, None])[:, :, 0]
-            b = np.zeros_like(a)
-            b[-1] = counts[index] / np.maximum(a[-1], 1e-300)
+            a = _forward(edges, rows, logs)[:, :, 0]
+            b = np.full_like(a, -np.inf)
+            b[-1] = np.log(counts[index]) - a[-1]
             for end in range(len(edges) - 1, 0, -1):
                 for start, r, piece in edges[end]:
-                    back = p[piece] * b[end, r]
-                    b[start, r] += back
-                    soft += np.bincount(piece, weights=a[start, r] * back, minlength=len(soft))
+                    back = logs[piece, 0] + b[end, r]
+                    b[start, r] = np.logaddexp(b[start, r], back)
+                    soft += np.bincount(piece, weights=np.exp(a[start, r] + back), minlength=len(soft))
         soft[-1] = 0
         p = (soft + ADDED) / (soft.sum() + ADDED * vocabulary.size)
         p[-1] = UNKNOWN
@@ -145,6 +188,7 @@ class Model:
 
     def __init__(self, languages: list[str], shares: np.ndarray, pieces: list[str], p: np.ndarray):
         self.languages, self.shares, self.pieces, self.p = languages, shares, pieces, p
+        self.name = hashlib.blake2b(repr((languages, shares.tolist(), pieces)).encode("utf-8", "surrogatepass") + p.tobytes()).hexdigest()
 
 
 def train(labelled: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -202,8 +246,9 @@ class _Scorer:
 def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:
     """docs with two more columns, the predicted language and its posterior (0 to 1); only `text` is read for them.
 
-    A null text, one without a letter, and any text where no language was learned, is `und` with score 0.
-    Columns of docs that have the new names give way.
+    A null text, one without a letter, and any text where no language was learned, is `und` with score 0. Texts
+    and words are scored whole, whatever their length. Ties go to the language whose name comes first. Rows that
+    repeat are predicted each. Columns of docs that have the new names give way. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in (lang, score)]
@@ -211,7 +256,7 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        scorer = kept_in_worker(("languages", known.p.tobytes()[:4096], known.shares.tobytes()), lambda: _Scorer(known)) if known.languages else None
+        scorer = kept_in_worker(("languages", known.name), lambda: _Scorer(known)) if known.languages else None
         for batch in batches:
             for i, j, data, offs, valid in blocks(batch.column("text")):
                 part = batch.slice(i, j - i)
@@ -243,7 +288,12 @@ def identify(docs: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS)
 
 
 def keep_identified(docs: DataFrame, pieces: list[str], least: float = 0.5) -> DataFrame:
-    """docs without the rows whose language is undetermined or whose score is below `least`; all columns stay."""
+    """docs without the rows whose language is undetermined or whose score is below `least`; all columns stay, whatever their names.
+
+    Null, empty and letterless texts are undetermined and go. Rows that repeat are decided each. An empty
+    table stays empty.
+    """
     model = train(docs.where(~held_out()), pieces)
-    found = predict(docs, model, "__lang", "__score")
-    return found.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least)).select(*docs.columns)
+    lang, score = fresh(docs, "lang", "score")
+    found = predict(docs, model, lang, score)
+    return found.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= least)).select(*docs.columns)

@@ -1,9 +1,12 @@
 """Secrets by assignment-aware lexing.
 
-Strict patterns give base spans. Beyond them, a text that has an assignment is lexed as source or
-configuration: names, strings, numbers and operators. `name = literal` and `name: literal` are pairs; a
-name that stands for a known constant, and literals joined by +, take the constants' values, whatever
-their order in the text. A pair's literal is scored by how sensitive its name is and by how random the
+Strict patterns give base spans. Beyond them, a text is lexed as source or configuration: names, strings of
+all kinds of quotes, bare values and operators. Pairs of a name and its literals are: assignments (`name =
+literal`, `name: literal`, `=>`, `:=`, with a type, to an element as in `env["name"] = literal`, on the next
+line, or as an indented block), elements and attributes (`<name>literal</name>`, `key="name" value="literal"`)
+and calls (`set_name("literal")`, `put("name", "literal")`). A name that stands for a known constant, and
+literals joined by + or by standing next to each other, take the constants' values, whatever their order in
+the text. A pair's literal is scored by how sensitive its name is and by how random the
 value looks; literals that reach the threshold, and the literals that a sensitive name got its value
 from, are added as spans of the kind `literal`.
 """
@@ -36,10 +39,12 @@ LEAST_SCORE, LEAST_LENGTH = 0.45, 8
 _NAMED = r"""[A-Za-z_][A-Za-z0-9_.-]*+"""
 #: A name, at the begin of its run of characters, and what assigns: `a: kind = b` has its type's name too.
 _HEAD = re.compile(
-    rf"""(?<![A-Za-z0-9_.-])[0-9.-]*+(?P<name>{_NAMED})["']?[ \t]*+(?::=|=>|=(?![=~])|:(?![:/])(?:[ \t]*+[&*]*+(?P<type>[A-Za-z_][A-Za-z0-9_.]*+)"""
+    rf"""(?<![A-Za-z0-9_.-])[0-9.-]*+(?P<name>{_NAMED})["'`]?\]?[ \t]*+(?::=|=>|=(?![=~])|:(?![:/])(?:[ \t]*+[&*]*+(?P<type>[A-Za-z_][A-Za-z0-9_.]*+)"""
     rf"""(?:[\[<\]>][^\n=:\[\]<>]*+)*+\??(?:[ \t]*+\|[ \t]*+[A-Za-z_][A-Za-z0-9_.]*+)*+[ \t]*+=(?![=~>]))?)[ \t]*+"""
 )
-_STRING = r""""[^"\n]*+"|'[^'\n]*+'"""
+_QUOTED = r""""{3}(?s:.)*?"{3}|'{3}(?s:.)*?'{3}|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`"""
+_STRING = rf"[bfruBFRU]{{0,2}}(?:{_QUOTED})"
+_PREFIX = re.compile(r"[bfruBFRU]{0,2}")
 
 
 def _operand(stops: str) -> re.Pattern[str]:
@@ -49,9 +54,17 @@ def _operand(stops: str) -> re.Pattern[str]:
 
 #: Of names that are sensitive (a query string's next parameter ends a value), and of others (so does a pair within an address or path).
 _OPERAND, _PLAIN_OPERAND = _operand("&"), _operand("&?#|:/@")
-_JOINT = re.compile(r"[ \t]*+\+[ \t]*+")
+_JOINT = re.compile(r"\s*+\+\s*+|\s++(?=[\"'`])")
+#: A value on the next line is a string or a block of indented lines.
+_NEXT_LINE = re.compile(r"\\?\r?\n[ \t]*+(?=[\"'`])")
+_BLOCK = re.compile(r"[|>][+-]?[ \t]*+(?P<lines>(?:\r?\n[ \t]++\S[^\n]*+)++)")
+_LINE = re.compile(r"\S(?:[^\n]*\S)?")
+_ELEMENT = re.compile(rf"<(?:[A-Za-z0-9_.-]*:)?(?P<name>{_NAMED})(?:\s[^<>]*+)?>\s*+(?P<value>[^<>\s][^<>]*?)\s*</")
+_ATTRIBUTES = re.compile(rf"""\b(?:key|name|id)\s*+=\s*+["'](?P<name>{_NAMED})["']\s++value\s*+=\s*+(?P<value>{_QUOTED})""")
+_CALL = re.compile(rf"""(?P<call>(?<![A-Za-z0-9_.-]){_NAMED})\(\s*+(?:["'](?P<key>{_NAMED})["']\s*+,\s*+)?(?P<value>{_STRING})\s*+[,)]""")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _NAME = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.]*)\}?\Z")
+_PARTS = re.compile(r"[._-]")
 _HINT = re.compile(r"[=:]")
 
 
@@ -68,8 +81,8 @@ def likelihood(value: str) -> float:
     counts = Counter(value)
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
     kinds = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value)))
-    if value.isalpha() and (value.islower() or value.istitle()):
-        return 0.2
+    if all(x.isalpha() and (x.islower() or x.istitle() or x.isupper()) for x in _PARTS.split(value)):
+        return 0.2  # words, or a path of names
     return min(1.0, entropy / min(4.0, math.log2(len(value)) + 1e-9)) * (0.55 + 0.15 * kinds)
 
 
@@ -81,32 +94,54 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def pairs(text: str) -> list[tuple[str, list[tuple[str, int, int]], list[str]]]:
-    """(name, its literals with their places, the names it refers to) of each assignment."""
-    out, at = [], 0
+def _unquoted(word: str, start: int) -> tuple[str, int, int]:
+    """A string's content and its place."""
+    skip = _PREFIX.match(word).end()
+    skip += 3 if word[skip : skip + 3] in ('"""', "'''") and len(word) >= skip + 6 else 1
+    close = 3 if word.endswith(('"""', "'''")) and len(word) - skip >= 3 and word[skip - 1] == word[-1] and skip > 2 and word[skip - 3] == word[-1] else 1
+    return word[skip:-close], start + skip, start + len(word) - close
+
+
+def _assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], list[str]]]:
+    at = 0
     while m := _HEAD.search(text, at):
         at, literals, refers = m.end(), [], []
         names = [m["name"], *([m["type"]] if m["type"] else [])]
-        operand = _OPERAND if any(map(sensitivity, names)) else _PLAIN_OPERAND
-        o = operand.match(text, at)
-        while o:
-            (start, at), word = o.span(), o[0]
-            if word[0] in "\"'":
-                literals.append((word[1:-1], start + 1, at - 1))
-            else:
-                literals.append((word, start, at))  # a bare word is a value too, in configurations
-                refers += [name[1] for part in word.split("+") if (name := _NAME.match(part))]
-            joint = _JOINT.match(text, at)
-            o = operand.match(text, joint.end()) if joint else None
+        sensitive = any(map(sensitivity, names))
+        if sensitive and (block := _BLOCK.match(text, at)):
+            literals, at = [(line[0], line.start(), line.end()) for line in _LINE.finditer(text, block.start("lines"), block.end())], block.end()
+        else:
+            operand = _OPERAND if sensitive else _PLAIN_OPERAND
+            if below := _NEXT_LINE.match(text, at):
+                at = below.end()
+            o = operand.match(text, at)
+            while o:
+                (start, at), word = o.span(), o[0]
+                if word[-1] in "\"'`" and word.lstrip("bfruBFRU")[:1] == word[-1]:
+                    literals.append(_unquoted(word, start))
+                else:
+                    literals.append((word, start, at))  # a bare word is a value too, in configurations
+                    refers += [name[1] for part in word.split("+") if (name := _NAME.match(part))]
+                joint = _JOINT.match(text, at)
+                o = operand.match(text, joint.end()) if joint else None
         if literals:
-            out += [(name, literals, refers) for name in names]
+            yield from ((name, literals, refers) for name in names)
+
+
+def pairs(text: str) -> list[tuple[str, list[tuple[str, int, int]], list[str]]]:
+    """(name, its literals with their places, the names it refers to) of each pair."""
+    out = list(_assignments(text)) if _HINT.search(text) else []
+    if "</" in text:
+        out += [(m["name"], [(m["value"], *m.span("value"))], []) for m in _ELEMENT.finditer(text)]
+    if "value" in text:
+        out += [(m["name"], [_unquoted(m["value"], m.start("value"))], []) for m in _ATTRIBUTES.finditer(text)]
+    if "(" in text:
+        out += [(m["key"] or m["call"], [_unquoted(m["value"], m.start("value"))], []) for m in _CALL.finditer(text)]
     return out
 
 
 def literal_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of literals that reach sensitive names, directly or by constants."""
-    if not _HINT.search(text):
-        return []
     found = pairs(text)
     known: dict[str, list[int]] = {}
     for i, (name, _, _) in enumerate(found):
@@ -144,7 +179,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_literal) for each row of docs (doc_id, text).
 
     Counts and digest are of base spans; spans names all, by start and kind. Places count code points, ends
-    exclusive. A null text is empty. Rows that repeat a doc_id have rows each; extra columns are not read.
+    exclusive. A null text is empty. Texts are lexed whole and literals taken whole, whatever their length. Spans
+    of one start are in the order of their kinds. Rows that repeat a doc_id have rows each; extra columns are
+    not read. An empty table gives no rows.
     """
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_literal long"
 
