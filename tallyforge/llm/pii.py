@@ -1,17 +1,20 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Seeds are the matches of strict patterns (e-mail, IP, card and phone numbers). The words around seeds
-give lexical patterns; tokens with digits or an at sign that stand in the same patterns are candidate
+give lexical patterns; addresses and groups of digits that stand in the same patterns are candidate
 instances. Patterns and instances form a graph, scored in rounds: a pattern by the mean score of its
 instances, an instance by the chance that one of its patterns holds. Seeds stay at one. Instances that
-high-confidence patterns support, and whose form suits the kind, are added as spans.
+high-confidence patterns support, and whose form suits the kind, are added as spans wherever they stand.
 
 A match's place comes from `split` by the same expression: gaps and matches alternate, so their lengths
-add up to starts. All quantifiers that could loop are possessive: no backtracking over long texts.
+add up to starts, by blocks of BLOCK. All quantifiers that could loop are possessive: no backtracking over
+long texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +28,14 @@ STRICT = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Tokens that may be identifiers: those with a digit or an at sign.
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: What may be an identifier: an address, or groups of digits with what stands within numbers, apart by single blanks.
+CANDIDATE = r"(?<![A-Za-z0-9._%+@-])(?:[A-Za-z0-9._%+-]++@[A-Za-z0-9._-]++|\+?\(?[0-9][0-9A-Fa-f:.()/-]*+(?: \(?[0-9][0-9.()/-]*+)*+)"
 #: Characters of context that are kept before and after a match.
 LEFT, RIGHT = 64, 32
 #: Rounds of scoring, distinct seeds that a pattern needs, least scores of patterns and of instances.
 ROUNDS, SUPPORT, PATTERN_SCORE, INSTANCE_SCORE = 3, 3, 0.5, 0.5
+#: Matches whose lengths are added up together, and patterns or instances that a broadcast may hold.
+BLOCK, BROADCAST = 256, 100_000
 
 _NO_SPANS = "array<struct<rank:int,start:int,end:int,value:string,l:string,r:string>>"
 
@@ -54,19 +59,43 @@ def _has_rank(rank: int):
     return lambda s: s["rank"] == rank
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is evaluated once however often the body's lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, begin: Column) -> Column:
+    none = F.array().cast("array<int>")
+
+    def add(state: Column, x: Column) -> Column:
+        return F.struct((state["at"] + x).alias("at"), F.concat(state["all"], F.array(state["at"] + x)).alias("all"))
+
+    return F.aggregate(values, F.struct(begin.alias("at"), none.alias("all")), add, lambda s: s["all"])
+
+
+def _sums(lengths: Column) -> Column:
+    """The sums of a (not empty) array's elements up to each; an array grows within a block only, so time is linear."""
+
+    def block(n: Column, b: Column) -> Column:
+        return F.slice(n, b * BLOCK + 1, F.lit(BLOCK))
+
+    def by_blocks(n: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(n) - 1) / BLOCK).cast("int"))
+        wholes = _running(F.transform(blocks, lambda b: F.aggregate(block(n, b), F.lit(0), lambda x, y: x + y)), F.lit(0))
+        return _let(F.concat(F.array(F.lit(0)), wholes), lambda begins: F.flatten(F.transform(blocks, lambda b: _running(block(n, b), F.element_at(begins, b + 1)))))
+
+    return _let(lengths, by_blocks)
+
+
 def _places(rank: int, matches: Column, gaps: Column) -> Column:
     """The matches with their places and contexts; gaps has one element more than matches."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_NO_SPANS).alias("spans"))
+    pairs = F.arrays_zip(matches.alias("m"), F.slice(gaps, F.lit(1), F.size(matches)).alias("l"), F.slice(gaps, F.lit(2), F.size(matches)).alias("r"))
+    ends = _sums(F.transform(pairs, lambda p: (F.length(p["l"]) + F.length(p["m"])).cast("int")))
 
-    def step(state: Column, i: Column) -> Column:
-        gap, match = F.element_at(gaps, i), F.element_at(matches, i)
-        start = (state["at"] + F.length(gap)).cast("int")
-        end = (start + F.length(match)).cast("int")
-        span = F.struct(F.lit(rank).alias("rank"), start.alias("start"), end.alias("end"), match.alias("value"), F.right(gap, F.lit(LEFT)).alias("l"), F.left(F.element_at(gaps, i + 1), F.lit(RIGHT)).alias("r"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+    def span(p: Column, end: Column) -> Column:
+        return F.struct(F.lit(rank).alias("rank"), (end - F.length(p["m"])).cast("int").alias("start"), end.alias("end"), p["m"].alias("value"), F.right(p["l"], F.lit(LEFT)).alias("l"), F.left(p["r"], F.lit(RIGHT)).alias("r"))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.size(matches)), empty, step, lambda s: s["spans"])
-    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(_NO_SPANS))
+    return F.when(F.size(matches) > 0, F.zip_with(pairs, ends, span)).otherwise(F.array().cast(_NO_SPANS))
 
 
 def _key(docs: DataFrame) -> Column:
@@ -94,42 +123,58 @@ def base_spans(docs: DataFrame, candidates: bool = False) -> DataFrame:
 
 
 def _contexts(left: Column, right: Column) -> Column:
-    """The lexical patterns around a place: two words before; one before and one after; a label before.
+    """The lexical patterns around a place: three words or two before; one before and one after; a label before; a label and a word after.
 
-    The word right before must have a letter, so that separators alone are no pattern.
+    A label ends with : = or #, and quotes or brackets may follow. The word right before must have a letter, so
+    that separators alone are no pattern.
     """
     left, right = F.lower(left), F.lower(right)
-    two, one = F.regexp_extract(left, r"(\S+\s+\S+)\s*$", 1), F.regexp_extract(left, r"(\S+)\s*$", 1)
-    after, label = F.regexp_extract(right, r"^\s*(\S+)", 1), F.regexp_extract(left, r"([^\s:=#]+\s*[:=#])\s*$", 1)
+    three, two, one = (F.regexp_replace(F.regexp_extract(left, rf"(?<!\S)(\S+(?:\s+\S+){{{n}}})[\s(]*$", 1), r"\s+", " ") for n in (2, 1, 0))
+    after, label = F.regexp_extract(right, r"^[\s)]*(\S+)", 1), F.regexp_extract(left, r"""([^\s:=#"'(,;|]+)["']?\s*[:=#]+[\s"'(\[<]*$""", 1)
     word = one.rlike(r"\p{L}")
-    both = [F.when((two != "") & word, F.concat(F.lit("2:"), F.regexp_replace(two, r"\s+", " "))), F.when(word & (after != ""), F.concat(F.lit("a:"), one, F.lit(" _ "), after)), F.when(label != "", F.concat(F.lit("l:"), F.regexp_replace(label, r"\s+", "")))]
+    both = [F.when((three != "") & word, F.concat(F.lit("3:"), three)), F.when((two != "") & word, F.concat(F.lit("2:"), two)), F.when(word & (after != ""), F.concat(F.lit("a:"), one, F.lit(" _ "), after)), F.when(label != "", F.concat(F.lit("l:"), label)), F.when((label != "") & (after != ""), F.concat(F.lit("b:"), label, F.lit(" _ "), after))]
     return F.array_compact(F.array(*both))
 
 
 def _suits(rank: Column, value: Column) -> Column:
     """Whether a candidate's form suits a kind."""
     digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
-    forms = {0: F.instr(value, "@") > 1, 1: value.rlike(r"^[0-9A-Fa-f]+([.:][0-9A-Fa-f]*){2,7}$") & (digits >= 3), 2: digits.between(12, 19) & value.rlike("^[0-9-]+$"), 3: digits.between(7, 15) & value.rlike(r"^\+?[0-9().-]+$")}
+    forms = {0: F.instr(value, "@") > 1, 1: value.rlike(r"^[0-9A-Fa-f]+([.:][0-9A-Fa-f]*){2,7}$") & (digits >= 3), 2: digits.between(12, 19) & value.rlike("^[0-9 -]+$"), 3: digits.between(7, 15) & value.rlike(r"^\+?[0-9() ./-]+$")}
     out = F.lit(False)
     for k, form in forms.items():
         out = F.when(rank == k, form).otherwise(out)
     return out
 
 
-def discovered(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, pattern_score: float = PATTERN_SCORE, instance_score: float = INSTANCE_SCORE) -> DataFrame:
-    """(key, added): the spans that patterns add, from (key, base, candidates); added ones overlap no base span."""
-    seeds = found.select(F.explode("base").alias("s")).select("s.rank", F.lower("s.value").alias("instance"), F.explode(_contexts(F.col("s.l"), F.col("s.r"))).alias("pattern")).distinct()
-    patterns = seeds.groupBy("rank", "pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support)
-    seeds = seeds.join(patterns.select("rank", "pattern"), ["rank", "pattern"])
+def _tokens(found: DataFrame) -> DataFrame:
+    """(key, start, end, value, instance, l, r): the candidates that overlap no base span, without punctuation around them."""
     token = found.select("key", "base", F.explode("candidates").alias("c"))
     token = token.where(~F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start"))))
-    head = F.length(F.regexp_extract("c.value", r"^[^0-9A-Za-z+@]+", 0))
-    value = F.regexp_replace("c.value", r"^[^0-9A-Za-z+@]+|[^0-9A-Za-z]+$", "")
-    token = token.select("key", (F.col("c.start") + head).cast("int").alias("start"), value.alias("value"), F.explode(_contexts(F.col("c.l"), F.col("c.r"))).alias("pattern"))
-    met = token.join(patterns.select("rank", "pattern"), "pattern").where(_suits(F.col("rank"), F.col("value")))
-    met = checkpointed(met.select("key", "rank", "pattern", "start", (F.col("start") + F.length("value")).cast("int").alias("end"), "value", F.lower("value").alias("instance")))
-    edges = checkpointed(seeds.select("rank", "pattern", "instance", F.lit(1.0).alias("score")).unionByName(met.select("rank", "pattern", "instance", F.lit(0.0).alias("score")).distinct()).groupBy("rank", "pattern", "instance").agg(F.max("score").alias("score")))
-    by_pattern = None
+    value = F.regexp_replace("c.value", r"[^0-9A-Za-z]+$", "")
+    token = token.select("key", F.col("c.start").alias("start"), value.alias("value"), F.col("c.l").alias("l"), F.col("c.r").alias("r")).where("value <> ''")
+    return token.withColumns({"end": (F.col("start") + F.length("value")).cast("int"), "instance": F.lower("value")})
+
+
+def induced(found: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(rank, pattern, seeds): the patterns that as many distinct seeds support."""
+    seeds = found.select(F.explode("base").alias("s")).select("s.rank", F.lower("s.value").alias("instance"), F.explode(_contexts(F.col("s.l"), F.col("s.r"))).alias("pattern")).distinct()
+    return seeds.groupBy("rank", "pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support)
+
+
+def discovered(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, pattern_score: float = PATTERN_SCORE, instance_score: float = INSTANCE_SCORE) -> DataFrame:
+    """(key, added): the spans that patterns add, from (key, base, candidates); added ones overlap no base span.
+
+    A common pattern gathers in no task: patterns are broadcast while they are few (their rows are counted), and
+    beyond that a join's large partitions are split.
+    """
+    patterns = checkpointed(induced(found, support))
+    known = small_enough(patterns.select("rank", "pattern"), BROADCAST)
+    seeds = found.select(F.explode("base").alias("s")).select("s.rank", F.lower("s.value").alias("instance"), F.explode(_contexts(F.col("s.l"), F.col("s.r"))).alias("pattern")).distinct()
+    seeds = seeds.join(known, ["rank", "pattern"])
+    token = _tokens(found)
+    met = token.select("value", "instance", F.explode(_contexts(F.col("l"), F.col("r"))).alias("pattern")).join(known, "pattern").where(_suits(F.col("rank"), F.col("value")))
+    edges = seeds.select("rank", "pattern", "instance", F.lit(1.0).alias("score")).unionByName(met.select("rank", "pattern", "instance", F.lit(0.0).alias("score")).distinct())
+    edges, by_pattern = checkpointed(edges.groupBy("rank", "pattern", "instance").agg(F.max("score").alias("score"))), None
     for k in range(rounds):
         by_pattern = edges.groupBy("rank", "pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("weight"))
         held = F.when(F.col("weight") >= pattern_score, F.least("weight", F.lit(0.999))).otherwise(0.0)
@@ -137,10 +182,11 @@ def discovered(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, p
         edges = edges.join(by_instance, ["rank", "instance"]).select("rank", "pattern", "instance", F.when(F.col("score") == 1.0, 1.0).otherwise(F.col("chance")).alias("score"))
         if k + 1 < rounds:
             edges = checkpointed(edges)
-    good = edges.where(F.col("score") >= instance_score).join(by_pattern.where(F.col("weight") >= pattern_score), ["rank", "pattern"]).select("rank", "pattern", "instance")
-    hits = met.join(good, ["rank", "pattern", "instance"], "left_semi").groupBy("key", "start", "end").agg(F.min(F.struct("rank", "value")).alias("x"))
-    span = F.struct(F.col("x.rank").alias("rank"), "start", "end", F.col("x.value").alias("value"))
-    return hits.groupBy("key").agg(F.collect_list(span).alias("added"))
+    good = edges.where(F.col("score") >= instance_score).join(by_pattern.where(F.col("weight") >= pattern_score), ["rank", "pattern"]).groupBy("instance").agg(F.min("rank").alias("rank"))
+    good = small_enough(checkpointed(good), BROADCAST)
+    hits = token.select("key", "start", "end", "value", "instance").join(good, "instance").where(_suits(F.col("rank"), F.col("value")))
+    span = F.struct("rank", "start", "end", "value")
+    return hits.groupBy("key").agg(F.collect_set(span).alias("added"))
 
 
 def _found(docs: DataFrame) -> DataFrame:
@@ -160,8 +206,10 @@ def _plain(spans: Column) -> Column:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans) for each row: arrays of (rank of the kind, start, end, value), by kind and start.
 
-    Starts and ends count code points, ends exclusive. A null text is empty. Rows that repeat a doc_id
-    have spans each; extra columns are not read.
+    Starts and ends count code points, ends exclusive. A null text is empty. Texts are searched whole, of any
+    length. Rows that repeat a doc_id have spans each; rows that repeat in all have equal ones. An instance that
+    patterns of several kinds support is of the kind listed first. Extra columns are not read. An empty table
+    gives no rows.
     """
     found = _found(docs)
     joined = found.select("key", "doc_id", _plain(F.col("base")).alias("base")).join(discovered(found), "key", "left")
@@ -176,24 +224,26 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each span of personal data in `text` replaced by its kind in brackets; all columns stay.
+    """docs with each span of personal data in `text` replaced by its kind in brackets; all columns stay, whatever their names.
 
-    Spans that overlap are replaced together, by the kind of the first. A null text stays null.
+    Spans that overlap are replaced together, by the kind of the first. A null text stays null, an empty one
+    empty. Texts are searched whole. Rows that repeat are redacted each; an empty table stays empty.
     """
-    names = docs.columns
     added = discovered(_found(docs))
-    added = small_enough(checkpointed(added.select(F.col("key").alias("__key"), F.col("added").alias("__added"))), 100_000)
-    spans = base_spans(docs).withColumn("__key", _key(docs)).join(added, "__key", "left")
+    added = small_enough(checkpointed(added.select(F.col("key").alias("of"), "added")), BROADCAST)
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("text"))
+    spans = base_spans(whole).withColumn("key", _key(whole)).join(added, F.col("key") == F.col("of"), "left")
     base = _plain(F.col("__base"))
-    every = F.array_sort(F.transform(F.when(F.col("__added").isNull(), base).otherwise(F.concat(base, "__added")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"))))
-    spans = spans.withColumn("__spans", every)
+    every = F.array_sort(F.transform(F.when(F.col("added").isNull(), base).otherwise(F.concat(base, "added")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"))))
+    spans = spans.withColumn("spans", every)
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
         apart = s["start"] >= state["at"]
-        more = F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"]), F.element_at(marks, s["rank"] + 1))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(apart, more).otherwise(state["out"]).alias("out"))
+        more = F.array(F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"]), F.element_at(marks, s["rank"] + 1))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(apart, F.concat(state["out"], more)).otherwise(state["out"]).alias("out"))
 
-    whole = F.aggregate("__spans", begin, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    return spans.withColumn("text", F.when(F.size("__spans") > 0, whole).otherwise(F.col("text"))).select(*names)
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    redacted = F.aggregate("spans", begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    row = F.col("row").withField("`text`", F.when(F.size("spans") > 0, redacted).otherwise(F.col("text")))
+    return spans.select(row.alias("row")).select("row.*")
