@@ -27,10 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Scratch, Words, clean, crc_residue, mix, release, string_buffers
+from tallyforge.llm.common import Scratch, Words, clean, crc_residue, even_keys, mix, release, string_buffers
 
 #: Bytes of text in a unit, in a shard's share and in a partition of units; a longer text is a unit of its own.
 UNIT_BYTES, SHARD_BYTES, PART_BYTES = 3 << 20, 6 << 20, 24 << 20
+#: Shards of a partition.
+SHARDS_EACH = 3
 #: The base score's added count; classes of counts for each power of two, and how many there are.
 ADDED, FINE, CLASSES = 0.1, 3, 200
 #: Bits of an n-gram's code. Of n different n-grams a share of about n / 2^53 has another's code by chance, and its counts.
@@ -249,9 +251,13 @@ def _dealt(rows: DataFrame, unit_bytes: int) -> DataFrame:
     return rows.mapInArrow(run, "unit long, size long, data binary")
 
 
-def _asked_for(texts: DataFrame, shards: int) -> DataFrame:
-    """(shard, unit, keys, counts): for each unit and shard, the unit's n-grams there and their training counts."""
-    names = ["shard", "unit", "keys", "counts"]
+def _asked_for(texts: DataFrame, shards: int, partitions: int) -> DataFrame:
+    """(deal, shard, unit, keys, counts): for each unit and shard, the unit's n-grams there and their training counts.
+
+    deal has as many neighbouring shards for each of the partitions that it deals into.
+    """
+    names = ["deal", "shard", "unit", "keys", "counts"]
+    even = texts.sparkSession.sparkContext.broadcast(even_keys(texts.sparkSession, partitions).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([(s << CODE_BITS) // shards for s in range(1, shards)], np.uint64)
@@ -265,16 +271,17 @@ def _asked_for(texts: DataFrame, shards: int) -> DataFrame:
             own = [_planes(counts[cuts[s] : cuts[s + 1]].astype(np.uint32)) for s in full]
             for low in range(0, len(full), 500):
                 part = slice(low, low + 500)
-                yield pa.RecordBatch.from_arrays([pa.array(full[part], pa.int32()), pa.array([unit] * len(full[part]), pa.int64()), pa.array(keys[part], pa.binary()), pa.array(own[part], pa.binary())], names=names)
+                deal = even.value[np.array(full[part], np.int64) * partitions // shards]
+                yield pa.RecordBatch.from_arrays([pa.array(deal), pa.array(full[part], pa.int32()), pa.array([unit] * len(full[part]), pa.int64()), pa.array(keys[part], pa.binary()), pa.array(own[part], pa.binary())], names=names)
             release()
 
-    return texts.select("unit", "data").mapInArrow(run, "shard int, unit long, keys binary, counts binary")
+    return texts.select("unit", "data").mapInArrow(run, "deal int, shard int, unit long, keys binary, counts binary")
 
 
 _ANSWER = "unit long, shard int, counts binary, n long, v long, n1 long, n2 long"
 
 
-def _answers(asked: DataFrame, shards: int, partitions: int) -> DataFrame:
+def _answers(asked: DataFrame, partitions: int) -> DataFrame:
     """(unit, shard, counts): the totals, in the order asked. A shard's first row also has its words' sums: n, v, n1 and n2."""
     names = [x.split()[0] for x in _ANSWER.split(", ")]
     end = code(np.array([_END], np.uint64), True)[0]
@@ -298,7 +305,7 @@ def _answers(asked: DataFrame, shards: int, partitions: int) -> DataFrame:
                 own = [pa.array([int(x) if i == 0 else 0], pa.int64()) for x in sums]
                 yield pa.RecordBatch.from_arrays([pa.array([units[i]], pa.int64()), pa.array([shard], pa.int32()), pa.array([_planes(totals[place[a:b]])], pa.binary()), *own], names=names)
 
-    return asked.repartition(partitions, "shard").sortWithinPartitions("shard", "unit").mapInArrow(run, _ANSWER)
+    return asked.repartition(partitions, "deal").drop("deal").sortWithinPartitions("shard", "unit").mapInArrow(run, _ANSWER)
 
 
 def _answered(texts: DataFrame, answers: DataFrame, partitions: int) -> DataFrame:
@@ -367,7 +374,8 @@ def _score(rows: DataFrame, unit_bytes: int, shard_bytes: int) -> DataFrame:
     texts = scratch.write(_dealt(rows, unit_bytes))
     size = texts.agg(F.sum("size")).first()[0] or 0
     shards, partitions = -(-size // shard_bytes) or 1, -(-size // PART_BYTES) or 1
-    answers = scratch.write(_answers(_asked_for(texts, shards), shards, max(1, -(-shards // 3))))
+    dealt = max(1, -(-shards // SHARDS_EACH))
+    answers = scratch.write(_answers(_asked_for(texts, shards, dealt), dealt))
     clean(spark)
     n, v, n1, n2 = (int(x or 0) for x in answers.agg(*[F.sum(c) for c in ("n", "v", "n1", "n2")]).first())
     uni = Unigrams(n, v, n1, n2)

@@ -98,6 +98,14 @@ def small_enough(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def even_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of n partitions a number that Spark's hash partitioning deals into it."""
+    rows = spark.range(30 * n).select(F.col("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("at")).groupBy("at").agg(F.min("id").alias("id")).collect()
+    keys = np.arange(n)
+    keys[[r["at"] for r in rows]] = [r["id"] for r in rows]
+    return keys
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, with as many underscores before them as it takes for df to have no such column (in any case)."""
     taken, marks = {c.lower() for c in df.columns}, "__"

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import blocks, mix, release, string_buffers
+from tallyforge.llm.common import blocks, even_keys, mix, release, string_buffers
 
 WINDOW, RUN, GRADES = 16, 64, 1000
 #: Windows of a text for each window of a run, and windows of a run for each point that a feature needs.
@@ -211,14 +211,6 @@ def fingerprints(docs: DataFrame, ranks: np.ndarray | None = None) -> DataFrame:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _even_keys(spark, n: int) -> np.ndarray:
-    """For each of n partitions a number that Spark's hash partitioning deals into it."""
-    rows = spark.range(30 * n).select(F.col("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("at")).groupBy("at").agg(F.min("id").alias("id")).collect()
-    keys = np.arange(n)
-    keys[[r["at"] for r in rows]] = [r["id"] for r in rows]
-    return keys
-
-
 def edited_likeness(docs: DataFrame, rows_per_range: int = 1000) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness; and the likeness to the next document.
 
@@ -255,7 +247,7 @@ def edited_likeness(docs: DataFrame, rows_per_range: int = 1000) -> DataFrame:
     both = dealt.withColumn("lent", F.lit(0)).unionByName(lent)
     # neighbouring ranges share a partition, of which each has as many
     parts = -(-len(heads) // RANGES_EACH)
-    even = spark.sparkContext.broadcast(_even_keys(spark, parts))
+    even = spark.sparkContext.broadcast(even_keys(spark, parts))
 
     @F.pandas_udf("int")
     def key(part: pd.Series) -> pd.Series:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Scratch, Words, blocks, checkpointed, mix, small_enough
+from tallyforge.llm.common import Scratch, Words, blocks, checkpointed, fresh, mix, small_enough
 from tallyforge.llm.components import connected_components
 
 #: Words in a shingle and least percentage of intersection to union.
@@ -71,7 +71,7 @@ def node_of(tokens: np.ndarray) -> bytes | None:
 
 
 def code_of(node: bytes | None, n: int) -> int | None:
-    """44 bits of a node and its set's size (cut at 2^20 - 1): what the index holds instead of the node."""
+    """43 bits of a node and its set's size (cut at 2^20 - 1): what the index holds instead of the node."""
     return None if node is None else (int.from_bytes(node[:6], "little") & (1 << 43) - 1) << 20 | min(n, _SIZE)
 
 
@@ -251,13 +251,18 @@ def jaccard_links(docs: DataFrame, classes: DataFrame, words: int = WORDS, perce
     shared = scratch.write(index.join(ends, "sig").distinct())
     links = docs.sparkSession.createDataFrame([], "a binary, b binary")
     rows, roots = shared.withColumn("root", F.lit(None).cast("string")), None
+    # nodes that chance gave one code are compared with each other at once, and no component is taken for the code's
+    several = classes.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code")
+    several = small_enough(scratch.write(several))
+    same = scratch.write(several.select(F.col("code").alias("x"), F.col("code").alias("y")))
+    links = checkpointed(links.unionByName(_verified(same, docs, classes, words, percent, scratch).where("a < b"))) if not same.isEmpty() else links
     sizes = shared.groupBy("sig").agg(F.count("*").alias("s"))
     before = sizes.agg(F.sum(F.col("s") * (F.col("s") - 1) / 2)).first()[0] or 0
     for turn in range(PIVOT_ROUNDS):
         rows = scratch.write(_with_pivots(rows, turn))
         pivots = [rows.where(f"code <> {p} AND (root IS NULL OR root <> {p}_root) AND {_fit('code', p, percent)}").select(F.least("code", p).alias("x"), F.greatest("code", p).alias("y")) for p in ("low", "high")]
         links = checkpointed(links.unionByName(_verified(scratch.write(pivots[0].unionByName(pivots[1]).distinct()), docs, classes, words, percent, scratch)))
-        roots = connected_components(links).join(classes.select("node", "code"), "node").groupBy("code").agg(F.hex(F.min("root")).alias("root"))
+        roots = connected_components(links).join(classes.select("node", "code"), "node").join(several, "code", "left_anti").groupBy("code").agg(F.hex(F.min("root")).alias("root"))
         named = rows.select("sig", "code").join(roots, "code", "left").select("sig", "code", F.coalesce("root", F.col("code").cast("string")).alias("root"))
         counted = named.groupBy("sig", "root").agg(F.count("*").alias("m")).groupBy("sig").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count("*").alias("k")).where("k > 1")
         apart = checkpointed(counted.select("sig", "s", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")))
@@ -300,31 +305,50 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     without words, has an empty set and links with nothing. Rows that repeat a doc_id are rows of their
     own; a null doc_id stays null and counts in a component only where no other id is in it.
     """
+    found = _components(docs, words, percent, most)
+    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _components(docs: DataFrame, words: int, percent: int, most: int) -> DataFrame:
+    """(doc_id, n_shingles, node, root, component_id) for each row; node, root and component_id are null for empty sets."""
     sets = checkpointed(document_sets(docs, words))
     scratch = Scratch(docs.sparkSession)
     classes = scratch.write(_classes(sets))
     roots = connected_components(jaccard_links(docs, classes, words, percent, most))
     least = roots.join(classes, "node").groupBy("root").agg(F.min("rep").alias("least"))
-    named = roots.join(least, "root").select("node", "least")
-    own = classes.join(named, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
+    own = classes.join(roots.join(least, "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("least", "rep").alias("component_id"))
     own = checkpointed(own)
     scratch.drop()
-    full = sets.where("node IS NOT NULL").join(own, "node").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return full.unionByName(sets.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    full = sets.where("node IS NOT NULL").join(own, "node").select("doc_id", "n_shingles", "node", "root", "component_id")
+    none = F.lit(None)
+    return full.unionByName(sets.where("node IS NULL").select("doc_id", "n_shingles", "node", none.cast("binary").alias("root"), none.cast("long").alias("component_id")))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component, that of the smallest id; all columns stay.
+    """docs with one document of each component, that of the smallest id; all columns stay, whatever their names.
 
-    Rows that share a doc_id are taken as one document, of which one row stays. Rows without a doc_id stay.
+    Rows that share a doc_id are decided by their own texts; of rows that repeat in doc_id and set of shingles
+    one stays. Null and empty texts link with nothing and stay, all of them, as do rows without a doc_id.
+    Texts count whole. An empty table stays empty.
     """
-    found = checkpointed(jaccard_components(docs, words, percent))
-    counted = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
-    gone = small_enough(counted.where("c <> doc_id").select(F.col("doc_id").alias("__gone")))
-    kept = docs.join(gone, docs.doc_id.cast("long") == F.col("__gone"), "left_anti")
-    repeated = checkpointed(counted.where("n > 1 AND c = doc_id").select(F.col("doc_id").alias("__again")))
+    found = checkpointed(_components(docs, words, percent, MOST_FREQUENT).where("doc_id IS NOT NULL").select("doc_id", "node", "root"))
+    first = found.where("node IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("k")).select("k.doc_id", "k.node")
+    repeated = checkpointed(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    gone = found.where("node IS NOT NULL").join(first, ["doc_id", "node"], "left_anti").join(repeated, "doc_id", "left_anti")
+    names, node, doc = docs.columns, *fresh(docs, "node", "doc")
+    gone = small_enough(checkpointed(gone.select(F.col("doc_id").alias(doc))))
+    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col(doc), "left_anti")
     if repeated.isEmpty():
         return kept
-    again = small_enough(repeated)
-    once = kept.join(again, kept.doc_id.cast("long") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, kept.doc_id.cast("long") == F.col("__again"), "left_anti").unionByName(once)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, tokens, ptr in _sets(batches, words):
+            nodes = [node_of(tokens[a:b]) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], names=[*names, node])
+
+    again = small_enough(repeated.select(F.col("doc_id").alias(doc)))
+    named = kept.join(again, kept["doc_id"].cast("long") == F.col(doc), "left_semi").mapInArrow(run, docs.select(*names).schema.add(node, "binary"))
+    one = first.select(F.col("doc_id").alias(doc), F.col("node").alias("first"))
+    once = named.join(one, (named["doc_id"].cast("long") == F.col(doc)) & (F.col(node) == F.col("first")), "left_semi").dropDuplicates(["doc_id", node])
+    apart = kept.join(again, kept["doc_id"].cast("long") == F.col(doc), "left_anti")
+    return apart.unionByName(named.where(F.col(node).isNull()).select(*names)).unionByName(once.select(*names))
