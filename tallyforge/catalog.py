@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tallyforge.functions import text
 from tallyforge.operators import blocking, detect, evaluate, isolation, liability, matching, pair_model, review
 from tallyforge.plans.domain import HOME_STATE, Domain, with_clause
 from tallyforge.sources import ingest
+from tallyforge.streaming import events
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -36,7 +38,7 @@ def _add(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     """Register a query over the domain; sql may use the views named, and its own CTEs after a leading comma."""
 
     def put(f: Callable[[Domain], DataFrame]):
-        _QUERIES[name] = lambda spark, sf_dir: f(Domain(spark, sf_dir))
+        _QUERIES[name] = lambda spark, sf_dir: f(Domain(spark, sf_dir, shared=len(views) != 1))
         if sql is not None:
             ctes = with_clause(*views)
             if sql.lstrip().startswith(","):
@@ -48,6 +50,14 @@ def _add(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     return put
 
 
+def _likeness(a: str, b: str) -> str:
+    """DuckDB's form of the ratio: twice the longest common subsequence over both lengths, row by row of its table."""
+    cell = f"greatest(r[i], r[i - 1] + CASE WHEN unicode(substr({b}, CAST(i - 1 AS INT), 1)) = c[1] THEN 1 ELSE 0 END)"
+    row = f"list_transform(range(1, length({b}) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda i: CASE WHEN i = 1 THEN 0 ELSE {cell} END)))"
+    rows = f"list_reduce(list_transform(string_split({a}, ''), lambda c: [CAST(unicode(c) AS BIGINT)]), lambda r, c: {row}, list_transform(range(0, length({b}) + 1), lambda j: CAST(0 AS BIGINT)))"
+    return f"(CASE WHEN {a} = {b} THEN 100.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE 200.0 * list_max({rows}) / (length({a}) + length({b})) END)"
+
+
 def _table(d: Domain, name: str) -> DataFrame:
     return d.spark.read.parquet(f"{d.sf_dir}/{name}.parquet")
 
@@ -93,10 +103,10 @@ def _(d):
 
 
 # --- the first slice ---------------------------------------------------------
-@_add("q_missing_payment_by_period", f", p AS (SELECT DISTINCT {key('reference')} AS x FROM pay) SELECT strftime(inv_date, '%Y-%m') AS period, count(*) AS n, CAST(sum(total) AS DECIMAL(28,2)) AS amount FROM inv WHERE {key('invoice_no')} NOT IN (SELECT x FROM p) AND inv_date <= DATE '2000-12-31' GROUP BY 1", ("inv", "pay"))
+@_add("q_missing_payment_by_period", f", p AS (SELECT DISTINCT {key('reference')} AS x FROM pay) SELECT strftime(inv_date, '%Y-%m') AS period, count(*) AS n, CAST(sum(total) AS DECIMAL(28,2)) AS amount FROM inv WHERE {key('invoice_no')} NOT IN (SELECT x FROM p) AND inv_date <= DATE '{detect.OPEN_AFTER}' GROUP BY 1", ("inv", "pay"))
 def _(d):
     paid = d.pay.select(text.norm_identifier(F.col("reference")).alias("key")).distinct()
-    open_ = detect.keyed(d.inv).where("inv_date <= DATE '2000-12-31'").join(paid, "key", "left_anti")
+    open_ = detect.keyed(d.inv).where(F.col("inv_date") <= F.lit(detect.OPEN_AFTER).cast("date")).join(paid, "key", "left_anti")
     return open_.groupBy(F.date_format("inv_date", "yyyy-MM").alias("period")).agg(F.count("*").alias("n"), F.sum("total").cast("decimal(28,2)").alias("amount"))
 
 
@@ -177,7 +187,7 @@ for _kind, _when, _impact in (
 _DIRECT = f""", ik AS (SELECT *, {key('invoice_no')} AS key, {tax_id('gstin')} AS g FROM inv), pt AS (SELECT *, {key("concat_ws(' ', reference, narration)")} AS body, {key('reference')} AS ref FROM pay),
 cuts AS (SELECT DISTINCT txn_id, substr(body, CAST(i AS INT), 11) AS key FROM pt, range(1, 80) AS s(i) WHERE i <= length(body) - 10),
 direct AS (SELECT DISTINCT record_id, txn_id FROM ik JOIN cuts USING (key))"""
-_EXACT = _DIRECT + """, pairs AS (SELECT ik.key, record_id, txn_id FROM ik JOIN pt ON ik.key = pt.ref AND ik.key <> '' AND abs(total - amount) <= 1),
+_EXACT = _DIRECT + """, pairs AS (SELECT ik.key, record_id, txn_id FROM ik JOIN pt ON ik.key = pt.ref AND ik.key <> '' AND abs(abs(total) - abs(amount) - tds_withheld) <= 1),
 shape AS (SELECT *, count(*) OVER (PARTITION BY record_id) AS m, count(*) OVER (PARTITION BY txn_id) AS takers FROM pairs),
 matched AS (SELECT record_id, txn_id FROM shape WHERE m = 1 AND takers = 1)"""
 
@@ -191,28 +201,46 @@ def _(d):
     return _direct(d)
 
 
-@_add("candidate_window", " SELECT record_id, count(*) AS n FROM inv JOIN pay ON pay_date BETWEEN inv_date - 45 AND inv_date + 45 GROUP BY record_id", ("inv", "pay"))
+def _left(d: Domain) -> tuple[DataFrame, DataFrame]:
+    """Invoices and payments that exact matching leaves."""
+    m = matching.cut(matching.exact_matches(d.inv, d.pay).select("record_id", "txn_id"))
+    return d.inv.join(m, "record_id", "left_anti"), d.pay.join(m, "txn_id", "left_anti")
+
+
+@_add("candidate_window", _EXACT + " SELECT record_id, txn_id FROM inv JOIN pay ON pay_date BETWEEN inv_date - 45 AND inv_date + 45 WHERE record_id NOT IN (SELECT record_id FROM matched) AND txn_id NOT IN (SELECT txn_id FROM matched)", ("inv", "pay"))
+def _(d):
+    return blocking.window_pairs(*_left(d))
+
+
+@_add("candidate_window_counts", " SELECT record_id, count(*) AS n FROM inv JOIN pay ON pay_date BETWEEN inv_date - 45 AND inv_date + 45 GROUP BY record_id", ("inv", "pay"))
 def _(d):
     return blocking.window_counts(d.inv, d.pay)
 
 
+@_add("baseline_match", _DIRECT + f""", c AS (SELECT ik.key, record_id, txn_id, abs(abs(total) - abs(amount) - tds_withheld) AS gap FROM ik JOIN pt ON ik.key = pt.ref AND ik.key <> '' AND abs(abs(total) - abs(amount) - tds_withheld) <= 1),
+g AS (SELECT key, list({{'r': record_id, 't': txn_id}} ORDER BY record_id, gap, txn_id) AS l FROM c GROUP BY key),
+w AS (SELECT unnest(list_reduce(list_transform(l, lambda x: [x]), lambda a, x: CASE WHEN list_contains(list_transform(a, lambda y: y.r), x[1].r) OR list_contains(list_transform(a, lambda y: y.t), x[1].t) THEN a ELSE list_concat(a, x) END)) AS p FROM g)
+SELECT p.r AS record_id, p.t AS txn_id FROM w""", ("inv", "pay"))
+def _(d):
+    return matching.baseline_matches(d.inv, d.pay)
+
+
 _PARTY = "CAST(regexp_extract({}, 'Customer#([0-9]+)', 1) AS BIGINT)"
 _SCORED = f""", i AS (SELECT record_id, k, inv_date, total, {_PARTY.format('vendor')} AS party FROM inv), p AS (SELECT txn_id, k AS pk, pay_date, amount, {_PARTY.format('narration')} AS party FROM pay WHERE contains(narration, 'Customer#')),
 c AS (SELECT record_id, txn_id, CAST(abs(total - amount) AS DOUBLE) AS gap, k = pk AS direct FROM i JOIN p USING (party) WHERE abs(datediff('day', inv_date, pay_date)) <= 45)"""
 
 
-@_add("topk_candidates", _SCORED + ", r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY -gap DESC, txn_id) AS n FROM c) SELECT record_id, txn_id, direct FROM r WHERE n <= 3 OR direct", ("inv", "pay"))
+@_add("topk_candidates", _SCORED + ", r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY -gap DESC, txn_id) AS n FROM c) SELECT record_id, txn_id, direct FROM r WHERE n <= 25 OR direct", ("inv", "pay"))
 def _(d):
     party = lambda c: F.regexp_extract(c, "Customer#([0-9]+)", 1)
     i, p = d.inv.withColumn("party", party("vendor")), d.pay.where("contains(narration, 'Customer#')").select("txn_id", "amount", "pay_date", F.col("k").alias("pk"), party("narration").alias("party"))
     c = i.join(p, "party").where("abs(date_diff(inv_date, pay_date)) <= 45").select("record_id", "txn_id", (-F.abs(F.col("total") - F.col("amount")).cast("double")).alias("score"), (F.col("k") == F.col("pk")).alias("direct"))
-    return blocking.top_candidates(c, 3).select("record_id", "txn_id", "direct")
+    return blocking.top_candidates(c).select("record_id", "txn_id", "direct")
 
 
 @_add("candidate_pairs")
 def _(d):
-    m = matching.cut(matching.exact_matches(d.inv, d.pay).select("record_id", "txn_id"))
-    return blocking.candidates(d.inv.join(m, "record_id", "left_anti"), d.pay.join(m, "txn_id", "left_anti")).select("record_id", "txn_id", F.round("score", 6).alias("score"), "direct")
+    return blocking.candidates(*_left(d)).select("record_id", "txn_id", F.round("score", 6).alias("score"), "direct")
 
 
 @_add("pair_features")
@@ -231,7 +259,7 @@ def _(d):
     return _issues(detect.payment_amounts(d.inv, d.pay, _direct(d)), "payment_before_invoice")
 
 
-@_add("short_and_over_payment", _DIRECT + """, g AS (SELECT record_id, ref, total, sum(abs(amount)) AS paid, count(*) AS n FROM direct JOIN ik USING (record_id) JOIN pt USING (txn_id) WHERE NOT contains(ref, 'BULK') GROUP BY ALL),
+@_add("short_and_over_payment", _DIRECT + """, g AS (SELECT record_id, ref, total, sum(abs(amount) + tds_withheld) AS paid, count(*) AS n FROM direct JOIN ik USING (record_id) JOIN pt USING (txn_id) WHERE NOT contains(ref, 'BULK') GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY n DESC, ref) AS rn FROM g)
 SELECT CASE WHEN total > paid THEN 'short_payment' ELSE 'overpayment' END AS issue_type, record_id, CAST(NULL AS VARCHAR) AS other_id, CAST(abs(total - paid) AS DECIMAL(18,2)) AS impact FROM b WHERE rn = 1 AND abs(total - paid) > 1""", ("inv", "pay"))
 def _(d):
@@ -240,8 +268,9 @@ def _(d):
 
 _LEDGER = f""", i AS (SELECT *, {key('invoice_no')} AS key FROM inv), e AS (SELECT entry_id, led_date, abs(debit) + abs(credit) AS booked, {key('reference')} AS ref FROM led),
 a AS (SELECT i.record_id, i.total, i.inv_date, e.*, 1 AS by_ref FROM i JOIN e ON i.key = e.ref AND i.key <> ''),
-b AS (SELECT * FROM a UNION ALL SELECT i.record_id, i.total, i.inv_date, e.*, 0 FROM i JOIN e ON i.total = e.booked AND abs(datediff('day', i.inv_date, e.led_date)) <= 3 WHERE i.record_id NOT IN (SELECT record_id FROM a)),
-best AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY by_ref DESC, abs(datediff('day', inv_date, led_date)), entry_id) AS rn FROM b)"""
+m AS (SELECT i.record_id, i.total, i.inv_date, e.*, 0 AS by_ref, i.key FROM i JOIN e ON i.total = e.booked WHERE i.record_id NOT IN (SELECT record_id FROM a)),
+b AS (SELECT *, 100.0 AS likeness FROM a UNION ALL SELECT * EXCLUDE (key), """ + _likeness("key", "ref") + """ AS likeness FROM m),
+best AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY likeness - abs(datediff('day', inv_date, led_date)) DESC, entry_id) AS rn FROM b WHERE likeness >= 65 OR abs(datediff('day', inv_date, led_date)) <= 3)"""
 for _kind, _when, _impact in (("ledger_amount_mismatch", "abs(total - booked) > 1", "abs(total - booked)"), ("ledger_date_gap", "abs(datediff('day', inv_date, led_date)) > 1", "0"), ("invoice_id_mismatch", "by_ref = 0", "0")):
     _add(_kind, _LEDGER + f" SELECT '{_kind}' AS issue_type, record_id, entry_id AS other_id, CAST({_impact} AS DECIMAL(18,2)) AS impact FROM best WHERE rn = 1 AND {_when}", ("inv", "led"))(lambda d, k=_kind: _issues(detect.ledger_mismatches(d.inv, d.led), k))
 
@@ -256,14 +285,30 @@ def _(d):
     return _issues(detect.fuzzy_filings(d.inv, d.fil), "gstr2b_tax_mismatch", "wrong_tax_period", "invoice_id_mismatch", "vendor_name_mismatch", "supplier_gstin_mismatch")
 
 
-def _missing(d: Domain) -> DataFrame:
-    return detect.missing(d.inv, d.pay, d.led, d.fil, matching.exact_matches(d.inv, d.pay), _direct(d))
+def _missing(d: Domain, matched: DataFrame | None = None) -> DataFrame:
+    """What is missing; matched: by default exact matches alone, as SQL can say them."""
+    return detect.missing(d.inv, d.pay, d.led, d.fil, matching.exact_matches(d.inv, d.pay) if matched is None else matched, _direct(d))
+
+
+def _accepted(d: Domain) -> DataFrame:
+    """(record_id, txn_id) of all tiers' matches of 0.60 or more."""
+    return matching.cut(matching.accepted(matching.reconcile(d.inv, d.pay)))
+
+
+@_add("missing_after_reconcile")
+def _(d):
+    return _issues(_missing(d, _accepted(d)), "missing_payment", "payment_without_invoice")
+
+
+@_add("three_way_after_reconcile")
+def _(d):
+    return matching.three_way(d.inv, d.led, d.fil, _accepted(d))
 
 
 _E = f", e AS (SELECT entry_id, account, led_date, abs(debit) + abs(credit) AS booked, {key('reference')} AS key FROM led)"
 _F = f", f AS (SELECT *, {key('invoice_no')} AS key, {tax_id('supplier_gstin')} AS g FROM fil)"
 for _kind, _from, _record, _other, _impact in (
-    ("missing_payment", "FROM ik WHERE inv_date <= DATE '2000-12-31' AND record_id NOT IN (SELECT record_id FROM matched)", "record_id", None, "total"),
+    ("missing_payment", f"FROM ik WHERE inv_date <= DATE '{detect.OPEN_AFTER}' AND record_id NOT IN (SELECT record_id FROM matched)", "record_id", None, "total"),
     ("missing_supplier_filing", "FROM ik WHERE document_type = 'purchase' AND NOT EXISTS (FROM f WHERE f.key = ik.key AND f.g = ik.g)", "record_id", None, "tax"),
     ("missing_ledger_entry", "FROM ik WHERE key <> '' AND NOT EXISTS (FROM e WHERE e.key = ik.key) AND NOT EXISTS (FROM e WHERE abs(ik.total - booked) <= 1 AND abs(datediff('day', inv_date, led_date)) <= 3)", "record_id", None, "total"),
     ("payment_without_invoice", "FROM pay WHERE txn_id NOT IN (SELECT txn_id FROM matched) AND txn_id NOT IN (SELECT txn_id FROM direct)", "txn_id", None, "abs(amount)"),
@@ -281,7 +326,7 @@ def _(d):
     return _issues(detect.duplicate_invoices(d.twice), "duplicate_exact")
 
 
-@_add("duplicate_near")
+@_add("duplicate_near", _DUP + f", p AS (SELECT a.record_id, b.record_id AS other_id, a.key AS x, b.key AS y, CAST(least(a.total, b.total) AS DECIMAL(18,2)) AS impact FROM t a JOIN t b ON a.g = b.g AND a.key <> b.key AND a.record_id < b.record_id AND abs(a.total - b.total) <= 1 AND abs(datediff('day', a.inv_date, b.inv_date)) <= 3) SELECT 'duplicate_near' AS issue_type, record_id, other_id, impact FROM p WHERE {_likeness('x', 'y')} >= 75", ("twice",))
 def _(d):
     return _issues(detect.duplicate_invoices(d.twice), "duplicate_near")
 
@@ -330,9 +375,24 @@ def _(d):
     return detect.payment_delays(d.inv, d.pay)
 
 
+_KINDS = ("anomaly_approval_threshold", "anomaly_round_number", "new_vendor_huge_invoice", "anomaly_unusual_spike", "anomaly_behavioral")
+
+
+@_add("anomaly_rules", _ANOM + f""", l AS (SELECT {key('invoice_no')} AS key, max(record_id) AS record_id, arg_max(inv_date, record_id) AS inv_date FROM inv GROUP BY 1), p AS (SELECT txn_id, pay_date, {key('reference')} AS key FROM pay),
+d AS (SELECT record_id, arg_max(datediff('day', inv_date, pay_date), txn_id) AS delay FROM l JOIN p USING (key) WHERE key <> '' AND pay_date >= inv_date GROUP BY record_id),
+b AS (SELECT vendor FROM (SELECT vendor, n, {{chi}} AS chi FROM (SELECT vendor, count(*) AS n, {{shares}} FROM (SELECT vendor, CAST(substr(format('{{{{:.11e}}}}', t), 1, 1) AS INT) AS d FROM x WHERE t >= 0.1) GROUP BY vendor) WHERE n >= 300) WHERE exp(-chi / 2) * (1 + chi / 2 + chi * chi / 8 + chi * chi * chi / 48) < 0.01 AND chi / n >= 0.10),
+z AS (SELECT x.*, v.rr, CASE WHEN mad = 0 THEN 0 ELSE 0.6745 * (lg - med) / mad END AS z, count(*) OVER (PARTITION BY x.vendor, week) AS n, delay, is_new_vendor, x.vendor IN (SELECT vendor FROM b) AS odd
+  FROM x JOIN v USING (vendor) JOIN m USING (vendor) LEFT JOIN d USING (record_id) JOIN (SELECT record_id, is_new_vendor FROM inv) USING (record_id)),
+k AS (SELECT *, CASE WHEN t >= 95000 AND t < 100000 THEN 'anomaly_approval_threshold' WHEN rd = 1 AND rr < 0.10 THEN 'anomaly_round_number' WHEN is_new_vendor AND t >= 500000 THEN 'new_vendor_huge_invoice' WHEN abs(z) >= 4 OR odd THEN 'anomaly_unusual_spike' WHEN n >= 4 OR coalesce(delay, 0) > 43 THEN 'anomaly_behavioral' END AS kind FROM z)
+SELECT kind AS issue_type, record_id, vendor, CASE WHEN abs(z) >= 6 OR odd THEN 'High' ELSE 'Medium' END AS severity FROM k WHERE kind IS NOT NULL""".replace("{chi}", _CHI).replace("{shares}", _SHARES).replace("{{", "{").replace("}}", "}"), ("inv", "pay"))
+def _(d):
+    found = detect.anomaly_cases(detect.anomaly_issues(d.inv, detect.payment_delays(d.inv, d.pay), forest=False))
+    return found.select("issue_type", "record_id", "vendor", "severity")
+
+
 @_add("anomaly_issues")
 def _(d):
-    return _issues(detect.anomaly_issues(d.inv, detect.payment_delays(d.inv, d.pay)), "anomaly_approval_threshold", "anomaly_round_number", "new_vendor_huge_invoice", "anomaly_unusual_spike", "anomaly_behavioral")
+    return _issues(detect.anomaly_issues(d.inv, detect.payment_delays(d.inv, d.pay)), *_KINDS)
 
 
 # --- tiers -------------------------------------------------------------------
@@ -403,11 +463,11 @@ def _(d):
 # --- all issues, risk, reports, review, evaluation ---------------------------
 def _all(d: Domain) -> DataFrame:
     inv, pay = d.inv, d.pay
-    parts = [detect.payment_amounts(inv, pay, _direct(d)), detect.ledger_mismatches(inv, d.led), detect.filing_mismatches(inv, d.fil), detect.fuzzy_filings(inv, d.fil), detect.duplicate_invoices(inv), detect.duplicate_payments(pay), _missing(d), detect.tax_issues(inv, d.rates), detect.anomaly_issues(inv, detect.payment_delays(inv, pay))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return detect.finish(out)
+    parts = [
+        detect.payment_amounts(inv, pay, _direct(d)), detect.ledger_mismatches(inv, d.led), detect.filing_mismatches(inv, d.fil), detect.fuzzy_filings(inv, d.fil), detect.duplicate_invoices(inv), detect.duplicate_payments(pay),
+        _missing(d, _accepted(d)), detect.tax_issues(inv, d.rates), detect.anomaly_issues(inv, detect.payment_delays(inv, pay)),
+    ]
+    return detect.finish(reduce(DataFrame.unionByName, [p.withColumn("detector", F.lit(i)) for i, p in enumerate(parts)]))
 
 
 @_add("issue_pipeline")
@@ -418,6 +478,45 @@ def _(d):
 _TAXED = _TAX + ", k AS (" + " UNION ALL ".join(f"SELECT '{n}' AS kind, record_id, vendor FROM t WHERE {w}" for n, w in (("unknown_tax_rate", "rate IS NULL"), ("wrong_tax_rate", "tax_rate_pct <> rate"), ("miscalculated_tax", f"rate IS NOT NULL AND abs(a - {_AT.format('tax_rate_pct')}) > 1"), ("wrong_tax_split", f"{_SPLIT} > 1"), ("invoice_total_mismatch", "abs(total - taxable_value - a) > 1"), ("invalid_gstin", f"NOT {_VALID}"))) + ")"
 
 
+#: The tax issues with ids, severity and all fields, as SQL.
+_EXPECTED = {
+    "unknown_tax_rate": ("'rate'", "hsn"), "wrong_tax_rate": ("CAST(rate AS VARCHAR)", "CAST(tax_rate_pct AS VARCHAR)"), "miscalculated_tax": (f"CAST({_AT.format('tax_rate_pct')} AS VARCHAR)", "CAST(a AS VARCHAR)"),
+    "wrong_tax_split": ("'split'", "party_state"), "invoice_total_mismatch": ("CAST(taxable_value + a AS VARCHAR)", "CAST(total AS VARCHAR)"), "invalid_gstin": ("'valid'", "gstin"),
+}
+_TAX_WHEN = {
+    "unknown_tax_rate": ("rate IS NULL", "0"), "wrong_tax_rate": ("tax_rate_pct <> rate", f"abs({_AT.format('rate')} - a)"), "miscalculated_tax": (f"rate IS NOT NULL AND abs(a - {_AT.format('tax_rate_pct')}) > 1", f"abs(a - {_AT.format('tax_rate_pct')})"),
+    "wrong_tax_split": (f"{_SPLIT} > 1", _SPLIT), "invoice_total_mismatch": ("abs(total - taxable_value - a) > 1", "abs(total - taxable_value - a)"), "invalid_gstin": (f"NOT {_VALID}", "a"),
+}
+_FULL = _TAX + ", q AS (" + " UNION ALL ".join(f"SELECT '{k}' AS issue_type, record_id, vendor, {_EXPECTED[k][0]} AS expected, {_EXPECTED[k][1]} AS actual, CAST({impact} AS DECIMAL(18,2)) AS impact FROM t WHERE {when}" for k, (when, impact) in _TAX_WHEN.items()) + """),
+issues AS (SELECT 'ISS-' || upper(substr(sha1(concat_ws('|', issue_type, record_id, coalesce(expected, ''), coalesce(actual, ''))), 1, 12)) AS issue_id, *, CASE WHEN issue_type = 'unknown_tax_rate' THEN 'Medium' ELSE 'High' END AS severity, 0.95 AS confidence, 'Open' AS status FROM q)"""
+_FIX = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in detect.FIXES.items() if k in _EXPECTED)
+
+
+def _taxed(d: Domain) -> DataFrame:
+    return detect.finish(detect.tax_issues(d.inv, d.rates))
+
+
+@_add("tax_issues", _FULL + " SELECT issue_id, issue_type, record_id, vendor, expected, actual, impact, severity, CAST(confidence AS DOUBLE) AS confidence, status FROM issues", ("inv", "rates"))
+def _(d):
+    return _taxed(d).select("issue_id", "issue_type", "record_id", "vendor", "expected", "actual", "impact", "severity", "confidence", "status")
+
+
+@_add("issue_explanations", _FULL + f""" SELECT issue_id, vendor || ': this case is flagged as ' || replace(issue_type, '_', ' ') || '. The expected value is ' || expected || '; the observed value is ' || actual || '. The deterministic impact estimate is Rs ' || format('{{:,.2f}}', CAST(impact AS DOUBLE)) || '. Recommended action: ' || CASE issue_type {_FIX} END AS explanation FROM issues""", ("inv", "rates"))
+def _(d):
+    return detect.explanations(_taxed(d))
+
+
+@_add("issue_payloads", _FULL + f""" SELECT issue_id, '{{"issue_id":"' || issue_id || '","issue_type":"' || issue_type || '","severity":"' || severity || '","vendor":"' || vendor || '","record_ids":["' || record_id || '"],"rupee_impact":"' || CAST(impact AS VARCHAR) || '","confidence":"0.95","evidence":{{"expected":"' || expected || '","actual":"' || actual || '"}},"suggested_fix":"' || CASE issue_type {_FIX} END || '"}}' AS payload FROM issues""", ("inv", "rates"))
+def _(d):
+    return detect.payloads(_taxed(d))
+
+
+@_add("issue_evidence", _FULL + " SELECT issue_id, record_id, impact AS rupee_impact, unnest(['expected', 'actual']) AS field, unnest([expected, actual]) AS value FROM issues", ("inv", "rates"))
+def _(d):
+    x = detect.from_payloads(detect.payloads(_taxed(d)))
+    return x.select("issue_id", F.element_at("record_ids", 1).alias("record_id"), "rupee_impact", F.explode("evidence").alias("field", "value"))
+
+
 @_add("vendor_risk", _TAXED + """, p AS (SELECT vendor, count(*) AS issues, CAST(sum(CASE WHEN kind = 'unknown_tax_rate' THEN 2 ELSE 3 END) AS BIGINT) AS points FROM k GROUP BY vendor),
 b AS (SELECT vendor, count(*) AS invoices, CAST(sum(CASE WHEN document_type = 'purchase' THEN total ELSE 0 END) AS DECIMAL(18,2)) AS exposure FROM inv GROUP BY vendor)
 SELECT vendor, invoices, exposure, coalesce(issues, 0) AS issues, coalesce(points, 0) AS points FROM b LEFT JOIN p USING (vendor)""", ("inv", "rates"))
@@ -425,7 +524,10 @@ def _(d):
     return liability.vendor_risk(d.inv, detect.finish(detect.tax_issues(d.inv, d.rates))).drop("risk_score")
 
 
-@_add("vendor_risk_score")
+@_add("vendor_risk_score", _TAXED + """, p AS (SELECT vendor, count(*) AS issues, CAST(sum(CASE WHEN kind = 'unknown_tax_rate' THEN 2 ELSE 3 END) AS BIGINT) AS points FROM k GROUP BY vendor),
+b AS (SELECT vendor, count(*) AS invoices, CAST(sum(CASE WHEN document_type = 'purchase' THEN total ELSE 0 END) AS DECIMAL(18,2)) AS exposure FROM inv GROUP BY vendor),
+z AS (SELECT vendor, invoices, exposure, coalesce(issues, 0) AS issues, coalesce(points, 0) AS points, 1000 * coalesce(points, 0) AS up, 3 * invoices AS down FROM b LEFT JOIN p USING (vendor))
+SELECT vendor, invoices, exposure, issues, points, least(100.0, CAST(up // down + CASE WHEN 2 * (up % down) > down OR (2 * (up % down) = down AND (up // down) % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 10) AS risk_score FROM z""", ("inv", "rates"))
 def _(d):
     return liability.vendor_risk(d.inv, detect.finish(detect.tax_issues(d.inv, d.rates)))
 
@@ -443,17 +545,53 @@ def _(d):
     return one.withColumns({"unmatched_invoices": F.greatest(F.col("invoices") - F.col("matched"), F.lit(0)), "unmatched_payments": F.greatest(F.col("payments") - F.col("matched"), F.lit(0))})
 
 
-@_add("case_inbox", _TAXED + " SELECT kind AS issue_type, record_id, vendor FROM k WHERE kind IN ('wrong_tax_rate', 'invalid_gstin') AND (contains(lower(vendor), '0000001') OR contains(lower(record_id), '0000001') OR contains(lower(kind), '0000001'))", ("inv", "rates"))
+_INBOX = _FULL + """, hit AS (SELECT * FROM issues WHERE severity IN ('High', 'Medium') AND issue_type IN ('wrong_tax_rate', 'invalid_gstin', 'unknown_tax_rate') AND status IN ('Open')
+  AND (contains(lower(issue_id), '0001') OR contains(issue_type, '0001') OR contains(lower(record_id), '0001') OR contains(lower(vendor), '0001') OR contains(lower(expected), '0001') OR contains(lower(actual), '0001') OR contains(CAST(impact AS VARCHAR), '0001') OR contains(lower(severity), '0001')))"""
+_SHOWN = ["issue_id", "issue_type", "severity", "status", "record_id", "vendor", "impact"]
+
+
+def _inbox(d: Domain) -> DataFrame:
+    return review.inbox(_taxed(d), "0001", ["High", "Medium"], ["wrong_tax_rate", "invalid_gstin", "unknown_tax_rate"], ["Open"])
+
+
+@_add("case_inbox", _INBOX + f" SELECT {', '.join(_SHOWN)} FROM hit", ("inv", "rates"))
 def _(d):
-    cols = ["issue_type", "record_id", "vendor"]
-    hit = F.exists(F.array(*cols), lambda c: F.lower(c).contains("0000001"))
-    return detect.tax_issues(d.inv, d.rates).select(*cols).where(F.col("issue_type").isin("wrong_tax_rate", "invalid_gstin") & hit)
+    return _inbox(d).select(*_SHOWN)
 
 
-@_add("case_records", _TAXED + ", ids AS (SELECT DISTINCT record_id FROM k WHERE kind = 'invalid_gstin') SELECT record_id, invoice_no, total FROM inv WHERE record_id IN (SELECT record_id FROM ids)", ("inv", "rates"))
+@_add("case_page", _INBOX + f" SELECT {', '.join(_SHOWN)} FROM hit ORDER BY CASE severity WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 ELSE 3 END, impact DESC, issue_id LIMIT 25 OFFSET 25", ("inv", "rates"))
+def _(d):
+    return review.page(_inbox(d), 2, 25).select(*_SHOWN)
+
+
+@_add("case_records", _TAXED + ", ids AS (SELECT DISTINCT record_id FROM k WHERE kind = 'invalid_gstin'), own AS (SELECT k FROM inv WHERE record_id IN (SELECT record_id FROM ids)) SELECT 'invoices' AS source, record_id AS id, total AS amount, inv_date AS day FROM inv WHERE k IN (SELECT k FROM own) UNION ALL SELECT 'bank_transactions', txn_id, amount, pay_date FROM pay WHERE k IN (SELECT k FROM own) UNION ALL SELECT 'ledger', entry_id, CAST(debit + credit AS DECIMAL(18,2)), led_date FROM led WHERE k IN (SELECT k FROM own) UNION ALL SELECT 'supplier_filings', filing_id, tax_amount, invoice_date FROM fil WHERE k IN (SELECT k FROM own)", ("inv", "pay", "led", "fil", "rates"))
 def _(d):
     ids = detect.tax_issues(d.inv, d.rates).where("issue_type = 'invalid_gstin'").select("record_id")
-    return d.inv.join(ids, "record_id", "left_semi").select("record_id", "invoice_no", "total")
+    own = d.inv.join(ids, "record_id", "left_semi").select("k")
+    of = lambda df, c: df.join(own, "k", "left_semi").select(F.col(c).alias("id"))
+    case = of(d.inv, "record_id").unionByName(of(d.pay, "txn_id")).unionByName(of(d.led, "entry_id")).unionByName(of(d.fil, "filing_id"))
+    tables = {
+        "invoices": d.inv.select(F.col("record_id").alias("id"), F.col("total").alias("amount"), F.col("inv_date").alias("day")), "bank_transactions": d.pay.select(F.col("txn_id").alias("id"), "amount", F.col("pay_date").alias("day")),
+        "ledger": d.led.select(F.col("entry_id").alias("id"), (F.col("debit") + F.col("credit")).cast("decimal(18,2)").alias("amount"), F.col("led_date").alias("day")), "supplier_filings": d.fil.select(F.col("filing_id").alias("id"), F.col("tax_amount").alias("amount"), F.col("invoice_date").alias("day")),
+        "tax_rates": d.rates.select(F.col("hsn").alias("id"), F.col("rate").cast("decimal(18,2)").alias("amount"), F.col("valid_from").alias("day")),
+    }
+    return review.drill_down(tables, case)
+
+
+@_add("vendor_cases", _FULL + " SELECT issue_id, record_id, vendor FROM issues WHERE vendor IN (SELECT vendor FROM inv GROUP BY vendor ORDER BY sum(total) DESC, vendor LIMIT 10)", ("inv", "rates"))
+def _(d):
+    top = d.inv.groupBy("vendor").agg(F.sum("total").alias("amount")).orderBy(F.col("amount").desc(), "vendor").limit(10).select("vendor")
+    return _taxed(d).join(F.broadcast(top), "vendor", "left_semi").select("issue_id", "record_id", "vendor")
+
+
+@_add("narration_rewrite", r" SELECT txn_id, regexp_replace(narration, 'INV-([0-9]+)', 'INV-\1', 'g') AS narration FROM pay", ("pay",))
+def _(d):
+    return d.pay.select("txn_id", ingest.rewritten(F.col("narration")).alias("narration"))
+
+
+@_add("group_sizes", " SELECT n AS size, count(*) AS groups FROM (SELECT vendor, inv_date, count(*) AS n FROM inv GROUP BY vendor, inv_date) GROUP BY n", ("inv",))
+def _(d):
+    return d.inv.groupBy("vendor", "inv_date").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("groups"))
 
 
 @_add("top_vendors", ", b AS (SELECT vendor, CAST(sum(total) AS DECIMAL(28,2)) AS amount FROM inv GROUP BY vendor) SELECT * FROM b ORDER BY amount DESC, vendor LIMIT 10", ("inv",))
@@ -507,45 +645,68 @@ def _(d):
     return evaluate.pair_metrics(matching.exact_matches(d.inv, d.pay), truth).drop("f1")
 
 
-@_add("threshold_curve")
+@_add("threshold_curve", """, t AS (SELECT record_id, txn_id, k % 40 / 100.0 + 0.6 AS confidence FROM inv JOIN pay USING (k) WHERE starts_with(txn_id, 'TXN')), c AS (SELECT CAST(range AS INT) AS c FROM range(60, 100)),
+n AS (SELECT c, CAST(count(confidence) AS BIGINT) AS tp FROM c LEFT JOIN t ON floor(confidence * 100 + 1e-9) >= c GROUP BY c)
+SELECT c / 100 AS cut, tp, CAST(0 AS BIGINT) AS fp, (SELECT count(*) FROM t) - tp AS fn, CASE WHEN tp > 0 THEN 1.0 ELSE 0.0 END AS precision, tp / (SELECT count(*) FROM t) AS recall, round(2 * (tp / (SELECT count(*) FROM t)) / (1 + tp / (SELECT count(*) FROM t)), 9) AS f1 FROM n""", ("inv", "pay"))
 def _(d):
     truth = d.inv.select("record_id", "k").join(d.pay.where("startswith(txn_id, 'TXN')").select("txn_id", "k"), "k")
     scored = truth.select("record_id", "txn_id", (F.col("k") % 40 / 100 + 0.6).alias("confidence"))
-    return evaluate.threshold_curve(scored, truth)
+    return evaluate.threshold_curve(scored, truth).withColumn("f1", F.round("f1", 9))
 
 
 #: Errors that the views inject, by the key's residues: label and where it holds.
 _INJECTED = {"miscalculated_tax": "k % 79 = 0", "rounding_diff": "k % 71 = 0", "wrong_tax_split": "k % 73 = 0", "invalid_gstin": "k % 97 = 0", "wrong_tax_rate": "k % 83 = 0"}
 
 
-@_add("issue_scores")
+_FAMILY = {"miscalculated_tax": "miscalculated_tax", "rounding_diff": "payment_amount", "wrong_tax_split": "wrong_tax_split", "invalid_gstin": "invalid_gstin", "wrong_tax_rate": "wrong_tax_rate"}
+_SCORES = _TAXED + ", a AS (SELECT CASE kind WHEN 'invoice_total_mismatch' THEN 'payment_amount' ELSE kind END AS family, record_id, 0 AS truth FROM k WHERE kind <> 'unknown_tax_rate' UNION ALL " + " UNION ALL ".join(f"SELECT '{_FAMILY[n]}', record_id, 1 FROM inv WHERE {w}" for n, w in _INJECTED.items()) + """),
+g AS (SELECT family, record_id, sum(truth) AS l, sum(1 - truth) AS i FROM a GROUP BY family, record_id), f AS (SELECT family, CAST(sum(least(l, i)) AS BIGINT) AS tp, CAST(sum(i - least(l, i)) AS BIGINT) AS fp, CAST(sum(l - least(l, i)) AS BIGINT) AS fn FROM g GROUP BY family)
+SELECT family, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1 FROM f"""
+
+
+@_add("issue_scores", _SCORES, ("inv", "rates"))
 def _(d):
     issues = detect.finish(detect.tax_issues(d.inv, d.rates)).where("issue_type <> 'unknown_tax_rate'").withColumn("record_ids", F.array("record_id"))
     labels = F.array_compact(F.array(*[F.when(F.expr(w), n) for n, w in _INJECTED.items()]))
     truth = d.inv.select(F.explode(labels).alias("label"), F.array("record_id").alias("record_ids"))
-    return evaluate.score_issues(issues, truth, evaluate.families())
+    return evaluate.score_issues(issues, truth).select("family", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@_add("weakest_families", _SCORES + " ORDER BY f1, recall, family LIMIT 5", ("inv", "rates"))
+def _(d):
+    return evaluate.weakest(_QUERIES["issue_scores"](d.spark, d.sf_dir))
+
+
+@_add("precision_at_k", _FULL + " , top AS (SELECT record_id FROM issues ORDER BY confidence DESC, impact DESC, issue_id LIMIT 60) SELECT CAST(count_if(k % 97 = 0) AS BIGINT) AS hits, count_if(k % 97 = 0) / count(*) AS precision FROM top JOIN inv USING (record_id)", ("inv", "rates"))
+def _(d):
+    return evaluate.precision_at(_taxed(d), d.inv.where("k % 97 = 0").select("record_id"), 60)
 
 
-@_add("group_accuracy")
+@_add("group_accuracy", " SELECT CAST(count_if(total > 100) AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp, CAST(count_if(total <= 100) AS BIGINT) AS fn, 1.0 AS precision, count_if(total > 100) / count(*) AS recall, round(2 * (count_if(total > 100) / count(*)) / (1 + count_if(total > 100) / count(*)), 9) AS f1, count_if(total > 100) / count(*) AS exact_group_accuracy FROM inv", ("inv",))
 def _(d):
     pay = _parts(d)
     scored = blocking.features(pay.select("record_id", "txn_id"), d.inv, pay.drop("record_id"))
     found = matching.split_matches(scored, d.inv, pay.drop("record_id")).select(F.lit("split").alias("tier"), F.array("record_id").alias("record_ids"), F.col("members").alias("txn_ids"), F.lit(0.97).alias("confidence"))
-    return evaluate.group_accuracy(found, pay.groupBy("record_id").agg(F.collect_list("txn_id").alias("txn_ids")).select(F.array("record_id").alias("record_ids"), "txn_ids"))
+    return evaluate.group_accuracy(found, pay.groupBy("record_id").agg(F.collect_list("txn_id").alias("txn_ids")).select(F.array("record_id").alias("record_ids"), "txn_ids")).withColumn("f1", F.round("f1", 9))
 
 
-_NET = _monthly("i.tax") + ", n AS (SELECT CAST(sum(o - e) AS DECIMAL(28,2)) AS found, CAST(sum(o - b) AS DECIMAL(28,2)) AS clean FROM s)"
+_CLEANED = _monthly("i.tax").replace("FROM inv)", "FROM inv2)").replace("FROM fil)", "FROM fil2)").lstrip(", ")
+_NET = _monthly("i.tax") + f""", inv2 AS (SELECT * REPLACE (CAST(tax - CASE WHEN k % 79 = 0 THEN 5 ELSE 0 END AS DECIMAL(18,2)) AS tax) FROM inv),
+fil2 AS (SELECT * REPLACE (CAST(tax_amount - CASE WHEN k % 127 = 0 THEN 40 ELSE 0 END - CASE WHEN k % 79 = 0 THEN 5 ELSE 0 END AS DECIMAL(18,2)) AS tax_amount, TRUE AS filed) FROM fil),
+n AS (SELECT CAST((SELECT sum(o - e) FROM s) AS DECIMAL(28,2)) AS found, CAST((WITH {_CLEANED} SELECT sum(o - e) FROM s) AS DECIMAL(28,2)) AS clean)"""
 
 
 @_add("liability_error", _NET + " SELECT found, clean, CAST(abs(found - clean) AS DECIMAL(28,2)) AS error, round(CAST(abs(found - clean) AS DOUBLE) / abs(CAST(clean AS DOUBLE)), 6) AS share FROM n", ("inv", "fil"))
 def _(d):
-    m = liability.monthly_liability(d.inv, d.fil)
-    return evaluate.liability_error(m, m.select("period", F.col("net_before").alias("net_after"))).withColumn("error", F.col("error").cast("decimal(28,2)"))
+    clean = lambda c: (F.col(c) - F.when(F.col("k") % 79 == 0, 5).otherwise(0)).cast("decimal(18,2)")
+    off = F.when(F.col("k") % 127 == 0, 40).otherwise(0) + F.when(F.col("k") % 79 == 0, 5).otherwise(0)
+    books, filed = d.inv.withColumn("tax", clean("tax")), d.fil.withColumns({"tax_amount": (F.col("tax_amount") - off).cast("decimal(18,2)"), "filed": F.lit(True)})
+    return evaluate.liability_error(liability.monthly_liability(d.inv, d.fil), liability.monthly_liability(books, filed)).withColumn("error", F.col("error").cast("decimal(28,2)"))
 
 
-@_add("windowed_events", "SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@_add("windowed_events", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def _(d):
-    return _table(d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return events.run_to_end(events.windowed_sums(events.read_table(d.spark, d.sf_dir, "events"), late=None), "complete").select(F.to_date("start").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 #: Questions by keyword, the first that is named, and the query that answers it.

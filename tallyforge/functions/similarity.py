@@ -59,6 +59,30 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(scores)
 
 
+def _sorted_words(a: str) -> str:
+    return " ".join(sorted(a.split()))
+
+
+def partial_token_ratio(a: str, b: str) -> float:
+    """The best partial ratio of the sorted words and of the words that only one side has; 100 if they share a word."""
+    x, y = set(a.split()), set(b.split())
+    if x & y:
+        return 100.0
+    return max(partial_ratio(_sorted_words(a), _sorted_words(b)), partial_ratio(" ".join(sorted(x - y)), " ".join(sorted(y - x))))
+
+
+def weighted_ratio(a: str, b: str) -> float:
+    """The best of the ratios, those of words and of parts weighing less: parts count only where one text is much longer."""
+    if not a or not b:
+        return 0.0
+    longer = max(len(a), len(b)) / min(len(a), len(b))
+    words = max(ratio(_sorted_words(a), _sorted_words(b)), token_set_ratio(a, b))
+    if longer < 1.5:
+        return max(ratio(a, b), 0.95 * words)
+    part = 0.9 if longer <= 8 else 0.6
+    return max(ratio(a, b), part * partial_ratio(a, b), part * 0.95 * partial_token_ratio(a, b))
+
+
 def _udf(function):
     """A function of two columns; the Arrow UDF is made on use, when there is a session."""
 

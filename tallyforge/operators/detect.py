@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tallyforge.functions import text
 from tallyforge.functions.similarity import ratio_udf, token_set_ratio_udf
 from tallyforge.operators import isolation
+from tallyforge.operators.matching import paid
 from tallyforge.plans.domain import HOME_STATE
 
 TOLERANCE = 1
-OPEN_AFTER = "2000-12-31"
+#: Items later than this may still be open.
+OPEN_AFTER = "1998-06-30"
 COLUMNS = ["issue_type", "record_id", "other_id", "expected", "actual", "impact", "vendor", "severity", "confidence"]
 HIGH = ("short_payment", "overpayment", "ledger_amount_mismatch", "gstr2b_tax_mismatch", "supplier_gstin_mismatch", "duplicate_exact", "duplicate_near", "duplicate_payment", "missing_payment", "missing_supplier_filing", "missing_ledger_entry", "supplier_not_filed", "in_gstr2b_not_in_books", "wrong_tax_rate", "miscalculated_tax", "wrong_tax_split", "invoice_total_mismatch", "invalid_gstin")
 
@@ -35,11 +37,11 @@ def effective_rates(inv: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def payment_amounts(inv: DataFrame, pay: DataFrame, direct: DataFrame) -> DataFrame:
-    """Payments before the invoice; and short and over-payment by the largest group of payments of one reference."""
-    p = pay.select("txn_id", "pay_date", "amount", text.norm_identifier(F.col("reference")).alias("ref"))
+    """Payments before the invoice; and short and over-payment by the largest group of payments of one reference, withheld tax included."""
+    p = pay.select("txn_id", "pay_date", paid(pay).alias("settled"), text.norm_identifier(F.col("reference")).alias("ref"))
     met = direct.join(inv.select("record_id", "inv_date", "total", "vendor"), "record_id").join(p, "txn_id")
     early = _issue(met.where("pay_date < inv_date"), "payment_before_invoice", "record_id", "txn_id", "inv_date", "pay_date")
-    groups = met.where("NOT contains(ref, 'BULK')").groupBy("record_id", "ref", "total", "vendor").agg(F.sum(F.abs("amount")).alias("paid"), F.count("*").alias("n"))
+    groups = met.where("NOT contains(ref, 'BULK')").groupBy("record_id", "ref", "total", "vendor").agg(F.sum("settled").alias("paid"), F.count("*").alias("n"))
     best = groups.withColumn("rn", F.row_number().over(Window.partitionBy("record_id").orderBy(F.col("n").desc(), "ref"))).where("rn = 1")
     gap = F.col("total") - F.col("paid")
     off = _issue(best.where(F.abs(gap) > TOLERANCE), F.when(gap > 0, "short_payment").otherwise("overpayment"), "record_id", None, "total", "paid", F.abs(gap))
@@ -47,15 +49,20 @@ def payment_amounts(inv: DataFrame, pay: DataFrame, direct: DataFrame) -> DataFr
 
 
 def ledger_mismatches(inv: DataFrame, led: DataFrame) -> DataFrame:
-    """Amount and date differences to the ledger entry of the same reference, or else of the same amount."""
+    """Amount and date differences to the likeliest ledger entry: of the same reference, or else of the same amount.
+
+    An entry of the same amount counts if its reference is like the invoice's number (a ratio of 65) or its date
+    within three days; of several the one whose ratio less the days apart is largest.
+    """
     e = led.select("entry_id", "led_date", (F.abs("debit") + F.abs("credit")).alias("booked"), text.norm_identifier(F.col("reference")).alias("ref"), F.col("reference").alias("raw"))
     i = keyed(inv).select("record_id", "invoice_no", "key", "inv_date", "total", "vendor")
     by_ref = i.where("key <> ''").join(e, F.col("key") == F.col("ref"))
     rest = i.join(by_ref.select("record_id").distinct(), "record_id", "left_anti")
-    by_money = rest.join(e, F.col("total") == F.col("booked")).where(F.abs(F.date_diff("led_date", "inv_date")) <= 3)
-    both = by_ref.withColumn("by_ref", F.lit(1)).unionByName(by_money.withColumn("by_ref", F.lit(0)))
-    gap = F.abs(F.date_diff("led_date", "inv_date"))
-    best = both.withColumn("rn", F.row_number().over(Window.partitionBy("record_id").orderBy(F.col("by_ref").desc(), gap, "entry_id"))).where("rn = 1")
+    gap = text.day_gap(F.col("led_date"), F.col("inv_date"))
+    like = F.when((F.col("key") == "") | (F.col("ref") == ""), 0.0).otherwise(ratio_udf("key", "ref"))
+    by_money = rest.join(e, F.col("total") == F.col("booked")).withColumn("like", like).where((F.col("like") >= 65) | (gap <= 3))
+    both = by_ref.withColumns({"like": F.lit(100.0), "by_ref": F.lit(1)}).unionByName(by_money.withColumn("by_ref", F.lit(0)))
+    best = both.withColumn("rn", F.row_number().over(Window.partitionBy("record_id").orderBy((F.col("like") - gap).desc(), "entry_id"))).where("rn = 1")
     return _issue(best.where("by_ref = 0"), "invoice_id_mismatch", "record_id", "entry_id", "invoice_no", "raw").unionByName(_issue(best.where(F.abs(F.col("total") - F.col("booked")) > TOLERANCE), "ledger_amount_mismatch", "record_id", "entry_id", "total", "booked", F.abs(F.col("total") - F.col("booked")))).unionByName(_issue(best.where(gap > 1), "ledger_date_gap", "record_id", "entry_id", "inv_date", "led_date"))
 
 
@@ -107,11 +114,12 @@ def fuzzy_filings(inv: DataFrame, fil: DataFrame, days: int = 5) -> DataFrame:
 
 
 def duplicate_invoices(inv: DataFrame, days: int = 3, least: float = 75.0) -> DataFrame:
-    """Pairs of one tax id whose totals differ by at most 1.00: exact by number, near by date and likeness.
+    """Pairs of one tax id, or without one of one vendor, whose totals differ by at most 1.00: exact by number, near by date and likeness.
 
     Totals meet in buckets of 1.00 and their neighbours, so that a vendor's invoices aren't all paired.
     """
-    k = keyed(inv).select("record_id", "key", "tax_id", "inv_date", "total", "vendor", F.floor("total").cast("long").alias("bucket"))
+    party = F.coalesce(F.nullif("tax_id", F.lit("")), F.concat(F.lit("v:"), text.norm_vendor(F.col("vendor"))))
+    k = keyed(inv).withColumn("tax_id", party).select("record_id", "key", "tax_id", "inv_date", "total", "vendor", F.floor("total").cast("long").alias("bucket"))
     a = k.withColumn("bucket", F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])))
     b = k.select(*[F.col(c).alias(f"o_{c}") for c in k.columns])
     pairs = a.join(b, (a.tax_id == b.o_tax_id) & (a.bucket == b.o_bucket)).where((F.col("record_id") < F.col("o_record_id")) & (F.abs(F.col("total") - F.col("o_total")) <= TOLERANCE))
@@ -190,8 +198,8 @@ def vendor_anomalies(inv: DataFrame) -> DataFrame:
     return x.withColumn("robust_z", F.when(F.col("mad") == 0, 0.0).otherwise(0.6745 * (F.col("lg") - F.col("med")) / F.col("mad")))
 
 
-def anomaly_issues(inv: DataFrame, delays: DataFrame | None = None) -> DataFrame:
-    """One issue for each unusual invoice, of the first kind that holds; delays: (record_id, delay).
+def anomaly_issues(inv: DataFrame, delays: DataFrame | None = None, forest: bool = True) -> DataFrame:
+    """One issue for each unusual invoice, of the first kind that holds; delays: (record_id, delay); forest: whether to grow one.
 
     A spike is an outlier of the isolation forest, a robust z of 4 or more, or a vendor whose first digits break
     Benford's law; severity and confidence rise with a z of 6 and with Benford's law.
@@ -199,8 +207,8 @@ def anomaly_issues(inv: DataFrame, delays: DataFrame | None = None) -> DataFrame
     a = vendor_anomalies(inv)
     a = a.join(delays, "record_id", "left") if delays is not None else a.withColumn("delay", F.lit(None).cast("int"))
     odd = benford(a, "vendor", "t").where("p < 0.01 AND effect >= 0.10").select("vendor", F.lit(True).alias("odd_digits"))
-    rare = isolation.outliers(inv, "record_id", "total").withColumn("rare", F.lit(True))
-    a = a.join(odd, "vendor", "left").join(rare, "record_id", "left").na.fill(False, ["odd_digits", "rare"])
+    rare = isolation.outliers(inv, "record_id", "total") if forest else inv.select("record_id").limit(0)
+    a = a.join(odd, "vendor", "left").join(rare.withColumn("rare", F.lit(True)), "record_id", "left").na.fill(False, ["odd_digits", "rare"])
     z = F.abs("robust_z")
     kind = (
         F.when((F.col("t") >= 95_000) & (F.col("t") < 100_000), "anomaly_approval_threshold").when((F.col("round") == 1) & (F.col("round_rate") < 0.10), "anomaly_round_number").when(F.col("is_new_vendor") & (F.col("t") >= 500_000), "new_vendor_huge_invoice")
@@ -228,13 +236,87 @@ def payment_delays(inv: DataFrame, pay: DataFrame) -> DataFrame:
     return both.groupBy("record_id").agg(F.max_by("delay", "txn_id").alias("delay"))
 
 
+# What each kind of issue asks for.
+FIXES = {
+    "payment_before_invoice": "Verify the invoice and bank dates, then correct the source record or payment reference.",
+    "short_payment": "Confirm withholding or recover the payment difference.",
+    "overpayment": "Confirm withholding or recover the payment difference.",
+    "invoice_id_mismatch": "Verify the source invoice number and correct the ledger reference.",
+    "ledger_amount_mismatch": "Reconcile the ledger posting to the source invoice.",
+    "ledger_date_gap": "Confirm the posting period and update the ledger date if required.",
+    "gstr2b_tax_mismatch": "Ask the supplier to correct the filed tax amount or investigate the invoice.",
+    "wrong_tax_period": "Verify the return period and request correction if the filing period is wrong.",
+    "vendor_name_mismatch": "Confirm the supplier legal name and standardize the vendor master.",
+    "supplier_gstin_mismatch": "Confirm the supplier GSTIN and assess the related ITC before claiming it.",
+    "duplicate_exact": "Confirm the original document and reverse or merge the duplicate posting.",
+    "duplicate_near": "Confirm the original document and reverse or merge the duplicate posting.",
+    "duplicate_payment": "Confirm both bank entries and reverse any duplicate settlement posting.",
+    "missing_payment": "Check the bank statement and confirm whether the invoice remains outstanding.",
+    "missing_supplier_filing": "Confirm filing status with the supplier before claiming input tax credit.",
+    "missing_ledger_entry": "Post or locate the missing accounts payable/receivable entry.",
+    "payment_without_invoice": "Investigate the counterparty and attach the payment to its supporting document.",
+    "ledger_without_source": "Locate the originating invoice or correct the ledger reference.",
+    "supplier_not_filed": "Follow up with the supplier and defer the related ITC until it is eligible.",
+    "in_gstr2b_not_in_books": "Confirm the purchase and record it if valid, or dispute the supplier filing.",
+    "unknown_tax_rate": "Confirm the applicable HSN rate and maintain the effective-dated rate master.",
+    "wrong_tax_rate": "Correct the tax rate using the effective-dated HSN master and recalculate tax.",
+    "miscalculated_tax": "Recalculate tax on the taxable value and correct the invoice or books.",
+    "wrong_tax_split": "Recompute whether the supply is intra-state or inter-state, then correct the tax components.",
+    "invoice_total_mismatch": "Correct the invoice total so it equals taxable value plus GST.",
+    "invalid_gstin": "Verify the supplier GSTIN against official records before claiming ITC.",
+}
+OTHER_FIX = "Review source documents, approval history and payment timing before posting."
+
+
+def suggested_fix(kind: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FIXES.items() for x in kv]), kind), F.lit(OTHER_FIX))
+
+
+def explanations(issues: DataFrame) -> DataFrame:
+    """(issue_id, explanation): what is wrong and what to do, from an issue's own fields only."""
+    words = F.regexp_replace("issue_type", "_", " ")
+    said = F.format_string(
+        "%s: this case is flagged as %s. The expected value is %s; the observed value is %s. The deterministic impact estimate is Rs %s. Recommended action: %s",
+        F.coalesce(F.nullif("vendor", F.lit("")), F.lit("Unknown")), words, *[F.coalesce(F.nullif(c, F.lit("")), F.lit("not available")) for c in ("expected", "actual")], F.format_number("impact", 2), suggested_fix(F.col("issue_type")),
+    )
+    return issues.select("issue_id", said.alias("explanation"))
+
+
+def payloads(issues: DataFrame) -> DataFrame:
+    """(issue_id, payload): an issue as one JSON text, its evidence a map of the values compared."""
+    evidence = F.map_filter(F.create_map(F.lit("expected"), F.col("expected"), F.lit("actual"), F.col("actual")), lambda k, v: v.isNotNull())
+    fields = F.struct("issue_id", "issue_type", "severity", F.coalesce("vendor", F.lit("Unknown")).alias("vendor"), F.array_compact(F.array("record_id", "other_id")).alias("record_ids"), F.col("impact").cast("string").alias("rupee_impact"), F.format_string("%.2f", "confidence").alias("confidence"), evidence.alias("evidence"), suggested_fix(F.col("issue_type")).alias("suggested_fix"))
+    return issues.select("issue_id", F.to_json(fields).alias("payload"))
+
+
+PAYLOAD = "issue_id string, issue_type string, severity string, vendor string, record_ids array<string>, rupee_impact string, confidence string, evidence map<string,string>, suggested_fix string"
+
+
+def from_payloads(stored: DataFrame) -> DataFrame:
+    """The issues of payloads() read again, amounts as decimals and confidence as a double."""
+    x = stored.select(F.from_json("payload", PAYLOAD).alias("x")).select("x.*")
+    return x.withColumns({"rupee_impact": F.col("rupee_impact").cast("decimal(18,2)"), "confidence": F.col("confidence").cast("double")})
+
+
+def anomaly_cases(issues: DataFrame) -> DataFrame:
+    """The issues of unusual invoices."""
+    return issues.where("startswith(issue_type, 'anomaly') OR issue_type = 'new_vendor_huge_invoice'")
+
+
 def finish(issues: DataFrame) -> DataFrame:
-    """Issues with id, severity and confidence; the first of equal ids, in the order of severity, type and id."""
+    """Issues with id, severity, confidence and status, the most severe first.
+
+    Of equal ids the first in the order of detectors stays: that of the least `detector`, where there is such a column, and
+    then of the least of its other values, so that reruns agree.
+    """
     kinds = F.col("issue_type")
     out = issues.withColumns({
         "issue_id": text.issue_id(kinds, F.array_compact(F.array("record_id", "other_id")), F.coalesce("expected", F.lit("")), F.coalesce("actual", F.lit(""))),
         "severity": F.coalesce("severity", F.when(kinds.isin(*HIGH), "High").when(kinds == "vendor_name_mismatch", "Low").otherwise("Medium")),
-        "confidence": F.coalesce("confidence", F.when(kinds == "duplicate_exact", 0.98).when(kinds == "duplicate_near", 0.88).when(kinds == "duplicate_payment", 0.92).when(kinds == "missing_payment", 0.85).when(kinds == "vendor_name_mismatch", 0.80).otherwise(0.95)),
+        "confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.when(kinds == "duplicate_exact", 0.98).when(kinds == "duplicate_near", 0.88).when(kinds == "duplicate_payment", 0.92).when(kinds == "missing_payment", 0.85).when(kinds == "vendor_name_mismatch", 0.80).otherwise(0.95)))),
         "status": F.lit("Open"),
     })
-    return out.dropDuplicates(["issue_id"]).orderBy(F.when(F.col("severity") == "High", 1).when(F.col("severity") == "Medium", 2).otherwise(3), "issue_type", "issue_id")
+    kept = [c for c in out.columns if c not in ("issue_id", "detector")]
+    first = F.min(F.struct(*(["detector"] if "detector" in out.columns else []), *kept)).alias("x")
+    once = out.groupBy("issue_id").agg(first).select("issue_id", *[F.col(f"x.{c}").alias(c) for c in kept])
+    return once.orderBy(F.when(F.col("severity") == "High", 1).when(F.col("severity") == "Medium", 2).otherwise(3), "issue_type", "issue_id")

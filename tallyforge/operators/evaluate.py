@@ -6,35 +6,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators.matching import components, cut
-
-
-# The kinds of injected errors, by the family in which issues answer them, and the issue types of each family.
-LABELS = {
-    "payment_amount": ("amount_mismatch_large", "amount_mismatch_small", "bank_amount_mismatch", "rounding_diff", "short_payment_tds"),
-    "anomaly": ("anomaly_approval_threshold", "anomaly_round_number", "anomaly_unusual_spike", "new_vendor_huge_invoice"),
-    "date_and_period": ("date_shift", "ledger_date_gap", "wrong_tax_period", "payment_before_invoice"),
-    "invoice_duplicates": ("duplicate_exact", "duplicate_near"),
-    "invoice_identifier": ("invoice_id_variant",),
-    "vendor_name": ("vendor_name_variant",),
+from tallyforge.operators.lineage import components
+from tallyforge.operators.matching import cut
+
+
+# Families of injected errors, each with its labels and the issue types that answer them.
+FAMILIES = {
+    "payment_amount": (("amount_mismatch_large", "amount_mismatch_small", "bank_amount_mismatch", "rounding_diff", "short_payment_tds"), ("short_payment", "overpayment", "ledger_amount_mismatch", "invoice_total_mismatch")),
+    "anomaly": (("anomaly_approval_threshold", "anomaly_round_number", "anomaly_unusual_spike", "new_vendor_huge_invoice"), ("anomaly_approval_threshold", "anomaly_round_number", "anomaly_unusual_spike", "new_vendor_huge_invoice", "anomaly_behavioral")),
+    "date_and_period": (("date_shift", "ledger_date_gap", "wrong_tax_period", "payment_before_invoice"), ("ledger_date_gap", "wrong_tax_period", "payment_before_invoice")),
+    "invoice_duplicates": (("duplicate_exact", "duplicate_near"), ("duplicate_exact", "duplicate_near")),
+    "invoice_identifier": (("invoice_id_variant",), ("invoice_id_mismatch",)),
+    "vendor_name": (("vendor_name_variant",), ("vendor_name_mismatch",)),
+    "supplier_not_filed": (("supplier_not_filed",), ("supplier_not_filed", "missing_supplier_filing")),
+    "duplicate_payment": (("duplicate_payment",), ("duplicate_payment",)),
+    "gstr2b_tax_mismatch": (("gstr2b_tax_mismatch",), ("gstr2b_tax_mismatch",)),
+    "in_gstr2b_not_in_books": (("in_gstr2b_not_in_books",), ("in_gstr2b_not_in_books",)),
+    "invalid_gstin": (("invalid_gstin",), ("invalid_gstin",)),
+    "ledger_without_source": (("ledger_without_source",), ("ledger_without_source",)),
+    "miscalculated_tax": (("miscalculated_tax",), ("miscalculated_tax",)),
+    "missing_ledger_entry": (("missing_ledger_entry",), ("missing_ledger_entry",)),
+    "missing_payment": (("missing_payment",), ("missing_payment",)),
+    "payment_without_invoice": (("payment_without_invoice",), ("payment_without_invoice",)),
+    "wrong_tax_rate": (("wrong_tax_rate",), ("wrong_tax_rate",)),
+    "wrong_tax_split": (("wrong_tax_split",), ("wrong_tax_split",)),
 }
-TYPES = {
-    "payment_amount": ("short_payment", "overpayment", "ledger_amount_mismatch", "invoice_total_mismatch"),
-    "anomaly": ("anomaly_approval_threshold", "anomaly_round_number", "anomaly_unusual_spike", "new_vendor_huge_invoice", "anomaly_behavioral"),
-    "date_and_period": ("ledger_date_gap", "wrong_tax_period", "payment_before_invoice"),
-    "invoice_duplicates": ("duplicate_exact", "duplicate_near"),
-    "invoice_identifier": ("invoice_id_mismatch",),
-    "supplier_not_filed": ("supplier_not_filed", "missing_supplier_filing"),
-    "vendor_name": ("vendor_name_mismatch",),
-}
-#: Families of one label and the issue type of the same name.
-ALONE = ("duplicate_payment", "gstr2b_tax_mismatch", "in_gstr2b_not_in_books", "invalid_gstin", "ledger_without_source", "miscalculated_tax", "missing_ledger_entry", "missing_payment", "payment_without_invoice", "supplier_not_filed", "wrong_tax_rate", "wrong_tax_split")
-
-
-def families() -> dict[str, list[str]]:
-    """Label to the issue types that answer it, for score_issues."""
-    labels = {family: (family,) for family in ALONE} | LABELS
-    return {label: list(TYPES.get(family, (family,))) for family, own in labels.items() for label in own}
 
 
 def weakest(scores: DataFrame, most: int = 5) -> DataFrame:
@@ -80,20 +76,16 @@ def threshold_curve(scored: DataFrame, truth: DataFrame) -> DataFrame:
     return every.select((F.col("cut") / 100).alias("cut"), "tp", "fp", "fn", *_prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def score_issues(issues: DataFrame, truth: DataFrame, families: dict[str, list[str]]) -> DataFrame:
+def score_issues(issues: DataFrame, truth: DataFrame, families: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = FAMILIES) -> DataFrame:
     """(family, tp, fp, fn, precision, recall, f1).
 
-    issues (issue_id, issue_type, record_ids), truth (label, record_ids); families: label to the issue types that
-    answer it. Labels in order take one unused issue that touches their records, of the same type first; issues
+    issues (issue_id, issue_type, record_ids), truth (label, record_ids); families: by name, labels and the issue types
+    that answer them. Labels in order take one unused issue that touches their records, of the same type first; issues
     that are left are false, as are those whose type answers no label.
     """
     spark = issues.sparkSession
-    owner: dict[str, str] = {}
-    for label, types in families.items():
-        for t in types:
-            owner.setdefault(t, families_key(types))
-    lookup = spark.createDataFrame([*[(t, o) for t, o in owner.items()]], "issue_type string, family string")
-    labels = spark.createDataFrame([(k, families_key(v)) for k, v in families.items()], "label string, family string")
+    lookup = spark.createDataFrame([(t, name) for name, (_, types) in families.items() for t in types], "issue_type string, family string")
+    labels = spark.createDataFrame([(k, name) for name, (own, _) in families.items() for k in own], "label string, family string")
     a = issues.join(F.broadcast(lookup), "issue_type", "left").select(F.coalesce("family", F.concat(F.lit("other:"), "issue_type")).alias("family"), F.col("issue_type").alias("name"), "record_ids", F.lit(0).alias("truth"))
     b = truth.join(F.broadcast(labels), "label", "left").select(F.coalesce("family", F.concat(F.lit("other:"), "label")).alias("family"), F.col("label").alias("name"), "record_ids", F.lit(1).alias("truth"))
 
@@ -126,10 +118,6 @@ def score_issues(issues: DataFrame, truth: DataFrame, families: dict[str, list[s
     return counts.select("family", "tp", "fp", "fn", *_prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def families_key(types: list[str]) -> str:
-    return min(types)
-
-
 def precision_at(issues: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """One row: share of the k issues of most confidence and impact whose record is labelled."""
     top = issues.orderBy(F.col("confidence").desc(), F.col("impact").desc(), "issue_id").limit(k)

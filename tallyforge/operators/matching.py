@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text
 from tallyforge.operators import blocking
+from tallyforge.operators.lineage import checkpointed, components
 
 TOLERANCE = 1
 
 
+def paid(pay: DataFrame) -> Column:
+    """What a payment settles: its amount and the tax withheld from it."""
+    held = F.coalesce(F.abs("tds_withheld"), F.lit(0)) if "tds_withheld" in pay.columns else F.lit(0)
+    return (F.coalesce(F.abs("amount"), F.lit(0)) + held).cast("decimal(18,2)")
+
+
 def exact_matches(inv: DataFrame, pay: DataFrame) -> DataFrame:
-    """(record_id, txn_id, tier, confidence): invoices in order take the one unused payment of their key and amount.
+    """(record_id, txn_id, tier, confidence): invoices, in the order of record_id, take the one unused payment of their key and amount.
 
-    Keys are independent. Where a key has one invoice this is a count; only keys with several go through a
-    grouped function.
+    A payment's amount counts with the tax withheld from it. Keys are independent. Where a key has one invoice this is
+    a count; only keys with several go through a grouped function. Tables have no order of rows, so ids stand for it.
     """
-    i = inv.select("record_id", "total", text.norm_identifier(F.col("invoice_no")).alias("key")).where("key <> ''")
-    p = pay.select("txn_id", "amount", text.norm_identifier(F.col("reference")).alias("key"))
-    pairs = i.join(p, "key").where(F.abs(F.col("total") - F.col("amount")) <= TOLERANCE).select("key", "record_id", "txn_id")
+    i = inv.select("record_id", F.abs("total").alias("total"), text.norm_identifier(F.col("invoice_no")).alias("key")).where("key <> ''")
+    p = pay.select("txn_id", paid(pay).alias("paid"), text.norm_identifier(F.col("reference")).alias("key"))
+    pairs = i.join(p, "key").where(F.abs(F.col("total") - F.col("paid")) <= TOLERANCE).select("key", "record_id", "txn_id")
     shape = Window.partitionBy("key")
     counted = pairs.withColumns({"n": F.min("record_id").over(shape) != F.max("record_id").over(shape), "m": F.count("*").over(Window.partitionBy("record_id"))})
     plain = counted.where("NOT n AND m = 1").select("record_id", "txn_id")
@@ -42,12 +48,27 @@ def exact_matches(inv: DataFrame, pay: DataFrame) -> DataFrame:
     return plain.unionByName(several).select("record_id", "txn_id", F.lit("exact").alias("tier"), F.lit(0.99).alias("confidence"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder that the session names; one of its own only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="match-"))
-    return df.checkpoint()
+def baseline_matches(inv: DataFrame, pay: DataFrame) -> DataFrame:
+    """(record_id, txn_id): the naive baseline, each invoice taking the unused payment of its number that is nearest in amount."""
+    i = inv.select("record_id", F.abs("total").alias("total"), text.norm_identifier(F.col("invoice_no")).alias("key")).where("key <> ''")
+    p = pay.select("txn_id", paid(pay).alias("paid"), text.norm_identifier(F.col("reference")).alias("key"))
+    pairs = i.join(p, "key").select("key", "record_id", "txn_id", F.abs(F.col("total") - F.col("paid")).alias("gap")).where(f"gap <= {TOLERANCE}")
+
+    def take(rows: pd.DataFrame) -> pd.DataFrame:
+        used, out = set(), []
+        for record, own in rows.sort_values(["record_id", "gap", "txn_id"]).groupby("record_id", sort=True):
+            free = [t for t in own["txn_id"] if t not in used]
+            if free:
+                used.add(free[0])
+                out.append((record, free[0]))
+        return pd.DataFrame(out, columns=["record_id", "txn_id"])
+
+    alone = pairs.withColumns({"n": F.count("*").over(Window.partitionBy("key"))})
+    several = alone.where("n > 1").select("key", "record_id", "txn_id", F.col("gap").cast("double").alias("gap"))
+    return alone.where("n = 1").select("record_id", "txn_id").unionByName(several.groupBy("key").applyInPandas(take, "record_id string, txn_id string"))
+
+
+cut = checkpointed
 
 
 def mutual_best(edges: DataFrame) -> DataFrame:
@@ -127,7 +148,7 @@ def _eligible(word: str):
 
 
 def _group_edges(scored: DataFrame, inv: DataFrame, pay: DataFrame, word: str, one: str, many: str) -> DataFrame:
-    amounts = {"record_id": inv.select("record_id", F.abs("total").alias("of_record_id")), "txn_id": pay.select("txn_id", F.abs("amount").alias("of_txn_id"))}
+    amounts = {"record_id": inv.select("record_id", F.abs("total").alias("of_record_id")), "txn_id": pay.select("txn_id", paid(pay).alias("of_txn_id"))}
     e = scored.where(_eligible(word)).join(amounts["record_id"], "record_id").join(amounts["txn_id"], "txn_id")
     e = e.select("record_id", "txn_id", F.col(f"of_{one}").alias("one_amount"), F.col(f"of_{many}").alias("many_amount"), (F.col("reference_contains_invoice") == 1).alias("mentioned"), F.col("date_gap_days").alias("gap"))
     return _with_part(e, one, many)
@@ -144,7 +165,7 @@ def bulk_matches(scored: DataFrame, inv: DataFrame, pay: DataFrame) -> DataFrame
 
 
 def _with_part(edges: DataFrame, one: str, many: str) -> DataFrame:
-    """edges with a name of their connected component, by smallest ids that travel until they settle.
+    """edges with a name of their connected component.
 
     Ones with a single edge can't form a group and are left out first, so that components stay small.
     """
@@ -153,18 +174,6 @@ def _with_part(edges: DataFrame, one: str, many: str) -> DataFrame:
     return edges.join(components(edges, one, many), many)
 
 
-def components(pairs: DataFrame, one: str, many: str) -> DataFrame:
-    """(many, part): the smallest `one` that each `many` reaches over pairs; rounds go on until nothing changes."""
-    pairs = cut(pairs.select(one, many).distinct())
-    labels = cut(pairs.groupBy(many).agg(F.min(one).alias("label")))
-    while True:
-        ones = pairs.join(labels, many).groupBy(one).agg(F.min("label").alias("label"))
-        now = cut(pairs.join(ones, one).groupBy(many).agg(F.min("label").alias("label")))
-        if now.join(labels.withColumnRenamed("label", "old"), many).where("label <> old").isEmpty():
-            return now.withColumnRenamed("label", "part")
-        labels = now
-
-
 def fuzzy_matches(scored: DataFrame, least: float = 0.60) -> DataFrame:
     """The greedy matching of candidates with a confidence of `least` or more, with their band."""
     best = mutual_best(scored.where(F.col("confidence") >= least))
@@ -205,6 +214,12 @@ def reconcile(inv: DataFrame, pay: DataFrame, model=None) -> DataFrame:
     return out
 
 
+def accepted(matches: DataFrame, least: float = 0.60) -> DataFrame:
+    """(record_id, txn_id) of reconcile()'s matches whose confidence is `least` or more: each invoice with each payment of its match."""
+    sure = matches.where(F.col("confidence") >= least)
+    return sure.select(F.explode("record_ids").alias("record_id"), "txn_ids").select("record_id", F.explode("txn_ids").alias("txn_id"))
+
+
 def unmatched(ids: DataFrame, matches: DataFrame, column: str) -> DataFrame:
     """Of ids (one column) those that no match of band auto holds in its array `column`."""
     name = ids.columns[0]

@@ -5,8 +5,12 @@ Errors are injected by the order key's residues, so that every detector has some
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyforge.operators.lineage import checkpointed
+
 HOME_STATE = "NATION_5"
 
 _D = "CAST({} AS DECIMAL(18,2))"
@@ -41,14 +45,15 @@ FROM inv_base
 PAY = """
 SELECT concat('TXN', lpad(CAST(k AS STRING), 8, '0')) AS txn_id, k,
   inv_date + CAST((k * 7) % 50 AS INT) - CAST(CASE WHEN k % 71 = 0 THEN 60 ELSE 0 END AS INT) AS pay_date,
-  CAST(CASE WHEN k % 89 = 0 THEN taxable_value WHEN k % 157 = 0 THEN total + 500 ELSE total END AS DECIMAL(18,2)) AS amount,
+  CAST(CASE WHEN k % 89 = 0 THEN taxable_value WHEN k % 157 = 0 THEN total + 500 ELSE total END - CASE WHEN k % 163 = 0 THEN round(taxable_value * 0.1, 2) ELSE 0 END AS DECIMAL(18,2)) AS amount,
+  CAST(CASE WHEN k % 163 = 0 THEN round(taxable_value * 0.1, 2) ELSE 0 END AS DECIMAL(18,2)) AS tds_withheld,
   concat('Payment to ', vendor, ' ', invoice_no) AS narration, CASE WHEN k % 59 = 0 THEN '' ELSE invoice_no END AS reference
 FROM inv WHERE k % 61 <> 0
 UNION ALL
-SELECT concat('TXD', lpad(CAST(k AS STRING), 8, '0')), k, inv_date + CAST((k * 7) % 50 + k % 15 AS INT), total, concat('Payment to ', vendor, ' ', invoice_no), invoice_no
+SELECT concat('TXD', lpad(CAST(k AS STRING), 8, '0')), k, inv_date + CAST((k * 7) % 50 + k % 15 AS INT), total, CAST(0 AS DECIMAL(18,2)), concat('Payment to ', vendor, ' ', invoice_no), invoice_no
 FROM inv WHERE k % 101 = 0
 UNION ALL
-SELECT concat('TXO', lpad(CAST(k AS STRING), 8, '0')), k, inv_date, total, 'Cash withdrawal', concat('CASH-', CAST(k AS STRING)) FROM inv WHERE k % 149 = 0
+SELECT concat('TXO', lpad(CAST(k AS STRING), 8, '0')), k, inv_date, total, CAST(0 AS DECIMAL(18,2)), 'Cash withdrawal', concat('CASH-', CAST(k AS STRING)) FROM inv WHERE k % 149 = 0
 """
 
 LED = """
@@ -99,17 +104,29 @@ def with_clause(*names: str) -> str:
 
 
 class Domain:
-    """The views as DataFrames over the tables in a folder."""
+    """The views as DataFrames over the tables in a folder.
+
+    shared: the books are joined once and written to the folder of checkpoints, for queries that use several views.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, shared: bool = False):
+        self.spark, self.sf_dir, self.shared, self._books = spark, sf_dir, shared, None
 
     def view(self, name: str) -> DataFrame:
-        tables = {t: self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet") for t in ("orders", "customer", "nation")}
-        sql = with_clause(name)
-        for t in tables:
-            sql = sql.replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
-        return self.spark.sql(f"WITH {sql} SELECT * FROM {name}", **({} if name == "rates" else tables))
+        if name == "rates":
+            return self.spark.sql(VIEWS[name])
+        if name == "inv" and self._books is not None:
+            return self._books
+        if name == "inv" or not self.shared:
+            tables = {t: self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet") for t in ("orders", "customer", "nation")}
+            sql = with_clause(name)
+            for t in tables:
+                sql = sql.replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
+            found = self.spark.sql(f"WITH {sql} SELECT * FROM {name}", **tables)
+            if name == "inv" and self.shared:
+                found = self._books = checkpointed(found)
+            return found
+        return self.spark.sql(re.sub(r"FROM inv\b", "FROM {inv}", VIEWS[name]), inv=self.view("inv"))
 
     inv = property(lambda self: self.view("inv"))
     pay = property(lambda self: self.view("pay"))

@@ -8,12 +8,13 @@ import json
 import re
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyforge.functions import text
-from tallyforge.functions.similarity import ratio
+from tallyforge.functions.similarity import ratio, weighted_ratio
+from tallyforge.operators.lineage import checkpointed
 from tallyforge.sources.reports import read_workbook
 
 FORBIDDEN_FILES = ("injected_errors", "match_challenges", "links")
@@ -127,6 +128,11 @@ def later(df: DataFrame, date: str = "date", days: int = 5) -> DataFrame:
     return df.withColumn(date, F.date_add(date, days))
 
 
+def rewritten(narration: Column) -> Column:
+    """A narration whose invoice numbers are written as INV- and digits, which they are already."""
+    return F.regexp_replace(narration, r"INV-(\d+)", "INV-$1")
+
+
 def link_table(tables: dict[str, DataFrame]) -> DataFrame | None:
     """(source_id, invoice_record_id, source_table) of the tables that know which invoice they belong to."""
     out = None
@@ -157,10 +163,10 @@ def table_type(columns: list[str], least: float = 86) -> str:
 
 
 def suggest_mapping(columns: list[str], table: str, least: float = 72) -> dict[str, str]:
-    """Canonical column to the header most like it or one of its aliases."""
+    """Canonical column to the header most like it or one of its aliases, by the weighted ratio, which minds case."""
     out = {}
     for field, aliases in ALIASES[table].items():
-        score, head = max(((max(ratio(header_words(c), header_words(a)) for a in [field, *aliases]), c) for c in columns), key=lambda x: x[0], default=(0, ""))
+        score, head = max(((max(weighted_ratio(c, a) for a in [field, *aliases]), c) for c in columns), key=lambda x: x[0], default=(0, ""))
         if score >= least:
             out[field] = head
     return out
@@ -180,10 +186,24 @@ def standardize(df: DataFrame, table: str, mapping: dict[str, str]) -> DataFrame
         if table == "invoices":
             out = out.withColumn("party_state", F.coalesce(F.col("party_state") if "party_state" in kept else F.lit(None).cast("string"), text.state_from_gstin(F.col(tax))))
     if table == "invoices" and "record_id" not in kept:
-        out = out.withColumn("record_id", F.concat(F.lit("UPINV"), F.lpad(F.row_number().over(Window.orderBy(*[f"{f}_raw" for f in kept])).cast("string"), 6, "0")))
+        out = numbered(out, [f"{f}_raw" for f in kept]).withColumn("record_id", F.concat(F.lit("UPINV"), F.lpad(F.col("record_id").cast("string"), 6, "0")))
     return out
 
 
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with record_id, the rows' numbers from 1 in the order of the columns: ranges are sorted apart, and counted one after another."""
+    sorted_ = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    counts = {r["p"]: r["n"] for r in sorted_.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    begins, at = {}, 0
+    for p in sorted(counts):
+        begins[p], at = at, at + counts[p]
+    if not begins:
+        return sorted_.withColumn("record_id", F.lit(0).cast("long")).drop("__at")
+    begin = F.element_at(F.create_map(*[F.lit(x) for kv in begins.items() for x in kv]), part)
+    return sorted_.withColumn("record_id", (begin + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop("__at")
+
+
 def change_log(df: DataFrame, key: str) -> DataFrame:
     """(key, column, before, after): one row for each value that standardising changed."""
     fields = [c[:-4] for c in df.columns if c.endswith("_raw") and c[:-4] in df.columns]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text
+from tallyforge.operators.lineage import checkpoint_folder
 
 
 def read_folder(spark, path: str, schema, files_a_trigger: int = 16) -> DataFrame:
@@ -33,3 +36,24 @@ def exact_payments(payments: DataFrame, inv: DataFrame) -> DataFrame:
 def first_seen(events: DataFrame, key: str = "event_id", late: str = "2 days") -> DataFrame:
     """Each key's first arrival; keys are forgotten once the watermark has passed them."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A folder's table as a stream of its Parquet files."""
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives for all that has arrived: its batches' rows, or in the mode `complete` those of the last batch.
+
+    Results and the stream's progress are written to the folder of checkpoints, so a run that broke off goes on there.
+    """
+    spark = stream.sparkSession
+    path = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/{0 if mode == 'complete' else number}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out/*")
