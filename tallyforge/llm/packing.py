@@ -181,7 +181,9 @@ def pack(docs: DataFrame, tokenizer_json: str, tokens: int = TOKENS, segments: i
     A document is its text's ids (null: none), then end_id. Its first prompt_tokens ids (null or no such
     column: 0) bear no loss. Each id is in exactly one piece; pieces lie in a sequence without gaps.
     A row that repeats a doc_id is a document of its own. Other columns are not read. An empty table
-    gives no rows. Longer sequences than `tokens` don't occur, nor more segments or loss tokens.
+    gives no rows. Longer sequences than `tokens` don't occur, nor more segments or loss tokens. Texts are taken
+    whole, of any length. Of items of one gain the one that came first is placed. Plain documents bear loss in
+    every token, so that with the default limits the third one binds only for rows with prompt_tokens.
     """
     spark = docs.sparkSession
     if "prompt_tokens" not in docs.columns:

@@ -24,46 +24,56 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text of `documents`: counts and digest of the strict patterns' spans, and all spans, also those that patterns add. A null text has none."""
     return pii.digest(pii.find_personal_data(_table(spark, sf_dir, "documents")))
 
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every whole text of `documents` and of its edited text, and their likeness. A null text is empty; ids that repeat are ordered by text."""
     return fingerprint.edited_likeness(_table(spark, sf_dir, "documents"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it. A null text has no words; a null source is a source, the last one."""
     mixed = mixing.mix_copies(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its set of four-word shingles and its component of links at 0.85 or more. Texts without words link with nothing."""
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of `documents` scored by the model of those that are not held out. A null text has its end alone."""
     return backoff_lm.train_and_score(_table(spark, sf_dir, "documents"))
 
 
 def op6_langid(spark: SparkSession, sf_dir: str, pieces_path: str | None = None) -> DataFrame:
+    """The language of every whole text of `documents`, learned from those that are not held out; `und` for a null text or one without a letter."""
     pieces = langid.read_pieces(pieces_path or tokenizer_path(PIECES_FILE))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.identify(docs, pieces).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text of `documents`: counts and digest of the strict patterns' spans, and all spans, also literals of sensitive names. A null text has none."""
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each vector whose vec_id is divisible by 20, among all others. Vectors null, zero or not finite take no part."""
     vectors = _table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every whole text of `documents`, learned from labels of those that are not held out. A null text is scored as an empty one."""
     return gam.train_and_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """The pieces of all `documents` in sequences of at most 4096 tokens. A null text has its end alone."""
     with open(tokenizer or tokenizer_path(TOKENIZER_FILE), encoding="utf-8") as f:
         model = f.read()
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
