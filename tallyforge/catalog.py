@@ -58,6 +58,20 @@ def _likeness(a: str, b: str) -> str:
     return f"(CASE WHEN {a} = {b} THEN 100.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE 200.0 * list_max({rows}) / (length({a}) + length({b})) END)"
 
 
+def _words_alike(n: str, p: str, q: str) -> str:
+    """DuckDB's form of the ratio of two sets of words: what they share (its length n), and each side's rest, as sorted text."""
+    la, lb = f"({n} + CASE WHEN {n} > 0 THEN 1 ELSE 0 END + length({p}))", f"({n} + CASE WHEN {n} > 0 THEN 1 ELSE 0 END + length({q}))"
+    indel = f"(length({p}) + length({q}) - {_likeness(p, q)} * (length({p}) + length({q})) / 100.0)"
+    return f"greatest(100.0 * (1 - {indel} / ({la} + {lb})), CASE WHEN {n} > 0 THEN greatest(200.0 * {n} / ({n} + {la}), 200.0 * {n} / ({n} + {lb})) ELSE 0 END)"
+
+
+def _word_sets(a: str, b: str, columns: str = "*") -> str:
+    """SELECT columns, and of two texts' sets of words the length of what is shared and each side's rest."""
+    x, y = f"list_distinct(string_split({a}, ' '))", f"list_distinct(string_split({b}, ' '))"
+    rest = lambda u, v: f"array_to_string(list_sort(list_filter({u}, lambda e: NOT list_contains({v}, e))), ' ')"
+    return f"SELECT {columns}, length(array_to_string(list_sort(list_filter({x}, lambda e: list_contains({y}, e))), ' ')) AS w, {rest(x, y)} AS wp, {rest(y, x)} AS wq"
+
+
 def _table(d: Domain, name: str) -> DataFrame:
     return d.spark.read.parquet(f"{d.sf_dir}/{name}.parquet")
 
@@ -243,10 +257,17 @@ def _(d):
     return blocking.candidates(*_left(d)).select("record_id", "txn_id", F.round("score", 6).alias("score"), "direct")
 
 
-@_add("pair_features")
+_FEATURE_ROWS = _DIRECT + f""", a AS (SELECT record_id, txn_id, ik.key, ref, ref || ' ' || {key('narration')} AS told, {_NAME.format('vendor')} AS name, {_NAME.format('narration')} AS said, inv_date, pay_date, document_type, abs(total) AS total, amount, tds_withheld AS tds FROM direct JOIN ik USING (record_id) JOIN pt USING (txn_id)),
+b AS ({_word_sets('name', 'said')}, abs(total - abs(amount) - tds) AS gap FROM a)"""
+_FEATURES = f"""SELECT record_id, txn_id, CASE WHEN contains(told, key) THEN 1.0 END AS invoice_id_similarity, round({_likeness('key', 'ref')} / 100, 9) AS reference_similarity, CAST(CASE WHEN key = '' OR ref = '' THEN 999 ELSE levenshtein(key, ref) END AS DOUBLE) AS invoice_id_edit_distance,
+  CAST(key <> '' AND key = ref AS DOUBLE) AS normalized_id_equal, round(CASE WHEN name = '' OR said = '' THEN 0 WHEN wp = '' THEN 100 ELSE {_words_alike('w', 'wp', 'wq')} END / 100, 9) AS vendor_name_similarity, CAST(gap AS DOUBLE) AS amount_abs_diff, round(CAST(gap AS DOUBLE) / greatest(CAST(total AS DOUBLE), 1.0), 9) AS amount_relative_diff,
+  CAST(abs(datediff('day', inv_date, pay_date)) AS DOUBLE) AS date_gap_days, CAST(key <> '' AND contains(told, key) AS DOUBLE) AS reference_contains_invoice, CAST((document_type = 'purchase' AND amount >= 0) OR (document_type <> 'purchase' AND amount <= 0) AS DOUBLE) AS direction_matches, CAST(tds AS DOUBLE) AS tds_amount, 0.0 AS same_gstin, 0.0 AS gstin_comparable FROM b"""
+
+
+@_add("pair_features", _FEATURE_ROWS + " " + _FEATURES, ("inv", "pay"))
 def _(d):
     direct = blocking.reference_pairs(d.inv, d.pay)
-    return blocking.features(direct, d.inv, d.pay).drop("body")
+    return blocking.features(direct, d.inv, d.pay).select("record_id", "txn_id", *[F.round(f, 9).alias(f) for f in blocking.FEATURES])
 
 
 @_add("exact_match", _EXACT + " SELECT record_id, txn_id FROM matched", ("inv", "pay"))
@@ -280,7 +301,19 @@ for _kind, _when, _impact in (("gstr2b_tax_mismatch", "abs(tax - tax_amount) > 1
     _add(_kind, _FILED + f" SELECT '{_kind}' AS issue_type, record_id, filing_id AS other_id, CAST({_impact} AS DECIMAL(18,2)) AS impact FROM best WHERE rn = 1 AND {_when}", ("inv", "fil"))(lambda d, k=_kind: _issues(detect.filing_mismatches(d.inv, d.fil), k))
 
 
-@_add("fuzzy_filing")
+_FUZZY = f""", i AS (SELECT record_id, invoice_no, {key('invoice_no')} AS key, {tax_id('gstin')} AS g, inv_date, tax, taxable_value, vendor, {_NAME.format('vendor')} AS name FROM inv WHERE document_type = 'purchase'),
+f AS (SELECT filing_id, invoice_no AS filed_no, invoice_date, tax_amount, filing_period, supplier_name, {key('invoice_no')} AS fk, {tax_id('supplier_gstin')} AS fg, taxable_value AS ft, {_NAME.format('supplier_name')} AS fname FROM fil),
+same AS (SELECT i.*, f.*, 100.0 AS ids, 100.0 AS names, 450.0 AS score FROM i JOIN f ON key = fk AND g = fg AND name = fname AND taxable_value = ft AND inv_date = invoice_date WHERE key <> '' AND name <> ''),
+near AS ({_word_sets('name', 'fname')} FROM i JOIN f ON abs(datediff('day', inv_date, invoice_date)) <= 5 WHERE record_id NOT IN (SELECT record_id FROM same)),
+liked AS (SELECT *, {_likeness('key', 'fk')} AS ids, CASE WHEN name = '' OR fname = '' THEN 0 WHEN wp = '' OR wq = '' THEN 100 ELSE {_words_alike('w', 'wp', 'wq')} END AS names FROM near),
+scored AS (SELECT * EXCLUDE (w, wp, wq), 1.5 * ids + names + greatest(0, 100 - 100 * abs(CAST(taxable_value AS DOUBLE) - CAST(ft AS DOUBLE)) / greatest(abs(CAST(taxable_value AS DOUBLE)), 1)) + CASE WHEN g = fg THEN 100 ELSE 0 END - 5 * abs(datediff('day', inv_date, invoice_date)) AS score FROM liked WHERE g = fg OR names >= 65 OR ids >= 70),
+best AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, filing_id) AS rn FROM (SELECT * FROM same UNION ALL BY NAME SELECT * FROM scored)), one AS (SELECT * FROM best WHERE rn = 1)
+""" + " UNION ALL ".join(f"SELECT '{k}' AS issue_type, record_id, filing_id AS other_id, CAST({impact} AS DECIMAL(18,2)) AS impact FROM one WHERE {when}" for k, when, impact in (
+    ("gstr2b_tax_mismatch", "abs(tax - tax_amount) > 1", "abs(tax - tax_amount)"), ("wrong_tax_period", "strftime(inv_date, '%Y-%m') <> filing_period", "0"), ("invoice_id_mismatch", f"{tax_id('invoice_no')} <> {tax_id('filed_no')}", "0"), ("vendor_name_mismatch", "names < 75", "0"), ("supplier_gstin_mismatch", "g <> fg", "tax"),
+))
+
+
+@_add("fuzzy_filing", _FUZZY, ("inv", "fil"))
 def _(d):
     return _issues(detect.fuzzy_filings(d.inv, d.fil), "gstr2b_tax_mismatch", "wrong_tax_period", "invoice_id_mismatch", "vendor_name_mismatch", "supplier_gstin_mismatch")
 
@@ -401,7 +434,14 @@ def _(d):
     return isolation.outliers(d.inv, "record_id", "total")
 
 
-@_add("fuzzy_match")
+#: Payments name one number each, so that the greedy matching is done number by number.
+_GREEDY = _FEATURE_ROWS + f""", ft AS ({_FEATURES}), c AS (SELECT key, record_id, txn_id, round(0.30 * invoice_id_similarity + 0.22 * vendor_name_similarity + 0.18 * reference_similarity + 0.18 * CAST(amount_relative_diff <= 0.01 AS DOUBLE) + 0.12 * CAST(date_gap_days <= 45 AS DOUBLE), 6) AS conf FROM ft JOIN ik USING (record_id)),
+g AS (SELECT key, list({{'r': record_id, 't': txn_id, 'c': conf}} ORDER BY conf DESC, record_id, txn_id) AS l FROM c WHERE conf >= 0.60 GROUP BY key),
+w AS (SELECT unnest(list_reduce(list_transform(l, lambda x: [x]), lambda a, x: CASE WHEN list_contains(list_transform(a, lambda y: y.r), x[1].r) OR list_contains(list_transform(a, lambda y: y.t), x[1].t) THEN a ELSE list_concat(a, x) END)) AS p FROM g)
+SELECT p.r AS record_id, p.t AS txn_id, CASE WHEN p.c >= 0.9 THEN 'auto' ELSE 'review' END AS band FROM w"""
+
+
+@_add("fuzzy_match", _GREEDY, ("inv", "pay"))
 def _(d):
     return matching.fuzzy_matches(blocking.features(_direct(d), d.inv, d.pay).withColumn("confidence", F.round(blocking.confidence(), 6))).select("record_id", "txn_id", "band")
 
