@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tallyforge.functions import similarity
-from tallyforge.operators import blocking
+from tallyforge.operators import blocking, detect
 
 INVOICE, PAYMENT = "record_id string, invoice_no string, vendor string, inv_date date, total decimal(18,2), document_type string", "txn_id string, pay_date date, amount decimal(18,2), tds_withheld decimal(18,2), narration string, reference string"
 
@@ -70,3 +70,15 @@ def test_candidates_of_a_crowded_window_are_soon_found(spark):
     got = blocking.candidates(inv, pay).where("NOT direct").groupBy("record_id").count().toPandas()
     assert time.time() - began < 60
     assert len(got) == n and np.all(got["count"] == 25)
+
+
+def test_filings_of_a_crowded_day_are_soon_found(spark):
+    """9 million pairs of one day, none of which agrees in everything."""
+    n, began = 3000, time.time()
+    number = lambda prefix, c: F.format_string(f"{prefix}%08d", c)
+    rows = spark.range(n).withColumns({"inv_date": F.lit("2026-01-01").cast("date"), "tax": F.lit(18).cast("decimal(18,2)"), "taxable_value": (F.col("id") + 100).cast("decimal(18,2)")})
+    inv = rows.select(number("R", F.col("id")).alias("record_id"), number("INV-", F.col("id") * 7919).alias("invoice_no"), number("G", F.col("id")).alias("gstin"), number("Customer#", F.col("id")).alias("vendor"), F.lit("purchase").alias("document_type"), "inv_date", "tax", "taxable_value")
+    fil = rows.select(number("F", F.col("id")).alias("filing_id"), number("INV-", F.col("id") * 7919).alias("invoice_no"), number("H", F.col("id")).alias("supplier_gstin"), number("Customer#", F.col("id")).alias("supplier_name"), F.col("inv_date").alias("invoice_date"), F.col("tax").alias("tax_amount"), "taxable_value", F.lit(True).alias("filed"), F.lit("2026-01").alias("filing_period"))
+    got = detect.fuzzy_filings(inv, fil).toPandas()
+    assert time.time() - began < 60
+    assert len(got) == n and set(got["issue_type"]) == {"supplier_gstin_mismatch"} and np.all(got["record_id"].str[1:] == got["other_id"].str[1:])
