@@ -82,3 +82,14 @@ def test_filings_of_a_crowded_day_are_soon_found(spark):
     got = detect.fuzzy_filings(inv, fil).toPandas()
     assert time.time() - began < 60
     assert len(got) == n and set(got["issue_type"]) == {"supplier_gstin_mismatch"} and np.all(got["record_id"].str[1:] == got["other_id"].str[1:])
+
+
+def test_features_take_the_likenesses_of_the_window(spark):
+    draw = random.Random(11)
+    number, party = lambda: draw.choice(["", None, "INV-%04d" % draw.randint(0, 60), "7", "X" * 70]), lambda: draw.choice(["Acme One Ltd", "Acme Two", "Zeta", "", None])
+    day = lambda: date(2026, 1, 1) + timedelta(draw.randint(0, 90))
+    inv = spark.createDataFrame([(f"R{k:03}", number(), party(), day(), Decimal(draw.randint(1, 900)), "purchase") for k in range(40)], INVOICE)
+    pay = spark.createDataFrame([(f"T{k:03}", day(), Decimal(draw.randint(1, 900)), None, draw.choice(["", None, f"to {party()} {number()}"]), draw.choice([None, "", number(), f"INV-00{draw.randint(0, 99)}-and-more"])) for k in range(50)], PAYMENT)
+    scored = blocking.scored_candidates(inv, pay, 4).localCheckpoint()
+    known, plain = (sorted(map(tuple, blocking.features(p, inv, pay).collect())) for p in (scored, scored.select("record_id", "txn_id")))
+    assert known == plain and scored.where("NOT direct AND told IS NOT NULL").count() > 40 and not scored.where("direct").isEmpty()
