@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Words, blocks, crc_residue, fresh, kept_in_worker, mix
+from tallyforge.llm.common import Words, blocks, crc_residue, fresh, kept_in_worker, mix, release
 
 #: Bound of the training sample: documents of each language, chosen by a hash of doc_id.
 SAMPLE_DOCS = 1000
@@ -213,6 +213,8 @@ def train(labelled: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS
         own = np.flatnonzero(lang == language)
         order = own[np.argsort(np.array([word[i] for i in own], dtype=object), kind="stable")]
         p.append(fit_pieces([word[i] for i in order], n[order].astype(float), vocabulary))
+    del table, lang, word, n
+    release()  # the driver lives on
     total = sum(shares.values())
     return Model(languages, np.array([shares[k] / total for k in languages]), pieces, np.stack(p, axis=1))
 
